@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii, quality_gam, toxicity
 from .common import read
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
@@ -12,12 +13,34 @@ from .packing import best_fit_packing
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
 from .token_count import token_counts
+from .warc import archive_round_trip
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality_gam.quality_scores(docs, quality_gam.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(read(spark, sf_dir, "pages")).drop("url")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    out = toxicity.toxicity(docs, model)
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "severity", "grade", "toxic")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.train(docs)).drop("redactions")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -40,4 +63,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op6_line_dedup, op7_simhash_near_dedup, op8_quality_rules, op9_best_fit_packing, op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_quality_classifier,
+        op3_warc,
+        op4_toxicity,
+        op5_pii,
+        op6_line_dedup,
+        op7_simhash_near_dedup,
+        op8_quality_rules,
+        op9_best_fit_packing,
+        op10_benchmark_decontamination,
+    )
+}

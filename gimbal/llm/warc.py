@@ -54,8 +54,12 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(host.split('.')))}{port}){parts.path or '/'}{query}".lower()
 
 
+def _base32(sha: bytes) -> str:
+    return base64.b32encode(sha).decode()
+
+
 def payload_digest(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return _base32(hashlib.sha1(payload).digest())
 
 
 def _record(url: str, page_id, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
@@ -122,6 +126,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 4, file_bytes: in
                 made: dict[str, list] = {k: [] for k in ("key", "page_id", "digest", "file", "at", "size")}
                 for i in range(batch.num_rows):
                     page, url, html, digest, first, revisit = (batch.column(c)[i].as_py() for c in range(6))
+                    digest = _base32(digest)
                     if out is None or at >= file_bytes:
                         if out is not None:
                             out.close()
@@ -187,7 +192,7 @@ def write_index(entries: DataFrame, folder: str, shards: int, block_entries: int
 
 
 def _sort_column():
-    page = F.when(F.col("page_id").isNull(), "").otherwise(F.lpad((F.col("page_id").cast("decimal(20,0)") + F.lit(1 << 63).cast("decimal(20,0)")).cast("string"), 20, "0"))
+    page = F.when(F.col("page_id").isNull(), "").otherwise(F.lpad((F.col("page_id").cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0"))
     return F.concat_ws("\x00", "key", page, "digest")
 
 
@@ -306,14 +311,7 @@ def mark_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     )
     joined = rows.join(firsts, F.col("sha") == F.col("s"), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return joined.select("page_id", "url", "html", _base32("sha").alias("digest"), "first_id", revisit.alias("revisit"))
-
-
-def _base32(sha_col: str):
-    """Upper-case base32 of 20 bytes: 160 bits are 32 groups of five."""
-    bits = F.concat(*[F.lpad(F.conv(F.substring(F.hex(sha_col), i, 8), 16, 2), 32, "0") for i in range(1, 41, 8)])
-    alphabet = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    return F.concat(*[F.substring(alphabet, F.conv(F.substring(bits, i, 5), 2, 10).cast("int") + 1, F.lit(1)) for i in range(1, 161, 5)])
+    return joined.select("page_id", "url", "html", F.col("sha").alias("digest"), "first_id", revisit.alias("revisit"))
 
 
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, shards: int | None = None) -> DataFrame:
@@ -340,6 +338,6 @@ def _requests(marked: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("url", "page_id", "digest")))
-            yield pa.RecordBatch.from_arrays([pa.array([_sortable(url_key(u), p, d) for u, p, d in rows], pa.string())], names=["sort"])
+            yield pa.RecordBatch.from_arrays([pa.array([_sortable(url_key(u), p, _base32(d)) for u, p, d in rows], pa.string())], names=["sort"])
 
     return marked.select("url", "page_id", "digest").mapInArrow(run, "sort string")

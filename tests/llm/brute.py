@@ -106,3 +106,53 @@ def decontaminate(docs, items, width=10):
         digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(names), digest, bool(hit)))
     return out
+
+
+_PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _luhn(digits):
+    d = [int(x) for x in reversed(digits)]
+    return sum(x if i % 2 == 0 else 2 * x - 9 * (2 * x > 9) for i, x in enumerate(d)) % 10 == 0
+
+
+def base_spans(text):
+    """Counts by kind, and (start, kind's place, end) in order."""
+    out = []
+    for k, (kind, pattern) in enumerate(_PII.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": True,
+                "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")),
+                "card": 14 <= len(digits) <= 19 and _luhn(digits),
+                "phone": 10 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append((m.start(), k, m.end()))
+    out.sort()
+    text = ",".join(f"{list(_PII)[k]}:{s}:{e}" for s, k, e in out)
+    return [sum(x[1] == k for x in out) for k in range(4)], text, hashlib.sha256(text.encode()).hexdigest()
+
+
+def warc(pages):
+    """(page_id, html) -> page_id, bytes, digest, type, refers_to"""
+    import base64
+
+    least = {}
+    for page, html in pages:
+        if page is not None:
+            least[html or ""] = min(page, least.get(html or "", page))
+    out = []
+    for page, html in pages:
+        raw = (html or "").encode()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        first = least.get(html or "")
+        revisit = first is not None and page != first
+        out.append((page, len(raw), digest, "revisit" if revisit else "response", first if revisit else None))
+    return out
