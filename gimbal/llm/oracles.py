@@ -12,9 +12,9 @@ SQL["op3_warc"] = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 k AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html),
 d AS (SELECT p.page_id, p.html, k.first_id, sha1(p.html) AS hex FROM p JOIN k ON p.html = k.html),
-b AS (SELECT *, list_reduce(list_transform(range(40), i -> CAST(printf('%04b', instr('0123456789abcdef', hex[CAST(i + 1 AS INTEGER)]) - 1) AS VARCHAR)), (x, y) -> x || y) AS bits FROM d)
+b AS (SELECT *, list_reduce(list_transform(range(40), lambda i: CAST(printf('%04b', instr('0123456789abcdef', hex[CAST(i + 1 AS INTEGER)]) - 1) AS VARCHAR)), lambda x, y: x || y) AS bits FROM d)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
-  list_reduce(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), j -> CAST(substr(bits, CAST(i * 5 + j + 1 AS INTEGER), 1) AS INTEGER) * CAST(power(2, 4 - j) AS INTEGER))) AS INTEGER), 1)), (x, y) -> x || y) AS payload_digest,
+  list_reduce(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(i * 5 + j + 1 AS INTEGER), 1) AS INTEGER) * CAST(power(2, 4 - j) AS INTEGER))) AS INTEGER), 1)), lambda x, y: x || y) AS payload_digest,
   CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM b
