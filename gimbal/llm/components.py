@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
+# The least neighbours are joined on the complement of the node: both sides are then dealt anew, and Spark
+# can split the rows of a node with very many links.
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the least of u and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("m"))
-    linked = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("c"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not("a").alias("c"), F.least("a", "m").alias("m"))
+    linked = both.where(F.col("b") > F.col("a")).join(least, F.bitwise_not("a") == F.col("c"))
     return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the least of them. Edges have a > b."""
-    least = edges.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
-    linked = edges.join(least, F.col("a") == F.col("c"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    linked = edges.join(least.select(F.bitwise_not("a").alias("c"), "m"), F.bitwise_not("a") == F.col("c"))
     out = linked.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.union(least.select(F.col("c").alias("a"), F.col("m").alias("b"))).distinct()
+    return out.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -76,8 +76,9 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 8, pair_bucket: int
     rows = fps.select("fp", F.inline(chains)).select(
         "fp", "i", "rot", (F.col("rot").bitwiseAND(F.lit(mask)) + F.shiftleft(F.col("i").cast("long"), shift)).alias("key")
     )
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("key", "k")
-    shared = rows.join(sizes, F.col("key") == F.col("k")).select("fp", "i", "rot", "key", "n")
+    # Joined on another form of the key, so that both sides are dealt anew and a hot key's rows can be split among tasks.
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("key").alias("k"), "n")
+    shared = rows.join(sizes, F.bitwise_not("key") == F.col("k")).select("fp", "i", "rot", "key", "n")
 
     # Small buckets: pairs inside a list of bounded size, cut by the chain before they leave it.
     def viable(x: Column, y: Column) -> Column:
@@ -90,7 +91,7 @@ def links(fps: DataFrame, max_bits: int = 2, segments: int = 8, pair_bucket: int
 
     bucket = (
         shared.where(F.col("n") <= pair_bucket)
-        .groupBy((-F.col("key")).alias("key"))  # a fresh shuffle, so that the join above may split a hot key
+        .groupBy("key")
         .agg(F.collect_list("rot").alias("rots"), F.first("i").alias("i"))
     )
     rots = F.col("rots")
@@ -148,11 +149,11 @@ def near_duplicates(
     fps = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "fingerprints")
     roots = materialise(components(links(fps.select("fp"), max_bits, segments)), "roots")
     named = roots.join(fps, F.col("node") == F.col("fp"))
-    least = named.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("least"))
-    group = roots.join(least, F.col("root") == F.col("r")).select("node", "least")
+    least = named.groupBy("root").agg(F.min("first").alias("least")).select(F.bitwise_not("root").alias("r"), "least")
+    group = roots.join(least, F.bitwise_not("root") == F.col("r")).select("node", "least")
     of = fps.join(group, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("f"), F.coalesce("least", "first").alias("component_id")
+        F.bitwise_not("fp").alias("f"), F.coalesce("least", "first").alias("component_id")
     )
-    return marked.join(of, F.col("fp") == F.col("f")).select(
+    return marked.join(of, F.bitwise_not("fp") == F.col("f")).select(
         F.col(f"`{id_col}`"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

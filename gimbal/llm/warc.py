@@ -304,12 +304,12 @@ def mark_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     rows = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("sha"), F.octet_length(payload).alias("bytes"))
     firsts = (
         rows.where(F.col("bytes") >= min_revisit_bytes)
-        .groupBy(F.col("sha").alias("s"))
+        .groupBy("sha")
         .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
         .where("n > 1")
-        .drop("n")
+        .select(F.hex("sha").alias("s"), "first_id")  # another form of the key: Spark can split a hot payload's rows
     )
-    joined = rows.join(firsts, F.col("sha") == F.col("s"), "left")
+    joined = rows.join(firsts, F.hex("sha") == F.col("s"), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select("page_id", "url", "html", F.col("sha").alias("digest"), "first_id", revisit.alias("revisit"))
 
