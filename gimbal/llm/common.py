@@ -78,14 +78,15 @@ def map_text(
     keep = [c for c in keep if c not in names]
     schema = T.StructType([df.schema[c] for c in keep] + list(fields))
     arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in fields])
-    picked = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_g_text"))
+    own = keep.index(text_col) if text_col in keep else len(keep)
+    picked = df.select(*[F.col(f"`{c}`") for c in [*keep, text_col][: max(own, len(keep) - 1) + 1]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)
-                made = work([x or "" for x in part.column(len(keep)).to_pylist()])
+                made = work([x or "" for x in part.column(own).to_pylist()])
                 columns = [part.column(i) for i in range(len(keep))]
                 columns += [pa.array(made[n], type=arrow.field(n).type) for n in names]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
