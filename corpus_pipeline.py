@@ -11,19 +11,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gimbal.llm import decontaminate as decontamination
 from gimbal.llm import toxicity as tox
 from gimbal.llm.common import materialise, read
-from gimbal.llm.decontaminate import decontaminate
 from gimbal.llm.line_dedup import line_dedup
 from gimbal.llm.packing import best_fit_packing
 from gimbal.llm.simhash import near_duplicates
 
 
+def _without(docs: DataFrame, flag: str, names: list[str], mark: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """Documents that `mark` doesn't flag, with their own columns, also where these are named like its outputs."""
+    own = {c: f"_g_own_{c}" for c in docs.columns if c in names}
+    marked = mark(docs.withColumnsRenamed(own), [own.get(c, c) for c in docs.columns])
+    return marked.where(~F.col(flag)).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal model doesn't call toxic. It learns from the stage's own input and the labels."""
     model = tox.train(docs, read(spark, sf_dir, "labels"))
-    scored = tox.toxicity(docs.select("*", F.col("text").alias("_g_scored")), model, "_g_scored", keep=docs.columns)
-    return scored.where(~F.col("toxic")).select(*docs.columns)
+    return _without(docs, "toxic", tox.OUT.names, lambda df, keep: tox.toxicity(df, model, keep=keep))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,16 +38,22 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least id. Rows that share it all stay but exact repeats."""
-    groups = near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_g_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_g_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates: that with the least id.
+
+    Rows that share this id stay, but for exact repeats. Rows without an id are compared by their whole text only.
+    """
+    groups = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
+    kept = materialise(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    if kept.where("n > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "text"])
+    return out.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    marked = decontaminate(docs.select("*", F.col("text").alias("_g_scored")), read(spark, sf_dir, "benchmark"), text_col="_g_scored", keep=docs.columns)
-    return marked.where(~F.col("contaminated")).select(*docs.columns)
+    bench = read(spark, sf_dir, "benchmark")
+    return _without(docs, "contaminated", decontamination.OUT.names, lambda df, keep: decontamination.decontaminate(df, bench, keep=keep))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
