@@ -38,10 +38,12 @@ def line_dedup(
         lines.groupBy("_g_k1", "_g_k2")
         .agg(F.count_distinct("_g_id").alias("_g_n"), F.max("_g_id").alias("_g_keep"))
         .where(F.col("_g_n") >= min_docs)
-        .drop("_g_n")
+        .select(F.bitwise_not("_g_k1").alias("_g_c1"), F.bitwise_not("_g_k2").alias("_g_c2"), "_g_keep")
     )
+    # Joined on the complements: both sides are dealt anew, and Spark can split the rows of a very common line.
+    same = (F.bitwise_not("_g_k1") == F.col("_g_c1")) & (F.bitwise_not("_g_k2") == F.col("_g_c2"))
     dropped = (
-        lines.join(common, ["_g_k1", "_g_k2"])
+        lines.join(common, same)
         .where(~F.col("_g_id").eqNullSafe(F.col("_g_keep")))
         .groupBy(F.col("_g_id").alias("_g_did"), F.col("_g_hash").alias("_g_dhash"))
         .agg(F.array_sort(F.collect_set("_g_pos")).alias("_g_drop"))
