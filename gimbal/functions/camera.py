@@ -136,3 +136,28 @@ def centre_crop(w: Column, h: Column) -> tuple[Column, Column, Column]:
     """Left, top and side of the centred square."""
     s = F.least(w, h)
     return F.floor((w - s) / 2).cast("int"), F.floor((h - s) / 2).cast("int"), s
+
+
+def brown_max_radius(k1: Column, k2: Column) -> Column:
+    """Radius up to which a radial distortion still grows; infinite where it always does."""
+    a, b = 3 * k1, 5 * k2
+    room = a * a - 4 * b
+    slope = F.when(room >= 0, F.sqrt(room) - a)
+    return F.when(slope > 0, F.sqrt(2 / slope)).otherwise(F.lit(float("inf")))
+
+
+def valid_focal(f: Column, w: Column, h: Column, k1: Column) -> Column:
+    """The focal length, raised where the image's corner would lie beyond the greatest valid radius."""
+    r = brown_max_radius(k1, F.lit(0.0))
+    corner = F.sqrt(h / 2 * (h / 2) + w / 2 * (w / 2))
+    return F.when(F.isnan(r) | (r == float("inf")), f).otherwise(F.greatest(f, corner / (r * (1 + k1 * r * r))))
+
+
+def panorama_angles(u: Column, v: Column, roll: Column, pitch: Column, yaw: Column) -> tuple[Column, Column]:
+    """Longitude and latitude at which a normalised point of a turned camera looks into a panorama."""
+    zero = F.lit(0.0)
+    turn, head = rotation(roll, pitch, zero), rotation(zero, zero, yaw)
+    b = [u, v, F.lit(1.0)]
+    q = [b[0] * turn[0][j] + b[1] * turn[1][j] + b[2] * turn[2][j] for j in range(3)]
+    x, y, z = (q[0] * head[0][j] + q[1] * head[1][j] + q[2] * head[2][j] for j in range(3))
+    return F.atan2(x, z), F.atan2(y, F.sqrt(x * x + z * z))

@@ -30,14 +30,31 @@ def soft_argmax(scores: Column, centres: list[float]) -> Column:
 
 
 def encode_up(x: Column, y: Column, bins: int) -> Column:
-    """Direction to one of `bins` sectors; the zero vector gets the number `bins`."""
-    turn = F.pmod(F.bround(F.atan2(y, x) / (2 * math.pi) * bins), F.lit(bins)).cast("int")
-    return F.when((x == 0) & (y == 0), F.lit(bins)).otherwise(turn)
+    """Direction to one of `bins - 1` sectors, counted from the negative x axis; the zero vector gets the last number."""
+    turn = F.pmod(rad_to_deg(F.atan2(y, x)) + 180, F.lit(360.0))
+    sector = F.bround(turn / (360 / (bins - 1))).cast("int")
+    return F.when((x == 0) & (y == 0), F.lit(bins - 1)).when(sector == bins - 1, F.lit(0)).otherwise(sector)
+
+
+def decode_up(sector: Column, bins: int) -> tuple[Column, Column]:
+    """The direction in the middle of a sector; the last number is the zero vector."""
+    angle = (sector * (360 / (bins - 1)) - 180) / 180 * math.pi
+    none = sector == bins - 1
+    return F.when(none, F.lit(0.0)).otherwise(F.cos(angle)), F.when(none, F.lit(0.0)).otherwise(F.sin(angle))
+
+
+def rad_to_deg(x: Column) -> Column:
+    return x / math.pi * 180
 
 
 def encode_latitude(lat_deg: Column, bins: int) -> Column:
-    width = 180.0 / bins
-    return F.least(F.greatest(F.floor((lat_deg + 90) / width), F.lit(0)), F.lit(bins - 1)).cast("int")
+    """Right-closed bins of 180 / `bins` degrees; what lies beyond the ends belongs to the outer bins."""
+    return F.least(F.greatest(F.ceil((lat_deg + 90) / (180.0 / bins)) - 1, F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
+def decode_latitude(number: Column, bins: int) -> Column:
+    """Middle of a latitude bin, in radians."""
+    return (-90 + (number + 0.5) * (180.0 / bins)) / 180 * math.pi
 
 
 def squared(x: Column) -> Column:
@@ -70,3 +87,8 @@ def tone_gamma(x: Column, gamma: float = 2.2) -> Column:
 def quantise(x: Column, bits: int = 8) -> Column:
     top = (1 << bits) - 1
     return F.bround(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * top) / top
+
+
+def reexpose(x: Column, p90: Column, top: float = 0.8) -> Column:
+    """Radiance scaled so that its 90th percentile lands at `top`, cut to [0, 1]."""
+    return F.least(F.greatest(x * (top / (p90 + 1e-10)), F.lit(0.0)), F.lit(1.0))

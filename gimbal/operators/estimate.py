@@ -5,6 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import camera as C
+from .fields import jacobian
+from .sampling import unit
 
 FIT = "e long, roll double, pitch double, vfov double, cost double"
 
@@ -45,3 +50,89 @@ def fit_cameras(field: DataFrame, size: int) -> DataFrame:
         return pd.DataFrame({"e": [pdf["e"].iloc[0]], "roll": [p[0]], "pitch": [p[1]], "vfov": [2 * np.arctan(size / 2 / np.exp(p[2]))], "cost": [cost]})
 
     return field.select("e", "x", "y", "up_x", "up_y", "lat").groupBy("e").applyInPandas(one, FIT)
+
+
+def uncertainties(pixels: DataFrame, key: str, h: float) -> DataFrame:
+    """Standard deviations from the inverse of the normal matrix, by image.
+
+    `pixels` has u, v, roll, pitch and f. Six sums per image are all that is shuffled. By the
+    published convention the focal length's deviation is halved, and the field of view's variance.
+    """
+    j = jacobian(*[F.col(c) for c in ("u", "v", "roll", "pitch", "f")])
+    names = ["roll", "pitch", "f"]
+    rows = pixels.withColumns({f"_{k}": c for k, c in j.items()})
+
+    def entry(p: str, q: str):
+        return F.sum(sum((F.col(f"_{o}_{p}") * F.col(f"_{o}_{q}") for o in ("up_y", "sin")), F.col(f"_up_x_{p}") * F.col(f"_up_x_{q}")))
+
+    pairs = [(a, b) for a in range(3) for b in range(a, 3)]
+    sums = rows.groupBy(key).agg(F.first("f").alias("f"), *[entry(names[a], names[b]).alias(f"h{a}{b}") for a, b in pairs])
+    m = {(a, b): F.col(f"h{min(a, b)}{max(a, b)}") for a in range(3) for b in range(3)}
+    minor = lambda r, s, t, w: m[r, t] * m[s, w] - m[r, w] * m[s, t]
+    det = m[0, 0] * minor(1, 2, 1, 2) - m[0, 1] * minor(1, 2, 0, 2) + m[0, 2] * minor(1, 2, 0, 1)
+    rr, pp, ff = (F.try_divide(c, det) for c in (minor(1, 2, 1, 2), minor(0, 2, 0, 2), minor(0, 1, 0, 1)))
+    rp = F.try_divide(-minor(0, 2, 1, 2), det)
+    largest = (rr + pp) / 2 + F.sqrt((rr - pp) * (rr - pp) / 4 + rp * rp)
+    slope = -4 * h / (4 * F.col("f") * F.col("f") + h * h)
+    return sums.select(
+        key,
+        F.sqrt(rr).alias("roll_sd"),
+        F.sqrt(pp).alias("pitch_sd"),
+        F.sqrt(largest).alias("gravity_sd"),
+        (F.sqrt(ff) / 2).alias("focal_sd"),
+        F.sqrt(slope * slope * ff / 2).alias("vfov_sd"),
+    )
+
+
+def consensus(field: DataFrame, key: str, size: int, hypotheses: int = 32, within: float = 1.0, seed: str = "consensus") -> DataFrame:
+    """Roll, pitch and focal length by votes: each hypothesis solves three pixels, and all pixels count for or against it.
+
+    The up lines of two pixels meet in the vertical vanishing point; a third pixel's latitude gives a quadratic for the
+    squared focal length. Pixels are drawn by hash of (image, hypothesis). A vote is an up direction, and a
+    latitude, within `within` degrees. The greatest count wins, then the least hypothesis, then the positive root.
+    Joins are by image, with `hypotheses` rows each; a hypothesis without a solution drops out.
+    """
+    draws = field.select(key).distinct().withColumn("hyp", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
+    picks = F.array(
+        *[
+            F.struct(F.lit(k).alias("k"), *[F.floor(unit(seed, F.col(key), F.col("hyp"), F.lit(f"{k}{c}")) * size).cast("int").alias(c) for c in "xy"])
+            for k in range(3)
+        ]
+    )
+    drawn = draws.select(key, "hyp", F.inline(picks))
+    seen = field.select(key, "x", "y", "up_x", "up_y", "lat")
+    got = drawn.join(seen, [key, "x", "y"]).groupBy(key, "hyp")
+    half = size / 2
+    at = lambda k, c: F.max(F.when(F.col("k") == k, c))
+    cols = {n: e for k in range(3) for n, e in ((f"u{k}", at(k, F.col("x") - half)), (f"v{k}", at(k, F.col("y") - half)), (f"a{k}", at(k, F.col("up_x"))), (f"b{k}", at(k, F.col("up_y"))))}
+    three = got.agg(*[e.alias(n) for n, e in cols.items()], at(2, F.sin("lat")).alias("s"))
+
+    def line(k: int):
+        u, v, a, b = (F.col(f"{c}{k}") for c in "uvab")
+        return b, -a, a * v - b * u
+
+    (p0, p1, p2), (q0, q1, q2) = line(0), line(1)
+    z = p0 * q1 - p1 * q0
+    point = three.withColumns({"vx": F.try_divide(p1 * q2 - p2 * q1, z), "vy": F.try_divide(p2 * q0 - p0 * q2, z)}).where("vx is not null")
+    u, v, vx, vy, s2 = F.col("u2"), F.col("v2"), F.col("vx"), F.col("vy"), F.col("s") * F.col("s")
+    along, far, near = u * vx + v * vy, vx * vx + vy * vy, u * u + v * v
+    # s^2 (near + F)(far + F) = (along + F)^2, a quadratic in the squared focal length F.
+    k0, k1, k2 = s2 - 1, s2 * (near + far) - 2 * along, s2 * near * far - along * along
+    root = F.sqrt(k1 * k1 - 4 * k0 * k2)
+    both = F.array(*[F.struct(F.lit(i).alias("sign"), F.sqrt(F.try_divide(r - k1, 2 * k0)).alias("f")) for i, r in enumerate((root, -root))])
+    roots = point.select(key, "hyp", "vx", "vy", "s", F.inline(both)).where((F.col("f") > 0) & ~F.isnan("f"))
+    # The point lies along gravity or against it; the third pixel's latitude tells which.
+    n = F.sqrt(far + F.col("f") * F.col("f"))
+    g = roots.select(key, "hyp", "sign", "f", *[(c / n).alias(o) for c, o in ((vx, "gx"), (vy, "gy"), (F.col("f"), "gz"))])
+    g = g.select(key, "hyp", "f", F.col("sign"), F.inline(F.array(*[F.struct(F.lit(w).alias("way"), *[(F.col(c) * w).alias(o) for c, o in (("gx", "a"), ("gy", "b"), ("gz", "c"))]) for w in (1, -1)])))
+    px = seen.join(g, key).withColumns({"u": (F.col("x") - half) / F.col("f"), "v": (F.col("y") - half) / F.col("f")})
+    wx, wy = F.col("a") - F.col("c") * F.col("u"), F.col("b") - F.col("c") * F.col("v")
+    cos = F.try_divide(wx * F.col("up_x") + wy * F.col("up_y"), F.sqrt(wx * wx + wy * wy))
+    sin = (F.col("u") * F.col("a") + F.col("v") * F.col("b") + F.col("c")) / F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v") + 1)
+    unit_range = lambda x: F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0))
+    votes = (C.rad2deg(F.acos(unit_range(cos))) < within).cast("int") + (C.rad2deg(F.abs(F.asin(unit_range(sin)) - F.col("lat"))) < within).cast("int")
+    score = px.groupBy(key, "hyp", "sign", "way").agg(F.sum(F.coalesce(votes, F.lit(0))).alias("votes"), *[F.first(c).alias(c) for c in ("a", "b", "c", "f")])
+    order = F.struct("votes", -F.col("hyp"), -F.col("sign"), F.col("way"))
+    best = score.groupBy(key).agg(F.max_by(F.struct("a", "b", "c", "f", "votes"), order).alias("m")).select(key, "m.*")
+    roll = F.atan2(-F.col("a"), -F.col("b"))
+    return best.select(key, roll.alias("roll"), F.asin("c").alias("pitch"), "f", "votes")

@@ -39,3 +39,29 @@ def perspective_field(df: DataFrame, w: int, h: int, model: str = "pinhole") ->
     g = C.gravity(F.col("roll"), F.col("pitch"))
     up = up_vector(F.col("_u"), F.col("_v"), g)
     return grid.withColumns({"up_x": up[0], "up_y": up[1], "lat": latitude(F.col("_u"), F.col("_v"), g)}).drop("_f", "_u", "_v")
+
+
+def jacobian(u: Column, v: Column, roll: Column, pitch: Column, f: Column) -> dict[str, Column]:
+    """Derivatives of up_x, up_y and the latitude's sine by roll, pitch and focal length, at an undistorted point.
+
+    Keys are `<value>_<parameter>`. A point at which the up direction vanishes gives null.
+    """
+    a, b, c = C.gravity(roll, pitch)
+    zero = F.lit(0.0)
+    by_angle = {
+        "roll": (-F.cos(roll) * F.cos(pitch), F.sin(roll) * F.cos(pitch), zero),
+        "pitch": (F.sin(roll) * F.sin(pitch), F.cos(roll) * F.sin(pitch), F.cos(pitch)),
+    }
+    x, y = a - c * u, b - c * v
+    n2, ray2 = x * x + y * y, u * u + v * v + 1
+    n, ray = F.sqrt(n2), F.sqrt(ray2)
+    moves = {k: (g[0] - g[2] * u, g[1] - g[2] * v, (u * g[0] + v * g[1] + g[2]) / ray) for k, g in by_angle.items()}
+    dot = u * a + v * b + c
+    moves["f"] = (c * u / f, c * v / f, (dot * (ray2 - 1) / ray2 - (u * a + v * b)) / f / ray)
+    out = {}
+    for k, (dx, dy, ds) in moves.items():
+        along = F.try_divide(x * dx + y * dy, n2)
+        out[f"up_x_{k}"] = F.try_divide(dx - x * along, n)
+        out[f"up_y_{k}"] = F.try_divide(dy - y * along, n)
+        out[f"sin_{k}"] = ds
+    return out

@@ -93,3 +93,30 @@ def rolling_mean(df: DataFrame, order: str, value: str, rows: int = 100, block:
 
 def weighted_mean(error: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(error * weight), F.sum(weight))
+
+
+def precision_recall(df: DataFrame, groups: list[str], score: str, label: Column, bucket: Column) -> DataFrame:
+    """Precision and recall at each distinct score, the rows at or above it taken as positive.
+
+    Rows are added up by score, scores inside buckets, and buckets over the group, so that no group is sorted in one task.
+    `bucket` is a non-decreasing function of the score. Recall is null in a group without positives.
+    """
+    points = df.groupBy(*groups, score, bucket.alias("_b")).agg(F.count("*").alias("_n"), F.sum(label.cast("long")).alias("_p"))
+    over = Window.partitionBy(*groups)
+    down = over.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = points.groupBy(*groups, "_b").agg(F.sum("_n").alias("_bn"), F.sum("_p").alias("_bp"))
+    sums = sums.select(
+        *[F.col(g).alias(f"_{g}") for g in groups],
+        F.col("_b").alias("_bb"),
+        F.coalesce(F.sum("_bn").over(down), F.lit(0)).alias("_an"),
+        F.coalesce(F.sum("_bp").over(down), F.lit(0)).alias("_ap"),
+        F.sum("_bp").over(over).alias("_all"),
+    )
+    on = F.col("_b").eqNullSafe(F.col("_bb"))
+    for g in groups:
+        on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    inside = Window.partitionBy(*groups, "_b").orderBy(F.desc(score))
+    n, p = F.sum("_n").over(inside), F.sum("_p").over(inside)
+    rows = points.withColumns({"_cn": n, "_cp": p}).join(sums, on)
+    hit = F.col("_ap") + F.col("_cp")
+    return rows.select(*groups, score, (hit / (F.col("_an") + F.col("_cn"))).alias("precision"), F.try_divide(hit, "_all").alias("recall"))

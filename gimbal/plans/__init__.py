@@ -1,0 +1,5 @@
+"""Queries of the engine; importing the package registers all of them."""
+
+from . import camera_queries, catalog
+
+__all__ = ["camera_queries", "catalog"]

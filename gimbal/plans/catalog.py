@@ -339,7 +339,7 @@ def field_error(spark, sf_dir):
     )
 
 
-@query("SELECT event_id, CAST(len(list_filter(list_transform(range(11), lambda i: -5 + i * 50e0), lambda b: b < value)) - 1 AS INTEGER) AS bin, CAST(least(greatest(floor((value - 90 + 90) / 18), 0), 9) AS INTEGER) AS lat_bin FROM events")
+@query("SELECT event_id, CAST(len(list_filter(list_transform(range(11), lambda i: -5 + i * 50e0), lambda b: b < value)) - 1 AS INTEGER) AS bin, CAST(least(greatest(ceil((value - 90 + 90) / 18) - 1, 0), 9) AS INTEGER) AS lat_bin FROM events")
 def bin_encode(spark, sf_dir):
     _, edges = N.centres_and_edges(20.0, 470.0, 10)
     v = F.col("value")

@@ -70,6 +70,12 @@ def lookup(rows: DataFrame, cache: DataFrame, key: str = "name") -> DataFrame:
     return rows.join(hit, key, "left").where(F.when(F.col("_hit"), F.lit(True)).otherwise(missing.cast("boolean"))).drop("_hit")
 
 
+def rescaled(df: DataFrame, prefix: str, scale: str) -> DataFrame:
+    """Array columns whose name begins with `prefix`, times the row's `scale`: cached points in the image's own size."""
+    hit = [c for c, k in df.dtypes if c.startswith(prefix) and k.startswith("array")]
+    return df.withColumns({c: F.transform(c, lambda x: x * F.col(scale)) for c in hit})
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """CSV with a header and six decimals."""
     cols = [F.format_string("%.6f", c).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes]

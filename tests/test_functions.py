@@ -5,7 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from gimbal.functions import camera as C
+from gimbal.functions import numeric as N
 from gimbal.functions import text as X
+from gimbal.operators import estimate
+from gimbal.operators import fields as P
 from gimbal.operators import metrics as M
 from gimbal.operators.ranking import ranked
 
@@ -68,3 +71,40 @@ def test_ranked_numbers_without_gaps(spark):
     out = ranked(df, ["g"], F.floor(F.col("id") / 50), [F.col("id")], "i", "n").toPandas()
     for _, part in out.groupby("g"):
         assert part.sort_values("id").i.tolist() == list(range(1, len(part) + 1)) and (part.n == len(part)).all()
+
+
+@pytest.mark.parametrize("roll, pitch", [(0.3, -0.2), (0.0, 0.4), (-0.5, 0.0), (0.78, 0.78)])
+def test_jacobian_is_the_finite_difference(spark, roll, pitch):
+    """Also at zero and at the greatest angles."""
+    x, y, f, step = 3.0, -2.0, 9.0, 1e-6
+
+    def value(r, p, f):
+        return estimate._field(np.array([r, p, np.log(f)]), np.array([x]), np.array([y]), 0.0)
+
+    j = P.jacobian(F.lit(x / f), F.lit(y / f), F.lit(roll), F.lit(pitch), F.lit(f))
+    got = spark.range(1).select(*[c.alias(k) for k, c in j.items()]).first()
+    for i, name in enumerate(("roll", "pitch", "f")):
+        d = np.eye(3)[i] * step
+        want = (value(*(np.array([roll, pitch, f]) + d)) - value(*(np.array([roll, pitch, f]) - d))) / (2 * step)
+        assert [got[f"{o}_{name}"] for o in ("up_x", "up_y", "sin")] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_sectors_and_latitude_bins(spark):
+    got = one(spark, N.encode_up(F.lit(0.0), F.lit(0.0), 37), N.encode_up(F.lit(1.0), F.lit(0.0), 37), N.encode_up(F.lit(-1.0), F.lit(0.0), 37))
+    assert tuple(got) == (36, 18, 0)
+    # Right-closed: a boundary belongs to the bin below it.
+    edges = one(spark, *[N.encode_latitude(F.lit(v), 10) for v in (-90.0, -72.0, -71.9, 90.0)])
+    assert tuple(edges) == (0, 0, 1, 9)
+    assert one(spark, N.decode_latitude(F.lit(9), 10))[0] == pytest.approx(np.radians(81))
+
+
+def test_max_radius_is_where_growth_ends(spark):
+    r, free = one(spark, C.brown_max_radius(F.lit(-0.1), F.lit(0.0)), C.brown_max_radius(F.lit(0.1), F.lit(0.0)))
+    assert 1 - 3 * 0.1 * r * r == pytest.approx(0) and free == float("inf")
+
+
+def test_precision_recall_with_ties_and_no_positives(spark):
+    rows = [("a", 3.0, True), ("a", 3.0, False), ("a", 1.0, True), ("b", 2.0, False)]
+    out = M.precision_recall(spark.createDataFrame(rows, "g string, s double, y boolean"), ["g"], "s", F.col("y"), F.floor("s"))
+    got = {(r.g, r.s): (r.precision, r.recall) for r in out.collect()}
+    assert got == {("a", 3.0): (0.5, 0.5), ("a", 1.0): (2 / 3, 1.0), ("b", 2.0): (0.0, None)}
