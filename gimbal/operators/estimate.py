@@ -136,3 +136,42 @@ def consensus(field: DataFrame, key: str, size: int, hypotheses: int = 32, withi
     best = score.groupBy(key).agg(F.max_by(F.struct("a", "b", "c", "f", "votes"), order).alias("m")).select(key, "m.*")
     roll = F.atan2(-F.col("a"), -F.col("b"))
     return best.select(key, roll.alias("roll"), F.asin("c").alias("pitch"), "f", "votes")
+
+
+def fit_shared(images: list[tuple[np.ndarray, ...]], size: float, steps: int = 30) -> tuple[np.ndarray, float]:
+    """Roll and pitch of each image and one log focal length for all of them; images are (x, y, up_x, up_y, lat)."""
+    wants = [np.concatenate([up_x, up_y, np.sin(lat)]) for _, _, up_x, up_y, lat in images]
+    angles, focal, damp = np.zeros((len(images), 2)), float(np.log(0.7 * size)), 0.1
+
+    def residuals(angles: np.ndarray, focal: float) -> list[np.ndarray]:
+        return [_field(np.r_[a, focal], i[0], i[1], size) - w for a, i, w in zip(angles, images, wants)]
+
+    res = residuals(angles, focal)
+    cost = sum(float(r @ r) for r in res)
+    last = 2 * len(images)
+    for _ in range(steps):
+        hess, grad = np.zeros((last + 1, last + 1)), np.zeros(last + 1)
+        for n, (a, i, r) in enumerate(zip(angles, images, res)):
+            p, at = np.r_[a, focal], [2 * n, 2 * n + 1, last]
+            jac = np.stack([(_field(p + d, i[0], i[1], size) - _field(p - d, i[0], i[1], size)) / 2e-6 for d in np.eye(3) * 1e-6], 1)
+            hess[np.ix_(at, at)] += jac.T @ jac
+            grad[at] += jac.T @ r
+        step = np.linalg.solve(hess + np.diag(np.maximum(hess.diagonal() * damp, 1e-6)), -grad)
+        moved = angles + step[:last].reshape(-1, 2), focal + step[last]
+        new = residuals(*moved)
+        if (c := sum(float(r @ r) for r in new)) < cost:
+            (angles, focal), res, cost, damp = moved, new, c, max(damp * 0.1, 1e-6)
+        else:
+            damp = min(damp * 10, 1e2)
+    return angles, focal
+
+
+def fit_shared_cameras(field: DataFrame, batch: str, size: int) -> DataFrame:
+    """Fit the images of each batch with one focal length. A batch is a few images of size x size pixels, which bounds a group."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, parts = zip(*pdf.groupby("e", sort=True))
+        angles, focal = fit_shared([tuple(p[c].to_numpy(float) for c in ("x", "y", "up_x", "up_y", "lat")) for p in parts], float(size))
+        return pd.DataFrame({"e": names, "roll": angles[:, 0], "pitch": angles[:, 1], "vfov": 2 * np.arctan(size / 2 / np.exp(focal))})
+
+    return field.select(batch, "e", "x", "y", "up_x", "up_y", "lat").groupBy(batch).applyInPandas(one, "e long, roll double, pitch double, vfov double")

@@ -65,3 +65,33 @@ def jacobian(u: Column, v: Column, roll: Column, pitch: Column, f: Column) -> di
         out[f"up_y_{k}"] = F.try_divide(dy - y * along, n)
         out[f"sin_{k}"] = ds
     return out
+
+
+def pixel_errors(df: DataFrame, key: str, n: int, thresholds: list[float], distortion_only: bool = True) -> DataFrame:
+    """Share of an n x n grid's points that two cameras with a radial term place within each threshold, in pixels.
+
+    `df` has width, height, and f, k1 of the true camera and f_pred, k1_pred. Points are undistorted by the true
+    pinhole camera. Those that the true camera keeps inside the image are counted; those that the other
+    one doesn't are misses. The grid's axes follow height and width as published, which matters for other than square images.
+    Points stay in the stage that aggregates them. An image without counted points gives null.
+    """
+    w, h = F.col("width"), F.col("height")
+    line = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
+    grid = df.withColumn("_i", F.explode(line)).withColumn("_j", F.explode(line))
+    u = (F.col("_i") * (h - 1) - w / 2) / F.col("f")
+    v = (F.col("_j") * (w - 1) - h / 2) / F.col("f")
+    grid = grid.withColumns({"_u": u, "_v": v})
+
+    def place(f: Column, k1: Column) -> tuple[Column, Column]:
+        s = C.distortion("simple_radial", F.col("_u"), F.col("_v"), k1, F.lit(0.0)) * f
+        return F.col("_u") * s + w / 2, F.col("_v") * s + h / 2
+
+    a = place(F.col("f"), F.col("k1"))
+    b = place(F.col("f") if distortion_only else F.col("f_pred"), F.col("k1_pred"))
+    grid = grid.withColumns({"_ax": a[0], "_ay": a[1], "_bx": b[0], "_by": b[1]})
+    inside = lambda x, y: F.col(x).between(0, w - 1) & F.col(y).between(0, h - 1)
+    dx, dy = F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")
+    err = F.when(inside("_bx", "_by"), F.sqrt(dx * dx + dy * dy))
+    close = [F.avg(F.coalesce(err < t, F.lit(False)).cast("double")).alias(f"t{i}") for i, t in enumerate(thresholds)]
+    wide = grid.where(inside("_ax", "_ay")).groupBy(key).agg(*close)
+    return wide.select(key, F.inline(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("share")) for i, t in enumerate(thresholds)])))

@@ -121,3 +121,24 @@ def cached_points(spark, sf_dir):
     out = tables.rescaled(tables.lookup(rows, cache), "keypoints", "scale")
     total = F.aggregate("keypoints0", F.lit(0.0), lambda a, x: a + x)
     return out.select(F.col("name").alias("vec_id"), F.round(total, 5).alias("total"), F.size("keypoints0").alias("n"))
+
+
+@query(f"""WITH {GT_SQL}, p AS (SELECT e, width AS w, height AS h, height / 2e0 / tan(vfov / 2) AS f, (e % 7 - 3) / 20e0 AS k1, (e % 5 - 2) / 20e0 AS k2 FROM cam_gt WHERE e < 200),
+g AS (SELECT *, (i / 19e0 * (h - 1) - w / 2e0) / f AS u, (j / 19e0 * (w - 1) - h / 2e0) / f AS v FROM p, (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j)),
+d AS (SELECT *, u * (1 + k1 * (u * u + v * v)) * f + w / 2e0 AS ax, v * (1 + k1 * (u * u + v * v)) * f + h / 2e0 AS ay, u * (1 + k2 * (u * u + v * v)) * f + w / 2e0 AS bx, v * (1 + k2 * (u * u + v * v)) * f + h / 2e0 AS b_y FROM g),
+c AS (SELECT e, CASE WHEN bx BETWEEN 0 AND w - 1 AND b_y BETWEEN 0 AND h - 1 THEN sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) END AS err FROM d WHERE ax BETWEEN 0 AND w - 1 AND ay BETWEEN 0 AND h - 1)
+SELECT e, t AS threshold, round(avg(CASE WHEN err < t THEN 1e0 ELSE 0e0 END), 4) AS share FROM c, (SELECT unnest([0.5e0, 1e0, 3e0, 5e0]) AS t) GROUP BY e, t""")
+def pixel_distortion_error(spark, sf_dir):
+    """Share of grid points that a wrong distortion term misplaces by less than each threshold."""
+    f = C.fov2focal(F.col("vfov"), F.col("height"))
+    cams = cam_gt(spark, sf_dir).where("e < 200").select("e", "width", "height", f.alias("f"), ((F.col("e") % 7 - 3) / 20).alias("k1"), ((F.col("e") % 5 - 2) / 20).alias("k1_pred"))
+    out = fields.pixel_errors(cams, "e", 20, [0.5, 1.0, 3.0, 5.0])
+    return out.select("e", "threshold", F.round("share", 4).alias("share"))
+
+
+@query(f"WITH {GT_SQL} SELECT e, round(roll, 5) AS roll, round(pitch, 5) AS pitch, round(radians(50 + e // 4 * 5), 5) AS vfov FROM cam_gt WHERE e < 20")
+def lm_fit_shared(spark, sf_dir):
+    """Fit batches of four cameras of one field of view each: the known answer comes back."""
+    cams = cam_gt(spark, sf_dir).where("e < 20").withColumn("batch", F.floor(F.col("e") / 4)).withColumn("vfov", F.radians(50 + F.col("batch") * 5))
+    out = estimate.fit_shared_cameras(fields.perspective_field(cams, SIZE, SIZE), "batch", SIZE)
+    return out.select("e", *[F.round(c, 5).alias(c) for c in ("roll", "pitch", "vfov")])
