@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: Fields of view that a focal length update may reach, and bounds of k1 by model (fixed values).
 VFOV_RANGE = (math.radians(5), math.radians(150))
+TURN = 2 * math.pi
 K1_LIMIT = {"simple_radial": 0.7, "radial": 0.7, "simple_divisional": 3.0}
 
 
@@ -85,6 +86,35 @@ def undistortion(model: str, x: Column, y: Column, k1: Column, k2: Column) -> Co
     raise ValueError(model)
 
 
+def distortion_slope(model: str, x: Column, y: Column, k1: Column, k2: Column) -> Column:
+    """Derivative of `distortion` by the squared radius; where a divisional model ends, that of its centre."""
+    r2 = x * x + y * y
+    if model == "pinhole":
+        return F.lit(0.0)
+    if model == "simple_radial":
+        return k1 + 0 * r2
+    if model == "radial":
+        return k1 + 2 * k2 * r2
+    if model == "simple_divisional":
+        root = F.sqrt(F.greatest(1 - 4 * k1 * r2, F.lit(0.0)))
+        return F.coalesce(F.try_divide(F.try_divide(F.lit(1.0), root) - distortion(model, x, y, k1, k2), r2), k1)
+    raise ValueError(model)
+
+
+def sphere_move(g: tuple[Column, Column, Column], d1: Column, d2: Column) -> tuple[Column, Column, Column]:
+    """A unit vector moved along the sphere by a step (d1, d2) in its tangent plane.
+
+    The plane's axes are the images of the first two axes under the reflection that takes the third axis to the vector.
+    """
+    x, y, z = g
+    d = F.sqrt(d1 * d1 + d2 * d2)
+    sinc = F.coalesce(F.try_divide(F.sin(d), d), F.lit(1.0))
+    e = (sinc * d1, sinc * d2, F.cos(d))
+    w = (x, y, z - 1)
+    share = F.when(1 - z > 5e-8, (w[0] * e[0] + w[1] * e[1] + w[2] * e[2]) / (1 - z)).otherwise(0.0)
+    return e[0] - w[0] * share, e[1] - w[1] * share, e[2] - w[2] * share
+
+
 def update_focal(f: Column, h: Column, delta: Column, as_log: bool = True) -> Column:
     """A focal length moved by delta, its field of view kept within VFOV_RANGE."""
     moved = f * F.exp(delta) if as_log else f + delta

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,37 +22,98 @@ def _field(p: np.ndarray, x: np.ndarray, y: np.ndarray, size: float) -> np.ndarr
     u, v = (x - size / 2) / f, (y - size / 2) / f
     g = np.array([-np.sin(roll) * np.cos(pitch), -np.cos(roll) * np.cos(pitch), np.sin(pitch)])
     a, b = g[0] - g[2] * u, g[1] - g[2] * v
-    n = np.hypot(a, b)
-    return np.concatenate([a / n, b / n, (u * g[0] + v * g[1] + g[2]) / np.sqrt(u * u + v * v + 1)])
+    n = np.maximum(np.hypot(a, b), 1e-12)
+    return np.concatenate([a / n, b / n, (u * g[0] + v * g[1] + g[2]) / np.sqrt(u * u + v * v + 1)], -1)
+
+
+def _jacobian(p: np.ndarray, x: np.ndarray, y: np.ndarray, size: float) -> np.ndarray:
+    """Derivatives of `_field` by roll, pitch and log focal length, for many images at once: (images, values, 3)."""
+    roll, pitch, f = p[:, :1], p[:, 1:2], np.exp(p[:, 2:])
+    u, v = (x - size / 2) / f, (y - size / 2) / f
+    sr, cr, sp, cp = np.sin(roll), np.cos(roll), np.sin(pitch), np.cos(pitch)
+    wx, wy, ray2, side = -sr * cp - sp * u, -cr * cp - sp * v, u * u + v * v + 1, -(u * sr + v * cr) * cp
+    n2, ray = np.maximum(wx * wx + wy * wy, 1e-24), np.sqrt(ray2)
+    n = np.sqrt(n2)
+    moves = [
+        (-cr * cp + 0 * u, sr * cp + 0 * v, (v * sr - u * cr) * cp / ray),
+        (sr * sp - cp * u, cr * sp - cp * v, ((u * sr + v * cr) * sp + cp) / ray),
+        (sp * u, sp * v, ((side + sp) * (ray2 - 1) / ray2 - side) / ray),
+    ]
+    out = []
+    for dx, dy, ds in moves:
+        along = (wx * dx + wy * dy) / n2
+        out.append(np.concatenate([(dx - wx * along) / n, (dy - wy * along) / n, ds], 1))
+    return np.stack(out, 2)
+
+
+def fit(pixels: np.ndarray, size: float, start: np.ndarray, free: np.ndarray, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Roll, pitch and log focal length of many images; damping shrinks after a better step and grows after a worse.
+
+    `pixels` is (images, pixels, 5): x, y, up_x, up_y, lat. A pixel with a NaN counts nothing. Parameters that aren't
+    `free` stay at the start. Returns the parameters and each image's cost.
+    """
+    seen = ~np.isnan(pixels).any(2)
+    x, y, up_x, up_y, lat = np.moveaxis(np.where(seen[:, :, None], pixels, 0.5), 2, 0)
+    want, weight = np.concatenate([up_x, up_y, np.sin(lat)], 1), np.tile(seen, 3)
+    p, damp = start.copy(), np.full(len(start), 0.1)
 
+    def residuals(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        r = (_field(p.T[:, :, None], x, y, size) - want) * weight
+        return r, (r * r).sum(1)
 
-def fit(x: np.ndarray, y: np.ndarray, up_x: np.ndarray, up_y: np.ndarray, lat: np.ndarray, size: float, steps: int = 20) -> tuple[np.ndarray, float]:
-    """Roll, pitch and log focal from the trivial start; damping shrinks after a better step and grows after a worse."""
-    want = np.concatenate([up_x, up_y, np.sin(lat)])
-    p, damp = np.array([0.0, 0.0, np.log(0.7 * size)]), 0.1
-    res = _field(p, x, y, size) - want
-    cost = float(res @ res)
+    res, cost = residuals(p)
     for _ in range(steps):
-        jac = np.stack([(_field(p + d, x, y, size) - _field(p - d, x, y, size)) / 2e-6 for d in np.eye(3) * 1e-6], 1)
-        hess = jac.T @ jac
-        step = np.linalg.solve(hess + np.diag(np.maximum(hess.diagonal() * damp, 1e-6)), -jac.T @ res)
-        new = p + step
-        new_res = _field(new, x, y, size) - want
-        if (c := float(new_res @ new_res)) < cost:
-            p, res, cost, damp = new, new_res, c, max(damp * 0.1, 1e-6)
-        else:
-            damp = min(damp * 10, 1e2)
+        jac = _jacobian(p, x, y, size) * weight[:, :, None] * free
+        hess, grad = jac.transpose(0, 2, 1) @ jac, (jac * res[:, :, None]).sum(1)
+        ridge = np.maximum(np.einsum("bii->bi", hess) * damp[:, None], 1e-6)
+        step = np.linalg.solve(hess + ridge[:, :, None] * np.eye(3), -grad[:, :, None])[:, :, 0]
+        new_res, new_cost = residuals(p + step)
+        better = new_cost < cost
+        p, res, cost = np.where(better[:, None], p + step, p), np.where(better[:, None], new_res, res), np.where(better, new_cost, cost)
+        damp = np.where(better, np.maximum(damp * 0.1, 1e-6), np.minimum(damp * 10, 1e2))
+        if np.abs(step).max() < 1e-10:
+            break
     return p, cost
 
 
-def fit_cameras(field: DataFrame, size: int) -> DataFrame:
-    """Fit (e, x, y, up_x, up_y, lat) rows image by image; an image has size x size pixels, which bounds a group."""
+def fit_cameras(field: DataFrame, size: int, fixed: tuple[str, ...] = (), block: int = 1 << 14) -> DataFrame:
+    """Fit a camera to each image's field of size x size pixels: e, roll, pitch, vfov, cost.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, cost = fit(*(pdf[c].to_numpy(float) for c in ("x", "y", "up_x", "up_y", "lat")), float(size))
-        return pd.DataFrame({"e": [pdf["e"].iloc[0]], "roll": [p[0]], "pitch": [p[1]], "vfov": [2 * np.arctan(size / 2 / np.exp(p[2]))], "cost": [cost]})
-
-    return field.select("e", "x", "y", "up_x", "up_y", "lat").groupBy("e").applyInPandas(one, FIT)
+    `fixed` may hold "gravity" and "focal": these keep the values that the field's roll, pitch or vfov columns give as priors.
+    An image's pixels are packed into one row, and as many images as `block` pixels allow are solved together.
+    Pixels with a null are left out; an image without any keeps its start.
+    """
+    if not set(fixed) <= {"gravity", "focal"}:
+        raise ValueError("fixed may name gravity and focal")
+    nan = F.lit(float("nan"))
+    pixel = F.array(*[F.coalesce(F.col(c).cast("double"), nan) for c in ("x", "y", "up_x", "up_y", "lat")])
+    prior = [F.first(c) if g in fixed else F.lit(None) for c, g in (("roll", "gravity"), ("pitch", "gravity"), ("vfov", "focal"))]
+    packed = field.groupBy("e").agg(F.flatten(F.collect_list(pixel)).alias("px"), F.array(*[c.cast("double") for c in prior]).alias("prior"))
+    free = np.array(["gravity" not in fixed, "gravity" not in fixed, "focal" not in fixed])
+
+    def solve(ids: list[int], parts: list[np.ndarray], priors: list[list]) -> pa.RecordBatch:
+        px = np.full((len(parts), max(map(len, parts)), 5), np.nan)
+        for row, part in zip(px, parts):
+            row[: len(part)] = part
+        start = np.tile([0.0, 0.0, np.log(0.7 * size)], (len(parts), 1))
+        given = np.array(priors, float)
+        given[:, 2] = np.log(size / 2 / np.tan(given[:, 2] / 2))
+        p, cost = fit(px, float(size), np.where(free, start, given), free)
+        return pa.RecordBatch.from_pydict({"e": pa.array(ids, pa.int64()), "roll": p[:, 0], "pitch": p[:, 1], "vfov": 2 * np.arctan(size / 2 / np.exp(p[:, 2])), "cost": cost})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, priors, lists = batch.column("e").to_pylist(), batch.column("prior").to_pylist(), batch.column("px")
+            at = 0
+            while at < len(ids):
+                end, parts = at, []
+                while end < len(ids) and (not parts or (len(parts) + 1) * max(len(p) for p in parts) <= block):
+                    parts.append(lists[end].values.to_numpy(zero_copy_only=False).reshape(-1, 5))
+                    end += 1
+                yield solve(ids[at:end], parts, priors[at:end])
+                at = end
+
+    return packed.mapInArrow(run, FIT)
 
 
 def uncertainties(pixels: DataFrame, key: str, h: float) -> DataFrame:

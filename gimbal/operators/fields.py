@@ -29,16 +29,28 @@ def latitude(u: Column, v: Column, g: tuple[Column, Column, Column]) -> Column:
     return F.asin(F.greatest(F.least(dot, F.lit(top)), F.lit(-top)))
 
 
+def distorted_up(model: str, u: Column, v: Column, k1: Column, k2: Column, g: tuple[Column, Column, Column]) -> tuple[Column, Column]:
+    """The up direction in an image that a lens distorts, at a normalised point of it."""
+    x, y = g[0] - g[2] * u, g[1] - g[2] * v
+    scale = C.distortion(model, u, v, k1, k2)
+    turn = 2 * C.distortion_slope(model, u, v, k1, k2) * (u * x + v * y)
+    x, y = scale * x + turn * u, scale * y + turn * v
+    n = F.sqrt(x * x + y * y)
+    return F.try_divide(x, n), F.try_divide(y, n)
+
+
 def perspective_field(df: DataFrame, w: int, h: int, model: str = "pinhole") -> DataFrame:
-    """Adds up_x, up_y, lat for cameras with roll, pitch, vfov (and k1, k2 for distorted models)."""
+    """Adds up_x, up_y, lat for cameras with roll, pitch, vfov (and k1, k2 for distorted models).
+
+    The up direction is taken in the distorted image; the latitude is that of the undistorted ray.
+    """
     f = C.fov2focal(F.col("vfov"), F.lit(float(h)))
     k1, k2 = (F.col("k1"), F.col("k2")) if model != "pinhole" else (F.lit(0.0), F.lit(0.0))
     grid = pixels(df.withColumn("_f", f), w, h).withColumn("_u", (F.col("x") - w / 2) / F.col("_f")).withColumn("_v", (F.col("y") - h / 2) / F.col("_f"))
-    s = C.undistortion(model, F.col("_u"), F.col("_v"), k1, k2)
-    grid = grid.withColumn("_u", F.col("_u") * s).withColumn("_v", F.col("_v") * s)
-    g = C.gravity(F.col("roll"), F.col("pitch"))
-    up = up_vector(F.col("_u"), F.col("_v"), g)
-    return grid.withColumns({"up_x": up[0], "up_y": up[1], "lat": latitude(F.col("_u"), F.col("_v"), g)}).drop("_f", "_u", "_v")
+    u, v, g = F.col("_u"), F.col("_v"), C.gravity(F.col("roll"), F.col("pitch"))
+    up = up_vector(u, v, g) if model == "pinhole" else distorted_up(model, u, v, k1, k2, g)
+    s = C.undistortion(model, u, v, k1, k2)
+    return grid.withColumns({"up_x": up[0], "up_y": up[1], "lat": latitude(u * s, v * s, g)}).drop("_f", "_u", "_v")
 
 
 def jacobian(u: Column, v: Column, roll: Column, pitch: Column, f: Column) -> dict[str, Column]:
@@ -89,9 +101,28 @@ def pixel_errors(df: DataFrame, key: str, n: int, thresholds: list[float], disto
     a = place(F.col("f"), F.col("k1"))
     b = place(F.col("f") if distortion_only else F.col("f_pred"), F.col("k1_pred"))
     grid = grid.withColumns({"_ax": a[0], "_ay": a[1], "_bx": b[0], "_by": b[1]})
-    inside = lambda x, y: F.col(x).between(0, w - 1) & F.col(y).between(0, h - 1)
+    near = 1e-6  # pixels: a point on the border is inside whatever its last digits
+    inside = lambda x, y: F.col(x).between(-near, w - 1 + near) & F.col(y).between(-near, h - 1 + near)
     dx, dy = F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")
     err = F.when(inside("_bx", "_by"), F.sqrt(dx * dx + dy * dy))
     close = [F.avg(F.coalesce(err < t, F.lit(False)).cast("double")).alias(f"t{i}") for i, t in enumerate(thresholds)]
     wide = grid.where(inside("_ax", "_ay")).groupBy(key).agg(*close)
     return wide.select(key, F.inline(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("share")) for i, t in enumerate(thresholds)])))
+
+
+def vertical_points(points: DataFrame, group: str, index: str, f: Column, cx: Column, cy: Column) -> DataFrame:
+    """Of each image's vanishing points (px, py, pz), that nearest to the vertical: group, index, and the point turned upwards.
+
+    Points whose roll or pitch is beyond 45 degrees give way to others; ties go to the least index, and so
+    does an image whose points are all beyond. One aggregate buffer per image is shuffled.
+    """
+    x, y, z = F.col("px"), F.col("py"), F.col("pz")
+    steep = F.try_divide(F.abs(y), F.sqrt(x * x + y * y + z * z))
+    ray = [-y * c for c in ((x - cx * z) / f, (y - cy * z) / f, z)]
+    n = F.sqrt(ray[0] * ray[0] + ray[1] * ray[1] + ray[2] * ray[2])
+    roll, pitch = C.roll_pitch(*[F.try_divide(c, n) for c in ray])
+    fits = F.coalesce((F.abs(roll) <= C.TURN / 8) & (F.abs(pitch) <= C.TURN / 8), F.lit(False))
+    order = F.struct(fits, F.when(fits, steep).otherwise(0.0), -F.col(index))
+    best = points.groupBy(group).agg(F.max_by(F.struct(index, "px", "py", "pz"), order).alias("m")).select(group, "m.*")
+    turn = -F.signum("py")
+    return best.select(group, index, *[(F.col(c) * turn).alias(c) for c in ("px", "py", "pz")])

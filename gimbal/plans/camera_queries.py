@@ -6,24 +6,24 @@ from pyspark.sql import functions as F
 
 from ..functions import camera as C
 from ..functions import numeric as N
-from ..operators import estimate, fields
+from ..operators import estimate, fields, rasters
 from ..operators.metrics import precision_recall
 from ..sources import tables
-from .catalog import field, query, r6, table
+from .catalog import GRAV, field, query, r6, table
 from .fixtures import GT_SQL, cam_gt
 
-SIZE = 16
+SIZE = 8
 
 
 def grid(spark, sf_dir):
-    """Normalised points of a small grid for the first cameras."""
+    """Normalised points of a small grid for every camera."""
     f = C.fov2focal(F.col("vfov"), F.lit(float(SIZE)))
-    px = fields.pixels(cam_gt(spark, sf_dir).where("e < 20").withColumn("f", f), SIZE, SIZE)
+    px = fields.pixels(cam_gt(spark, sf_dir).withColumn("f", f), SIZE, SIZE)
     return px.withColumns({"u": (F.col("x") - SIZE / 2) / F.col("f"), "v": (F.col("y") - SIZE / 2) / F.col("f")})
 
 
 GRID_SQL = f"""{GT_SQL}, g0 AS (SELECT e, roll, pitch, x, y, {SIZE // 2} / tan(vfov / 2) AS f, -sin(roll) * cos(pitch) AS a, -cos(roll) * cos(pitch) AS b, sin(pitch) AS c
-  FROM cam_gt, (SELECT unnest(range({SIZE})) AS x), (SELECT unnest(range({SIZE})) AS y) WHERE e < 20),
+  FROM cam_gt, (SELECT unnest(range({SIZE})) AS x), (SELECT unnest(range({SIZE})) AS y)),
 g AS (SELECT *, (x - {SIZE // 2}) / f AS u, (y - {SIZE // 2}) / f AS v FROM g0)"""
 # The up direction is an angle here: its derivative is that of atan2.
 JAC_SQL = GRID_SQL + """, w AS (SELECT *, a - c * u AS wx, b - c * v AS wy, u * u + v * v + 1 AS r2, u * a + v * b + c AS d FROM g),
@@ -54,24 +54,26 @@ def fit_uncertainty(spark, sf_dir):
     return out.select("e", *[F.round(c, 5).alias(c) for c in out.columns if c != "e"])
 
 
-@query(f"WITH {GT_SQL} SELECT e, round(roll, 4) AS roll, round(pitch, 4) AS pitch, round(vfov, 4) AS vfov FROM cam_gt WHERE e < 20")
+@query()
 def consensus_fit(spark, sf_dir):
-    """Cameras voted for by the pixels of their own fields: the known answer comes back."""
-    out = estimate.consensus(field(spark, sf_dir), "e", 32)
-    vfov = C.focal2fov(F.col("f"), F.lit(32.0))
+    """Cameras voted for by the pixels of their own fields."""
+    out = estimate.consensus(field(spark, sf_dir, SIZE), "e", SIZE)
+    vfov = C.focal2fov(F.col("f"), F.lit(float(SIZE)))
     return out.select("e", F.round("roll", 4).alias("roll"), F.round("pitch", 4).alias("pitch"), F.round(vfov, 4).alias("vfov"))
 
 
 @query(f"""WITH {GRID_SQL}, q AS (SELECT *, u * cos(roll) + v * sin(roll) AS q0, (-u * sin(roll) + v * cos(roll)) * cos(pitch) + sin(pitch) AS q1,
   (u * sin(roll) - v * cos(roll)) * sin(pitch) + cos(pitch) AS q2 FROM g),
 p AS (SELECT e, x, y, view, q0 * cos(view * pi() / 4) - q2 * sin(view * pi() / 4) AS px, q1 AS py, q0 * sin(view * pi() / 4) + q2 * cos(view * pi() / 4) AS pz FROM q, (SELECT unnest(range(8)) AS view))
-SELECT e, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(view AS INTEGER) AS view, round(atan2(px, pz), 6) AS lon, round(asin(py / sqrt(px * px + py * py + pz * pz)), 6) AS lat FROM p""")
+SELECT e, CAST(view AS INTEGER) AS view, round(avg(sin(atan2(px, pz))), 6) AS lon_sin, round(avg(cos(atan2(px, pz))), 6) AS lon_cos, round(min(lat), 6) AS low, round(max(lat), 6) AS high
+  FROM (SELECT *, asin(py / sqrt(px * px + py * py + pz * pz)) AS lat FROM p) GROUP BY e, view""")
 def panorama_views(spark, sf_dir):
-    """Where each pixel of eight views of a panorama looks."""
+    """Where the pixels of eight views of a panorama look: mean direction and range of latitudes of each view."""
     px = grid(spark, sf_dir).withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(7))))
     yaw = F.col("view") * F.lit(3.141592653589793) / 4
     lon, lat = C.panorama_angles(*[F.col(c) for c in ("u", "v", "roll", "pitch")], yaw)
-    return px.select("e", "x", "y", "view", *r6(lon=lon, lat=lat))
+    seen = px.select("e", "view", lon.alias("lon"), lat.alias("lat")).groupBy("e", "view")
+    return seen.agg(*r6(lon_sin=F.avg(F.sin("lon")), lon_cos=F.avg(F.cos("lon")), low=F.min("lat"), high=F.max("lat")))
 
 
 @query(f"""WITH {GT_SQL}, f AS (SELECT e, width, height, height / 2e0 / tan(vfov / 2) AS f, (e % 9 - 4) / 10e0 AS k1 FROM cam_gt)
@@ -112,33 +114,124 @@ def exposure(spark, sf_dir):
     return e.join(p90, "event_type").select("event_id", F.round(level).cast("int").alias("level"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + vec_id % 4))), 5) AS total, CAST(len(embedding) AS INTEGER) AS n FROM embeddings WHERE vec_id % 3 = 0")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * (1 + vec_id % 4))), 5) AS total, CAST(len(embedding) AS INTEGER) AS n FROM embeddings")
 def cached_points(spark, sf_dir):
     """Cached predictions looked up by name and brought to each row's scale."""
     e = table(spark, sf_dir, "embeddings")
     cache = e.select(F.col("vec_id").alias("name"), F.transform("embedding", lambda x: x.cast("double")).alias("keypoints0"))
-    rows = e.where("vec_id % 3 = 0").select(F.col("vec_id").alias("name"), (1 + F.col("vec_id") % 4).alias("scale"))
+    rows = e.select(F.col("vec_id").alias("name"), (1 + F.col("vec_id") % 4).alias("scale"))
     out = tables.rescaled(tables.lookup(rows, cache), "keypoints", "scale")
     total = F.aggregate("keypoints0", F.lit(0.0), lambda a, x: a + x)
     return out.select(F.col("name").alias("vec_id"), F.round(total, 5).alias("total"), F.size("keypoints0").alias("n"))
 
 
-@query(f"""WITH {GT_SQL}, p AS (SELECT e, width AS w, height AS h, height / 2e0 / tan(vfov / 2) AS f, (e % 7 - 3) / 20e0 AS k1, (e % 5 - 2) / 20e0 AS k2 FROM cam_gt WHERE e < 200),
+@query(f"""WITH {GT_SQL}, p AS (SELECT e, width AS w, height AS h, height / 2e0 / tan(vfov / 2) AS f, (e % 7 - 3) / 20e0 AS k1, (e % 5 - 2) / 20e0 AS k2 FROM cam_gt),
 g AS (SELECT *, (i / 19e0 * (h - 1) - w / 2e0) / f AS u, (j / 19e0 * (w - 1) - h / 2e0) / f AS v FROM p, (SELECT unnest(range(20)) AS i), (SELECT unnest(range(20)) AS j)),
 d AS (SELECT *, u * (1 + k1 * (u * u + v * v)) * f + w / 2e0 AS ax, v * (1 + k1 * (u * u + v * v)) * f + h / 2e0 AS ay, u * (1 + k2 * (u * u + v * v)) * f + w / 2e0 AS bx, v * (1 + k2 * (u * u + v * v)) * f + h / 2e0 AS b_y FROM g),
-c AS (SELECT e, CASE WHEN bx BETWEEN 0 AND w - 1 AND b_y BETWEEN 0 AND h - 1 THEN sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) END AS err FROM d WHERE ax BETWEEN 0 AND w - 1 AND ay BETWEEN 0 AND h - 1)
+c AS (SELECT e, CASE WHEN bx BETWEEN -1e-6 AND w - 1 + 1e-6 AND b_y BETWEEN -1e-6 AND h - 1 + 1e-6 THEN sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) END AS err FROM d WHERE ax BETWEEN -1e-6 AND w - 1 + 1e-6 AND ay BETWEEN -1e-6 AND h - 1 + 1e-6)
 SELECT e, t AS threshold, round(avg(CASE WHEN err < t THEN 1e0 ELSE 0e0 END), 4) AS share FROM c, (SELECT unnest([0.5e0, 1e0, 3e0, 5e0]) AS t) GROUP BY e, t""")
 def pixel_distortion_error(spark, sf_dir):
     """Share of grid points that a wrong distortion term misplaces by less than each threshold."""
     f = C.fov2focal(F.col("vfov"), F.col("height"))
-    cams = cam_gt(spark, sf_dir).where("e < 200").select("e", "width", "height", f.alias("f"), ((F.col("e") % 7 - 3) / 20).alias("k1"), ((F.col("e") % 5 - 2) / 20).alias("k1_pred"))
+    cams = cam_gt(spark, sf_dir).select("e", "width", "height", f.alias("f"), ((F.col("e") % 7 - 3) / 20).alias("k1"), ((F.col("e") % 5 - 2) / 20).alias("k1_pred"))
     out = fields.pixel_errors(cams, "e", 20, [0.5, 1.0, 3.0, 5.0])
     return out.select("e", "threshold", F.round("share", 4).alias("share"))
 
 
-@query(f"WITH {GT_SQL} SELECT e, round(roll, 5) AS roll, round(pitch, 5) AS pitch, round(radians(50 + e // 4 * 5), 5) AS vfov FROM cam_gt WHERE e < 20")
+@query(f"WITH {GT_SQL} SELECT e, round(roll, 5) AS roll, round(pitch, 5) AS pitch, round(radians(50 + e // 4 % 12 * 5), 5) AS vfov FROM cam_gt")
 def lm_fit_shared(spark, sf_dir):
     """Fit batches of four cameras of one field of view each: the known answer comes back."""
-    cams = cam_gt(spark, sf_dir).where("e < 20").withColumn("batch", F.floor(F.col("e") / 4)).withColumn("vfov", F.radians(50 + F.col("batch") * 5))
+    cams = cam_gt(spark, sf_dir).withColumn("batch", F.floor(F.col("e") / 4)).withColumn("vfov", F.radians(50 + F.col("batch") % 12 * 5))
     out = estimate.fit_shared_cameras(fields.perspective_field(cams, SIZE, SIZE), "batch", SIZE)
     return out.select("e", *[F.round(c, 5).alias(c) for c in ("roll", "pitch", "vfov")])
+
+
+@query(f"WITH {GT_SQL} SELECT e, round(roll, 6) AS roll, round(pitch, 6) AS pitch, round(vfov, 6) AS vfov FROM cam_gt")
+def lm_fit_focal_prior(spark, sf_dir):
+    """Fit roll and pitch where the field of view is known."""
+    out = estimate.fit_cameras(field(spark, sf_dir, SIZE), SIZE, fixed=("focal",))
+    return out.select("e", *r6(roll=F.col("roll"), pitch=F.col("pitch"), vfov=F.col("vfov")))
+
+
+@query(f"""WITH {GRID_SQL}, k AS (SELECT *, (e % 9 - 4) / 20e0 AS k1, a - c * u AS wx, b - c * v AS wy, u * u + v * v AS r2 FROM g),
+d AS (SELECT *, (1 + k1 * r2) * wx + 2 * k1 * (u * wx + v * wy) * u AS dx, (1 + k1 * r2) * wy + 2 * k1 * (u * wx + v * wy) * v AS dy, u * (1 - k1 * r2) AS u1, v * (1 - k1 * r2) AS v1 FROM k)
+SELECT e, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(dx / sqrt(dx * dx + dy * dy), 6) AS up_x, round(dy / sqrt(dx * dx + dy * dy), 6) AS up_y,
+  round(asin(greatest(-0.999999e0, least(0.999999e0, (u1 * a + v1 * b + c) / sqrt(u1 * u1 + v1 * v1 + 1)))), 6) AS lat FROM d""")
+def distorted_field(spark, sf_dir):
+    """Fields of cameras with a radial term."""
+    cams = cam_gt(spark, sf_dir).withColumns({"k1": (F.col("e") % 9 - 4) / 20, "k2": F.lit(0.0)})
+    out = fields.perspective_field(cams, SIZE, SIZE, "simple_radial")
+    return out.select("e", "x", "y", *r6(up_x=F.col("up_x"), up_y=F.col("up_y"), lat=F.col("lat")))
+
+
+@query(f"""WITH {GT_SQL}, g AS (SELECT e, {GRAV}, value % 37 / 100 AS d1, value % 61 / 100 AS d2 FROM cam_gt),
+t AS (SELECT *, CASE WHEN d1 = 0 AND d2 = 0 THEN 1e0 ELSE sin(sqrt(d1 * d1 + d2 * d2)) / sqrt(d1 * d1 + d2 * d2) END AS s, cos(sqrt(d1 * d1 + d2 * d2)) AS q FROM g),
+h AS (SELECT *, (gx * s * d1 + gy * s * d2 + (gz - 1) * q) / (1 - gz) AS w FROM t)
+SELECT e, round(s * d1 - gx * w, 6) AS x, round(s * d2 - gy * w, 6) AS y, round(q - (gz - 1) * w, 6) AS z FROM h""")
+def gravity_moves(spark, sf_dir):
+    """Gravity moved by a step in its tangent plane."""
+    g = C.gravity(F.col("roll"), F.col("pitch"))
+    x, y, z = C.sphere_move(g, F.col("value") % 37 / 100, F.col("value") % 61 / 100)
+    return cam_gt(spark, sf_dir).select("e", *r6(x=x, y=y, z=z))
+
+
+@query("""WITH p AS (SELECT user_id, event_id, value % 37 * 10 - 180 AS px, value % 61 * 40 - 1200 AS py FROM events),
+r AS (SELECT *, abs(py) / sqrt(px * px + py * py + 1) AS steep, -py * px / 500 AS gx, -py * py / 500 AS gy, -py AS gz FROM p),
+n AS (SELECT *, gx / sqrt(gx * gx + gy * gy + gz * gz) AS x, gy / sqrt(gx * gx + gy * gy + gz * gz) AS y, gz / sqrt(gx * gx + gy * gy + gz * gz) AS z FROM r),
+a AS (SELECT *, asin(-x / (sqrt(1 - z * z) + 1e-4)) AS r0 FROM n),
+f AS (SELECT *, abs(CASE WHEN y >= 0 THEN -r0 - pi() * sign(x) ELSE r0 END) <= pi() / 4 AND abs(asin(z)) <= pi() / 4 AS fits FROM a),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY fits DESC, CASE WHEN fits THEN steep ELSE 0 END DESC, event_id) AS i FROM f)
+SELECT user_id, event_id, round(-sign(py) * px, 6) AS px, round(-sign(py) * py, 6) AS py, -sign(py) * 1e0 AS pz FROM k WHERE i = 1""")
+def vertical_vanishing_point(spark, sf_dir):
+    """Each owner's best vertical vanishing point."""
+    v = F.col("value")
+    pts = table(spark, sf_dir, "events").select("user_id", "event_id", (v % 37 * 10 - 180).alias("px"), (v % 61 * 40 - 1200).alias("py"), F.lit(1.0).alias("pz"))
+    out = fields.vertical_points(pts, "user_id", "event_id", F.lit(500.0), F.lit(0.0), F.lit(0.0))
+    return out.select("user_id", "event_id", F.round("px", 6).alias("px"), F.round("py", 6).alias("py"), "pz")
+
+
+# Embeddings serve as rasters of eight by eight pixels, each with a camera of its own.
+VEC_SQL = """v AS (SELECT vec_id, list_transform(embedding, lambda q: CAST(q AS DOUBLE)) AS a, 4 / tan((20 + (vec_id * 53 % 851) / 10e0) * pi() / 360) AS f, ((vec_id * 37 % 901) / 900e0 - 0.5e0) * pi() / 2 AS roll,
+  ((vec_id * 71 % 901) / 900e0 - 0.5e0) * pi() / 2 AS pitch, vec_id % 8 * pi() / 4 AS yaw, (vec_id % 9 - 4) / 20e0 AS k1 FROM embeddings)"""
+
+
+def rasters_sql(placed: str) -> str:
+    """Bilinear samples of v at the places (vec_id, p, sx, sy) of `placed`; pixels outside are zero."""
+    at = "CASE WHEN {0} BETWEEN 0 AND 7 AND {1} BETWEEN 0 AND 7 THEN a[CAST({1} * 8 + {0} + 1 AS INTEGER)] ELSE 0e0 END"
+    c = [at.format(i, j) for i, j in (("i", "j"), ("(i + 1)", "j"), ("i", "(j + 1)"), ("(i + 1)", "(j + 1)"))]
+    return f"""WITH {VEC_SQL}, {placed}, fl AS (SELECT *, floor(sx) AS i, floor(sy) AS j FROM pl)
+SELECT vec_id, CAST(p AS INTEGER) AS p, round((({c[0]}) * (1 - (sx - i)) + ({c[1]}) * (sx - i)) * (1 - (sy - j)) + (({c[2]}) * (1 - (sx - i)) + ({c[3]}) * (sx - i)) * (sy - j), 6) AS level FROM fl"""
+
+
+def vectors(spark, sf_dir):
+    i = F.col("vec_id")
+    vfov = F.radians(20 + (i * 53 % 851) / 10)
+    return table(spark, sf_dir, "embeddings").select(
+        i, F.transform("embedding", lambda q: q.cast("double")).alias("a"), C.fov2focal(vfov, F.lit(8.0)).alias("f"), (((i * 37 % 901) / 900 - 0.5) * C.TURN / 4).alias("roll"),
+        (((i * 71 % 901) / 900 - 0.5) * C.TURN / 4).alias("pitch"), (i % 8 * C.TURN / 8).alias("yaw"), ((i % 9 - 4) / 20).alias("k1"),
+    )
+
+
+def levels(df, raster):
+    return df.select("vec_id", F.posexplode(raster).alias("p", "level")).select("vec_id", "p", F.round("level", 6).alias("level"))
+
+
+@query(rasters_sql("pl AS (SELECT vec_id, a, p, least(greatest((p % 12 + 0.5e0) * 8 / 12 - 0.5e0, 0), 7) AS sx, least(greatest((p // 12 + 0.5e0) * 8 / 12 - 0.5e0, 0), 7) AS sy FROM v, (SELECT unnest(range(144)) AS p))"))
+def raster_resize(spark, sf_dir):
+    return levels(vectors(spark, sf_dir), rasters.resize(F.col("a"), 8, 8, (12, 12)))
+
+
+@query(rasters_sql("""uv AS (SELECT *, (p % 8 - 4) / f AS u, (p // 8 - 4) / f AS w FROM v, (SELECT unnest(range(64)) AS p)),
+pl AS (SELECT vec_id, a, p, u * (1 + k1 * (u * u + w * w)) * f + 4 AS sx, w * (1 + k1 * (u * u + w * w)) * f + 4 AS sy FROM uv)"""))
+def raster_undistort(spark, sf_dir):
+    return levels(vectors(spark, sf_dir), rasters.undistort(F.col("a"), 8, 8, "simple_radial", F.col("f"), F.col("k1"), F.lit(0.0)))
+
+
+@query(rasters_sql("""uv AS (SELECT *, (p % 8 - 4) / f AS u, (p // 8 - 4) / f AS w FROM v, (SELECT unnest(range(64)) AS p)),
+q AS (SELECT *, u * cos(roll) + w * sin(roll) AS q0, (-u * sin(roll) + w * cos(roll)) * cos(pitch) + sin(pitch) AS q1, (u * sin(roll) - w * cos(roll)) * sin(pitch) + cos(pitch) AS q2 FROM uv),
+b AS (SELECT *, q0 * cos(yaw) - q2 * sin(yaw) AS bx, q0 * sin(yaw) + q2 * cos(yaw) AS bz FROM q),
+pl AS (SELECT vec_id, a, p, (atan2(bx, bz) / (2 * pi()) + 0.5) * 7 AS sx, (atan2(q1, sqrt(bx * bx + bz * bz)) / pi() + 0.5) * 7 AS sy FROM b)"""))
+def panorama_sample(spark, sf_dir):
+    """A view of each panorama, sampled between its pixels."""
+    cam = [F.col(c) for c in ("f", "roll", "pitch", "yaw")]
+    return levels(vectors(spark, sf_dir), rasters.panorama_view(F.col("a"), 8, 8, (8, 8), *cam))

@@ -189,10 +189,21 @@ def zip_join(spark, sf_dir):
     return numbered(cam_gt(spark, sf_dir), "e").join(numbered(cam_pred(spark, sf_dir), "partner"), "i").drop("i")
 
 
-@query(f"WITH {GT_SQL} SELECT e FROM cam_gt WHERE width > 80 AND height > 80 AND width * 1e0 / height > 0.1 AND width * 1e0 / height < 10 AND e % 16 >= 4 AND e % 16 < 9")
+@query(f"WITH {GT_SQL} SELECT e, width > 80 AND height > 80 AND width * 1e0 / height > 0.1 AND width * 1e0 / height < 10 AS valid, width <= 512 AND height <= 512 AND width % 32 = 0 AND height % 32 = 0 AS sized FROM cam_gt")
 def image_valid(spark, sf_dir):
-    ratio = F.col("width") / F.col("height")
-    return cam_gt(spark, sf_dir).where((F.col("width") > 80) & (F.col("height") > 80) & (ratio > 0.1) & (ratio < 10) & (F.col("e") % 16).between(4, 8)).select("e")
+    """Validity of images by size and shape, and whether they have been brought to the training size."""
+    w, h = F.col("width"), F.col("height")
+    ratio = w / h
+    valid = (w > 80) & (h > 80) & (ratio > 0.1) & (ratio < 10)
+    return cam_gt(spark, sf_dir).select("e", valid.alias("valid"), ((w <= 512) & (h <= 512) & (w % 32 == 0) & (h % 32 == 0)).alias("sized"))
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE source IN (SELECT source FROM (SELECT source, row_number() OVER (ORDER BY source) AS i FROM (SELECT DISTINCT source FROM documents)) WHERE i BETWEEN 5 AND 9) GROUP BY source")
+def folder_slice(spark, sf_dir):
+    """Rows of the fifth to the ninth folder in the order of names; folders are sources here."""
+    docs = table(spark, sf_dir, "documents").select("source")
+    names = docs.where("source IS NOT NULL").distinct().orderBy("source").offset(4).limit(5)
+    return docs.join(names, "source", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {GT_SQL} SELECT e, CAST(CASE WHEN width >= height THEN 512 ELSE ceil(width * (512e0 / greatest(width, height)) / 32) * 32 END AS INTEGER) AS w, CAST(CASE WHEN height >= width THEN 512 ELSE ceil(height * (512e0 / greatest(width, height)) / 32) * 32 END AS INTEGER) AS h, CAST(width * 320 // least(width, height) AS INTEGER) AS sw, CAST(height * 320 // least(width, height) AS INTEGER) AS sh, CAST((width - least(width, height)) // 2 AS INTEGER) AS crop_left, CAST((height - least(width, height)) // 2 AS INTEGER) AS crop_top FROM cam_gt")
@@ -239,9 +250,9 @@ def task_batches(spark, sf_dir):
     return e.groupBy("batch", "event_type").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",").alias("members"))
 
 
-@query(f"WITH {GT_SQL} SELECT e, CAST(yaw AS INTEGER) AS view, round(yaw * 22.5e0, 6) AS yaw_deg FROM cam_gt, (SELECT unnest(range(16)) AS yaw) WHERE e % 8 = 0")
+@query(f"WITH {GT_SQL} SELECT e, CAST(yaw AS INTEGER) AS view, round(yaw * 22.5e0, 6) AS yaw_deg FROM cam_gt, (SELECT unnest(range(16)) AS yaw)")
 def view_plan(spark, sf_dir):
-    g = cam_gt(spark, sf_dir).where("e % 8 = 0")
+    g = cam_gt(spark, sf_dir)
     return g.select("e", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("view")).withColumn("yaw_deg", F.round(F.col("view") * 22.5, 6))
 
 
@@ -315,26 +326,28 @@ def camera_errors(spark, sf_dir):
     return j.select("e", F.round(angle, 4).alias("gravity_error"), F.round(F.abs(f1 - f2) / f1, 6).alias("focal_error"))
 
 
-FIELD_SQL = f"""{GT_SQL}, px AS (SELECT e, x, y, (x - 16) / (16 / tan(vfov / 2)) AS u, (y - 16) / (16 / tan(vfov / 2)) AS v, {GRAV}
-  FROM cam_gt, (SELECT unnest(range(32)) AS x), (SELECT unnest(range(32)) AS y) WHERE e < 20),
+def field_sql(n: int) -> str:
+    return f"""{GT_SQL}, px AS (SELECT e, x, y, (x - {n // 2}) / ({n // 2} / tan(vfov / 2)) AS u, (y - {n // 2}) / ({n // 2} / tan(vfov / 2)) AS v, {GRAV}
+  FROM cam_gt, (SELECT unnest(range({n})) AS x), (SELECT unnest(range({n})) AS y)),
 fl AS (SELECT e, x, y, (gx - gz * u) / sqrt((gx - gz * u) * (gx - gz * u) + (gy - gz * v) * (gy - gz * v)) AS up_x, (gy - gz * v) / sqrt((gx - gz * u) * (gx - gz * u) + (gy - gz * v) * (gy - gz * v)) AS up_y,
   asin(greatest(-0.999999e0, least(0.999999e0, (u * gx + v * gy + gz) / sqrt(u * u + v * v + 1)))) AS lat FROM px)"""
 
 
-def field(spark, sf_dir):
-    return P.perspective_field(cam_gt(spark, sf_dir).where("e < 20"), 32, 32)
+def field(spark, sf_dir, size):
+    """The field of every camera on a grid of size x size pixels."""
+    return P.perspective_field(cam_gt(spark, sf_dir), size, size)
 
 
-@query(f"WITH {FIELD_SQL} SELECT e, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(up_x, 6) AS up_x, round(up_y, 6) AS up_y, round(lat, 6) AS lat FROM fl")
+@query(f"WITH {field_sql(8)} SELECT e, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(up_x, 6) AS up_x, round(up_y, 6) AS up_y, round(lat, 6) AS lat FROM fl")
 def perspective_field(spark, sf_dir):
-    return field(spark, sf_dir).select("e", "x", "y", *r6(up_x=F.col("up_x"), up_y=F.col("up_y"), lat=F.col("lat")))
+    return field(spark, sf_dir, 8).select("e", "x", "y", *r6(up_x=F.col("up_x"), up_y=F.col("up_y"), lat=F.col("lat")))
 
 
-@query(f"WITH {FIELD_SQL} SELECT e, round(avg(abs(lat) / pi() * 180), 6) AS mean, round(quantile_disc(abs(lat) / pi() * 180, 0.5), 6) AS lower_median, round(avg(CASE WHEN abs(lat) / pi() * 180 < 5 THEN 1e0 ELSE 0e0 END), 6) AS recall_5 FROM fl GROUP BY e")
+@query(f"WITH {field_sql(16)} SELECT e, round(avg(abs(lat) / pi() * 180), 6) AS mean, round(quantile_disc(abs(lat) / pi() * 180, 0.5), 6) AS lower_median, round(avg(CASE WHEN abs(lat) / pi() * 180 < 5 THEN 1e0 ELSE 0e0 END), 6) AS recall_5 FROM fl GROUP BY e")
 def field_error(spark, sf_dir):
     """Latitude error against a level camera, by image: mean, lower median and recall."""
     err = C.rad2deg(F.abs(F.col("lat")))
-    return field(spark, sf_dir).withColumn("err", err).groupBy("e").agg(
+    return field(spark, sf_dir, 16).withColumn("err", err).groupBy("e").agg(
         F.round(F.avg("err"), 6).alias("mean"), F.round(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY err)"), 6).alias("lower_median"), F.round(F.avg((F.col("err") < 5).cast("double")), 6).alias("recall_5")
     )
 
@@ -352,10 +365,10 @@ def losses_and_tone_maps(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", *r6(huber=N.huber(x), barron=N.barron(x, -1.0), cauchy=N.cauchy(x), gamma=N.tone_gamma(x), log_map=N.tone_log(x)))
 
 
-@query(f"WITH {GT_SQL} SELECT e, round(roll, 6) AS roll, round(pitch, 6) AS pitch, round(vfov, 6) AS vfov FROM cam_gt WHERE e < 20")
+@query(f"WITH {GT_SQL} SELECT e, round(roll, 6) AS roll, round(pitch, 6) AS pitch, round(vfov, 6) AS vfov FROM cam_gt")
 def lm_fit(spark, sf_dir):
     """Fit cameras to their own fields: the known answer comes back."""
-    return fit_cameras(field(spark, sf_dir), 32).select("e", *r6(roll=F.col("roll"), pitch=F.col("pitch"), vfov=F.col("vfov")))
+    return fit_cameras(field(spark, sf_dir, 16), 16).select("e", *r6(roll=F.col("roll"), pitch=F.col("pitch"), vfov=F.col("vfov")))
 
 
 @query(f"WITH {GT_SQL} SELECT 'roll' AS parameter, CAST(floor((roll / pi() * 180 + 45) / 0.9) AS BIGINT) AS bin, count(*) AS n FROM cam_gt GROUP BY 1, 2 UNION ALL SELECT 'vfov', CAST(floor((vfov / pi() * 180 - 20) / 0.9) AS BIGINT), count(*) FROM cam_gt GROUP BY 1, 2")
