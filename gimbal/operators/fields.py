@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import camera as C
 
 
-def pixels(df: DataFrame, w: int, h: int) -> DataFrame:
-    """One row per pixel of a w x h grid, with integer coordinates x and y."""
+def pixels(df: DataFrame, w: int, h: int, key: str | None = None) -> DataFrame:
+    """One row per pixel of a w x h grid, with integer coordinates x and y.
+
+    With a `key`, the images are dealt by it first: a grouping of the pixels by it then needs no shuffle of theirs.
+    """
+    if key:
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
     return df.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
 
 
@@ -39,14 +44,14 @@ def distorted_up(model: str, u: Column, v: Column, k1: Column, k2: Column, g: tu
     return F.try_divide(x, n), F.try_divide(y, n)
 
 
-def perspective_field(df: DataFrame, w: int, h: int, model: str = "pinhole") -> DataFrame:
+def perspective_field(df: DataFrame, w: int, h: int, model: str = "pinhole", key: str | None = None) -> DataFrame:
     """Adds up_x, up_y, lat for cameras with roll, pitch, vfov (and k1, k2 for distorted models).
 
-    The up direction is taken in the distorted image; the latitude is that of the undistorted ray.
+    The up direction is taken in the distorted image; the latitude is that of the undistorted ray. `key` is as in `pixels`.
     """
     f = C.fov2focal(F.col("vfov"), F.lit(float(h)))
     k1, k2 = (F.col("k1"), F.col("k2")) if model != "pinhole" else (F.lit(0.0), F.lit(0.0))
-    grid = pixels(df.withColumn("_f", f), w, h).withColumn("_u", (F.col("x") - w / 2) / F.col("_f")).withColumn("_v", (F.col("y") - h / 2) / F.col("_f"))
+    grid = pixels(df.withColumn("_f", f), w, h, key).withColumn("_u", (F.col("x") - w / 2) / F.col("_f")).withColumn("_v", (F.col("y") - h / 2) / F.col("_f"))
     u, v, g = F.col("_u"), F.col("_v"), C.gravity(F.col("roll"), F.col("pitch"))
     up = up_vector(u, v, g) if model == "pinhole" else distorted_up(model, u, v, k1, k2, g)
     s = C.undistortion(model, u, v, k1, k2)

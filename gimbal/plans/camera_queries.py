@@ -18,7 +18,7 @@ SIZE = 8
 def grid(spark, sf_dir):
     """Normalised points of a small grid for every camera."""
     f = C.fov2focal(F.col("vfov"), F.lit(float(SIZE)))
-    px = fields.pixels(cam_gt(spark, sf_dir).withColumn("f", f), SIZE, SIZE)
+    px = fields.pixels(cam_gt(spark, sf_dir).withColumn("f", f), SIZE, SIZE, "e")
     return px.withColumns({"u": (F.col("x") - SIZE / 2) / F.col("f"), "v": (F.col("y") - SIZE / 2) / F.col("f")})
 
 
@@ -160,7 +160,7 @@ SELECT e, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(dx / sqrt(dx *
 def distorted_field(spark, sf_dir):
     """Fields of cameras with a radial term."""
     cams = cam_gt(spark, sf_dir).withColumns({"k1": (F.col("e") % 9 - 4) / 20, "k2": F.lit(0.0)})
-    out = fields.perspective_field(cams, SIZE, SIZE, "simple_radial")
+    out = fields.perspective_field(cams, SIZE, SIZE, "simple_radial", "e")
     return out.select("e", "x", "y", *r6(up_x=F.col("up_x"), up_y=F.col("up_y"), lat=F.col("lat")))
 
 

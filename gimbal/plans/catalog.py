@@ -335,7 +335,7 @@ fl AS (SELECT e, x, y, (gx - gz * u) / sqrt((gx - gz * u) * (gx - gz * u) + (gy
 
 def field(spark, sf_dir, size):
     """The field of every camera on a grid of size x size pixels."""
-    return P.perspective_field(cam_gt(spark, sf_dir), size, size)
+    return P.perspective_field(cam_gt(spark, sf_dir), size, size, key="e")
 
 
 @query(f"WITH {field_sql(8)} SELECT e, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(up_x, 6) AS up_x, round(up_y, 6) AS up_y, round(lat, 6) AS lat FROM fl")
