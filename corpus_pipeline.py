@@ -1,4 +1,4 @@
-"""A corpus pipeline of five stages: each takes the documents that the stage before it kept.
+"""A corpus pipeline of six stages: each takes the documents that the stage before it kept.
 
 All but the last return the columns of `documents`. Nothing here hides an import error: without the operators'
 package there is no pipeline.
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gimbal.llm import decontaminate as decontamination
 from gimbal.llm import toxicity as tox
 from gimbal.llm.common import materialise, read
+from gimbal.llm.jaccard import near_copies
 from gimbal.llm.line_dedup import line_dedup
 from gimbal.llm.packing import best_fit_packing
 from gimbal.llm.simhash import near_duplicates
@@ -56,6 +57,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return _without(docs, "contaminated", decontamination.OUT.names, lambda df, keep: decontamination.decontaminate(df, bench, keep=keep))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of 5-word shingles: that with the least id.
+
+    These are the near copies with a few edits, whose SimHashes differ in more bits than op7's two.
+    """
+    groups = materialise(near_copies(docs.where(F.col("doc_id").isNotNull()), ["doc_id"]), "groups")
+    least = groups.groupBy("group").agg(F.min("doc_id").alias("doc_id"))
+    return docs.join(least.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, placed in training sequences."""
     return best_fit_packing(docs)
@@ -66,6 +77,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("line dedup", drop_common_lines),
     ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", drop_contaminated),
+    ("near-copy dedup", drop_near_copies),
     ("best-fit packing", pack),
 ]
 

@@ -302,3 +302,59 @@ def test_pipeline_keeps_clashing_columns_and_null_ids(spark):
     assert sorted(out.select("toxic").toPandas().toxic.dropna()) == [5, 6, 7, 8] and out.columns == df.columns
     kept = corpus_pipeline.near_dedup(spark, df, SF).toPandas()
     assert len(kept) == 3 and set(kept.doc_id.dropna()) == {1, 3}
+
+
+def near_rows():
+    """Texts with copies of one or a few edits, chains of copies, exact copies, a shared passage and short texts."""
+    rng = np.random.default_rng(11)
+    word = lambda: "w" + "abcdefghij"[rng.integers(10)] + str(rng.integers(4000))
+    texts, passage = ["", None, "Two words", "two  WORDS", "two word"], [word() for _ in range(60)]
+    for k in range(30):
+        base = [word() for _ in range(int(rng.integers(5, 200)))]
+        at = list(base)
+        for j in range(60 if k == 0 else 4):
+            texts.append(" ".join(at))
+            at = list(at if j % 2 else base)
+            for _ in range(int(rng.integers(0, 1 + len(at) // 30))):
+                at[rng.integers(len(at))] = word()
+        texts.append(" ".join(base).upper())
+    texts += [" ".join(passage + [word() for _ in range(12 + k % 9)]) for k in range(60)]
+    return list(enumerate(texts))
+
+
+def near_groups(rows):
+    """The least id of each component of pairs whose 5-word shingles are 0.8 similar, by comparing all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("pair_bucket", [2, 32])
+def test_near_copies_are_all_pairs(spark, pair_bucket):
+    from gimbal.llm import jaccard
+
+    rows = near_rows()
+    got = jaccard.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ["doc_id"], pair_bucket=pair_bucket).toPandas()
+    least = got.groupby("group").doc_id.transform("min")
+    assert dict(zip(got.doc_id, least)) == dict(enumerate(near_groups(rows)))
+
+
+def test_pipeline_drops_near_copies(spark):
+    rows = near_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name, stage in corpus_pipeline.STAGES:
+        if "dedup" in name and name != "line dedup":
+            docs = stage(spark, docs, SF)
+    left = [tuple(r) for r in docs.collect()]
+    assert near_groups(left) == list(range(len(left)))  # no pair is left, and no group has gone
+    of = near_groups(rows)
+    assert {of[i] for i, _ in left} == set(of)
