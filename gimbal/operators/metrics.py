@@ -22,10 +22,49 @@ def long_form(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return df.unpivot(keys, metrics, "metric", "e")
 
 
+def quantile(df: DataFrame, groups: list[str], value: Column, q: float, name: str, lower: bool = False, buckets: int = 64) -> DataFrame:
+    """The exact quantile `name` of each group, nulls skipped: interpolated, or with `lower` the first value that covers the share.
+
+    Equal values are counted first. A sketch of bounded size splits each group into buckets, whose counts tell the one or two that
+    hold the wanted ranks; only their values are ordered, so no group is held or sorted in one task. The sketch only
+    sets the buckets' width. A group of nulls has no row.
+    """
+    rows = df.select(*groups, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    at = F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000)
+    splits = rows.groupBy(*groups).agg(at.alias("_s"), F.count("*").alias("_n"))
+    points = matched(rows.groupBy(*groups, "_v").agg(F.count("*").alias("_c")), F.broadcast(splits), groups)
+    points = points.withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s")
+    place = F.col("_n") * q if lower else (F.col("_n") - 1) * q
+    low, high = (F.greatest(F.ceil(place) - 1, F.lit(0)),) * 2 if lower else (F.floor(place), F.ceil(place))
+    sums = points.groupBy(*groups, "_b", "_n").agg(F.sum("_c").alias("_bc"))
+    end = F.sum("_bc").over(Window.partitionBy(*groups).orderBy("_b"))
+    sums = sums.withColumn("_before", end - F.col("_bc")).where((F.col("_before") <= high) & (F.col("_before") + F.col("_bc") > low)).drop("_n", "_bc")
+    inside = F.sum("_c").over(Window.partitionBy(*groups, "_b").orderBy("_v"))
+    near = matched(points, F.broadcast(sums), [*groups, "_b"]).withColumn("_end", F.col("_before") + inside)
+
+    def of(rank: Column) -> Column:
+        return F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank), F.col("_v")))
+
+    ends = near.groupBy(*groups, "_n").agg(of(low).alias("_lo"), of(high).alias("_hi"))
+    between = (high - place) * F.col("_lo") + (place - low) * F.col("_hi")
+    return ends.select(*groups, F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(between).alias(name))
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by keys of which null equals null; the keys appear once."""
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def summary(long: DataFrame, digits: int = 3) -> DataFrame:
     """Mean and median by metric, NaN ignored."""
     e = finite(F.col("e"))
-    return long.groupBy("metric").agg(F.round(F.avg(e), digits).alias("mean"), F.round(F.percentile(e, 0.5), digits).alias("median"))
+    means = long.groupBy("metric").agg(F.round(F.avg(e), digits).alias("mean"))
+    out = matched(means, quantile(long, ["metric"], e, 0.5, "median"), ["metric"], "left")
+    return out.select("metric", "mean", F.round("median", digits).alias("median"))
 
 
 def recall_at(long: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import camera as C
 from ..functions import numeric as N
 from ..operators import estimate, fields, rasters
-from ..operators.metrics import precision_recall
+from ..operators.metrics import precision_recall, quantile
 from ..sources import tables
 from .catalog import GRAV, field, query, r6, table
 from .fixtures import GT_SQL, cam_gt
@@ -109,7 +109,7 @@ SELECT event_id, CAST(round_even(power(least(value * (0.8e0 / (p90 + 1e-10)), 1)
 def exposure(spark, sf_dir):
     """Values of an image re-exposed by its 90th percentile, tone mapped and quantised."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    p90 = e.groupBy("event_type").agg(F.percentile("value", 0.9).alias("p90"))
+    p90 = quantile(e, ["event_type"], F.col("value"), 0.9, "p90")
     level = N.quantise(N.tone_gamma(N.reexpose(F.col("value"), F.col("p90")))) * 255
     return e.join(p90, "event_type").select("event_id", F.round(level).cast("int").alias("level"))
 

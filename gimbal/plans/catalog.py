@@ -96,17 +96,20 @@ def nan_statistics(spark, sf_dir):
     """Quantile and mean that skip NaN, and a median in which NaN is a miss (here a large number)."""
     e = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
     miss = F.when(M.as_miss(e) == M.INF, F.lit(1e9)).otherwise(e)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.round(F.percentile(M.finite(e), 0.05), 6).alias("q05"), F.round(F.avg(M.finite(e)), 6).alias("mean"), F.round(F.percentile(miss, 0.5), 6).alias("median_miss")
-    )
+    rows, by = table(spark, sf_dir, "events"), ["event_type"]
+    out = rows.groupBy(*by).agg(F.round(F.avg(M.finite(e)), 6).alias("mean"))
+    for name, value, q in (("q05", M.finite(e), 0.05), ("median_miss", miss, 0.5)):
+        out = M.matched(out, M.quantile(rows, by, value, q, name), by, "left")
+    return out.select("event_type", *r6(q05=F.col("q05")), "mean", *r6(median_miss=F.col("median_miss")))
 
 
 @query("SELECT event_type AS category, round(sum(value * (1 + user_id % 3)) / sum(1 + user_id % 3), 6) AS weighted, round(quantile_disc(value, 0.5), 6) AS lower_median, count(*) AS n FROM events GROUP BY event_type")
 def weighted_category_mean(spark, sf_dir):
     w = 1 + F.col("user_id") % 3
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("category")).agg(
-        F.round(M.weighted_mean(F.col("value"), w), 6).alias("weighted"), F.round(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)"), 6).alias("lower_median"), F.count("*").alias("n")
-    )
+    rows = table(spark, sf_dir, "events").withColumnRenamed("event_type", "category")
+    means = rows.groupBy("category").agg(F.round(M.weighted_mean(F.col("value"), w), 6).alias("weighted"), F.count("*").alias("n"))
+    out = M.matched(means, M.quantile(rows, ["category"], F.col("value"), 0.5, "lower_median", lower=True), ["category"], "left")
+    return out.select("category", "weighted", *r6(lower_median=F.col("lower_median")), "n")
 
 
 @query("SELECT event_id AS iter, round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS rolling FROM events")
