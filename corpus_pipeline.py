@@ -58,13 +58,19 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more of 5-word shingles: that with the least id.
+    """One row of each group linked by a Jaccard similarity of 0.8 or more of 5-word shingles: that with the least id.
 
-    These are the near copies with a few edits, whose SimHashes differ in more bits than op7's two.
+    These are the near copies with a few edits, whose SimHashes differ in more bits than op7's two. Every row counts
+    by itself: rows without an id come after those with one, and rows that share an id don't stand for each other.
     """
-    groups = materialise(near_copies(docs.where(F.col("doc_id").isNotNull()), ["doc_id"]), "groups")
-    least = groups.groupBy("group").agg(F.min("doc_id").alias("doc_id"))
-    return docs.join(least.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    keyed = docs.withColumn("_g_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    groups = materialise(near_copies(keyed, ["doc_id", "_g_key"]), "groups")
+    least = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_g_key")).alias("o"))
+    kept = least.select(F.col("o.doc_id").alias("_g_id"), F.col("o._g_key").alias("_g_kept"))
+    out = keyed.join(kept, (F.col("_g_key") == F.col("_g_kept")) & F.col("doc_id").eqNullSafe(F.col("_g_id")), "left_semi").drop("_g_key")
+    if groups.groupBy("doc_id", "_g_key").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates()  # exact repeats of a kept row
+    return out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -358,3 +358,16 @@ def test_pipeline_drops_near_copies(spark):
     assert near_groups(left) == list(range(len(left)))  # no pair is left, and no group has gone
     of = near_groups(rows)
     assert {of[i] for i, _ in left} == set(of)
+
+
+def test_near_copies_by_row(spark):
+    """Rows without an id, rows that share one, and exact repeats."""
+    words = [[f"{c}{i}" for i in range(80)] for c in "abcd"]
+    edit = lambda w, i: " ".join([*w[:i], "edited", *w[i + 1 :]])
+    a, b, c, d = (" ".join(w) for w in words)
+    rows = [(1, a), (None, edit(words[0], 40)), (2, edit(words[0], 9)), (2, b), (2, edit(words[1], 70)), (None, c), (None, edit(words[2], 30)), (3, d), (3, d), (None, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    out = corpus_pipeline.drop_near_copies(spark, df, SF)
+    got = out.toPandas()
+    assert out.columns == df.columns and sorted(got.doc_id.dropna()) == [1, 2, 3] and len(got) == 4
+    assert {t.split()[0] for t in got.text} == {"a0", "b0", "c0", "d0"}
