@@ -114,7 +114,9 @@ def weighted_category_mean(spark, sf_dir):
 
 @query("SELECT event_id AS iter, round(avg(value) OVER (ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS rolling FROM events")
 def loss_rolling(spark, sf_dir):
-    out = M.rolling_mean(table(spark, sf_dir, "events").select(F.col("event_id").alias("iter"), "value"), "iter", "value", 100, 1000)
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("iter"), "value", F.lit(1).alias("g"))
+    rows = ranked(rows, ["g"], F.floor(F.col("iter") / 1000), [F.col("iter")], "i")  # ids may have gaps
+    out = M.rolling_mean(rows, "i", "value", 100, 1000)
     return out.select("iter", F.round("rolling", 6).alias("rolling"))
 
 

@@ -30,3 +30,12 @@ def test_quantile_is_exact(spark, q):
 def test_no_percentile_holds_a_group(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"\bpercentile(_disc|_cont)?\(", plan)
+
+
+def test_rolling_loss_with_gaps_in_the_ids(spark, tmp_path):
+    ids = [i for i in range(5000) if i % 1000 < 900 or i % 7 == 0]
+    values = np.random.default_rng(8).random(len(ids))
+    spark.createDataFrame(list(zip(ids, values.tolist())), "event_id long, value double").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["loss_rolling"](spark, str(tmp_path)).toPandas().sort_values("iter")
+    want = [values[max(0, k - 99) : k + 1].mean() for k in range(len(ids))]
+    assert got["iter"].tolist() == ids and np.allclose(got["rolling"], want, atol=1e-6)
