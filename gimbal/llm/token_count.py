@@ -11,6 +11,7 @@ from functools import lru_cache
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 from .common import map_text
 
@@ -108,14 +109,20 @@ class _Words(dict):
 class _Chunks(dict):
     """Count of a run of characters without white space."""
 
-    def __init__(self, words: _Words, pattern: regex.Pattern):
+    def __init__(self, words: _Words, pattern: regex.Pattern, tokenizer: Tokenizer):
         super().__init__()
         self.words, self.pattern = words, pattern
+        self.normalise, self.split = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
 
     def __missing__(self, chunk: str) -> int:
-        # Normalisation, then the pre-tokens; none of them crosses white space.
-        text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        n = sum(map(self.words.__getitem__, self.pattern.findall(text)))
+        # Normalisation, then the pre-tokens; none of them crosses white space. Beyond Latin both are the
+        # tokenizer's own: its Unicode tables aren't those of this Python.
+        if max(chunk) < "\u0250":
+            words = self.pattern.findall(unicodedata.normalize("NFC", chunk).lower())
+        else:
+            text = self.normalise(chunk)
+            words = [text[a:b] for _, (a, b) in self.split(text)]
+        n = sum(map(self.words.__getitem__, words))
         if len(chunk) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -131,7 +138,7 @@ class Counter:
             spec = json.load(f)
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["model"]["merges"]]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.chunks = _Chunks(_Words(Merger(merges, spec["model"]["end_of_word_suffix"])), regex.compile(pattern.replace(r"\s", SPACE)))
+        self.chunks = _Chunks(_Words(Merger(merges, spec["model"]["end_of_word_suffix"])), regex.compile(pattern.replace(r"\s", SPACE)), Tokenizer.from_file(path))
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
         self.special = re.compile("|".join(special))
         self.separators = re.compile("[\x1c-\x1f]")
