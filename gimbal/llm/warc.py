@@ -14,11 +14,12 @@ import bisect
 import gzip
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -37,6 +38,8 @@ ENTRY = "key string, page_id long, digest string, file string, at long, size lon
 
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The store of a folder that Spark names; Hadoop's names of the S3 scheme are one to pyarrow."""
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
@@ -70,7 +73,7 @@ def _record(url: str, page_id, payload: bytes, digest: str, refers_to, revisit:
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date: 2024-01-01T00:00:00Z",
-        "WARC-Target-URI: " + "".join(c if c.isprintable() else "%0A" for c in url or "urn:none"),
+        "WARC-Target-URI: " + "".join(c if c.isprintable() else quote(c) for c in url or "urn:none"),
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
@@ -317,7 +320,8 @@ def mark_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, shards: int | None = None) -> DataFrame:
     """Write pages (page_id, url, html) as WARC files, index them, and read every record back through the index.
 
-    One row per page row: page_id, url, payload_bytes, payload_digest, record_type, refers_to. Null html is an empty payload,
+    One row per page row: page_id, url, payload_bytes, payload_digest, record_type, refers_to. Null html is an empty payload;
+    characters that don't print are percent-encoded in the url;
     a null or bad url has a key of its own. Equal rows have equal keys and come back as often as they were
     written. An empty table gives no rows. Files live in the shared folder; a failed attempt's are never referred to.
     """
@@ -330,14 +334,17 @@ def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, shards: int
     top = materialise(write_index(entries, f"{folder}/index", shards), "shards")
     level = sorted((r.last, r.shard) for r in top.select("last", "shard").collect())  # MAX_SHARDS rows at most
     # The requests come from the pages, not from the entries.
-    places = find(_requests(marked), f"{folder}/index", level, partitions)
+    places = find(_requests(pages), f"{folder}/index", level, partitions)
     return read_records(places, f"{folder}/records", partitions)
 
 
-def _requests(marked: DataFrame) -> DataFrame:
+def _requests(pages: DataFrame) -> DataFrame:
+    """The sort key of every page's entry."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("url", "page_id", "digest")))
             yield pa.RecordBatch.from_arrays([pa.array([_sortable(url_key(u), p, _base32(d)) for u, p, d in rows], pa.string())], names=["sort"])
 
-    return marked.select("url", "page_id", "digest").mapInArrow(run, "sort string")
+    digest = F.unhex(F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
+    return pages.select("url", "page_id", digest.alias("digest")).mapInArrow(run, "sort string")

@@ -154,6 +154,16 @@ def test_warc_round_trip(spark, monkeypatch, block):
     assert got == expected(brute.warc([(i, h) for i, _, h in PAGES]))
 
 
+def test_warc_urls_and_stores():
+    record = warc.parse_record(warc._record("http://a.b/\tü\xa0x", 4, b"<p>", warc.payload_digest(b"<p>"), None, False))
+    assert record["url"] == "http://a.b/%09ü%C2%A0x" and record["payload"] == b"<p>"
+    names = {warc.pafs.FileSystem: None}
+    for scheme in ("s3", "s3a", "s3n"):
+        store, root = warc._file_system(f"{scheme}://bucket/folder?region=us-east-1")
+        names[type(store)] = root
+    assert names.pop(warc.pafs.S3FileSystem) == "bucket/folder" and len(names) == 1
+
+
 def test_warc_index_blocks_and_lookup(spark, tmp_path):
     entries = spark.createDataFrame([(f"com,a)/{i % 7}", i % 50, "D", f"f{i}", i, 1) for i in range(1000)], warc.ENTRY)
     top = warc.write_index(entries, str(tmp_path / "i"), 3, block_entries=16).collect()
