@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from gimbal.llm import oracles, packing, pii, quality_gam, queries, simhash, toxicity, warc
 from gimbal.llm.components import components
+from gimbal.llm import decontaminate as decontamination
 from gimbal.llm.decontaminate import decontaminate
 from gimbal.llm.line_dedup import line_dedup
 from gimbal.llm.quality_rules import quality_rules
@@ -109,14 +110,27 @@ def test_components_of_a_path_and_a_star(spark):
 ITEMS = [(1, "Alpha beta, gamma delta epsilon zeta eta theta iota kappa lambda"), (2, "漢字 🙂🙂"), (3, None), (None, "alpha beta"), (4, "..."), (2, "a b"), (5, "never seen words")]
 
 
-@pytest.mark.parametrize("limit", [32_000_000, 0])
+@pytest.mark.parametrize("limit", [1_500_000, 0])
 def test_decontaminate(spark, docs, limit):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    out = decontaminate(docs, bench, broadcast_chars=limit)
+    out = decontaminate(docs, bench, broadcast_words=limit)
     got = rows_of(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == expected(brute.decontaminate(ROWS, ITEMS))
 
 
+def test_window_hashes_that_collide_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontamination._Hashes, "__missing__", lambda self, word: len(word))
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join("ab"[i] * j for i, j in zip(rng.integers(0, 2, n), rng.integers(1, 3, n)))
+    items = [(str(i % 6), text(int(rng.integers(1, 8)))) for i in range(9)]
+    index = decontamination.build_index(items, 3)
+    rows = [(i, text(int(rng.integers(0, 40)))) for i in range(60)]
+    for (_, t), want in zip(rows, brute.decontaminate(rows, items, 3)):
+        n, found = index.scan(decontamination.words_of(t), decontamination._Hashes().__getitem__)
+        assert (n, len(found)) == want[2:4]
+    assert index.nbytes > 1 << 21
+
+
 def test_personal_data_base(docs):
     got = rows_of(pii.personal_data(docs, pii.SpanModel()), "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
     want = []
