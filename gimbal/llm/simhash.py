@@ -3,7 +3,7 @@
 A 64-bit fingerprint is a ring of `segments` parts. If two fingerprints differ in at most t bits, some
 part starts a chain in which the first l parts differ in at most l*t/segments bits, for every l. Chains must
 therefore begin with ceil(segments/t)-1 equal parts: these are the join key. The following parts are
-tested against their growing budgets before the full Hamming distance.
+tested against their growing budgets before the full Hamming distance. Keys with many holders take more parts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .common import map_text, materialise
 from .components import components
 
-#: Pairs are listed within a bucket of up to this many fingerprints; larger ones take the neighbour-key way.
+#: Pairs are listed within a bucket of up to this many fingerprints; in larger ones the chain's key grows by a part.
 PAIR_BUCKET = 32
 
 _FP = T.StructType([T.StructField("fp", T.LongType())])
@@ -56,73 +56,64 @@ def _rotate(fp: Column, n: int) -> Column:
     return fp if n == 0 else F.shiftleft(fp, 64 - n).bitwiseOR(F.shiftrightunsigned(fp, n))
 
 
+def _part_key(rot: Column, i: Column, length: int, width: int) -> Column:
+    """The first `length` parts of a ring that starts at part i, and i itself, as one number."""
+    mask = (1 << (length * width)) - 1
+    return rot.bitwiseAND(F.lit(_signed(mask))) + F.shiftleft(i.cast("long"), length * width)
+
+
 def links(fps: DataFrame, max_bits: int = 2, segments: int = 8, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct `fp` within `max_bits` bits."""
+    """Edges (a, b) whose components are those of all pairs of distinct `fp` within `max_bits` bits.
+
+    A chain begins with equal parts. Fingerprints that share this key are compared in a list of up to `pair_bucket`; a key
+    with more holders makes its chains longer by one part: each fingerprint is held under its own longer key, and looks up
+    the keys that the chain's budget allows, one bit apart at most. The last but one part leaves 2 ** (64 / segments)
+    holders at most, so lists are bounded without leaving a pair out.
+    """
     width = 64 // segments
+    if not 1 <= max_bits <= 2 or 64 % segments or math.ceil(segments / max_bits) - 1 < 1 or width > 8:
+        raise ValueError("max_bits must be 1 or 2, and segments divide 64 into parts of 8 bits at most with a chain of one equal part at least")
     lead = math.ceil(segments / max_bits) - 1
-    if not 1 <= max_bits <= 2 or 64 % segments or lead < 1:
-        raise ValueError("max_bits must be 1 or 2, and segments divide 64 with a chain of one equal part at least")
-    mask = (1 << (lead * width)) - 1
-    chains = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                _rotate(F.col("fp"), i * width).alias("rot"),
-            )
-            for i in range(segments)
-        ]
-    )
-    shift = lead * width
-    rows = fps.select("fp", F.inline(chains)).select(
-        "fp", "i", "rot", (F.col("rot").bitwiseAND(F.lit(mask)) + F.shiftleft(F.col("i").cast("long"), shift)).alias("key")
-    )
-    # Joined on another form of the key, so that both sides are dealt anew and a hot key's rows can be split among tasks.
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("key").alias("k"), "n")
-    shared = rows.join(sizes, F.bitwise_not("key") == F.col("k")).select("fp", "i", "rot", "key", "n")
 
-    # Small buckets: pairs inside a list of bounded size, cut by the chain before they leave it.
     def viable(x: Column, y: Column) -> Column:
+        """The full distance, and the budget of every prefix of the chain."""
         diff = x.bitwiseXOR(y)
         test = F.bit_count(diff) <= max_bits
-        for l in range(segments - 1, lead, -1):
-            part = diff.bitwiseAND(F.lit((1 << (l * width)) - 1))
-            test = (F.bit_count(part) <= (l * max_bits) // segments) & test
+        for n in range(segments - 1, lead, -1):
+            test = (F.bit_count(diff.bitwiseAND(F.lit((1 << (n * width)) - 1))) <= (n * max_bits) // segments) & test
         return test
 
-    bucket = (
-        shared.where(F.col("n") <= pair_bucket)
-        .groupBy("key")
-        .agg(F.collect_list("rot").alias("rots"), F.first("i").alias("i"))
-    )
-    rots = F.col("rots")
-    pairs = F.flatten(
-        F.transform(
-            rots,
-            lambda x, k: F.transform(
-                F.filter(F.slice(rots, k + 2, F.size(rots)), lambda y: viable(x, y)), lambda y: F.struct(x.alias("x"), y.alias("y"))
-            ),
-        )
-    )
-    found = bucket.select("i", pairs.alias("pairs")).where(F.size("pairs") > 0).select("i", F.inline("pairs"))
-    back = F.lit(64) - F.col("i") * width
-
-    def unrotate(c: str) -> Column:
-        return F.when(F.col("i") == 0, F.col(c)).otherwise(_turn(F.col(c), back))
-
-    small = found.select(unrotate("x").alias("a"), unrotate("y").alias("b"))
-
-    # Large buckets: two fingerprints differ in two bits at most just when they share a key among themselves
-    # and their one-bit neighbours. A key has 65 holders at most, so its list is bounded by construction.
-    hot = shared.where(F.col("n") > pair_bucket).select("fp").distinct()
-    keys = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)])
-    if max_bits == 1:
-        # Distance one: link a fingerprint to a neighbour that exists.
-        near = hot.select("fp", F.explode(keys).alias("k")).join(hot.select(F.col("fp").alias("k")), "k").where("k != fp")
-        large = near.select(F.col("fp").alias("a"), F.col("k").alias("b"))
-    else:
-        held = hot.select("fp", F.explode(keys).alias("k")).groupBy("k").agg(F.collect_list("fp").alias("held")).where(F.size("held") > 1)
-        large = held.select(F.explode("held").alias("a"), F.array_min("held").alias("b")).where("a != b")
-    return small.union(large)
+    chains = F.array(*[F.struct(F.lit(i).alias("i"), _rotate(F.col("fp"), i * width).alias("rot")) for i in range(segments)])
+    rows, out = fps.select(F.inline(chains)), None
+    for n in range(lead, segments):
+        key, final = _part_key(F.col("rot"), F.col("i"), n, width), n == segments - 1
+        held = rows.withColumn("key", key)
+        sizes = held.groupBy("key").agg(F.count("*").alias("n")).select(F.bitwise_not("key").alias("k"), "n")
+        if n == lead:  # a key of one holder has no pair
+            sizes = sizes.where("n > 1")
+        # Joined on another form of the key, so that both sides are dealt anew and a hot key's rows can be split among tasks.
+        sized = held.join(sizes, F.bitwise_not("key") == F.col("k")).select("i", "rot", "key", "n")
+        sized = materialise(sized, "chains")
+        lists = (sized if final else sized.where(F.col("n") <= pair_bucket)).groupBy("key").agg(F.collect_list("rot").alias("rots"))
+        if n == lead:
+            rots = F.col("rots")
+            later = lambda x, at: F.transform(F.filter(F.slice(rots, at + 2, F.size(rots)), lambda y: viable(x, y)), lambda y: F.struct(x.alias("x"), y.alias("y")))
+            found = lists.select(F.shiftright("key", lead * width).cast("int").alias("i"), F.inline(F.flatten(F.transform(rots, later))))
+        else:
+            # Keys that differ from a row's own in the parts after the lead, by one bit if the budget has one.
+            flips = [0, *[1 << b for b in range(lead * width, n * width)]] if (n * max_bits) // segments else [0]
+            near = F.array(*[F.col("rot").bitwiseXOR(F.lit(_signed(f))) for f in flips])
+            asks = rows.select("i", "rot", F.explode(near).alias("at")).select("i", "rot", _part_key(F.col("at"), F.col("i"), n, width).alias("key"))
+            met = asks.join(lists.select(F.bitwise_not("key").alias("k"), "rots"), F.bitwise_not("key") == F.col("k"))
+            found = met.select("i", F.col("rot").alias("x"), F.explode(F.filter("rots", lambda y: viable(F.col("rot"), y))).alias("y")).where("x != y")
+        back = F.lit(64) - F.col("i") * width
+        unrotate = lambda c: F.when(F.col("i") == 0, F.col(c)).otherwise(_turn(F.col(c), back))
+        edges = found.select(unrotate("x").alias("a"), unrotate("y").alias("b"))
+        out = edges if out is None else out.union(edges)
+        rows = sized.where(F.col("n") > pair_bucket).select("i", "rot")
+        if final or not rows.limit(1).count():
+            return out
+    return out
 
 
 def _signed(x: int) -> int:
