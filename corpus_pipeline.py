@@ -1,4 +1,4 @@
-"""A corpus pipeline of six stages: each takes the documents that the stage before it kept.
+"""A corpus pipeline of five stages: each takes the documents that the stage before it kept.
 
 All but the last return the columns of `documents`. Nothing here hides an import error: without the operators'
 package there is no pipeline.
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gimbal.llm import decontaminate as decontamination
 from gimbal.llm import toxicity as tox
 from gimbal.llm.common import materialise, read
+from gimbal.llm.components import components
 from gimbal.llm.jaccard import near_copies
 from gimbal.llm.line_dedup import line_dedup
 from gimbal.llm.packing import best_fit_packing
@@ -39,42 +40,34 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the least id.
+    """One row of each group of near-duplicates: that with the least id.
 
-    Rows that share this id stay, but for exact repeats. Rows without an id are compared by their whole text only.
-    """
-    groups = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
-    kept = materialise(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    if kept.where("n > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    bench = read(spark, sf_dir, "benchmark")
-    return _without(docs, "contaminated", decontamination.OUT.names, lambda df, keep: decontamination.decontaminate(df, bench, keep=keep))
-
-
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group linked by a Jaccard similarity of 0.8 or more of 5-word shingles: that with the least id.
-
-    These are the near copies with a few edits, whose SimHashes differ in more bits than op7's two. Every row counts
-    by itself: rows without an id come after those with one, and rows that share an id don't stand for each other.
+    SimHashes of 5-word shingles link rows that differ in two bits at most. Texts of a Jaccard similarity of 0.8 or more of these shingles
+    are linked too, as most of them differ in more bits. Every row counts by itself: rows without an id come after
+    those with one, and rows that share an id don't stand for each other. An empty table stays empty.
     """
     keyed = docs.withColumn("_g_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    groups = materialise(near_copies(keyed, ["doc_id", "_g_key"]), "groups")
-    least = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_g_key")).alias("o"))
+    prints = near_duplicates(keyed, "_g_key", shingle=5).select(F.col("_g_key").alias("_g_k"), F.xxhash64(F.lit("simhash"), "component_id").alias("a")).distinct()
+    copies = near_copies(keyed, ["doc_id", "_g_key"])
+    rows = copies.join(prints, F.col("_g_key") == F.col("_g_k")).select("doc_id", "_g_key", "a", F.xxhash64(F.lit("jaccard"), "group").alias("b"))
+    rows = materialise(rows, "groups")
+    roots = components(rows.select("a", "b")).select(F.bitwise_not("node").alias("r"), "root")
+    least = rows.join(roots, F.bitwise_not("a") == F.col("r")).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_g_key")).alias("o"))
     kept = least.select(F.col("o.doc_id").alias("_g_id"), F.col("o._g_key").alias("_g_kept"))
     out = keyed.join(kept, (F.col("_g_key") == F.col("_g_kept")) & F.col("doc_id").eqNullSafe(F.col("_g_id")), "left_semi").drop("_g_key")
-    if groups.groupBy("doc_id", "_g_key").count().where("count > 1").limit(1).count():
+    if rows.groupBy("doc_id", "_g_key").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates()  # exact repeats of a kept row
     return out
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item; a null text has none, and an empty table stays empty."""
+    bench = read(spark, sf_dir, "benchmark")
+    return _without(docs, "contaminated", decontamination.OUT.names, lambda df, keep: decontamination.decontaminate(df, bench, keep=keep))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, placed in training sequences."""
+    """Pieces of the documents, placed in training sequences; a null text is one piece, and an empty table gives none."""
     return best_fit_packing(docs)
 
 
@@ -83,7 +76,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("line dedup", drop_common_lines),
     ("SimHash near-dedup", near_dedup),
     ("benchmark decontamination", drop_contaminated),
-    ("near-copy dedup", drop_near_copies),
     ("best-fit packing", pack),
 ]
 

@@ -5,8 +5,12 @@ n - ceil(t * n) + 1 shingles. These prefixes are the join key; sizes and places
 the similarity, and every pair left is verified on the whole sets. Any order finds all pairs: shingles that are common in a sample
 come last, so that a frequent passage is no key unless a text consists of little else.
 
-In a bucket of many texts each is first compared with three of them. Once those links are contracted, only pairs
-of different components are compared, so a large group of near copies doesn't cost its square, and no pair is left out.
+In a bucket of many texts each is first compared with three of them, then those not yet linked with more of them drawn by hash, round by
+round. Once these links are contracted, only texts outside a bucket's main component are compared with all of other components, each pair
+in one bucket only. So a large group of near copies doesn't cost its square, and no pair is left out.
+
+Rows that can't have a partner are held back before a shuffle by a bitmap of bounded size; a full bitmap would only
+let more of them through.
 """
 
 from __future__ import annotations
@@ -20,17 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, materialise, sample_ids
+from .common import map_text, materialise
 from .components import components
 
 #: Pairs are listed at once within a bucket of up to this many sets.
 PAIR_BUCKET = 32
-#: Sets that tell which shingles are common, times that make one common, and the most such shingles.
+#: Sets that tell which shingles are common (expected), times that make one common, and the most such shingles.
 SAMPLE, COMMON, MOST = 20_000, 5, 100_000
+#: Partners drawn from a bucket in each round, and the most bits of a bitmap (8 MB).
+ROUNDS, MOST_BITS = (24, 96), 1 << 26
 
-_SET = T.StructType([T.StructField("node", T.LongType()), T.StructField("sh", T.ArrayType(T.LongType()))])
-_KEYS = "key long, node long, n int, i int"
-_ARROW = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("i", pa.int32())])
+_PREFIX = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+_ROWS = "key long, node long, n int, i int"
 
 
 def shingles(text: str, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -43,68 +48,130 @@ def shingles(text: str, shingle: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((digest(g, seed) for g in grams), np.uint64).view(np.int64))
 
 
-def _sets(docs: DataFrame, text_col: str, keep: list[str], shingle: int) -> DataFrame:
-    """`keep` columns, the set `sh`, and its hash `node`. Null text has no words."""
+def _node(of: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(of.tobytes()) - (1 << 63)
+
+
+def _common(docs: DataFrame, text_col: str, rid: Column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that a sample of about SAMPLE rows, drawn by hash, holds COMMON times or more, and how often."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.where(F.pmod(rid, F.lit(1 << 30)) < int(share * (1 << 30)))
+    fields = T.StructType([T.StructField("sh", T.ArrayType(T.LongType()))])
+    seen = map_text(some, text_col, [], fields, lambda: lambda texts: {"sh": [shingles(t, shingle) for t in texts]})
+    often = seen.distinct().select(F.explode("sh").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    often = often.orderBy(F.desc("n"), "key").limit(MOST).toPandas().sort_values("key")
+    return often.key.to_numpy(np.int64), often.n.to_numpy(np.int64)
+
+
+def _prefixes(docs: DataFrame, text_col: str, keep: list[str], shingle: int, least: float, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """`keep` columns, `node` (hash of the set), its size `n`, and `keys`, its first shingles in the order. Null text has no words."""
+
+    def first(of: np.ndarray) -> np.ndarray:
+        if not len(of):
+            return of
+        times = np.zeros(len(of), np.int64)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, of), len(common) - 1)
+            times = np.where(common[at] == of, counts[at], 0)
+        return of[np.argsort(times, kind="stable")][: len(of) - int(np.ceil(least * len(of) - 1e-9)) + 1]
 
     def make():
         def work(texts: list[str]) -> dict[str, list]:
             sets = [shingles(t, shingle) for t in texts]
-            return {"node": [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets], "sh": sets}
+            return {"node": [_node(x) for x in sets], "n": [len(x) for x in sets], "keys": [first(x) for x in sets]}
 
         return work
 
-    return map_text(docs, text_col, keep, _SET, make)
+    return map_text(docs, text_col, keep, _PREFIX, make)
+
+
+def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """Bits of the hashes in a column: some 16 for each, and at most MOST_BITS in all."""
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (16 * rows.count()).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = rows.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("b")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.w.to_numpy(np.int64)] = words.b.to_numpy(np.int64)
+    return out.view(np.uint64)
+
 
+def _maybe(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes & (len(bitmap) * 64 - 1)
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
-def _prefixes(sets: DataFrame, least: float, common: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(key, node, n, i): the first shingles of each set, its size, and the place in the order from 0."""
+
+def _shared(firsts: DataFrame) -> DataFrame:
+    """(key, node, n, i): prefix shingles that two sets or more hold, with their place in each."""
+    used = firsts.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    used = materialise(used.where("lo < hi").select("key"), "used")
+    bits = firsts.sparkSession.sparkContext.broadcast(_bitmap(used, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            flat, n = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(n)), n)
-            at = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
-            times = np.where(common[at] == flat, counts[at], 0) if len(common) else np.zeros(len(flat), np.int64)
-            order = np.lexsort((flat, times, row))
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            first = place < (n - np.ceil(least * n - 1e-9) + 1)[row]
-            columns = [flat[order][first], batch.column(0).to_numpy()[row[first]], n[row[first]].astype(np.int32), place[first].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_ARROW)
-
-    return sets.select("node", "sh").mapInArrow(run, _KEYS)
-
-
-def _pairs(left: DataFrame, right: DataFrame, least: float, also: Column) -> DataFrame:
-    """(a, b) that share a key and can still reach the similarity; columns are those of the prefixes, `key2` and so on at the right."""
+            keys = batch.column(2)
+            flat, size = keys.flatten().to_numpy(zero_copy_only=False), keys.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            hit = _maybe(bits.value, flat)
+            row = row[hit]
+            columns = [flat[hit], batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], place[hit].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "i"])
+
+    rows = firsts.select("node", "n", "keys").mapInArrow(run, _ROWS)
+    # Joined on another form of the key, so that both sides are dealt anew and a hot key's rows can be split among tasks.
+    other = used.select(F.bitwise_not("key").alias("k")).hint("merge")
+    return materialise(rows.join(other, F.bitwise_not("key") == F.col("k"), "left_semi").distinct(), "shared")
+
+
+def _held(docs: DataFrame, text_col: str, rid: Column, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, sh): the sets of the rows whose `rid` is in `wanted`, and perhaps of some others."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "rid"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.flatnonzero(_maybe(bits.value, batch.column(0).to_numpy()))
+            for at in range(0, len(hit), 512):
+                sets = [shingles(t or "", shingle) for t in batch.column(1).take(pa.array(hit[at : at + 512])).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "sh"])
+
+    rows = docs.select(rid.alias("rid"), text_col).mapInArrow(run, "node long, sh array<long>")
+    return materialise(rows.dropDuplicates(["node"]), "sets")
+
+
+def _pairs(left: DataFrame, right: DataFrame, least: float, also: Column, every_key: bool = True) -> DataFrame:
+    """(a, b) that share a key and can still reach the similarity; columns are those of the prefixes, `key2` and so on at the right.
+
+    Places in the order cut a pair only where it meets under `every_key` that it shares, as they bound it at its first one alone.
+    """
     sizes = (F.col("n") >= least * F.col("n2") - 1e-9) & (F.col("n2") >= least * F.col("n") - 1e-9)
-    reach = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) * (1 + least) >= least * (F.col("n") + F.col("n2")) - 1e-9
+    if every_key:
+        sizes = sizes & (F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) * (1 + least) >= least * (F.col("n") + F.col("n2")) - 1e-9)
     other = right.withColumnsRenamed({c: f"{c}2" for c in right.columns})
-    out = left.join(other, (F.col("key") == F.col("key2")) & also & sizes & reach)
+    out = left.join(other, (F.col("key") == F.col("key2")) & also & sizes)
     return out.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
     """The pairs whose whole sets are as similar as that."""
-    pairs = materialise(pairs, "pairs")
-    nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    held = sets.select("node", "sh").join(nodes.hint("merge"), F.col("node") == F.col("c"), "left_semi").dropDuplicates(["node"])
-    held = materialise(held, "sets")
     a, b = (held.select(F.bitwise_not("node").alias(f"n{c}"), F.col("sh").alias(f"s{c}")) for c in "ab")
     out = pairs.join(a.hint("merge"), F.bitwise_not("a") == F.col("na")).join(b.hint("merge"), F.bitwise_not("b") == F.col("nb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return materialise(out.where(both * (1 + least) >= least * (F.size("sa") + F.size("sb")) - 1e-9).select("a", "b"), "links")
 
 
-def links(sets: DataFrame, least: float = 0.8, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
-    """Edges (a, b) whose components are those of all pairs of distinct sets (node, sh) of similarity `least` or more."""
-    some = F.broadcast(sample_ids(sets, "node", SAMPLE).withColumnRenamed("node", "c"))
-    seen = sets.join(some, F.col("node") == F.col("c")).select("node", F.explode("sh").alias("key")).distinct()
-    often = seen.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "key").limit(MOST).toPandas().sort_values("key")
-    rows = materialise(_prefixes(sets, least, often.key.to_numpy(np.int64), often.n.to_numpy(np.int64)), "prefixes")
-    # Joined on another form of the key, so that both sides are dealt anew and a hot key's rows can be split among tasks.
-    used = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select(F.bitwise_not("key").alias("k"))
-    shared = materialise(rows.join(used.hint("merge"), F.bitwise_not("key") == F.col("k"), "left_semi").distinct(), "shared")
+def _rooted(large: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """Rows of buckets that hold more than one component, with each set's `root` and the bucket's `main` one; none if there are none."""
+    roots = materialise(components(edges), "roots").select(F.bitwise_not("node").alias("r"), "root")
+    at = large.join(roots.hint("merge"), F.bitwise_not("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node")).drop("r")
+    at = materialise(at, "rooted")
+    main = at.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts"))
+    main = main.where("parts > 1").select(F.bitwise_not("key").alias("k"), "main")
+    mixed = materialise(at.join(main.hint("merge"), F.bitwise_not("key") == F.col("k")).drop("k"), "mixed")
+    return mixed if mixed.limit(1).count() else None
+
+
+def links(shared: DataFrame, held: DataFrame, least: float = 0.8, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+    """Edges (a, b) whose components are those of all pairs of distinct sets of similarity `least` or more."""
     member = F.struct("node", "n", "i")
     sizes = shared.groupBy("key").agg(
         F.count("*").alias("held"), F.min(member).alias("p0"), F.max(member).alias("p1"), F.min_by(member, F.xxhash64("key", "node")).alias("p2")
@@ -112,31 +179,45 @@ def links(sets: DataFrame, least: float = 0.8, pair_bucket: int = PAIR_BUCKET) -
     sizes = materialise(sizes.withColumn("k", F.bitwise_not("key")).drop("key"), "sizes")
     sized = shared.join(sizes.select("k", "held").hint("merge"), F.bitwise_not("key") == F.col("k")).drop("k")
     small = sized.where(F.col("held") <= pair_bucket).drop("held")
-    large = materialise(sized.where(F.col("held") > pair_bucket).drop("held"), "large")
+    large = materialise(sized.where(F.col("held") > pair_bucket), "large")
     pivots = sizes.where(F.col("held") > pair_bucket).select(F.bitwise_not("k").alias("key"), F.explode(F.array("p0", "p1", "p2")).alias("p"))
     pivots = pivots.select("key", "p.*").distinct()
     near = _pairs(small, small, least, F.col("node") < F.col("node2"))
-    near = near.union(_pairs(large, pivots, least, F.col("node") != F.col("node2"))).distinct()
-    edges = _verified(near, sets, least)
+    near = near.union(_pairs(large.drop("held"), pivots, least, F.col("node") != F.col("node2"))).distinct()
+    edges = _verified(near, held, least)
     if not large.limit(1).count():
         return edges
-    # What the large buckets have left: pairs of different components, one of them outside the bucket's main one.
-    roots = materialise(components(edges), "roots").select(F.bitwise_not("node").alias("r"), "root")
-    at = large.join(roots.hint("merge"), F.bitwise_not("node") == F.col("r"), "left").withColumn("root", F.coalesce("root", "node")).drop("r")
-    at = materialise(at, "rooted")
-    main = at.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("parts"))
-    main = materialise(main.where("parts > 1").select(F.bitwise_not("key").alias("k"), "main"), "main")
-    mixed = materialise(at.join(main.hint("merge"), F.bitwise_not("key") == F.col("k")).drop("k"), "mixed")
+    for number, draws in enumerate(ROUNDS):
+        mixed = _rooted(large, edges)
+        if mixed is None:
+            return edges
+        # Each set outside the main component asks in one of its buckets, among members drawn by hash.
+        order = F.xxhash64(F.lit(number), "key", "node")
+        asks = mixed.where("root != main").groupBy("node").agg(F.min_by(F.struct("key", "n", "i", "root"), order).alias("m")).select("node", "m.*")
+        drawn = mixed.where(F.pmod(F.xxhash64(F.lit(number), "node", "key"), F.col("held")) < draws).select("key", "node", "n", "i", "root")
+        edges = edges.union(_verified(_pairs(asks, drawn, least, F.col("root") != F.col("root2"), False), held, least))
+    mixed = _rooted(large, edges)
+    if mixed is None:
+        return edges
+    # What is left: all pairs of different components, one of them outside the main one, in the first bucket that both share.
+    keys = mixed.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys")).select(F.bitwise_not("node").alias("r"), "keys")
+    mixed = materialise(mixed.join(keys.hint("merge"), F.bitwise_not("node") == F.col("r")).drop("r", "held"), "mixed")
     apart = (F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("main2")) | (F.col("node") < F.col("node2")))
-    return edges.union(_verified(_pairs(mixed.where("root != main"), mixed, least, apart), sets, least))
+    once = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
+    return edges.union(_verified(_pairs(mixed.where("root != main"), mixed, least, apart & once, False), held, least))
 
 
 def near_copies(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 5, least: float = 0.8, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
     """One row per input row: the `keep` columns and `group`, the same for all texts that links of similarity `least` connect.
 
-    Equal sets are linked, also empty ones. Repeated rows stay repeated.
+    Equal sets are linked, also empty ones. Repeated rows stay repeated, null values of `keep` are values, and an empty table gives none.
     """
-    sets = materialise(_sets(docs, text_col, keep, shingle), "shingles")
-    roots = materialise(components(links(sets, least, pair_bucket)), "roots").select(F.bitwise_not("node").alias("r"), "root")
-    out = sets.drop("sh").join(roots.hint("merge"), F.bitwise_not("node") == F.col("r"), "left")
+    rid = F.xxhash64(*[F.col(f"`{c}`") for c in keep])
+    firsts = materialise(_prefixes(docs, text_col, keep, shingle, least, *_common(docs, text_col, rid, shingle)), "prefixes")
+    shared = _shared(firsts)
+    nodes = shared.select(F.bitwise_not("node").alias("r")).distinct().hint("merge")
+    wanted = firsts.join(nodes, F.bitwise_not("node") == F.col("r"), "left_semi").select(rid.alias("rid"))
+    held = _held(docs, text_col, rid, materialise(wanted.distinct(), "wanted"), shingle)
+    roots = materialise(components(links(shared, held, least, pair_bucket)), "roots").select(F.bitwise_not("node").alias("r"), "root")
+    out = firsts.drop("keys", "n").join(roots.hint("merge"), F.bitwise_not("node") == F.col("r"), "left")
     return out.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("root", "node").alias("group"))
