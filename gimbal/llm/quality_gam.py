@@ -158,7 +158,7 @@ def fit_additive(x: np.ndarray, y: np.ndarray, cycles: int = 120, pair_cycles: i
 
     g, h = grad()
     gains = [(_quadrants(table(a, b, g), table(a, b, h), lam)[0], a, b) for a in range(x.shape[1]) for b in range(a)]
-    model.pairs = [(a, b) for gain, a, b in sorted(gains, reverse=True)[:MAX_PAIRS] if gain > 4]
+    model.pairs = [(a, b) for gain, a, b in sorted(gains, reverse=True)[:MAX_PAIRS] if gain > 0]
     model.pair_tables = [np.zeros((wide[a], wide[b])) for a, b in model.pairs]
     for _ in range(pair_cycles):
         for (a, b), t in zip(model.pairs, model.pair_tables):
@@ -169,18 +169,24 @@ def fit_additive(x: np.ndarray, y: np.ndarray, cycles: int = 120, pair_cycles: i
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> AdditiveModel:
-    """Learn from at most `sample_docs` labelled documents outside the held-out fold, chosen by hash of their id.
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(_g_lid, y, x): features of one row of each of at most `sample_docs` labelled ids outside the held-out fold, chosen by hash of the id.
 
-    Rows without a label of 0 or 1 are left out; an id with both labels counts as 0.
+    Of an id's rows that with the least hash of its text is taken. Rows without a label of 0 or 1 are left out; an id with both counts as 0.
     """
     ok = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col))
     ids = sample_ids(ok, id_col, sample_docs)
     known = ok.join(F.broadcast(ids), id_col).groupBy(F.col(id_col).alias("_g_lid")).agg(F.min(label_col).cast("int").alias("y"))
     picked = docs.select(id_col, text_col).join(F.broadcast(known), F.col(id_col) == F.col("_g_lid"))
+    picked = picked.withColumn("_g_hash", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     fields = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
-    got = map_text(picked, text_col, ["_g_lid", "y"], fields, lambda: lambda texts: {"x": [features(t) for t in texts]}).toPandas()
-    got = got.sort_values("_g_lid", kind="stable")
+    rows = map_text(picked, text_col, ["_g_lid", "y", "_g_hash"], fields, lambda: lambda texts: {"x": [features(t) for t in texts]})
+    return rows.groupBy("_g_lid", "y").agg(F.min_by("x", F.struct("_g_hash", "x")).alias("x"))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> AdditiveModel:
+    """Learn from `training_rows`. Without any, the model is 0.5 everywhere."""
+    got = training_rows(docs, labels, id_col, text_col, label_col, sample_docs).toPandas().sort_values("_g_lid")
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return fit_additive(x, got["y"].to_numpy(float))
 
@@ -191,7 +197,7 @@ OUT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predi
 def quality_scores(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Per input row: the id, `held_out`, `score` in 0..1 and `predicted` (score >= threshold).
 
-    Null text is scored as empty text, a null id is not held out, repeated rows get equal scores.
+    Null text is scored as empty text, a null id is not held out, repeated rows get equal scores, and an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
