@@ -1,6 +1,6 @@
 """Line deduplication with DataFrame functions only.
 
-Lines are exploded with their positions, hashed to 128 bits, and counted by distinct documents.
+Lines are exploded with their positions, hashed to 128 bits, written once, and counted by distinct documents.
 Dropped positions come back to their document, which is reassembled from the slices between them.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower
+from .common import BLANKS, ascii_lower, materialise
 
 
 def _keys(text: Column) -> Column:
@@ -34,6 +34,7 @@ def line_dedup(
         .where(F.char_length("_g_key") >= min_chars)
         .select("_g_id", "_g_hash", "_g_pos", F.xxhash64("_g_key").alias("_g_k1"), F.xxhash64(F.lit("#"), "_g_key").alias("_g_k2"))
     )
+    lines = materialise(lines, "lines")  # hashed once: they are counted, then joined
     common = (
         lines.groupBy("_g_k1", "_g_k2")
         .agg(F.count_distinct("_g_id").alias("_g_n"), F.max("_g_id").alias("_g_keep"))
