@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER = r"([-+]?[0-9]*\.?[0-9]+)"
+# A number has digits before its point; blanks may stand on both sides of a comma.
+NUMBER = r"([-+]?[0-9]+(?:\.[0-9]+)?)"
 DECIMAL = r"([-+]?[0-9]+\.[0-9]+)"
-BASE = rf"are:\s*{NUMBER},\s*{NUMBER},\s*{NUMBER}[.\s]*$"
-ANSWER = rf"<answer>\s*{NUMBER},\s*{NUMBER},\s*{NUMBER}\s*</answer>"
-LENIENT = rf"{DECIMAL},\s*{DECIMAL},\s*{DECIMAL}"
+COMMA = r"\s*,\s*"
+BASE = rf"(?U)are:\s*{NUMBER}{COMMA}{NUMBER}{COMMA}{NUMBER}[.\s]*$"
+ANSWER = rf"(?U)<answer>\s*{NUMBER}{COMMA}{NUMBER}{COMMA}{NUMBER}\s*</answer>"
+LENIENT = rf"(?U){DECIMAL}{COMMA}{DECIMAL}{COMMA}{DECIMAL}"
 #: roll, pitch and vertical field of view where no triple is found (fixed values).
 DEFAULTS = (0.0, 0.0, 0.9163)
 
@@ -35,7 +39,8 @@ def think(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space at both ends, that of Unicode and the ASCII separators included."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def camera_sentence(text: Column) -> Column:
@@ -44,8 +49,10 @@ def camera_sentence(text: Column) -> Column:
     return F.when(got != "", got).otherwise(text)
 
 
-def stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
+def stem(path: Column, suffix: str | None = None) -> Column:
+    """The file name without its last extension, or with another one."""
+    name = F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1)
+    return name if suffix is None else F.concat(name, F.lit(f".{suffix.lstrip('.')}"))
 
 
 def json_text(document: Column, field: str, default: str = "") -> Column:
@@ -56,3 +63,62 @@ def sentence(roll: Column, pitch: Column, vfov: Column, yaw: Column | None = Non
     """The sentence that states camera parameters with four decimals."""
     text = F.format_string("The camera parameters (roll, pitch, and field-of-view) are: %.4f, %.4f, %.4f.", roll, pitch, vfov)
     return text if yaw is None else F.concat(text, F.format_string(" The deviation of the camera yaw angle is %.4f.", yaw))
+
+
+def merged(base: Column, thinking: Column) -> Column:
+    """The base caption followed by the thinking one's thoughts."""
+    return F.concat(base, F.lit(" "), think(thinking))
+
+
+#: Parts of the chat format (fixed values).
+CHAT = {
+    "instruction": ("<|im_start|>user\n", "<|im_end|>\n<|im_start|>assistant\n"),
+    "generation": ("Generate an image: ", ""),
+    "cross_view": ("Generate a target image given an initial view: ", ""),
+    "image": ("<|vision_start|>", "<|image_pad|>", "<|vision_end|>"),
+}
+
+
+def chat(kind: str, text: Column) -> Column:
+    before, after = CHAT[kind]
+    return F.concat(F.lit(before), text, F.lit(after))
+
+
+def image_run(length: Column | int) -> Column:
+    """The place of an image of so many tokens."""
+    start, pad, end = CHAT["image"]
+    return F.concat(F.lit(start), F.repeat(F.lit(pad), length if isinstance(length, Column) else F.lit(length)), F.lit(end))
+
+
+def image_prompt(kind: str, text: Column, length: Column | int) -> Column:
+    """An instruction with an image before the text, as for generation with one or more reference images."""
+    return chat("instruction", F.concat(image_run(length), F.lit("\n"), chat(kind, text)))
+
+
+#: Yaw in degrees of named places around the viewer (fixed values).
+PLACES = {"left": -90.0, "right": 90.0, "front": 0.0, "back": 180.0}
+
+
+def place_yaw(name: Column, places: dict[str, float] = PLACES) -> Column:
+    """Null for a name that isn't listed."""
+    out = F.lit(None).cast("double")
+    for k, v in places.items():
+        out = F.when(F.lower(name) == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def fill(template: str, values: dict[str, Column]) -> Column:
+    """A template whose `{key}` places take the row's values; a key without a value is an error."""
+    out = []
+    for piece in re.split(r"(\{\w+\})", template):
+        out.append(values[piece[1:-1]].cast("string") if piece.startswith("{") and piece.endswith("}") else F.lit(piece))
+    return F.concat(*out)
+
+
+def category(label: Column) -> Column:
+    """A label of digits as a number, any other as null."""
+    return F.when(label.rlike("^[0-9]+$"), label.try_cast("long"))
+
+
+def is_json(name: Column) -> Column:
+    return F.endswith(F.lower(name), F.lit(".json"))

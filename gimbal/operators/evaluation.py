@@ -11,11 +11,21 @@ from ..functions import text as X
 ERRORS = ["roll_error", "pitch_error", "vfov_error"]
 
 
-def predictions(outputs: DataFrame) -> DataFrame:
-    """fname, roll, pitch, vfov of each output with an id, at six decimals; defaults where nothing can be parsed."""
-    roll, pitch, vfov = X.triple(F.col("output_text"), X.LENIENT, X.DEFAULTS)
+def predictions(outputs: DataFrame, suffix: str = "jpg") -> DataFrame:
+    """fname, roll, pitch, vfov of each output with an id, at six decimals; defaults where nothing can be parsed.
+
+    The file name is the id's stem with `suffix`, whatever folder or extension the id has. A null text has no numbers.
+    """
+    roll, pitch, vfov = X.triple(F.coalesce("output_text", F.lit("")), X.LENIENT, X.DEFAULTS)
     named = outputs.where(F.coalesce("id", F.lit("")) != "")
-    return named.select(F.col("id").alias("fname"), *[F.round(c, 6).alias(n) for c, n in ((roll, "roll"), (pitch, "pitch"), (vfov, "vfov"))])
+    return named.select(X.stem(F.col("id"), suffix).alias("fname"), *[F.round(c, 6).alias(n) for c, n in ((roll, "roll"), (pitch, "pitch"), (vfov, "vfov"))])
+
+
+def some_rows(df: DataFrame, what: str) -> DataFrame:
+    """The table itself, if it has a row; else an error, at once."""
+    if not df.limit(1).count():
+        raise ValueError(f"no rows: {what}")
+    return df
 
 
 def errors(truth: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -44,10 +44,14 @@ def eval_errors(spark, sf_dir):
     return E.errors(cam_gt(spark, sf_dir), E.predictions(outputs(spark, sf_dir)))
 
 
+# The grammar: an optional sign, digits, and (lenient: always) a point and digits; three of them, blanks allowed around the commas.
+_DEC, _NUM, _SEP = r"([+-]?\d+\.\d+)", r"([+-]?\d+(?:\.\d+)?)", r"\s*,\s*"
+_LENIENT, _BASE = _SEP.join([_DEC] * 3), r"are:\s*" + _SEP.join([_NUM] * 3) + r"[\.\s]*$"
+_ANSWER = r"<answer>\s*" + _SEP.join([_NUM] * 3) + r"\s*</answer>"
 ERR_SQL = (
     PRED_SQL
-    + r""", x AS (SELECT id AS fname, regexp_matches(output_text, '([-+]?[0-9]+\.[0-9]+),\s*([-+]?[0-9]+\.[0-9]+),\s*([-+]?[0-9]+\.[0-9]+)') AS hit,
-  regexp_extract(output_text, '([-+]?[0-9]+\.[0-9]+),\s*([-+]?[0-9]+\.[0-9]+),\s*([-+]?[0-9]+\.[0-9]+)', ['a','b','c']) AS m FROM outputs WHERE id <> ''),
+    + rf""", x AS (SELECT regexp_replace(regexp_replace(id, '^.*/', ''), '\.[^.]*$', '') || '.jpg' AS fname, regexp_matches(output_text, '{_LENIENT}') AS hit,
+  regexp_extract(output_text, '{_LENIENT}', ['a','b','c']) AS m FROM outputs WHERE id <> ''),
 pr AS (SELECT fname, round(CASE WHEN hit THEN TRY_CAST(m.a AS DOUBLE) ELSE 0 END, 6) AS roll, round(CASE WHEN hit THEN TRY_CAST(m.b AS DOUBLE) ELSE 0 END, 6) AS pitch,
   round(CASE WHEN hit THEN TRY_CAST(m.c AS DOUBLE) ELSE 0.9163 END, 6) AS vfov FROM x),
 er AS (SELECT g.fname, abs(pr.roll / pi() * 180 - g.roll / pi() * 180) AS roll_error, abs(pr.pitch / pi() * 180 - g.pitch / pi() * 180) AS pitch_error,
@@ -127,33 +131,46 @@ def error_cdf(spark, sf_dir):
     return out.select("event_id", F.round(F.col("i") / F.col("n"), 6).alias("recall"))
 
 
-@query(f"WITH {PRED_SQL} SELECT e, CASE WHEN e % 7 <> 0 THEN round(CAST(regexp_extract(output_text, 'are:\\s*([-+]?[0-9]*\\.?[0-9]+),\\s*([-+]?[0-9]*\\.?[0-9]+),\\s*([-+]?[0-9]*\\.?[0-9]+)[.\\s]*$', 1) AS DOUBLE), 6) END AS roll FROM outputs")
+def three_sql(pattern: str, text: str, rows: str) -> str:
+    cols = ", ".join(f"CASE WHEN hit THEN round(CAST(m.{c} AS DOUBLE), 6) END AS {n}" for c, n in zip("abc", ("roll", "pitch", "vfov")))
+    return f"SELECT e, {cols} FROM (SELECT e, regexp_matches({text}, '{pattern}') AS hit, regexp_extract({text}, '{pattern}', ['a','b','c']) AS m FROM {rows})"
+
+
+def three(text, pattern):
+    return r6(**dict(zip(("roll", "pitch", "vfov"), X.triple(text, pattern))))
+
+
+@query(f"WITH {PRED_SQL} {three_sql(_BASE, 'output_text', 'outputs')}")
 def parse_base(spark, sf_dir):
-    return outputs(spark, sf_dir).select("e", F.round(X.triple(F.col("output_text"), X.BASE)[0], 6).alias("roll"))
+    """The three numbers of a plain caption, whole or with decimals; null where there are none."""
+    return outputs(spark, sf_dir).select("e", *three(F.col("output_text"), X.BASE))
 
 
-COT_SQL = PRED_SQL + ", cot AS (SELECT e, '<think>  look' || chr(10) || 'up ' || e || ' </think><answer>' || printf('%.4f, %.4f, %.4f', roll, pitch, vfov) || '</answer>' AS text FROM cam_pred)"
+COT_SQL = PRED_SQL + """, cot AS (SELECT e, '<think>  look' || chr(10) || 'up ' || e || chr(160) || chr(12288) || '</think><answer>' || CASE WHEN e % 3 = 0 THEN printf('%.4f ,%.4f , %.4f ', roll, pitch, vfov)
+  WHEN e % 13 = 0 THEN '.5, 1, 2' ELSE printf('%.4f, %.4f, %.4f', roll, pitch, vfov) END || '</answer>' AS text FROM cam_pred)"""
 
 
 def cot(spark, sf_dir):
-    p = cam_pred(spark, sf_dir)
-    return p.select("e", F.concat(F.lit("<think>  look\nup "), F.col("e").cast("string"), F.lit(" </think><answer>"), F.format_string("%.4f, %.4f, %.4f", "roll", "pitch", "vfov"), F.lit("</answer>")).alias("text"))
+    p, e = cam_pred(spark, sf_dir), F.col("e")
+    numbers = F.when(e % 3 == 0, F.format_string("%.4f ,%.4f , %.4f ", "roll", "pitch", "vfov")).when(e % 13 == 0, ".5, 1, 2").otherwise(F.format_string("%.4f, %.4f, %.4f", "roll", "pitch", "vfov"))
+    return p.select("e", F.concat(F.lit("<think>  look\nup "), e.cast("string"), F.lit("\u00a0\u3000</think><answer>"), numbers, F.lit("</answer>")).alias("text"))
 
 
-@query(f"WITH {COT_SQL} SELECT e, 'look' || chr(10) || 'up ' || e AS thought, round(CAST(regexp_extract(text, '<answer>\\s*([-0-9.]+),\\s*([-0-9.]+),\\s*([-0-9.]+)', 3) AS DOUBLE), 6) AS vfov FROM cot")
+@query(f"WITH {COT_SQL} SELECT t.*, 'look' || chr(10) || 'up ' || e AS thought FROM ({three_sql(_ANSWER, 'text', 'cot')}) t")
 def parse_thinking(spark, sf_dir):
+    """The thoughts, stripped, and the three numbers of the answer."""
     t = F.col("text")
-    return cot(spark, sf_dir).select("e", X.think(t).alias("thought"), F.round(X.triple(t, X.ANSWER)[2], 6).alias("vfov"))
+    return cot(spark, sf_dir).select("e", X.think(t).alias("thought"), *three(t, X.ANSWER))
 
 
-@query(f"WITH {PRED_SQL} SELECT e, output_text AS sentence, 'Scene. ' || output_text AS merged FROM outputs")
+@query(f"WITH {PRED_SQL} SELECT e, CASE WHEN output_text LIKE 'The camera%' THEN output_text ELSE 'Scene. ' || output_text END AS sentence, 'Scene. ' || output_text AS merged FROM outputs")
 def camera_sentence(spark, sf_dir):
+    """The sentence on the camera alone, or the whole caption without one."""
     full = F.concat(F.lit("Scene. "), F.col("output_text"))
-    cut = X.camera_sentence(full)
-    return outputs(spark, sf_dir).select("e", F.when(cut == full, F.col("output_text")).otherwise(cut).alias("sentence"), full.alias("merged"))
+    return outputs(spark, sf_dir).select("e", X.camera_sentence(full).alias("sentence"), full.alias("merged"))
 
 
-@query("SELECT page_id, regexp_extract(url, '([^/]*?)(\\.[^./]*)?$', 1) AS stem FROM pages")
+@query("SELECT page_id, regexp_extract(url, '([^/]+?)(\\.[^./]*)?$', 1) AS stem FROM pages")
 def path_stem(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.stem(F.col("url")).alias("stem"))
 

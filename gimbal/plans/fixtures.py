@@ -18,7 +18,8 @@ PRED_SQL = (
     + """, cam_pred AS (SELECT e, fname, roll + ((value % 100) / 100 - 0.5e0) * 0.2e0 AS roll, pitch + ((value % 37) / 37 - 0.5e0) * 0.2e0 AS pitch,
   CASE WHEN height > width THEN 2 * atan(tan(vfov / 2) * width / height) ELSE vfov END + ((value % 61) / 61 - 0.5e0) * 0.2e0 AS vfov
   FROM cam_gt WHERE e % 10 <> 0),
-outputs AS (SELECT e, CASE WHEN e % 11 = 0 THEN '' ELSE fname END AS id, CASE WHEN e % 7 = 0 THEN 'No parameters.' ELSE
+outputs AS (SELECT e, CASE WHEN e % 11 = 0 THEN '' WHEN e % 5 = 0 THEN 'run/a.b/img_' || e || '.png' ELSE fname END AS id, CASE WHEN e % 7 = 0 THEN 'No parameters.'
+  WHEN e % 13 = 0 THEN printf('They are: %.4f , %.4f  ,  %.4f . ', roll, pitch, vfov) WHEN e % 17 = 0 THEN 'They are: .5000, .2500, .7500.' WHEN e % 19 = 0 THEN 'They are: +1, -2 ,3' ELSE
   printf('The camera parameters (roll, pitch, and field-of-view) are: %.4f, %.4f, %.4f.', roll, pitch, vfov) END AS output_text FROM cam_pred)"""
 )
 
@@ -46,5 +47,10 @@ def cam_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = cam_pred(spark, sf_dir)
-    text = F.when(F.col("e") % 7 == 0, "No parameters.").otherwise(X.sentence(F.col("roll"), F.col("pitch"), F.col("vfov")))
-    return p.select("e", F.when(F.col("e") % 11 == 0, "").otherwise(F.col("fname")).alias("id"), text.alias("output_text"))
+    e = F.col("e")
+    # No numbers, blanks on both sides of commas, bare fractions, whole numbers with signs.
+    text = F.when(e % 7 == 0, "No parameters.").when(e % 13 == 0, F.format_string("They are: %.4f , %.4f  ,  %.4f . ", "roll", "pitch", "vfov"))
+    text = text.when(e % 17 == 0, "They are: .5000, .2500, .7500.").when(e % 19 == 0, "They are: +1, -2 ,3")
+    text = text.otherwise(X.sentence(F.col("roll"), F.col("pitch"), F.col("vfov")))
+    name = F.when(e % 11 == 0, "").when(e % 5 == 0, F.concat(F.lit("run/a.b/img_"), e.cast("string"), F.lit(".png"))).otherwise(F.col("fname"))
+    return p.select("e", name.alias("id"), text.alias("output_text"))

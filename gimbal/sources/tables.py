@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import camera as C
+from ..functions import text as X
 
 MANIFEST = "image string, annotation string, camera string, image_init string"
 CAMERAS = "fname string, roll double, pitch double, vfov double, width int, height int, px double, py double, k1 double, k2 double"
@@ -28,10 +31,16 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def captions(spark: SparkSession, folder: str, field: str = "caption") -> DataFrame:
-    """(annotation, text): a JSON object per file, keyed by its path below the folder."""
+    """(annotation, text): a JSON object per file, keyed by its path below the folder at any depth; the text is stripped."""
     df = spark.read.schema(f"`{field}` string").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder, multiLine=True)
-    below = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
-    return df.select(below.alias("annotation"), F.coalesce(field, F.lit("")).alias("text"))
+    return df.select(below(F.col("_metadata.file_path"), folder).alias("annotation"), X.strip(F.coalesce(field, F.lit(""))).alias("text"))
+
+
+def below(path: Column, folder: str) -> Column:
+    """The part of a file's path after `folder`; Spark's paths are URLs, whose escapes are undone."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    tail = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:/*", "", folder).strip("/") + "/"
+    return F.substr(plain, F.instr(plain, F.lit(tail)) + F.lit(len(tail)))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str = LOG) -> DataFrame:

@@ -9,10 +9,10 @@ from gimbal.streaming.events import windowed
 def test_readers(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m/a.json").write_text(json.dumps([{"image": "x/1.jpg", "annotation": "x/1.json"}]))
-    (tmp_path / "m/b.json").write_text(json.dumps([{"image": "x/2.jpg", "annotation": "x/2.json"}]))
-    (tmp_path / "c/x").mkdir(parents=True)
-    (tmp_path / "c/x/1.json").write_text(json.dumps({"caption": "one"}))
-    (tmp_path / "c/x/2.json").write_text("{}")
+    (tmp_path / "m/b.json").write_text(json.dumps([{"image": "x/2.jpg", "annotation": "x/y/2 é+.json"}]))
+    (tmp_path / "c/x/y").mkdir(parents=True)
+    (tmp_path / "c/x/1.json").write_text(json.dumps({"caption": " one\u3000"}))
+    (tmp_path / "c/x/y/2 é+.json").write_text("{}")
     rows = T.manifest(spark, str(tmp_path / "m"), "s").join(T.captions(spark, str(tmp_path / "c")), "annotation")
     assert sorted((r.image, r.text, r.source) for r in rows.collect()) == [("x/1.jpg", "one", "s"), ("x/2.jpg", "", "s")]
     (tmp_path / "cam.csv").write_text("fname,vfov,roll,pitch,width,height\na.jpg,1.0,0.1,0.2,640,480\n")
