@@ -191,3 +191,131 @@ def panorama_angles(u: Column, v: Column, roll: Column, pitch: Column, yaw: Colu
     q = [b[0] * turn[0][j] + b[1] * turn[1][j] + b[2] * turn[2][j] for j in range(3)]
     x, y, z = (q[0] * head[0][j] + q[1] * head[1][j] + q[2] * head[2][j] for j in range(3))
     return F.atan2(x, z), F.atan2(y, F.sqrt(x * x + z * z))
+
+
+def build(w: Column, h: Column, given: dict[str, Column]) -> dict[str, Column]:
+    """A camera from what is known of it: w, h, fx, fy, cx, cy, k1, k2.
+
+    The focal length is that of `vfov`, else `f`. Distortion is `dist` (an array of one or two terms), else `k1_hat` (for a focal length of the
+    image's height), else k1 and k2. `scale_x` and `scale_y` stretch fx. The centre is the image's unless `cx`, `cy` are given.
+    """
+    zero = F.lit(0.0)
+    f = fov2focal(given["vfov"], h) if "vfov" in given else given["f"]
+    k2 = given.get("k2", zero)
+    if "dist" in given:
+        k1, k2 = F.get(given["dist"], F.lit(0)), F.coalesce(F.get(given["dist"], F.lit(1)), zero)
+    elif "k1_hat" in given:
+        k1 = given["k1_hat"] * (f / h) * (f / h)
+    else:
+        k1 = given.get("k1", zero)
+    fx = f * given["scale_x"] / given["scale_y"] if "scale_x" in given else f
+    return {"w": w, "h": h, "fx": fx, "fy": f, "cx": given.get("cx", w / 2), "cy": given.get("cy", h / 2), "k1": k1, "k2": k2}
+
+
+def views(cam: dict[str, Column]) -> tuple[Column, Column]:
+    """Vertical and horizontal field of view."""
+    return focal2fov(cam["fy"], cam["h"]), focal2fov(cam["fx"], cam["w"])
+
+
+def matrix(cam: dict[str, Column]) -> Column:
+    """The intrinsic matrix, row by row."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return F.array(cam["fx"], zero, cam["cx"], zero, cam["fy"], cam["cy"], zero, zero, one)
+
+
+def k1_hat(cam: dict[str, Column]) -> Column:
+    """k1 for a focal length of the image's height."""
+    r = cam["fy"] / cam["h"]
+    return cam["k1"] / (r * r)
+
+
+def undo(cam: dict[str, Column], px: Column, py: Column, sx: Column, sy: Column) -> dict[str, Column]:
+    """The camera before it was scaled by (sx, sy) and cropped by (px, py)."""
+    return scale_camera(crop_camera(cam, -px, -py), 1 / sx, 1 / sy)
+
+
+def update_distortion(k: Column, delta: Column, model: str = "simple_radial") -> Column:
+    """A distortion term moved by delta, kept within the model's limit."""
+    top = K1_LIMIT[model]
+    return F.least(F.greatest(k + delta, F.lit(-top)), F.lit(top))
+
+
+#: Points nearer to the camera's plane than this aren't seen (fixed value).
+NEAREST = 1e-3
+
+
+def project(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Normalised place of a point in the camera's frame, and whether it lies before the camera."""
+    at = F.greatest(z, F.lit(NEAREST))
+    return x / at, y / at, z > NEAREST
+
+
+def in_image(x: Column, y: Column, w: Column, h: Column) -> Column:
+    return (x >= 0) & (x <= w - 1) & (y >= 0) & (y <= h - 1)
+
+
+def world_to_image(cam: dict[str, Column], x: Column, y: Column, z: Column, model: str = "simple_radial") -> tuple[Column, Column, Column]:
+    """Pixel of a point in the camera's frame, and whether it is seen."""
+    u, v, before = project(x, y, z)
+    s = distortion(model, u, v, cam["k1"], cam["k2"])
+    px, py = u * s * cam["fx"] + cam["cx"], v * s * cam["fy"] + cam["cy"]
+    return px, py, before & in_image(px, py, cam["w"], cam["h"])
+
+
+def image_to_world(cam: dict[str, Column], px: Column, py: Column, model: str = "simple_radial") -> tuple[Column, Column]:
+    """Ray (u, v, 1) of a pixel."""
+    u, v = (px - cam["cx"]) / cam["fx"], (py - cam["cy"]) / cam["fy"]
+    s = undistortion(model, u, v, cam["k1"], cam["k2"])
+    return u * s, v * s
+
+
+def to_multiple(w: Column, h: Column, unit: int, crop: bool = False, centre: bool = True) -> tuple[Column, Column, Column, Column]:
+    """Pixels to add (or, negative, to cut) at left, right, top and bottom so that both sides are multiples of `unit`."""
+    out = []
+    for n in (w, h):
+        pad = F.floor(n / unit).cast("int") * unit - n if crop else F.pmod(F.lit(unit) - n % unit, F.lit(unit)).cast("int")
+        first = F.floor(pad / 2).cast("int") if centre else F.lit(0)
+        out += [first, pad - first]
+    return tuple(out)
+
+
+def scaled_map(value: Column) -> Column:
+    """A camera map's value over a right angle."""
+    return value / (math.pi / 2)
+
+
+def unscaled_view(x: Column, low: float = 20.0, high: float = 105.0) -> Column:
+    """A field of view in [-1, 1] back in radians, over the range in degrees."""
+    a, b = math.radians(low), math.radians(high)
+    return (x + 1) / 2 * (b - a) + a
+
+
+def scaled_view(vfov: Column, low: float = 20.0, high: float = 105.0) -> Column:
+    a, b = math.radians(low), math.radians(high)
+    return 2 * (vfov - a) / (b - a) - 1
+
+
+def cross(a: tuple[Column, ...], b: tuple[Column, ...]) -> tuple[Column, Column, Column]:
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def outer(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
+    """All products, row by row."""
+    return F.array(*[x * y for x in a for y in b])
+
+
+def skew(v: tuple[Column, Column, Column]) -> Column:
+    """The matrix of the cross product with v, row by row."""
+    zero = F.lit(0.0)
+    return F.array(zero, -v[2], v[1], v[2], zero, -v[0], -v[1], v[0], zero)
+
+
+def unit_vector(a: Column) -> Column:
+    """An array over its length; zeros stay."""
+    n = F.greatest(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
+    return F.transform(a, lambda x: x / n)
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays."""
+    return F.aggregate(F.zip_with(unit_vector(a), unit_vector(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

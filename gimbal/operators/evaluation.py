@@ -34,3 +34,13 @@ def errors(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     both = truth.select("fname", "roll", "pitch", "vfov", "width", "height").join(p, "fname")
     both = both.withColumn("vfov_pred", C.crop_vfov(F.col("vfov_pred"), F.col("width"), F.col("height")))
     return both.withColumns({f"{c}_error": F.abs(C.rad2deg(F.col(f"{c}_pred")) - C.rad2deg(F.col(c))) for c in ("roll", "pitch", "vfov")})
+
+
+def camera_table(truth: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
+    """Errors between two tables of cameras (roll, pitch, vfov, height, k1): angles in degrees, without wrapping, focal lengths in pixels and as a share, and k1."""
+    names = ["roll", "pitch", "vfov", "k1"]
+    both = truth.join(predicted.select(key, *[F.col(c).alias(f"_{c}") for c in names]), key)
+    f, g = (C.fov2focal(F.col(c), F.col("height")) for c in ("vfov", "_vfov"))
+    angle = C.gravity_angle(C.gravity(F.col("roll"), F.col("pitch")), C.gravity(F.col("_roll"), F.col("_pitch")))
+    degrees = [F.abs(C.rad2deg(F.col(f"_{c}")) - C.rad2deg(F.col(c))).alias(f"{c}_error") for c in names[:3]]
+    return both.select(key, *degrees, angle.alias("gravity_error"), F.abs(f - g).alias("focal_error"), (F.abs(f - g) / f).alias("rel_focal_error"), F.abs(F.col("_k1") - F.col("k1")).alias("k1_error"))

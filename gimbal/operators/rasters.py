@@ -71,3 +71,20 @@ def panorama_view(values: Column, w: int, h: int, size: tuple[int, int], f: Colu
         return (lon / C.TURN + 0.5) * (w - 1), (lat / (C.TURN / 2) + 0.5) * (h - 1)
 
     return remap(values, w, h, size, place)
+
+
+def black_share(channels: list[Column]) -> Column:
+    """Share of pixels at which every channel is zero; null for an image without pixels."""
+    total = channels[0]
+    for c in channels[1:]:
+        total = F.zip_with(total, c, lambda a, b: F.abs(a) + F.abs(b))
+    return F.try_divide(F.size(F.filter(total, lambda x: x == 0)).cast("double"), F.size(total))
+
+
+def tiled(images: list[Column], w: int, h: int, across: int) -> Column:
+    """Images of one size in a grid of `across` columns, as one raster; places left over are zero."""
+    rows = -(-len(images) // across)
+    blank = F.array_repeat(F.lit(0.0), w * h)
+    all_ = [*images, *[blank] * (rows * across - len(images))]
+    lines = [F.slice(all_[r * across + c], y * w + 1, w) for r in range(rows) for y in range(h) for c in range(across)]
+    return F.concat(*lines)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import camera as C
+from ..functions import numeric as N
+from ..functions import text as X
 from .ranking import ranked
 
 
@@ -38,3 +41,75 @@ def batches(df: DataFrame, source: str, key: str, sizes: dict[str, int], repeats
     pick = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col(source))
     out = out.withColumn("batch", F.floor((F.col("position") - 1) / pick(sizes)))
     return out.withColumn("cycle", F.floor(F.col("batch") / pick(repeats))).withColumn("slot", F.pmod("batch", pick(repeats)))
+
+
+def draw(dist: dict, *parts: Column | str) -> Column:
+    """A parameter from its distribution: {"type": "fix", "value"}, or "uniform" (loc, scale), or "truncnorm" (a, b, loc, scale)."""
+    kind = dist["type"]
+    if kind == "fix":
+        return F.lit(float(dist["value"]))
+    u = unit(*parts)
+    if kind == "uniform":
+        return dist.get("loc", 0.0) + dist.get("scale", 1.0) * u
+    if kind == "truncnorm":
+        return N.truncated_normal(u, dist["a"], dist["b"], dist.get("loc", 0.0), dist.get("scale", 1.0))
+    raise ValueError(f"no such distribution: {kind}")
+
+
+def mixed_caption(text: Column, p: float, *parts: Column | str) -> Column:
+    """The sentence on the camera alone for a share p of the rows, else the whole caption."""
+    return F.when(unit(*parts) < p, X.camera_sentence(text)).otherwise(text)
+
+
+def square_crop(w: Column, h: Column, *parts: Column | str) -> tuple[Column, Column, Column]:
+    """Left, top and side of a square as large as the image allows, at a place drawn by hash."""
+    side = F.least(w, h)
+    at = F.floor(unit(*parts) * (F.abs(w - h) + 1)).cast("int")
+    return F.when(w > h, at).otherwise(0), F.when(w > h, 0).otherwise(at), side
+
+
+def camera_walk(reach: float, *parts: Column | str) -> tuple[Column, Column, Column]:
+    """Roll and pitch within `reach`, and yaw within twice of it, from 0 to a turn."""
+    roll, pitch, yaw = ((2 * unit(*parts, F.lit(k)) - 1) * reach for k in ("roll", "pitch", "yaw"))
+    return roll, pitch, F.when(yaw < 0, 2 * yaw + C.TURN).otherwise(2 * yaw)
+
+
+def looped(total: int, loop: int):
+    """(size, index of a position column): positions 0 to size - 1 walk over `loop` rows again and again, whole rounds only."""
+    return total - total % loop, lambda position: F.pmod(position, F.lit(loop))
+
+
+def mean_batch(sizes: dict[str, int], repeats: dict[str, int]) -> int:
+    """Rows of an average batch over a cycle."""
+    return sum(sizes[k] * repeats[k] for k in sizes) // sum(repeats[k] for k in sizes)
+
+
+def offsets(counts: DataFrame, source: str, count: str) -> DataFrame:
+    """Adds `end` and `start`: where each source's rows lie when sources follow one another by name. One row per source."""
+    from pyspark.sql import Window
+
+    w = Window.orderBy(source).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.withColumn("end", F.sum(count).over(w)).withColumn("start", F.col("end") - F.col(count))
+
+
+def mixture(parts: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """Rows of all sources with `source` and `weight`, the batches that it gets in a cycle; a column that a source lacks is null there."""
+    out = None
+    for name, (df, weight) in parts.items():
+        df = df.withColumns({"source": F.lit(name), "weight": F.lit(weight)})
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def collate(df: DataFrame, batch: str, key: str, columns: list[str], sized: str | None = None) -> DataFrame:
+    """A row per batch with an array of each column, in the order of `key`; empty samples (null key) are left out.
+
+    `sized` names an array column whose size must be one in a batch; otherwise reading the batch is an error.
+    """
+    rows = df.where(F.col(key).isNotNull())
+    packed = rows.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("_k"), *columns))).alias("_r"))
+    out = packed.select(batch, *[F.col("_r").getField(c).alias(c) for c in columns])
+    if sized:
+        n = F.array_distinct(F.transform(sized, F.size))
+        out = out.where(F.when(F.size(n) <= 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"{sized} differs in size within a batch")).cast("boolean")))
+    return out

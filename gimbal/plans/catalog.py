@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import sampling as S
 from ..operators.estimate import fit_cameras
 from ..operators.ranking import ranked
+from ..operators.store import written
 from .fixtures import GT_SQL, PRED_SQL, cam_gt, cam_pred, outputs
 
 QUERIES: dict = {}
@@ -44,6 +45,11 @@ def eval_errors(spark, sf_dir):
     return E.errors(cam_gt(spark, sf_dir), E.predictions(outputs(spark, sf_dir)))
 
 
+def long_errors(spark, sf_dir):
+    """(metric, e), parsed and joined once: counts, ends and points are read from it."""
+    return written(M.long_form(eval_errors(spark, sf_dir).select("fname", *E.ERRORS), ["fname"], E.ERRORS).select("metric", "e"), "errors")
+
+
 # The grammar: an optional sign, digits, and (lenient: always) a point and digits; three of them, blanks allowed around the commas.
 _DEC, _NUM, _SEP = r"([+-]?\d+\.\d+)", r"([+-]?\d+(?:\.\d+)?)", r"\s*,\s*"
 _LENIENT, _BASE = _SEP.join([_DEC] * 3), r"are:\s*" + _SEP.join([_NUM] * 3) + r"[\.\s]*$"
@@ -72,7 +78,7 @@ au AS (SELECT s.metric, th.threshold, round((s + coalesce(a, 0) + (th.threshold
 @query(f"WITH {ERR_SQL}{AUC_SQL} SELECT lg.metric, round(avg(e), 6) AS mean, round(quantile_cont(e, 0.5), 6) AS median, max(a1.auc) AS auc_1, max(a5.auc) AS auc_5, max(a10.auc) AS auc_10 FROM lg JOIN au a1 ON lg.metric = a1.metric AND a1.threshold = 1 JOIN au a5 ON lg.metric = a5.metric AND a5.threshold = 5 JOIN au a10 ON lg.metric = a10.metric AND a10.threshold = 10 GROUP BY lg.metric")
 def und_eval_summary(spark, sf_dir):
     """Parse model outputs, join them to the ground truth, and summarise the errors."""
-    long = M.long_form(eval_errors(spark, sf_dir), ["fname"], E.ERRORS)
+    long = long_errors(spark, sf_dir)
     stats = M.summary(long, 6)
     areas = M.auc(long, [1.0, 5.0, 10.0]).groupBy("metric").agg(*[F.max(F.when(F.col("threshold") == t, F.col("auc"))).alias(f"auc_{t}") for t in (1, 5, 10)])
     return stats.join(areas, "metric")
@@ -86,7 +92,7 @@ def und_eval_detail(spark, sf_dir):
 
 @query(f"WITH {ERR_SQL}{AUC_SQL} SELECT metric, threshold, auc FROM au")
 def auc_by_threshold(spark, sf_dir):
-    return M.auc(M.long_form(eval_errors(spark, sf_dir), ["fname"], E.ERRORS), [1.0, 5.0, 10.0])
+    return M.auc(long_errors(spark, sf_dir), [1.0, 5.0, 10.0])
 
 
 @query(f"WITH {ERR_SQL} SELECT metric, t AS threshold, round(avg(CASE WHEN e < t THEN 1e0 ELSE 0e0 END), 6) AS recall FROM lg, (SELECT unnest([1e0, 3e0, 5e0, 10e0]) AS t) GROUP BY metric, t")

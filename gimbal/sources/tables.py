@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import camera as C
 from ..functions import text as X
@@ -98,3 +99,64 @@ def write_by(df: DataFrame, column: str, path: str) -> None:
 
 def duplicates(df: DataFrame, key: str = "name") -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+#: A camera's parameters in the order of its array (fixed values).
+VECTOR = ("w", "h", "fx", "fy", "cx", "cy", "k1", "k2")
+
+
+def camera_vector(cam: dict[str, Column]) -> Column:
+    return F.array(*[cam[k].cast("double") for k in VECTOR])
+
+
+def batched(value: Column) -> Column:
+    """A value as a batch of one."""
+    return F.array(value)
+
+
+def unbatched(value: Column) -> Column:
+    """The first value of a batch; null for an empty one."""
+    return F.get(value, F.lit(0))
+
+
+def mapped(df: DataFrame, f, columns: list[str] | None = None) -> DataFrame:
+    """`f` applied to every number in the columns (all by default), inside arrays, maps and structs at any depth; other values stay."""
+
+    def of(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: of(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(value, lambda k, v: of(v, kind.valueType))
+        if isinstance(kind, T.StructType):
+            return F.when(value.isNotNull(), F.struct(*[of(value.getField(x.name), x.dataType).alias(x.name) for x in kind]))
+        return f(value) if isinstance(kind, T.NumericType) else value
+
+    return df.withColumns({c: of(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns or df.columns})
+
+
+def required(df: DataFrame, keys: list[str], optional: list[str] = []) -> DataFrame:  # noqa: B006
+    """The named columns; a required one that lacks is an error that names all that lack."""
+    lacking = sorted(set(keys) - set(df.columns))
+    if lacking:
+        raise KeyError(f"missing columns: {', '.join(lacking)}")
+    return df.select(*keys, *[c for c in optional if c in df.columns])
+
+
+def camera_maps(spark: SparkSession, path: str) -> DataFrame:
+    """(name, w, h, map): packed camera maps, three values a pixel."""
+    return spark.read.schema("name string, w int, h int, map array<float>").parquet(path)
+
+
+def projected(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Some columns of a CSV table of cameras; the others aren't parsed."""
+    return required(cameras(spark, path), columns)
+
+
+def export(df: DataFrame, path: str, keys: list[str], optional: list[str] = [], half: bool = False, callback=None) -> None:  # noqa: B006
+    """Write predictions by name: required and optional columns, single precision if `half`; a name that occurs twice is an error."""
+    df = callback(df) if callback else df
+    df = required(df, ["name", *keys], optional)
+    if twice := [r.name for r in duplicates(df).limit(5).collect()]:
+        raise ValueError(f"names that occur twice: {', '.join(map(str, twice))}")
+    narrow = {"double": "float", "array<double>": "array<float>"} if half else {}
+    df.select(*[F.col(c).cast(narrow[k]) if k in narrow else F.col(c) for c, k in df.dtypes]).write.mode("overwrite").parquet(path)
