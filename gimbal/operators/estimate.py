@@ -1,133 +1,279 @@
-"""Damped least squares on perspective fields: one small problem per image, solved where its pixels are."""
+"""Damped least squares and votes on perspective fields: one small problem per image, solved where its packed pixels are.
+
+An image is one row with arrays of pixels (see `fields.packed_field`). No pixel becomes a row, and nothing is shuffled but
+what shares a focal length. Pixels with a null count nothing; an image without any keeps its start.
+"""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import camera as C
 from .fields import jacobian
-from .sampling import unit
 
-FIT = "e long, roll double, pitch double, vfov double, cost double"
+FIT = "e long, roll double, pitch double, vfov double, k1 double, cost double"
+#: Steps at most, first damping and its bounds, least ridge, and the scale of robust losses (fixed values but for the steps).
+STEPS, DAMP, DAMP_RANGE, RIDGE, LOSS_SCALE = 30, 0.1, (1e-6, 1e2), 1e-6, 1e-2
+#: Limits of a heuristic start, in radians, and of k1 (fixed values).
+START_ANGLE, START_VIEW, K1_LIMIT = np.radians(45), (np.radians(20), np.radians(120)), 0.7
 
 
-def _field(p: np.ndarray, x: np.ndarray, y: np.ndarray, size: float) -> np.ndarray:
-    roll, pitch, f = p[0], p[1], np.exp(p[2])
-    u, v = (x - size / 2) / f, (y - size / 2) / f
-    g = np.array([-np.sin(roll) * np.cos(pitch), -np.cos(roll) * np.cos(pitch), np.sin(pitch)])
-    a, b = g[0] - g[2] * u, g[1] - g[2] * v
-    n = np.maximum(np.hypot(a, b), 1e-12)
-    return np.concatenate([a / n, b / n, (u * g[0] + v * g[1] + g[2]) / np.sqrt(u * u + v * v + 1)], -1)
+def gravity_of(roll: np.ndarray, pitch: np.ndarray) -> np.ndarray:
+    return np.stack([-np.sin(roll) * np.cos(pitch), -np.cos(roll) * np.cos(pitch), np.sin(pitch)], -1)
 
 
-def _jacobian(p: np.ndarray, x: np.ndarray, y: np.ndarray, size: float) -> np.ndarray:
-    """Derivatives of `_field` by roll, pitch and log focal length, for many images at once: (images, values, 3)."""
-    roll, pitch, f = p[:, :1], p[:, 1:2], np.exp(p[:, 2:])
-    u, v = (x - size / 2) / f, (y - size / 2) / f
-    sr, cr, sp, cp = np.sin(roll), np.cos(roll), np.sin(pitch), np.cos(pitch)
-    wx, wy, ray2, side = -sr * cp - sp * u, -cr * cp - sp * v, u * u + v * v + 1, -(u * sr + v * cr) * cp
-    n2, ray = np.maximum(wx * wx + wy * wy, 1e-24), np.sqrt(ray2)
-    n = np.sqrt(n2)
-    moves = [
-        (-cr * cp + 0 * u, sr * cp + 0 * v, (v * sr - u * cr) * cp / ray),
-        (sr * sp - cp * u, cr * sp - cp * v, ((u * sr + v * cr) * sp + cp) / ray),
-        (sp * u, sp * v, ((side + sp) * (ray2 - 1) / ray2 - side) / ray),
-    ]
-    out = []
-    for dx, dy, ds in moves:
-        along = (wx * dx + wy * dy) / n2
-        out.append(np.concatenate([(dx - wx * along) / n, (dy - wy * along) / n, ds], 1))
-    return np.stack(out, 2)
+def angles_of(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.arctan2(-g[..., 0], -g[..., 1]), np.arcsin(np.clip(g[..., 2], -1, 1))
 
 
-def fit(pixels: np.ndarray, size: float, start: np.ndarray, free: np.ndarray, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
-    """Roll, pitch and log focal length of many images; damping shrinks after a better step and grows after a worse.
+def model(g: np.ndarray, log_f: np.ndarray, k1: np.ndarray, x: np.ndarray, y: np.ndarray, slopes: bool = False):
+    """Up x, up y and sine of the latitude of many images, (images, pixels, 3), x and y from the centre.
 
-    `pixels` is (images, pixels, 5): x, y, up_x, up_y, lat. A pixel with a NaN counts nothing. Parameters that aren't
-    `free` stay at the start. Returns the parameters and each image's cost.
+    With `slopes` also the derivatives by the three parts of gravity, log focal length and k1: (images, pixels, 3, 5).
+    """
+    f, k = np.exp(log_f)[:, None], k1[:, None]
+    g0, g1, g2 = (g[:, i, None] for i in range(3))
+    u, v = x / f, y / f
+    r2 = u * u + v * v
+    wx, wy, q0 = g0 - g2 * u, g1 - g2 * v, 1 + k * r2
+    q = u * wx + v * wy
+    px, py = q0 * wx + 2 * k * q * u, q0 * wy + 2 * k * q * v
+    n = np.maximum(np.hypot(px, py), 1e-12)
+    a = 1 - k * r2
+    us, vs = u * a, v * a
+    ray2 = us * us + vs * vs + 1
+    ray = np.sqrt(ray2)
+    s = (us * g0 + vs * g1 + g2) / ray
+    out = np.stack([px / n, py / n, s], -1)
+    if not slopes:
+        return out
+    dq, m = -q + g2 * r2, 2 * k * r2 - a
+    zero = np.zeros_like(r2)
+    moves = [
+        (q0 + 2 * k * u * u, 2 * k * u * v, us / ray + zero),
+        (2 * k * u * v, q0 + 2 * k * v * v, vs / ray + zero),
+        (-q0 * u - 2 * k * r2 * u, -q0 * v - 2 * k * r2 * v, 1 / ray),
+        (-2 * k * r2 * wx + q0 * g2 * u + 2 * k * (dq - q) * u, -2 * k * r2 * wy + q0 * g2 * v + 2 * k * (dq - q) * v, (u * g0 + v * g1) * m / ray - s * (us * u + vs * v) * m / ray2),
+        (r2 * wx + 2 * q * u, r2 * wy + 2 * q * v, -r2 * (u * g0 + v * g1) / ray + s * r2 * (us * u + vs * v) / ray2),
+    ]
+    jac = np.empty((*out.shape, 5))
+    for i, (dx, dy, ds) in enumerate(moves):
+        along = (px * dx + py * dy) / (n * n)
+        jac[..., 0, i], jac[..., 1, i], jac[..., 2, i] = (dx - px * along) / n, (dy - py * along) / n, ds
+    return out, jac
+
+
+def basis(g: np.ndarray, sphere: bool) -> np.ndarray:
+    """Two directions of gravity, (images, 3, 2): by roll and pitch, or those of the tangent plane."""
+    if not sphere:
+        roll, pitch = angles_of(g)
+        sr, cr, sp, cp = np.sin(roll), np.cos(roll), np.sin(pitch), np.cos(pitch)
+        return np.stack([np.stack([-cr * cp, sr * cp, 0 * cp], -1), np.stack([sr * sp, cr * sp, cp], -1)], -1)
+    w = g - np.array([0.0, 0.0, 1.0])
+    share = np.where((1 - g[:, 2:]) > 5e-8, 1 / np.maximum(1 - g[:, 2:], 5e-8), 0)
+    return np.eye(3)[None, :, :2] - (w * share)[:, :, None] * w[:, None, :2]
+
+
+def moved(g: np.ndarray, step: np.ndarray, sphere: bool) -> np.ndarray:
+    """Gravity after a step along its two directions."""
+    if not sphere:
+        roll, pitch = angles_of(g)
+        return gravity_of(roll + step[:, 0], pitch + step[:, 1])
+    d = np.linalg.norm(step, axis=1, keepdims=True)
+    flat = np.concatenate([np.sinc(d / np.pi) * step, np.cos(d)], 1)
+    w = g - np.array([0.0, 0.0, 1.0])
+    share = np.where((1 - g[:, 2:]) > 5e-8, (w * flat).sum(1, keepdims=True) / np.maximum(1 - g[:, 2:], 5e-8), 0)
+    return flat - w * share
+
+
+def weights(res: np.ndarray, conf: np.ndarray, robust: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Cost and weight of the up (first two values) and latitude residuals, each by its confidence: (images, pixels, 2)."""
+    sq = np.stack([(res[..., :2] ** 2).sum(-1), res[..., 2] ** 2], -1)
+    if not robust:
+        return sq * conf, conf
+    x = sq / LOSS_SCALE**2
+    root = np.sqrt(np.maximum(x, 1e-16))
+    return np.where(x <= 1, sq, (2 * root - 1) * LOSS_SCALE**2) * conf, np.where(x <= 1, 1.0, 1 / root) * conf
+
+
+def normal(res: np.ndarray, jac: np.ndarray, weight: np.ndarray, dirs: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hessian (images, 4, 4) and gradient (images, 4) by two directions of gravity, log focal length and k1."""
+    j = np.concatenate([jac[..., :3] @ dirs[:, None], jac[..., 3:]], -1) * free
+    w = weight[..., [0, 0, 1]]
+    images = len(j)
+    flat, wj = j.reshape(images, -1, 4), (j * w[..., None]).reshape(images, -1, 4)
+    return flat.transpose(0, 2, 1) @ wj, (wj * res.reshape(images, -1, 1)).sum(1)
+
+
+def fit(pixels: dict[str, np.ndarray], start: dict[str, np.ndarray], free: np.ndarray, robust: bool = False, sphere: bool = False, steps: int = STEPS):
+    """Gravity, log focal length and k1 of many images, and each one's cost; damping shrinks after a better step and grows after a worse.
+
+    `pixels` has x and y from the centre, `want` (images, pixels, 3: up and sine of the latitude) and `conf` (images, pixels, 2).
+    `free` tells which of the two directions, the focal length and k1 may move.
     """
-    seen = ~np.isnan(pixels).any(2)
-    x, y, up_x, up_y, lat = np.moveaxis(np.where(seen[:, :, None], pixels, 0.5), 2, 0)
-    want, weight = np.concatenate([up_x, up_y, np.sin(lat)], 1), np.tile(seen, 3)
-    p, damp = start.copy(), np.full(len(start), 0.1)
+    x, y, want, conf = (pixels[k] for k in ("x", "y", "want", "conf"))
+    g, log_f, k1 = start["g"].copy(), start["log_f"].copy(), start["k1"].copy()
+    damp = np.full(len(g), DAMP)
+    live = np.arange(len(g))
 
-    def residuals(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r = (_field(p.T[:, :, None], x, y, size) - want) * weight
-        return r, (r * r).sum(1)
+    def cost_of(g, log_f, k1, rows):
+        res = model(g, log_f, k1, x[rows], y[rows]) - want[rows]
+        return weights(res, conf[rows], robust)[0].sum((1, 2))
 
-    res, cost = residuals(p)
+    cost = cost_of(g, log_f, k1, live)
     for _ in range(steps):
-        jac = _jacobian(p, x, y, size) * weight[:, :, None] * free
-        hess, grad = jac.transpose(0, 2, 1) @ jac, (jac * res[:, :, None]).sum(1)
-        ridge = np.maximum(np.einsum("bii->bi", hess) * damp[:, None], 1e-6)
-        step = np.linalg.solve(hess + ridge[:, :, None] * np.eye(3), -grad[:, :, None])[:, :, 0]
-        new_res, new_cost = residuals(p + step)
-        better = new_cost < cost
-        p, res, cost = np.where(better[:, None], p + step, p), np.where(better[:, None], new_res, res), np.where(better, new_cost, cost)
-        damp = np.where(better, np.maximum(damp * 0.1, 1e-6), np.minimum(damp * 10, 1e2))
-        if np.abs(step).max() < 1e-10:
+        if not len(live):
             break
-    return p, cost
+        out, jac = model(g[live], log_f[live], k1[live], x[live], y[live], slopes=True)
+        res = out - want[live]
+        dirs = basis(g[live], sphere)
+        hess, grad = normal(res, jac, weights(res, conf[live], robust)[1], dirs, free)
+        ridge = np.maximum(np.einsum("bii->bi", hess) * damp[live, None], RIDGE)
+        step = np.linalg.solve(hess + ridge[:, :, None] * np.eye(4), -grad[:, :, None])[:, :, 0]
+        to = moved(g[live], step[:, :2], sphere), log_f[live] + step[:, 2], np.clip(k1[live] + step[:, 3], -K1_LIMIT, K1_LIMIT)
+        new = cost_of(*to, live)
+        better = new < cost[live]
+        at = live[better]
+        g[at], log_f[at], k1[at], cost[at] = to[0][better], to[1][better], to[2][better], new[better]
+        damp[live] = np.clip(np.where(better, damp[live] * 0.1, damp[live] * 10), *DAMP_RANGE)
+        live = live[np.abs(step).max(1) >= 1e-11]
+    return g, log_f, k1, cost
+
+
+def first_guess(want: np.ndarray, w: int, h: int, heuristic: bool) -> dict[str, np.ndarray]:
+    """Level, with a focal length of 0.7 of the longer side; or by the field at the centre and down the middle column."""
+    n = len(want)
+    if not heuristic:
+        return {"g": gravity_of(np.zeros(n), np.zeros(n)), "log_f": np.full(n, np.log(0.7 * max(w, h))), "k1": np.zeros(n)}
+    centre, top, low = want[:, h // 2 * w + w // 2], want[:, w // 2], want[:, (h - 1) * w + w // 2]
+    lat = lambda s: np.arcsin(np.clip(s, -1, 1))
+    roll = np.clip(-np.arctan2(centre[:, 0], -centre[:, 1]), -START_ANGLE, START_ANGLE)
+    pitch = np.clip(lat(centre[:, 2]), -START_ANGLE, START_ANGLE)
+    view = np.clip(np.abs(lat(top[:, 2]) - lat(low[:, 2])), *START_VIEW)
+    ok = np.isfinite(roll) & np.isfinite(pitch) & np.isfinite(view)
+    trivial = np.log(0.7 * max(w, h))
+    return {"g": gravity_of(np.where(ok, roll, 0), np.where(ok, pitch, 0)), "log_f": np.where(ok, np.log(h / 2 / np.tan(np.where(ok, view, 1) / 2)), trivial), "k1": np.zeros(n)}
+
+
+PIXELS = ("up_x", "up_y", "lat", "up_conf", "lat_conf")
+
+
+def _unpack(batch: pa.RecordBatch, rows: slice, w: int, h: int) -> dict[str, np.ndarray]:
+    """Pixels of some images as arrays; a pixel with a null or NaN gets no weight."""
+    got = {}
+    for c in PIXELS:
+        if c in batch.schema.names:
+            part = batch.column(batch.schema.get_field_index(c)).slice(rows.start, rows.stop - rows.start)
+            got[c] = part.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(part), w * h)
+    n = len(got["up_x"])
+    ones = np.ones((n, w * h))
+    want = np.stack([got["up_x"], got["up_y"], np.sin(got["lat"])], -1)
+    conf = np.stack([got.get("up_conf", ones), got.get("lat_conf", ones)], -1)
+    seen = np.isfinite(want).all(-1) & np.isfinite(conf).all(-1)
+    i = np.arange(w * h)
+    grid = {"x": np.broadcast_to(i % w - w / 2, (n, w * h)), "y": np.broadcast_to(i // w - h / 2, (n, w * h))}
+    return grid | {"want": np.where(seen[..., None], want, 0.0), "raw": want, "conf": np.where(seen[..., None], conf, 0.0)}
+
+
+def fit_cameras(
+    packed: DataFrame, w: int, h: int, fixed: tuple[str, ...] = (), distortion: bool = False, robust: bool = False, sphere: bool = False,
+    heuristic: bool = False, steps: int = STEPS, block: int = 1 << 16,
+) -> DataFrame:
+    """Fit a camera to each image's packed field: e, roll, pitch, vfov, k1, cost.
+
+    `packed` has `e` and arrays of w x h pixels: up_x, up_y, lat, and perhaps up_conf and lat_conf. `fixed` may name "gravity", "focal" and "distortion": these
+    keep what the columns roll, pitch, vfov or k1 say. k1 is fitted only with `distortion`. `robust` takes Huber's loss, `sphere` steps in the tangent plane of
+    gravity, `heuristic` starts from the field. As many images as `block` pixels allow are solved together.
+    """
+    if not set(fixed) <= {"gravity", "focal", "distortion"}:
+        raise ValueError("fixed may name gravity, focal and distortion")
+    prior = [c for c, g in (("roll", "gravity"), ("pitch", "gravity"), ("vfov", "focal"), ("k1", "distortion")) if g in fixed]
+    rows = packed.select("e", *[c for c in PIXELS if c in packed.columns], *prior)
+    free = np.array(["gravity" not in fixed, "gravity" not in fixed, "focal" not in fixed, distortion and "distortion" not in fixed], float)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = max(1, block // (w * h))
+            for at in range(0, batch.num_rows, many):
+                part = slice(at, min(at + many, batch.num_rows))
+                px = _unpack(batch, part, w, h)
+                start = first_guess(px["raw"], w, h, heuristic)
+                given = {c: batch.column(c).to_numpy(zero_copy_only=False)[part] for c in prior}
+                if "roll" in given:
+                    start["g"] = gravity_of(given["roll"], given["pitch"])
+                if "vfov" in given:
+                    start["log_f"] = np.log(h / 2 / np.tan(given["vfov"] / 2))
+                if "k1" in given:
+                    start["k1"] = given["k1"]
+                g, log_f, k1, cost = fit(px, start, free, robust, sphere, steps)
+                roll, pitch = angles_of(g)
+                yield pa.RecordBatch.from_pydict({"e": batch.column("e").slice(part.start, part.stop - part.start).cast(pa.int64()), "roll": roll, "pitch": pitch, "vfov": 2 * np.arctan(h / 2 / np.exp(log_f)), "k1": k1, "cost": cost})
+
+    return rows.mapInArrow(run, FIT)
+
+
+def fit_shared(px: dict[str, np.ndarray], w: int, h: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Gravity of each image and one log focal length for all: the focal length's step first, with each image's two angles eliminated."""
+    start = first_guess(px["raw"], w, h, False)
+    g, log_f, damp = start["g"], float(start["log_f"][0]), DAMP
+    x, y, want, conf, free = px["x"], px["y"], px["want"], px["conf"], np.array([1.0, 1.0, 1.0, 0.0])
+    n = len(g)
+    cost_of = lambda g, f: weights(model(g, np.full(n, f), np.zeros(n), x, y) - want, conf, False)[0].sum()
+    cost = cost_of(g, log_f)
+    for _ in range(steps):
+        out, jac = model(g, np.full(n, log_f), np.zeros(n), x, y, slopes=True)
+        res = out - want
+        hess, grad = normal(res, jac, weights(res, conf, False)[1], basis(g, False), free)
+        a = hess[:, :2, :2] + np.maximum(np.einsum("bii->bi", hess[:, :2, :2]) * damp, RIDGE)[:, :, None] * np.eye(2)
+        b, c = hess[:, :2, 2], hess[:, 2, 2].sum()
+        both = np.linalg.solve(a, np.stack([b, grad[:, :2]], -1))  # a^-1 b and a^-1 gradient
+        df = -(grad[:, 2].sum() - (b * both[:, :, 1]).sum()) / (c + max(c * damp, RIDGE) - (b * both[:, :, 0]).sum())
+        step = -both[:, :, 1] - both[:, :, 0] * df
+        to = moved(g, step, False), log_f + df
+        new = cost_of(*to)
+        if new < cost:
+            (g, log_f), cost, damp = to, new, max(damp * 0.1, DAMP_RANGE[0])
+        else:
+            damp = min(damp * 10, DAMP_RANGE[1])
+        if max(np.abs(step).max(), abs(df)) < 1e-11:
+            break
+    return g, log_f
 
-def fit_cameras(field: DataFrame, size: int, fixed: tuple[str, ...] = (), block: int = 1 << 14) -> DataFrame:
-    """Fit a camera to each image's field of size x size pixels: e, roll, pitch, vfov, cost.
 
-    `fixed` may hold "gravity" and "focal": these keep the values that the field's roll, pitch or vfov columns give as priors.
-    An image's pixels are packed into one row, and as many images as `block` pixels allow are solved together.
-    Pixels with a null are left out; an image without any keeps its start.
-    """
-    if not set(fixed) <= {"gravity", "focal"}:
-        raise ValueError("fixed may name gravity and focal")
-    nan = F.lit(float("nan"))
-    pixel = F.array(*[F.coalesce(F.col(c).cast("double"), nan) for c in ("x", "y", "up_x", "up_y", "lat")])
-    prior = [F.first(c) if g in fixed else F.lit(None) for c, g in (("roll", "gravity"), ("pitch", "gravity"), ("vfov", "focal"))]
-    packed = field.groupBy("e").agg(F.flatten(F.collect_list(pixel)).alias("px"), F.array(*[c.cast("double") for c in prior]).alias("prior"))
-    free = np.array(["gravity" not in fixed, "gravity" not in fixed, "focal" not in fixed])
-
-    def solve(ids: list[int], parts: list[np.ndarray], priors: list[list]) -> pa.RecordBatch:
-        px = np.full((len(parts), max(map(len, parts)), 5), np.nan)
-        for row, part in zip(px, parts):
-            row[: len(part)] = part
-        start = np.tile([0.0, 0.0, np.log(0.7 * size)], (len(parts), 1))
-        given = np.array(priors, float)
-        given[:, 2] = np.log(size / 2 / np.tan(given[:, 2] / 2))
-        p, cost = fit(px, float(size), np.where(free, start, given), free)
-        return pa.RecordBatch.from_pydict({"e": pa.array(ids, pa.int64()), "roll": p[:, 0], "pitch": p[:, 1], "vfov": 2 * np.arctan(size / 2 / np.exp(p[:, 2])), "cost": cost})
+def fit_shared_cameras(packed: DataFrame, batch: str, w: int, h: int, most: int = 256) -> DataFrame:
+    """Fit the images of each batch with one focal length: e, roll, pitch, vfov. A batch of more than `most` images is an error."""
+    rows = packed.groupBy(batch).agg(F.collect_list(F.struct("e", "up_x", "up_y", "lat")).alias("r"))
+    rows = rows.where(F.when(F.size("r") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"a batch has more than {most} images")).cast("boolean")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, priors, lists = batch.column("e").to_pylist(), batch.column("prior").to_pylist(), batch.column("px")
-            at = 0
-            while at < len(ids):
-                end, parts = at, []
-                while end < len(ids) and (not parts or (len(parts) + 1) * max(len(p) for p in parts) <= block):
-                    parts.append(lists[end].values.to_numpy(zero_copy_only=False).reshape(-1, 5))
-                    end += 1
-                yield solve(ids[at:end], parts, priors[at:end])
-                at = end
+        for got in batches:
+            for part in got.column("r"):
+                images = pa.RecordBatch.from_struct_array(part.values)
+                g, log_f = fit_shared(_unpack(images, slice(0, images.num_rows), w, h), w, h)
+                roll, pitch = angles_of(g)
+                yield pa.RecordBatch.from_pydict({"e": images.column("e").cast(pa.int64()), "roll": roll, "pitch": pitch, "vfov": np.full(len(g), 2 * np.arctan(h / 2 / np.exp(log_f)))})
 
-    return packed.mapInArrow(run, FIT)
+    return rows.select("r").mapInArrow(run, "e long, roll double, pitch double, vfov double")
 
 
 def uncertainties(pixels: DataFrame, key: str, h: float) -> DataFrame:
     """Standard deviations from the inverse of the normal matrix, by image.
 
-    `pixels` has u, v, roll, pitch and f. Six sums per image are all that is shuffled. By the
+    `pixels` has u, v, roll, pitch and f, and perhaps `weight`. Six sums per image are all that is shuffled. By the
     published convention the focal length's deviation is halved, and the field of view's variance.
     """
     j = jacobian(*[F.col(c) for c in ("u", "v", "roll", "pitch", "f")])
     names = ["roll", "pitch", "f"]
     rows = pixels.withColumns({f"_{k}": c for k, c in j.items()})
+    weight = F.col("weight") if "weight" in pixels.columns else F.lit(1.0)
 
     def entry(p: str, q: str):
-        return F.sum(sum((F.col(f"_{o}_{p}") * F.col(f"_{o}_{q}") for o in ("up_y", "sin")), F.col(f"_up_x_{p}") * F.col(f"_up_x_{q}")))
+        return F.sum(weight * sum((F.col(f"_{o}_{p}") * F.col(f"_{o}_{q}") for o in ("up_y", "sin")), F.col(f"_up_x_{p}") * F.col(f"_up_x_{q}")))
 
     pairs = [(a, b) for a in range(3) for b in range(a, 3)]
     sums = rows.groupBy(key).agg(F.first("f").alias("f"), *[entry(names[a], names[b]).alias(f"h{a}{b}") for a, b in pairs])
@@ -148,94 +294,73 @@ def uncertainties(pixels: DataFrame, key: str, h: float) -> DataFrame:
     )
 
 
-def consensus(field: DataFrame, key: str, size: int, hypotheses: int = 32, within: float = 1.0, seed: str = "consensus") -> DataFrame:
-    """Roll, pitch and focal length by votes: each hypothesis solves three pixels, and all pixels count for or against it.
+def candidates(px: dict[str, np.ndarray], picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gravity and squared focal length, (2, hypotheses, 3) and (2, hypotheses), of three pixels each, by both roots of the quadratic; NaN without a solution.
 
-    The up lines of two pixels meet in the vertical vanishing point; a third pixel's latitude gives a quadratic for the
-    squared focal length. Pixels are drawn by hash of (image, hypothesis). A vote is an up direction, and a
-    latitude, within `within` degrees. The greatest count wins, then the least hypothesis, then the positive root.
-    Joins are by image, with `hypotheses` rows each; a hypothesis without a solution drops out.
+    The up lines of two pixels meet in the vertical vanishing point, which may lie at infinity; the third one's latitude gives the focal length.
+    """
+    x, y, want = px["x"][picks], px["y"][picks], px["want"][picks]
+    a, b = want[..., 0], want[..., 1]
+    line = np.stack([b, -a, a * y - b * x], -1)  # through the pixel along its up direction
+    v = np.cross(line[:, 0], line[:, 1])
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    u2, v2, s = x[:, 2], y[:, 2], want[:, 2, 2]
+    along, far, near, z = u2 * v[:, 0] + v2 * v[:, 1], v[:, 0] ** 2 + v[:, 1] ** 2, u2 * u2 + v2 * v2, v[:, 2]
+    # s^2 (near + F)(far + z^2 F) = (along + z F)^2, in the squared focal length F.
+    k0, k1, k2 = (s * s - 1) * z * z, s * s * (near * z * z + far) - 2 * along * z, s * s * near * far - along * along
+    with np.errstate(all="ignore"):
+        # The stable form of both roots; where the point is at infinity only one is finite.
+        q = -(k1 + np.where(k1 >= 0, 1, -1) * np.sqrt(k1 * k1 - 4 * k0 * k2)) / 2
+        square = np.sort(np.stack([q / k0, k2 / q]), 0)[::-1]
+        f = np.sqrt(np.where(square > 1e-9, square, np.nan))
+        g = np.stack([v[None, :, 0] / f, v[None, :, 1] / f, np.broadcast_to(z, f.shape)], -1)
+        g /= np.linalg.norm(g, axis=-1, keepdims=True)
+        # The point lies along gravity or against it: the first pixel's up direction tells which.
+        side = (g[..., 0] - g[..., 2] * x[:, 0] / f) * a[:, 0] + (g[..., 1] - g[..., 2] * y[:, 0] / f) * b[:, 0]
+        return g * np.where(side < 0, -1.0, 1.0)[..., None], f
+
+
+def vote(px: dict[str, np.ndarray], hypotheses: int, within: float, seed: int, by_error: bool = True, inliers: np.ndarray | None = None) -> tuple[float, float, float, float]:
+    """Roll, pitch, focal length and votes of one image's best hypothesis; NaN and 0 where no three pixels give a camera."""
+    usable = np.flatnonzero((px["conf"] > 0).all(1) if inliers is None else inliers)
+    none = (np.nan, np.nan, np.nan, 0.0)
+    if len(usable) < 3:
+        return none
+    rng = np.random.default_rng(seed)
+    picks = usable[rng.integers(0, len(usable), (hypotheses, 3))]
+    g, f = candidates(px, picks)
+    g, f = g.reshape(-1, 3), f.reshape(-1)
+    ok = np.flatnonzero(np.isfinite(f) & np.isfinite(g).all(1))
+    if not len(ok):
+        return none
+    out = model(g[ok], np.log(f[ok]), np.zeros(len(ok)), px["x"][None], px["y"][None])
+    want, conf = px["want"][None], px["conf"][None]
+    angle = np.degrees(np.arccos(np.clip((out[..., :2] * want[..., :2]).sum(-1), -1, 1)))
+    lat = np.degrees(np.abs(np.arcsin(np.clip(out[..., 2], -1, 1)) - np.arcsin(np.clip(want[..., 2], -1, 1))))
+    votes = ((angle < within) * conf[..., 0] + (lat < within) * conf[..., 1]).sum(1)
+    errors = (angle * conf[..., 0] + lat * conf[..., 1]).sum(1)
+    # Of equal votes the least error, then the least hypothesis, then the first root.
+    best = int(np.lexsort((ok // hypotheses, ok % hypotheses, errors if by_error else np.zeros(len(ok)), -votes))[0])
+    roll, pitch = angles_of(g[ok[best]])
+    return float(roll), float(pitch), float(f[ok[best]]), float(votes[best])
+
+
+def consensus(packed: DataFrame, w: int, h: int, hypotheses: int = 1000, within: float = 1.0, seed: str = "consensus", by_error: bool = True) -> DataFrame:
+    """e, roll, pitch, f and votes by hypotheses of three pixels each, drawn by hash of the image; all pixels vote, by their confidence.
+
+    A vote is an up direction, and a latitude, within `within` degrees. Of equal votes the least sum of errors wins, or with
+    `by_error` off the first hypothesis, as published. Every image has a row; without a solution it has nulls and 0 votes.
     """
-    draws = field.select(key).distinct().withColumn("hyp", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))))
-    picks = F.array(
-        *[
-            F.struct(F.lit(k).alias("k"), *[F.floor(unit(seed, F.col(key), F.col("hyp"), F.lit(f"{k}{c}")) * size).cast("int").alias(c) for c in "xy"])
-            for k in range(3)
-        ]
-    )
-    drawn = draws.select(key, "hyp", F.inline(picks))
-    seen = field.select(key, "x", "y", "up_x", "up_y", "lat")
-    got = drawn.join(seen, [key, "x", "y"]).groupBy(key, "hyp")
-    half = size / 2
-    at = lambda k, c: F.max(F.when(F.col("k") == k, c))
-    cols = {n: e for k in range(3) for n, e in ((f"u{k}", at(k, F.col("x") - half)), (f"v{k}", at(k, F.col("y") - half)), (f"a{k}", at(k, F.col("up_x"))), (f"b{k}", at(k, F.col("up_y"))))}
-    three = got.agg(*[e.alias(n) for n, e in cols.items()], at(2, F.sin("lat")).alias("s"))
-
-    def line(k: int):
-        u, v, a, b = (F.col(f"{c}{k}") for c in "uvab")
-        return b, -a, a * v - b * u
-
-    (p0, p1, p2), (q0, q1, q2) = line(0), line(1)
-    z = p0 * q1 - p1 * q0
-    point = three.withColumns({"vx": F.try_divide(p1 * q2 - p2 * q1, z), "vy": F.try_divide(p2 * q0 - p0 * q2, z)}).where("vx is not null")
-    u, v, vx, vy, s2 = F.col("u2"), F.col("v2"), F.col("vx"), F.col("vy"), F.col("s") * F.col("s")
-    along, far, near = u * vx + v * vy, vx * vx + vy * vy, u * u + v * v
-    # s^2 (near + F)(far + F) = (along + F)^2, a quadratic in the squared focal length F.
-    k0, k1, k2 = s2 - 1, s2 * (near + far) - 2 * along, s2 * near * far - along * along
-    root = F.sqrt(k1 * k1 - 4 * k0 * k2)
-    both = F.array(*[F.struct(F.lit(i).alias("sign"), F.sqrt(F.try_divide(r - k1, 2 * k0)).alias("f")) for i, r in enumerate((root, -root))])
-    roots = point.select(key, "hyp", "vx", "vy", "s", F.inline(both)).where((F.col("f") > 0) & ~F.isnan("f"))
-    # The point lies along gravity or against it; the third pixel's latitude tells which.
-    n = F.sqrt(far + F.col("f") * F.col("f"))
-    g = roots.select(key, "hyp", "sign", "f", *[(c / n).alias(o) for c, o in ((vx, "gx"), (vy, "gy"), (F.col("f"), "gz"))])
-    g = g.select(key, "hyp", "f", F.col("sign"), F.inline(F.array(*[F.struct(F.lit(w).alias("way"), *[(F.col(c) * w).alias(o) for c, o in (("gx", "a"), ("gy", "b"), ("gz", "c"))]) for w in (1, -1)])))
-    px = seen.join(g, key).withColumns({"u": (F.col("x") - half) / F.col("f"), "v": (F.col("y") - half) / F.col("f")})
-    wx, wy = F.col("a") - F.col("c") * F.col("u"), F.col("b") - F.col("c") * F.col("v")
-    cos = F.try_divide(wx * F.col("up_x") + wy * F.col("up_y"), F.sqrt(wx * wx + wy * wy))
-    sin = (F.col("u") * F.col("a") + F.col("v") * F.col("b") + F.col("c")) / F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v") + 1)
-    unit_range = lambda x: F.least(F.greatest(x, F.lit(-1.0)), F.lit(1.0))
-    votes = (C.rad2deg(F.acos(unit_range(cos))) < within).cast("int") + (C.rad2deg(F.abs(F.asin(unit_range(sin)) - F.col("lat"))) < within).cast("int")
-    score = px.groupBy(key, "hyp", "sign", "way").agg(F.sum(F.coalesce(votes, F.lit(0))).alias("votes"), *[F.first(c).alias(c) for c in ("a", "b", "c", "f")])
-    order = F.struct("votes", -F.col("hyp"), -F.col("sign"), F.col("way"))
-    best = score.groupBy(key).agg(F.max_by(F.struct("a", "b", "c", "f", "votes"), order).alias("m")).select(key, "m.*")
-    roll = F.atan2(-F.col("a"), -F.col("b"))
-    return best.select(key, roll.alias("roll"), F.asin("c").alias("pitch"), "f", "votes")
-
-
-def fit_shared(images: list[tuple[np.ndarray, ...]], size: float, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Roll and pitch of each image and one log focal length for all of them; images are (x, y, up_x, up_y, lat)."""
-    wants = [np.concatenate([up_x, up_y, np.sin(lat)]) for _, _, up_x, up_y, lat in images]
-    angles, focal, damp = np.zeros((len(images), 2)), float(np.log(0.7 * size)), 0.1
-
-    def residuals(angles: np.ndarray, focal: float) -> list[np.ndarray]:
-        return [_field(np.r_[a, focal], i[0], i[1], size) - w for a, i, w in zip(angles, images, wants)]
-
-    res = residuals(angles, focal)
-    cost = sum(float(r @ r) for r in res)
-    last = 2 * len(images)
-    for _ in range(steps):
-        hess, grad = np.zeros((last + 1, last + 1)), np.zeros(last + 1)
-        for n, (a, i, r) in enumerate(zip(angles, images, res)):
-            p, at = np.r_[a, focal], [2 * n, 2 * n + 1, last]
-            jac = np.stack([(_field(p + d, i[0], i[1], size) - _field(p - d, i[0], i[1], size)) / 2e-6 for d in np.eye(3) * 1e-6], 1)
-            hess[np.ix_(at, at)] += jac.T @ jac
-            grad[at] += jac.T @ r
-        step = np.linalg.solve(hess + np.diag(np.maximum(hess.diagonal() * damp, 1e-6)), -grad)
-        moved = angles + step[:last].reshape(-1, 2), focal + step[last]
-        new = residuals(*moved)
-        if (c := sum(float(r @ r) for r in new)) < cost:
-            (angles, focal), res, cost, damp = moved, new, c, max(damp * 0.1, 1e-6)
-        else:
-            damp = min(damp * 10, 1e2)
-    return angles, focal
-
-
-def fit_shared_cameras(field: DataFrame, batch: str, size: int) -> DataFrame:
-    """Fit the images of each batch with one focal length. A batch is a few images of size x size pixels, which bounds a group."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, parts = zip(*pdf.groupby("e", sort=True))
-        angles, focal = fit_shared([tuple(p[c].to_numpy(float) for c in ("x", "y", "up_x", "up_y", "lat")) for p in parts], float(size))
-        return pd.DataFrame({"e": names, "roll": angles[:, 0], "pitch": angles[:, 1], "vfov": 2 * np.arctan(size / 2 / np.exp(focal))})
 
-    return field.select(batch, "e", "x", "y", "up_x", "up_y", "lat").groupBy(batch).applyInPandas(one, "e long, roll double, pitch double, vfov double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, e in enumerate(batch.column("e").to_pylist()):
+                px = {k: v[0] for k, v in _unpack(batch, slice(i, i + 1), w, h).items()}
+                rows.append(vote(px, hypotheses, within, zlib.crc32(f"{seed}|{e}".encode()), by_error))
+            cols = np.array(rows, float).reshape(-1, 4)
+            null = lambda c: pa.array(cols[:, c], mask=np.isnan(cols[:, c]))
+            yield pa.RecordBatch.from_arrays([batch.column("e").cast(pa.int64()), null(0), null(1), null(2), null(3)], names=["e", "roll", "pitch", "f", "votes"])
+
+    rows = packed.select("e", *[c for c in PIXELS if c in packed.columns])
+    return rows.mapInArrow(run, "e long, roll double, pitch double, f double, votes double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import camera as C
+from ..functions import text as X
 
 
 def pixels(df: DataFrame, w: int, h: int, key: str | None = None) -> DataFrame:
@@ -58,6 +59,83 @@ def perspective_field(df: DataFrame, w: int, h: int, model: str = "pinhole", key
     return grid.withColumns({"up_x": up[0], "up_y": up[1], "lat": latitude(u * s, v * s, g)}).drop("_f", "_u", "_v")
 
 
+def packed_field(df: DataFrame, w: int, h: int, model: str = "pinhole", up: bool = True, lat: bool = True) -> DataFrame:
+    """The same field with each image's pixels in arrays, row by row: no pixel becomes a row, and nothing is shuffled.
+
+    Adds up_x and up_y (with `up`) and lat (with `lat`) to cameras with roll, pitch, vfov (and k1, k2 for distorted models). A null parameter gives nulls.
+    """
+    f, g = C.fov2focal(F.col("vfov"), F.lit(float(h))), C.gravity(F.col("roll"), F.col("pitch"))
+    k1, k2 = (F.col("k1"), F.col("k2")) if model != "pinhole" else (F.lit(0.0), F.lit(0.0))
+    df = df.withColumns({"_f": f, "_g0": g[0], "_g1": g[1], "_g2": g[2]})
+    g = tuple(F.col(f"_g{i}") for i in range(3))
+
+    def spot(p: Column) -> Column:
+        return F.struct(((p % w - w / 2) / F.col("_f")).alias("u"), ((F.floor(p / w) - h / 2) / F.col("_f")).alias("v"))
+
+    def at(q: Column) -> Column:
+        u, v = q["u"], q["v"]
+        out = []
+        if up:
+            x, y = up_vector(u, v, g) if model == "pinhole" else distorted_up(model, u, v, k1, k2, g)
+            out += [x.alias("up_x"), y.alias("up_y")]
+        if lat:
+            s = C.undistortion(model, u, v, k1, k2)
+            out.append(latitude(u * s, v * s, g).alias("lat"))
+        return F.struct(*out)
+
+    grid = F.transform(F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), spot), at)
+    df = df.withColumn("_px", grid).drop("_f", "_g0", "_g1", "_g2")
+    names = ["up_x", "up_y"] * up + ["lat"] * lat
+    return df.withColumns({n: F.col("_px").getField(n) for n in names}).drop("_px")
+
+
+def camera_map(captions: DataFrame, text: str = "text", size: int = 512, mode: str = "base", strict: bool = True) -> DataFrame:
+    """A caption's camera as a map of size x size pixels: adds roll, pitch, vfov, and up_x, up_y and lat as packed arrays.
+
+    `mode` "base" reads a plain caption and "cot" a thinking one's answer. A text without parameters is an error, or gives nulls if not `strict`.
+    """
+    pattern = {"base": X.BASE, "cot": X.ANSWER}[mode]
+    roll, pitch, vfov = X.triple(F.col(text), pattern, strict=strict)
+    return packed_field(captions.withColumns({"roll": roll, "pitch": pitch, "vfov": vfov}), size, size)
+
+
+def angle_errors(df: DataFrame) -> DataFrame:
+    """Adds up_error and lat_error in degrees, packed, for up_x, up_y, lat of one camera against up_x2, up_y2, lat2 of the true one.
+
+    The up error counts as 0 where the parts of the predicted direction add up to zero, as published.
+    """
+    dot = F.zip_with(F.zip_with("up_x", "up_x2", lambda a, b: a * b), F.zip_with("up_y", "up_y2", lambda a, b: a * b), lambda a, b: a + b)
+    angle = F.transform(dot, lambda d: C.rad2deg(F.acos(F.least(F.greatest(d, F.lit(-1.0)), F.lit(1.0)))))
+    none = F.zip_with("up_x", "up_y", lambda a, b: a + b == 0)
+    lat = F.zip_with("lat", "lat2", lambda a, b: C.rad2deg(F.abs(a - b)))
+    return df.withColumns({"up_error": F.zip_with(angle, none, lambda e, z: F.when(z, F.lit(0.0)).otherwise(e)), "lat_error": lat})
+
+
+def packed_mean(a: Column) -> Column:
+    return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
+
+
+def packed_lower_median(a: Column) -> Column:
+    """The lower of the two middle values for an even number of pixels."""
+    return F.get(F.array_sort(a), F.floor((F.size(a) - 1) / 2).cast("int"))
+
+
+def packed_recall(a: Column, threshold: float) -> Column:
+    return F.try_divide(F.size(F.filter(a, lambda e: e < threshold)).cast("double"), F.size(a))
+
+
+def packed_weighted(a: Column, confidence: Column) -> Column:
+    """Mean by confidence; null where no pixel has any."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return F.try_divide(total(F.zip_with(a, confidence, lambda e, c: e * c)), total(confidence))
+
+
+def normalised_confidence(confidence: Column) -> Column:
+    """Weights of pixels whose mean is one."""
+    total = F.aggregate(confidence, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(confidence, lambda c: F.try_divide(c * F.size(confidence), total))
+
+
 def jacobian(u: Column, v: Column, roll: Column, pitch: Column, f: Column) -> dict[str, Column]:
     """Derivatives of up_x, up_y and the latitude's sine by roll, pitch and focal length, at an undistorted point.
 

@@ -9,7 +9,7 @@ from ..functions import numeric as N
 from ..operators import estimate, fields, rasters
 from ..operators.metrics import precision_recall, quantile
 from ..sources import tables
-from .catalog import GRAV, field, query, r6, table
+from .catalog import GRAV, query, r6, table
 from .fixtures import GT_SQL, cam_gt
 
 SIZE = 8
@@ -54,23 +54,46 @@ def fit_uncertainty(spark, sf_dir):
     return out.select("e", *[F.round(c, 5).alias(c) for c in out.columns if c != "e"])
 
 
-@query()
+@query(f"WITH {GT_SQL} SELECT e, round(roll, 3) + 0 AS roll, round(pitch, 3) + 0 AS pitch, round(vfov, 3) AS vfov FROM cam_gt")
 def consensus_fit(spark, sf_dir):
-    """Cameras voted for by the pixels of their own fields."""
-    out = estimate.consensus(field(spark, sf_dir, SIZE), "e", SIZE)
+    """Cameras voted for by the pixels of their own fields, from 1,000 hypotheses each."""
+    out = estimate.consensus(fields.packed_field(plain(spark, sf_dir), SIZE, SIZE), SIZE, SIZE)
     vfov = C.focal2fov(F.col("f"), F.lit(float(SIZE)))
-    return out.select("e", F.round("roll", 4).alias("roll"), F.round("pitch", 4).alias("pitch"), F.round(vfov, 4).alias("vfov"))
+    return out.select("e", *[(F.round(c, 3) + 0.0).alias(n) for n, c in (("roll", F.col("roll")), ("pitch", F.col("pitch")), ("vfov", vfov))])
+
+
+def plain(spark, sf_dir):
+    return cam_gt(spark, sf_dir).select("e", "roll", "pitch", "vfov")
+
+
+@query(f"WITH {GT_SQL} SELECT e, round(roll, 5) AS roll, round(pitch, 5) AS pitch, round(vfov, 5) AS vfov FROM cam_gt")
+def lm_fit_robust(spark, sf_dir):
+    """Fit from a heuristic start with Huber's loss, steps on the sphere and confidences, where every seventh pixel is wrong."""
+    px = fields.packed_field(plain(spark, sf_dir), 16, 16)
+    wrong = F.transform("lat", lambda v, i: F.when(i % 7 == 3, v / 2 - 0.3).otherwise(v))
+    conf = F.transform("lat", lambda v, i: F.when(i % 7 == 3, F.lit(0.0)).otherwise(0.5 + (i % 3) / 4))
+    px = px.select("e", "up_x", "up_y", wrong.alias("lat"), conf.alias("lat_conf"))
+    out = estimate.fit_cameras(px, 16, 16, robust=True, sphere=True, heuristic=True)
+    return out.select("e", *[F.round(c, 5).alias(c) for c in ("roll", "pitch", "vfov")])
+
+
+@query(f"WITH {GT_SQL} SELECT e, round(roll, 5) AS roll, round(pitch, 5) AS pitch, round(vfov, 5) AS vfov, round((e % 9 - 4) / 100e0, 5) AS k1 FROM cam_gt WHERE vfov < radians(80)")
+def lm_fit_distorted(spark, sf_dir):
+    """Fit cameras with a radial term: all four parameters come back."""
+    cams = plain(spark, sf_dir).where(F.col("vfov") < F.radians(F.lit(80))).withColumns({"k1": (F.col("e") % 9 - 4) / 100, "k2": F.lit(0.0)})
+    out = estimate.fit_cameras(fields.packed_field(cams, 16, 16, "simple_radial"), 16, 16, distortion=True, steps=60)
+    return out.select("e", *[(F.round(c, 5) + 0.0).alias(c) for c in ("roll", "pitch", "vfov", "k1")])
 
 
 @query(f"""WITH {GRID_SQL}, q AS (SELECT *, u * cos(roll) + v * sin(roll) AS q0, (-u * sin(roll) + v * cos(roll)) * cos(pitch) + sin(pitch) AS q1,
   (u * sin(roll) - v * cos(roll)) * sin(pitch) + cos(pitch) AS q2 FROM g),
-p AS (SELECT e, x, y, view, q0 * cos(view * pi() / 4) - q2 * sin(view * pi() / 4) AS px, q1 AS py, q0 * sin(view * pi() / 4) + q2 * cos(view * pi() / 4) AS pz FROM q, (SELECT unnest(range(8)) AS view))
+p AS (SELECT e, x, y, view, q0 * cos(view * pi() / 8) - q2 * sin(view * pi() / 8) AS px, q1 AS py, q0 * sin(view * pi() / 8) + q2 * cos(view * pi() / 8) AS pz FROM q, (SELECT unnest(range(16)) AS view))
 SELECT e, CAST(view AS INTEGER) AS view, round(avg(sin(atan2(px, pz))), 6) AS lon_sin, round(avg(cos(atan2(px, pz))), 6) AS lon_cos, round(min(lat), 6) AS low, round(max(lat), 6) AS high
   FROM (SELECT *, asin(py / sqrt(px * px + py * py + pz * pz)) AS lat FROM p) GROUP BY e, view""")
 def panorama_views(spark, sf_dir):
-    """Where the pixels of eight views of a panorama look: mean direction and range of latitudes of each view."""
-    px = grid(spark, sf_dir).withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    yaw = F.col("view") * F.lit(3.141592653589793) / 4
+    """Where the pixels of sixteen views of a panorama look: mean direction and range of latitudes of each view."""
+    px = grid(spark, sf_dir).withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    yaw = F.col("view") * F.lit(3.141592653589793) / 8
     lon, lat = C.panorama_angles(*[F.col(c) for c in ("u", "v", "roll", "pitch")], yaw)
     seen = px.select("e", "view", lon.alias("lon"), lat.alias("lat")).groupBy("e", "view")
     return seen.agg(*r6(lon_sin=F.avg(F.sin("lon")), lon_cos=F.avg(F.cos("lon")), low=F.min("lat"), high=F.max("lat")))
@@ -142,14 +165,15 @@ def pixel_distortion_error(spark, sf_dir):
 def lm_fit_shared(spark, sf_dir):
     """Fit batches of four cameras of one field of view each: the known answer comes back."""
     cams = cam_gt(spark, sf_dir).withColumn("batch", F.floor(F.col("e") / 4)).withColumn("vfov", F.radians(50 + F.col("batch") % 12 * 5))
-    out = estimate.fit_shared_cameras(fields.perspective_field(cams, SIZE, SIZE), "batch", SIZE)
+    cams = cams.select("e", "batch", "roll", "pitch", "vfov")
+    out = estimate.fit_shared_cameras(fields.packed_field(cams, 16, 16), "batch", 16, 16)
     return out.select("e", *[F.round(c, 5).alias(c) for c in ("roll", "pitch", "vfov")])
 
 
 @query(f"WITH {GT_SQL} SELECT e, round(roll, 6) AS roll, round(pitch, 6) AS pitch, round(vfov, 6) AS vfov FROM cam_gt")
 def lm_fit_focal_prior(spark, sf_dir):
     """Fit roll and pitch where the field of view is known."""
-    out = estimate.fit_cameras(field(spark, sf_dir, SIZE), SIZE, fixed=("focal",))
+    out = estimate.fit_cameras(fields.packed_field(plain(spark, sf_dir), 16, 16), 16, 16, fixed=("focal",))
     return out.select("e", *r6(roll=F.col("roll"), pitch=F.col("pitch"), vfov=F.col("vfov")))
 
 

@@ -366,18 +366,46 @@ def field(spark, sf_dir, size):
     return P.perspective_field(cam_gt(spark, sf_dir), size, size, key="e")
 
 
-@query(f"WITH {field_sql(8)} SELECT e, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(up_x, 6) AS up_x, round(up_y, 6) AS up_y, round(lat, 6) AS lat FROM fl")
+@query(f"WITH {field_sql(32)} SELECT e, CAST(y AS INTEGER) AS y, round(sum(up_x * (x + 1)) / 32, 5) AS up_x, round(sum(up_y * (x + 1)) / 32, 5) AS up_y, round(sum(lat * (x + 1)) / 32, 5) AS lat FROM fl GROUP BY e, y")
 def perspective_field(spark, sf_dir):
-    return field(spark, sf_dir, 8).select("e", "x", "y", *r6(up_x=F.col("up_x"), up_y=F.col("up_y"), lat=F.col("lat")))
+    """The field of every camera at 32 x 32 pixels, each image line as its values weighted by their place."""
+    px = P.packed_field(cam_gt(spark, sf_dir).select("e", "roll", "pitch", "vfov"), 32, 32)
+    lines = px.select("e", "up_x", "up_y", "lat", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("y"))
+    total = lambda c: F.round(F.aggregate(F.transform(F.slice(F.col(c), F.col("y") * 32 + 1, F.lit(32)), lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, x: a + x) / 32, 5)
+    return lines.select("e", "y", *[total(c).alias(c) for c in ("up_x", "up_y", "lat")])
 
 
-@query(f"WITH {field_sql(16)} SELECT e, round(avg(abs(lat) / pi() * 180), 6) AS mean, round(quantile_disc(abs(lat) / pi() * 180, 0.5), 6) AS lower_median, round(avg(CASE WHEN abs(lat) / pi() * 180 < 5 THEN 1e0 ELSE 0e0 END), 6) AS recall_5 FROM fl GROUP BY e")
+def pair_sql(n: int) -> str:
+    """Pixels of true and predicted cameras, with confidences."""
+    one = lambda t: f"SELECT e, x, y, (gx - gz * u) / n AS up_x, (gy - gz * v) / n AS up_y, lat FROM (SELECT e, x, y, u, v, gx, gy, gz, sqrt((gx - gz * u) * (gx - gz * u) + (gy - gz * v) * (gy - gz * v)) AS n, asin(greatest(-0.999999e0, least(0.999999e0, (u * gx + v * gy + gz) / sqrt(u * u + v * v + 1)))) AS lat FROM (SELECT e, x, y, (x - {n // 2}) / ({n // 2} / tan(vfov / 2)) AS u, (y - {n // 2}) / ({n // 2} / tan(vfov / 2)) AS v, {GRAV} FROM {t}, (SELECT unnest(range({n})) AS x), (SELECT unnest(range({n})) AS y)))"
+    return f"""{PRED_SQL}, a AS ({one('cam_pred')}), b AS ({one('cam_gt')}),
+er AS (SELECT a.e, acos(greatest(-1, least(1, a.up_x * b.up_x + a.up_y * b.up_y))) / pi() * 180 AS up, abs(a.lat - b.lat) / pi() * 180 AS lat, (1 + (a.x + 2 * a.y + a.e) % 5) / 6e0 AS c FROM a JOIN b ON a.e = b.e AND a.x = b.x AND a.y = b.y)"""
+
+
+@query(f"""WITH {pair_sql(16)} SELECT e, round(avg(up), 5) AS up_error, round(quantile_disc(up, 0.5), 5) AS up_med_error, round(avg(CASE WHEN up < 5 THEN 1e0 ELSE 0e0 END), 6) AS up_recall, round(sum(up * c) / sum(c), 5) AS up_weighted,
+  round(avg(lat), 5) AS lat_error, round(quantile_disc(lat, 0.5), 5) AS lat_med_error, round(avg(CASE WHEN lat < 5 THEN 1e0 ELSE 0e0 END), 6) AS lat_recall, round(sum(lat * lat * c) / sum(c), 4) AS lat_loss FROM er GROUP BY e""")
 def field_error(spark, sf_dir):
-    """Latitude error against a level camera, by image: mean, lower median and recall."""
-    err = C.rad2deg(F.abs(F.col("lat")))
-    return field(spark, sf_dir, 16).withColumn("err", err).groupBy("e").agg(
-        F.round(F.avg("err"), 6).alias("mean"), F.round(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY err)"), 6).alias("lower_median"), F.round(F.avg((F.col("err") < 5).cast("double")), 6).alias("recall_5")
-    )
+    """Predicted fields against the true ones by image: mean, lower median, recall, mean by confidence, and a loss by normalised confidence."""
+    n = 16
+    pred = P.packed_field(cam_pred(spark, sf_dir).select("e", "roll", "pitch", "vfov"), n, n).drop("roll", "pitch", "vfov")
+    true = P.packed_field(cam_gt(spark, sf_dir).select("e", "roll", "pitch", "vfov"), n, n).select("e", *[F.col(c).alias(f"{c}2") for c in ("up_x", "up_y", "lat")])
+    err = P.angle_errors(pred.join(true, "e"))
+    conf = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda p: (1 + (p % n + 2 * F.floor(p / n) + F.col("e")) % 5) / 6)
+    err = err.select("e", "up_error", "lat_error", conf.alias("c"))
+    up, lat, c = F.col("up_error"), F.col("lat_error"), F.col("c")
+    loss = P.packed_mean(F.zip_with(F.transform(lat, lambda x: x * x), P.normalised_confidence(c), lambda x, k: x * k))
+    five = {"up_error": P.packed_mean(up), "up_med_error": P.packed_lower_median(up), "up_weighted": P.packed_weighted(up, c), "lat_error": P.packed_mean(lat), "lat_med_error": P.packed_lower_median(lat)}
+    return err.select("e", *[F.round(v, 5).alias(k) for k, v in five.items()], F.round(loss, 4).alias("lat_loss"), *r6(up_recall=P.packed_recall(up, 5.0), lat_recall=P.packed_recall(lat, 5.0)))
+
+
+@query(f"""WITH {PRED_SQL}, t AS ({three_sql(_BASE, 'output_text', 'outputs')}), p AS (SELECT e, roll, pitch, vfov, x, y, (x - 16) / (16 / tan(vfov / 2)) AS u, (y - 16) / (16 / tan(vfov / 2)) AS v, {GRAV} FROM t, (SELECT unnest(range(32)) AS x), (SELECT unnest(range(32)) AS y) WHERE roll IS NOT NULL)
+SELECT e, round(avg((gx - gz * u) / sqrt((gx - gz * u) * (gx - gz * u) + (gy - gz * v) * (gy - gz * v))), 5) AS up_x, round(avg((gy - gz * v) / sqrt((gx - gz * u) * (gx - gz * u) + (gy - gz * v) * (gy - gz * v))), 5) AS up_y,
+  round(avg(asin(greatest(-0.999999e0, least(0.999999e0, (u * gx + v * gy + gz) / sqrt(u * u + v * v + 1))))), 5) AS lat FROM p GROUP BY e""")
+def camera_map(spark, sf_dir):
+    """Captions to camera maps, here of 32 x 32 pixels: the mean of each channel. Captions without parameters have none."""
+    o = outputs(spark, sf_dir)
+    maps = P.camera_map(o, "output_text", 32, strict=False).where("roll IS NOT NULL")
+    return maps.select("e", *[F.round(P.packed_mean(F.col(c)), 5).alias(c) for c in ("up_x", "up_y", "lat")])
 
 
 @query("SELECT event_id, CAST(len(list_filter(list_transform(range(11), lambda i: -5 + i * 50e0), lambda b: b < value)) - 1 AS INTEGER) AS bin, CAST(least(greatest(ceil((value - 90 + 90) / 18) - 1, 0), 9) AS INTEGER) AS lat_bin FROM events")
@@ -395,8 +423,9 @@ def losses_and_tone_maps(spark, sf_dir):
 
 @query(f"WITH {GT_SQL} SELECT e, round(roll, 6) AS roll, round(pitch, 6) AS pitch, round(vfov, 6) AS vfov FROM cam_gt")
 def lm_fit(spark, sf_dir):
-    """Fit cameras to their own fields: the known answer comes back."""
-    return fit_cameras(field(spark, sf_dir, 8), 8).select("e", *r6(roll=F.col("roll"), pitch=F.col("pitch"), vfov=F.col("vfov")))
+    """Fit cameras to their own fields of 32 x 32 pixels: the known answer comes back."""
+    px = P.packed_field(cam_gt(spark, sf_dir).select("e", "roll", "pitch", "vfov"), 32, 32)
+    return fit_cameras(px, 32, 32).select("e", *r6(roll=F.col("roll"), pitch=F.col("pitch"), vfov=F.col("vfov")))
 
 
 @query(f"WITH {GT_SQL} SELECT 'roll' AS parameter, CAST(floor((roll / pi() * 180 + 45) / 0.9) AS BIGINT) AS bin, count(*) AS n FROM cam_gt GROUP BY 1, 2 UNION ALL SELECT 'vfov', CAST(floor((vfov / pi() * 180 - 20) / 0.9) AS BIGINT), count(*) FROM cam_gt GROUP BY 1, 2")

@@ -79,7 +79,8 @@ def test_jacobian_is_the_finite_difference(spark, roll, pitch):
     x, y, f, step = 3.0, -2.0, 9.0, 1e-6
 
     def value(r, p, f):
-        return estimate._field(np.array([r, p, np.log(f)]), np.array([x]), np.array([y]), 0.0)
+        one = lambda v: np.array([v])
+        return estimate.model(estimate.gravity_of(one(r), one(p)), np.log(one(f)), one(0.0), one([x]), one([y]))[0, 0]
 
     j = P.jacobian(F.lit(x / f), F.lit(y / f), F.lit(roll), F.lit(pitch), F.lit(f))
     got = spark.range(1).select(*[c.alias(k) for k, c in j.items()]).first()
@@ -108,3 +109,38 @@ def test_precision_recall_with_ties_and_no_positives(spark):
     out = M.precision_recall(spark.createDataFrame(rows, "g string, s double, y boolean"), ["g"], "s", F.col("y"), F.floor("s"))
     got = {(r.g, r.s): (r.precision, r.recall) for r in out.collect()}
     assert got == {("a", 3.0): (0.5, 0.5), ("a", 1.0): (2 / 3, 1.0), ("b", 2.0): (0.0, None)}
+
+
+@pytest.mark.parametrize(
+    "text, pattern, want",
+    [
+        ("are: 0.1234 , 0.2000 , 0.9000", X.BASE, (0.1234, 0.2, 0.9)),
+        ("0.1234 , 0.2000\u00a0, 0.9000", X.LENIENT, (0.1234, 0.2, 0.9)),
+        ("<answer> +1 ,-2.5,3 </answer>", X.ANSWER, (1.0, -2.5, 3.0)),
+        ("are: .5, 1, 2", X.BASE, (None,) * 3),
+        ("are: 1., 1, 2", X.BASE, (None,) * 3),
+        (".5, .25, .75", X.LENIENT, (None,) * 3),
+        ("x 1.50, 2.5, 3.5 4.5", X.LENIENT, (1.5, 2.5, 3.5)),
+    ],
+)
+def test_numbers_and_commas(spark, text, pattern, want):
+    assert tuple(one(spark, *X.triple(F.lit(text), pattern))) == want
+
+
+def test_strip_takes_all_white_space(spark):
+    assert one(spark, X.strip(F.lit("\x1f\u3000 a\u00a0b\u2003\n\x85")))[0] == "a\u00a0b"
+
+
+@pytest.mark.parametrize("path, name", [("a/b.c/img_1.png", "img_1.jpg"), ("img.tar.gz", "img.tar.jpg"), (".hidden", ".hidden.jpg"), ("plain", "plain.jpg")])
+def test_stem_and_suffix(spark, path, name):
+    assert one(spark, X.stem(F.lit(path), "jpg"))[0] == name
+
+
+def test_normal_quantile(spark):
+    from statistics import NormalDist
+
+    ps = [1e-9, 0.001, 0.02, 0.1, 0.5, 0.77, 0.99, 1 - 1e-9]
+    got = one(spark, *[N.normal_quantile(F.lit(p)) for p in ps])
+    assert list(got) == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-7, abs=1e-9)
+    low, high = one(spark, N.truncated_normal(F.lit(0.0), -2.0, 1.0, 5.0, 0.5), N.truncated_normal(F.lit(1.0), -2.0, 1.0, 5.0, 0.5))
+    assert (low, high) == pytest.approx((4.0, 5.5), abs=1e-6)
