@@ -9,13 +9,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
 
-def ranked(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], name: str = "rank", size: str | None = None) -> DataFrame:
-    """Adds `name`, the row number from 1 within `groups`; buckets must be in the order of `order`.
 
-    `size` names a column for the group's row count. Ties in `order` are in any order.
+def ranged(df: DataFrame, groups: list[str], order: list[Column]) -> DataFrame:
+    """Adds `_b`, buckets of about equal numbers of rows in the order of `groups` and `order`: as many as Spark's range partitions.
+
+    Their edges come from a sample of the rows, so the table is written: read again, a row has the bucket that it had.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *groups, *order).withColumn("_b", F.spark_partition_id()), "ranged")
+
+
+def ranked(df: DataFrame, groups: list[str], bucket: Column | None, order: list[Column], name: str = "rank", size: str | None = None) -> DataFrame:
+    """Adds `name`, the row number from 1 within `groups`; buckets must be in the order of `order`, and by default are ranges of it.
+
+    `size` names a column for the group's row count. Ties in `order` are in any order; where many rows tie, end it with a key that doesn't.
+    Null groups are a group, and null order values come first. An empty table gives none.
     """
-    df = df.withColumn("_b", bucket)
+    df = df.withColumn("_b", bucket) if bucket is not None else ranged(df, groups, order)
     counts = df.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
     over = Window.partitionBy(*groups)
     before = counts.select(

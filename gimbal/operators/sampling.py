@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,18 @@ def choose(options: list[str], *parts: Column | str) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), (F.floor(unit(*parts) * len(options)) + 1).cast("int"))
 
 
+#: Rows of a bucket of the shuffled order, about.
+BUCKET_ROWS = 50_000
+
+
 def shuffled(df: DataFrame, groups: list[str], key: str, seed: str, name: str = "position", size: str | None = None) -> DataFrame:
-    """Number rows from 1 in an order drawn by hash. The order's first three digits are the buckets."""
+    """Number rows from 1 in an order drawn by hash. The order's first digits are the buckets, as many as the rows ask for.
+
+    Rows with one key are in any order; a null key is a key.
+    """
+    digits = max(1, math.ceil(math.log(max(1, df.count() / BUCKET_ROWS), 16)))
     df = df.withColumn("_h", hash_hex(seed, F.col(key)))
-    return ranked(df, groups, F.substring("_h", 1, 3), [F.col("_h"), F.col(key)], name, size).drop("_h")
+    return ranked(df, groups, F.substring("_h", 1, digits), [F.col("_h"), F.col(key)], name, size).drop("_h")
 
 
 def shard(df: DataFrame, key: str, world: int, seed: str) -> DataFrame:
@@ -35,12 +45,22 @@ def shard(df: DataFrame, key: str, world: int, seed: str) -> DataFrame:
     return shuffled(df.withColumn("_all", F.lit(1)), ["_all"], key, seed).withColumn("shard", F.pmod(F.col("position") - 1, F.lit(world))).drop("_all")
 
 
-def batches(df: DataFrame, source: str, key: str, sizes: dict[str, int], repeats: dict[str, int], seed: str) -> DataFrame:
-    """Adds `batch`, `cycle`, `slot`: batches of a source are consecutive runs, `repeats` of them in every cycle."""
+def batches(df: DataFrame, source: str, key: str, sizes: dict[str, int], repeats: dict[str, int], seed: str, size: int = 1, repeat: int = 1) -> DataFrame:
+    """Adds `batch`, `cycle`, `slot`: batches of a source are consecutive runs, `repeats` of them in every cycle.
+
+    Sources without an entry take `size` and `repeat`.
+    """
     out = shuffled(df, [source], key, seed)
-    pick = lambda d: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), F.col(source))
-    out = out.withColumn("batch", F.floor((F.col("position") - 1) / pick(sizes)))
-    return out.withColumn("cycle", F.floor(F.col("batch") / pick(repeats))).withColumn("slot", F.pmod("batch", pick(repeats)))
+
+    def pick(table: dict[str, int], default: int) -> Column:
+        value = F.lit(default)
+        for k, v in table.items():
+            value = F.when(F.col(source) == k, F.lit(v)).otherwise(value)
+        return value
+
+    out = out.withColumn("batch", F.floor((F.col("position") - 1) / pick(sizes, size)))
+    r = pick(repeats, repeat)
+    return out.withColumn("cycle", F.floor(F.col("batch") / r)).withColumn("slot", F.pmod("batch", r))
 
 
 def draw(dist: dict, *parts: Column | str) -> Column:

@@ -133,7 +133,7 @@ def loss_rolling(spark, sf_dir):
 @query("SELECT event_id, round(row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) / CAST(count(*) OVER (PARTITION BY event_type) AS DOUBLE), 6) AS recall FROM events")
 def error_cdf(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    out = ranked(e, ["event_type"], F.floor("value"), [F.col("value"), F.col("event_id")], "i", "n")
+    out = ranked(e.select("event_id", "event_type", "value"), ["event_type"], None, [F.col("value"), F.col("event_id")], "i", "n")
     return out.select("event_id", F.round(F.col("i") / F.col("n"), 6).alias("recall"))
 
 
@@ -212,7 +212,7 @@ def zip_join(spark, sf_dir):
     """Pair two lists by position in the order of their names."""
 
     def numbered(df, name):
-        return ranked(df.select(F.col("e").alias(name), "fname", F.lit(1).alias("g")), ["g"], F.substring("fname", 1, 6), [F.col("fname")], "i").select(name, "i")
+        return ranked(df.select(F.col("e").alias(name), "fname", F.lit(1).alias("g")), ["g"], None, [F.col("fname")], "i").select(name, "i")
 
     return numbered(cam_gt(spark, sf_dir), "e").join(numbered(cam_pred(spark, sf_dir), "partner"), "i").drop("i")
 
@@ -252,14 +252,11 @@ def shard_rows(spark, sf_dir):
 
 @query(f"WITH p AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {HASH.format(chr(39) + 'mix' + chr(39) + ', event_id')}, event_id) AS pos, CASE event_type WHEN 'click' THEN 8 WHEN 'view' THEN 8 ELSE 1 END AS r FROM events) SELECT event_id, CAST((pos - 1) // 16 AS BIGINT) AS batch, CAST((pos - 1) // 16 // r AS BIGINT) AS cycle, CAST((pos - 1) // 16 % r AS BIGINT) AS slot FROM p")
 def batch_schedule(spark, sf_dir):
+    """Sources are the event types; all but two repeat once a cycle."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
-    kinds = ["click", "view"]
-    e = e.withColumn("source", F.when(F.col("event_type").isin(kinds), F.col("event_type")).otherwise(F.lit("other")))
-    # Sources are the event types; all but two repeat once a cycle.
-    shuffled = S.shuffled(e, ["event_type"], "event_id", "mix")
-    r = F.when(F.col("source") == "other", 1).otherwise(8)
-    b = F.floor((F.col("position") - 1) / 16)
-    return shuffled.select("event_id", b.alias("batch"), F.floor(b / r).alias("cycle"), F.pmod(b, r).cast("long").alias("slot"))
+    repeats = {"click": 8, "view": 8}
+    out = S.batches(e, "event_type", "event_id", {}, repeats, "mix", size=16, repeat=1)
+    return out.select("event_id", *[F.col(c).cast("long").alias(c) for c in ("batch", "cycle", "slot")])
 
 
 @query(f"SELECT event_id, {UNIT.format(chr(39) + 'drop' + chr(39) + ', event_id')} < 0.1 AS dropped, list_extract(['a', 'b', 'c', 'd'], CAST(floor({UNIT.format(chr(39) + 'prompt' + chr(39) + ', event_id')} * 4) + 1 AS BIGINT)) AS prompt, round(-45 + 90 * {UNIT.format(chr(39) + 'roll' + chr(39) + ', event_id')}, 6) AS roll_deg FROM events")
@@ -440,5 +437,5 @@ def param_histogram(spark, sf_dir):
 def checkpoint_keep(spark, sf_dir):
     """The newest five of each owner; an interrupted one only if it is the newest."""
     w = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    c = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(w))
+    c = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(w)).where("i <= 5")  # which Spark also applies before the shuffle
     return c.where((F.col("i") == 1) | ((F.col("i") <= 5) & (F.col("event_type") != "error"))).select("user_id", "event_id")
