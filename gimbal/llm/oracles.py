@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality_rules import STOP_WORDS
+
 SQL: dict[str, str] = {}
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -46,3 +48,19 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """
+
+#: The stop words of the four languages, as the rule table has them.
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
+
+SQL["op8_quality_rules"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, i, gram, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[CAST(i AS INTEGER)] || chr(32) || w[CAST(i + 1 AS INTEGER)] || chr(32) || w[CAST(i + 2 AS INTEGER)])) AS gram FROM w WHERE len(w) >= 3)),
+r AS (SELECT doc_id, count(DISTINCT place) AS n_repeat FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM g WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w) AS n, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS symbols,
+  len(l) - len(list_distinct(l)) AS dup, len(l) AS lines, coalesce(n_repeat, 0) AS rep, greatest(len(w), 1) AS k, len(list_filter(w, lambda x: list_contains([{_STOP}], lower(x)))) AS stop,
+  length(regexp_replace(t, '\\P{{Lu}}+', '', 'g')) AS upper, greatest(length(regexp_replace(t, '\\P{{L}}+', '', 'g')), 1) AS letters FROM w LEFT JOIN r ON w.doc_id = r.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(symbols AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(rep AS BIGINT) AS n_repeat_words,
+  n < 50 OR 100 * rep > 50 * n AS base_failed,
+  NOT (n < 50 OR 100 * rep > 50 * n OR symbols / k > 0.25e0 OR stop / k < 0.02e0 OR upper / letters > 0.5e0 OR dup / greatest(lines, 1) > 0.5e0 OR chars / k < 1.5e0 OR chars / k > 20) AS kept FROM m
+"""
