@@ -17,9 +17,9 @@ OUTPUTS = "id string, output_text string"
 LOG = "iter long, loss double"
 
 
-def manifest(spark: SparkSession, path: str, source: str | None = None) -> DataFrame:
-    """JSON arrays of rows: one file, or every `*.json` of a folder."""
-    df = spark.read.schema(MANIFEST).option("pathGlobFilter", "*.json").json(path, multiLine=True)
+def manifest(spark: SparkSession, path: str, source: str | None = None, pattern: str = "*.json") -> DataFrame:
+    """JSON arrays of rows: one file, or every file of a folder whose name fits."""
+    df = spark.read.schema(MANIFEST).option("pathGlobFilter", pattern).json(path, multiLine=True)
     return df if source is None else df.withColumn("source", F.lit(source))
 
 
@@ -58,14 +58,15 @@ def cameras(spark: SparkSession, path: str) -> DataFrame:
 
 
 def model_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """JSON arrays of (id, output_text); fields that lack are null."""
     return spark.read.schema(OUTPUTS).json(path, multiLine=True)
 
 
 def files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """(path, name, size) of visible files, without reading them."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+    """(path, name, size) of visible files at any depth in the order of their paths, without reading them."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
-    return df.select("path", name.alias("name"), F.col("length").alias("size")).where(~F.startswith("name", F.lit(".")))
+    return df.select("path", name.alias("name"), F.col("length").alias("size")).where(~F.startswith("name", F.lit("."))).orderBy("path")
 
 
 def pending(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -92,9 +93,15 @@ def write_predictions(df: DataFrame, path: str) -> None:
     df.select(*cols).write.mode("overwrite").csv(path, header=True)
 
 
-def write_by(df: DataFrame, column: str, path: str) -> None:
-    """Parquet, partitioned by split or folder."""
-    df.write.mode("overwrite").partitionBy(column).parquet(path)
+def write_by(df: DataFrame, column: str, path: str, form: str = "parquet") -> None:
+    """Files by split or folder, as Parquet or as CSV with a header."""
+    df.write.mode("overwrite").partitionBy(column).format(form).option("header", True).save(path)
+
+
+def write_arrays(df: DataFrame, group: Column, path: str) -> None:
+    """A folder with a JSON array of rows for each group: what `manifest` and `model_outputs` read. Groups are meant to be small."""
+    packed = df.groupBy(group.alias("_g")).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    packed.write.mode("overwrite").partitionBy("_g").text(path)
 
 
 def duplicates(df: DataFrame, key: str = "name") -> DataFrame:
