@@ -1,4 +1,4 @@
-"""Column functions on captions and answers: parsing, cutting and formatting."""
+"""Column functions on captions and answers: parsing, cutting and formatting. Null text gives null."""
 
 from __future__ import annotations
 

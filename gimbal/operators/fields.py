@@ -1,4 +1,8 @@
-"""Per-pixel perspective fields. Pixels of an image stay in the stage that aggregates them."""
+"""Per-pixel perspective fields. Pixels of an image stay in the stage that aggregates them, or in the image's row (packed).
+
+A null parameter gives null values, a point at which the up direction vanishes a null direction. Rows are independent, repeated or not; an
+empty table stays empty.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Evaluation metrics over long tables of (group, error)."""
+"""Evaluation metrics over long tables of (group, error).
+
+A null error counts nowhere. NaN is skipped by means, medians and quantiles (`finite`), and is an infinite error for recall and areas (`as_miss`).
+Ties are counted one by one, in any order. A null group is a group. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,6 +1,7 @@
 """Rasters packed into one array per row, row by row from the top left pixel.
 
-Sampling is a column expression over the packed array: no pixel becomes a row, and nothing is shuffled.
+Sampling is a column expression over the packed array: no pixel becomes a row, and nothing is shuffled. A null raster
+is null inside and zero outside.
 """
 
 from __future__ import annotations

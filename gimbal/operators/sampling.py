@@ -1,4 +1,7 @@
-"""Deterministic sampling, sharding and batch schedules: a hash of (seed, key) takes the place of a random generator."""
+"""Deterministic sampling, sharding and batch schedules: a hash of (seed, key) takes the place of a random generator.
+
+Rows with one key are drawn alike; a null key counts as a missing part of the hash. An empty table stays empty.
+"""
 
 from __future__ import annotations
 

@@ -17,6 +17,7 @@ from ..operators import sampling as S
 from ..operators.estimate import fit_cameras
 from ..operators.ranking import ranked
 from ..operators.store import written
+from ..streaming.events import windowed
 from .fixtures import GT_SQL, PRED_SQL, cam_gt, cam_pred, outputs
 
 QUERIES: dict = {}
@@ -439,3 +440,10 @@ def checkpoint_keep(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
     c = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(w)).where("i <= 5")  # which Spark also applies before the shuffle
     return c.where((F.col("i") == 1) | ((F.col("i") <= 5) & (F.col("event_type") != "error"))).select("user_id", "event_id")
+
+
+@query("SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    """Counts and sums by hour and type, as the streaming job has them (an extension)."""
+    out = windowed(table(spark, sf_dir, "events"))
+    return out.select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

@@ -1,4 +1,8 @@
-"""Readers and writers of manifests, captions, camera tables, predictions and logs. Schemas are explicit."""
+"""Readers and writers of manifests, captions, camera tables, predictions and logs. Schemas are explicit.
+
+Fields that a file lacks are null, and fields beyond the schema are not read. Rows keep no order. An empty folder gives no rows where the
+schema is given; writers replace what is there, but for logs, which grow.
+"""
 
 from __future__ import annotations
 
