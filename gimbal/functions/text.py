@@ -95,13 +95,13 @@ def image_prompt(kind: str, text: Column, length: Column | int) -> Column:
     return chat("instruction", F.concat(image_run(length), F.lit("\n"), chat(kind, text)))
 
 
-#: Yaw in degrees of named places around the viewer (fixed values).
-PLACES = {"left": -90.0, "right": 90.0, "front": 0.0, "back": 180.0}
+#: Yaw in radians of named places around the viewer, as text (fixed values).
+PLACES = {"left": "1.5710", "behind": "3.1416", "right": "4.7120"}
 
 
-def place_yaw(name: Column, places: dict[str, float] = PLACES) -> Column:
-    """Null for a name that isn't listed."""
-    out = F.lit(None).cast("double")
+def place_yaw(name: Column, places: dict[str, str] = PLACES) -> Column:
+    """The yaw of a place as text; null for a name that isn't listed."""
+    out = F.lit(None).cast("string")
     for k, v in places.items():
         out = F.when(F.lower(name) == k, F.lit(v)).otherwise(out)
     return out

@@ -68,17 +68,18 @@ def chat_prompts(spark, sf_dir):
     return rows.select("conv_id", "turn", X.image_prompt("cross_view", t, (F.col("turn") + 1).cast("int")).alias("cross_view"), X.chat("instruction", X.chat("generation", t)).alias("generation"))
 
 
-@query(f"WITH {PRED_SQL} SELECT e, printf('%s, roll-%.2f', id, roll) AS path, CASE e % 5 WHEN 0 THEN -90e0 WHEN 1 THEN 90e0 WHEN 2 THEN 0e0 WHEN 3 THEN 180e0 END AS yaw, CASE WHEN e % 3 = 0 THEN e ELSE -1 END AS category, lower(id) LIKE '%.json' AS is_json FROM outputs JOIN cam_pred USING (e)")
+@query(f"WITH {PRED_SQL} SELECT e, printf('%s, roll-%.2f', id, roll) AS path, 'The deviation of the camera yaw angle is ' || CASE e % 4 WHEN 0 THEN '1.5710' WHEN 1 THEN '3.1416' WHEN 2 THEN '4.7120' ELSE 'unknown' END || '.' AS yaw, CASE WHEN e % 3 = 0 THEN e ELSE -1 END AS category, lower(id) LIKE '%.json' AS is_json FROM outputs JOIN cam_pred USING (e)")
 def names_and_templates(spark, sf_dir):
     """Path templates, places as yaw, category labels, and the extension test."""
     from .fixtures import cam_pred
 
     rows = outputs(spark, sf_dir).join(cam_pred(spark, sf_dir).select("e", "roll"), "e")
     e = F.col("e")
-    place = F.when(e % 5 == 0, "Left").when(e % 5 == 1, "right").when(e % 5 == 2, "front").when(e % 5 == 3, "back").otherwise("up")
+    place = F.when(e % 4 == 0, "Left").when(e % 4 == 1, "behind").when(e % 4 == 2, "right").otherwise("up")
+    yaw = X.fill("The deviation of the camera yaw angle is {yaw}.", {"yaw": F.coalesce(X.place_yaw(place), F.lit("unknown"))})
     label = F.when(e % 3 == 0, e.cast("string")).otherwise(F.concat(F.lit("c"), e.cast("string")))
     path = X.fill("{id}, roll-{roll}", {"id": F.col("id"), "roll": F.format_string("%.2f", "roll")})
-    return rows.select("e", path.alias("path"), X.place_yaw(place).alias("yaw"), F.coalesce(X.category(label), F.lit(-1)).alias("category"), X.is_json(F.col("id")).alias("is_json"))
+    return rows.select("e", path.alias("path"), yaw.alias("yaw"), F.coalesce(X.category(label), F.lit(-1)).alias("category"), X.is_json(F.col("id")).alias("is_json"))
 
 
 @query(f"WITH {PRED_SQL} SELECT e, CASE WHEN e % 6 = 0 THEN output_text ELSE output_text || ' looks ' || e END AS merged, 'img_' || e || '.json' AS annotation FROM outputs")
