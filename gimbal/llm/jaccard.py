@@ -16,6 +16,7 @@ let more of them through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ from .components import components
 #: Pairs are listed at once within a bucket of up to this many sets.
 PAIR_BUCKET = 32
 #: Sets that tell which shingles are common (expected), times that make one common, and the most such shingles.
-SAMPLE, COMMON, MOST = 20_000, 5, 100_000
+SAMPLE, COMMON, MOST = 5_000, 3, 100_000
 #: Partners drawn from a bucket in each round, and the most bits of a bitmap (8 MB).
-ROUNDS, MOST_BITS = (24, 96), 1 << 26
+ROUNDS, MOST_BITS = (48,), 1 << 26
 
 _PREFIX = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 _ROWS = "key long, node long, n int, i int"
@@ -58,9 +59,9 @@ def _common(docs: DataFrame, text_col: str, rid: Column, shingle: int) -> tuple[
     some = docs.where(F.pmod(rid, F.lit(1 << 30)) < int(share * (1 << 30)))
     fields = T.StructType([T.StructField("sh", T.ArrayType(T.LongType()))])
     seen = map_text(some, text_col, [], fields, lambda: lambda texts: {"sh": [shingles(t, shingle) for t in texts]})
-    often = seen.distinct().select(F.explode("sh").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
-    often = often.orderBy(F.desc("n"), "key").limit(MOST).toPandas().sort_values("key")
-    return often.key.to_numpy(np.int64), often.n.to_numpy(np.int64)
+    often = seen.select(F.explode("sh").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    often = often.orderBy(F.desc("n"), "key").limit(MOST).toArrow().sort_by("key")
+    return often["key"].to_numpy(), often["n"].to_numpy()
 
 
 def _prefixes(docs: DataFrame, text_col: str, keep: list[str], shingle: int, least: float, common: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -89,9 +90,9 @@ def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
     """Bits of the hashes in a column: some 16 for each, and at most MOST_BITS in all."""
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (16 * rows.count()).bit_length()))
     at = F.col(column).bitwiseAND(F.lit(bits - 1))
-    words = rows.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("b")).toPandas()
+    words = rows.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("b")).toArrow()
     out = np.zeros(bits // 64, np.int64)
-    out[words.w.to_numpy(np.int64)] = words.b.to_numpy(np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
     return out.view(np.uint64)
 
 
@@ -102,8 +103,8 @@ def _maybe(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _shared(firsts: DataFrame) -> DataFrame:
     """(key, node, n, i): prefix shingles that two sets or more hold, with their place in each."""
-    used = firsts.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    used = materialise(used.where("lo < hi").select("key"), "used")
+    used = firsts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
+    used = materialise(used.where("c > 1").select("key"), "used")
     bits = firsts.sparkSession.sparkContext.broadcast(_bitmap(used, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,38 +124,74 @@ def _shared(firsts: DataFrame) -> DataFrame:
     return materialise(rows.join(other, F.bitwise_not("key") == F.col("k"), "left_semi").distinct(), "shared")
 
 
-def _held(docs: DataFrame, text_col: str, rid: Column, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, sh): the sets of the rows whose `rid` is in `wanted`, and perhaps of some others."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "rid"))
+@dataclass
+class Sets:
+    """Where the sets of nodes come from: the documents, and the row (hash of its key) that stands for each node."""
+
+    docs: DataFrame
+    text_col: str
+    rid: Column
+    rows: DataFrame  # node, rid
+    shingle: int
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """(node, sh) of `nodes` (n, complements): the sets anew from the texts, as 32-bit hashes. Texts of other rows aren't hashed."""
+        wanted = materialise(self.rows.join(nodes.distinct().hint("merge"), F.bitwise_not("node") == F.col("n"), "left_semi").select("rid"), "wanted")
+        bits, shingle = self.docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "rid")), self.shingle
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = np.flatnonzero(_maybe(bits.value, batch.column(0).to_numpy()))
+                for at in range(0, len(hit), 512):
+                    sets = [shingles(t or "", shingle) for t in batch.column(1).take(pa.array(hit[at : at + 512])).to_pylist()]
+                    short = [np.unique(x.astype(np.int32)) for x in sets]
+                    yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array(short, pa.list_(pa.int32()))], names=["node", "sh"])
+
+        return self.docs.select(self.rid.alias("rid"), self.text_col).mapInArrow(run, "node long, sh array<int>").dropDuplicates(["node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = np.flatnonzero(_maybe(bits.value, batch.column(0).to_numpy()))
-            for at in range(0, len(hit), 512):
-                sets = [shingles(t or "", shingle) for t in batch.column(1).take(pa.array(hit[at : at + 512])).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "sh"])
 
-    rows = docs.select(rid.alias("rid"), text_col).mapInArrow(run, "node long, sh array<long>")
-    return materialise(rows.dropDuplicates(["node"]), "sets")
+def _in_reach(least: float, places: bool = True) -> Column:
+    """Whether two sets of sizes n and n2 can be that similar if they meet first at places i and i2 of the order."""
+    n, m = F.col("n"), F.col("n2")
+    sizes = (n >= least * m - 1e-9) & (m >= least * n - 1e-9)
+    return sizes & (F.least(n - F.col("i"), m - F.col("i2")) * (1 + least) >= least * (n + m) - 1e-9) if places else sizes
 
 
-def _pairs(left: DataFrame, right: DataFrame, least: float, also: Column, every_key: bool = True) -> DataFrame:
-    """(a, b) that share a key and can still reach the similarity; columns are those of the prefixes, `key2` and so on at the right.
+def _enough(keys: Column, least: float) -> Column:
+    """Whether two sets of sizes n and n2 that share so many prefix keys can be that similar.
 
-    Places in the order cut a pair only where it meets under `every_key` that it shares, as they bound it at its first one alone.
+    All but n - overlap shingles of a set are shared, also of those in its prefix; where the prefix ends first in the
+    order, these are in the other prefix too.
     """
-    sizes = (F.col("n") >= least * F.col("n2") - 1e-9) & (F.col("n2") >= least * F.col("n") - 1e-9)
-    if every_key:
-        sizes = sizes & (F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) * (1 + least) >= least * (F.col("n") + F.col("n2")) - 1e-9)
+    n, m = F.col("n"), F.col("n2")
+    overlap = F.ceil(least / (1 + least) * (n + m) - 1e-9)
+    need = lambda k: k - F.ceil(least * k - 1e-9) + 1 - (k - overlap)
+    return F.size(keys) >= F.least(need(n), need(m))
+
+
+def _pairs(left: DataFrame, right: DataFrame, least: float, also: Column) -> DataFrame:
+    """(a, b) that share a key and can still reach the similarity; columns are those of the prefixes, `key2` and so on at the right."""
     other = right.withColumnsRenamed({c: f"{c}2" for c in right.columns})
-    out = left.join(other, (F.col("key") == F.col("key2")) & also & sizes)
+    out = left.join(other, (F.col("key") == F.col("key2")) & also & _in_reach(least))
     return out.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """The pairs whose whole sets are as similar as that."""
-    a, b = (held.select(F.bitwise_not("node").alias(f"n{c}"), F.col("sh").alias(f"s{c}")) for c in "ab")
-    out = pairs.join(a.hint("merge"), F.bitwise_not("a") == F.col("na")).join(b.hint("merge"), F.bitwise_not("b") == F.col("nb"))
+def _likely(pairs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
+    """The pairs whose prefixes share enough keys. `keyed` has (node, n, keys)."""
+    a = keyed.select(F.bitwise_not("node").alias("na"), "n", "keys").hint("merge")
+    b = keyed.select(F.bitwise_not("node").alias("nb"), F.col("n").alias("n2"), F.col("keys").alias("keys2")).hint("merge")
+    out = pairs.join(a, F.bitwise_not("a") == F.col("na")).join(b, F.bitwise_not("b") == F.col("nb"))
+    return out.where(_enough(F.array_intersect("keys", "keys2"), least)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: Sets, least: float) -> DataFrame:
+    """The pairs whose whole sets are as similar as that. Sets are of 32-bit hashes, which now and then hides one different shingle."""
+    pairs = materialise(pairs, "pairs")
+    held = sets.of(pairs.select(F.bitwise_not("a").alias("n")).union(pairs.select(F.bitwise_not("b"))))
+    out = pairs.join(held.select(F.col("node").alias("a"), F.col("sh").alias("sa")).hint("merge"), "a")
+    # Many pairs may have one pivot: dealt anew, so that its rows can be split.
+    other = held.select(F.bitwise_not("node").alias("nb"), F.col("sh").alias("sb")).hint("merge")
+    out = out.join(other, F.bitwise_not("b") == F.col("nb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return materialise(out.where(both * (1 + least) >= least * (F.size("sa") + F.size("sb")) - 1e-9).select("a", "b"), "links")
 
@@ -170,7 +207,7 @@ def _rooted(large: DataFrame, edges: DataFrame) -> DataFrame | None:
     return mixed if mixed.limit(1).count() else None
 
 
-def links(shared: DataFrame, held: DataFrame, least: float = 0.8, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+def links(shared: DataFrame, sets: Sets, least: float = 0.8, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of distinct sets of similarity `least` or more."""
     member = F.struct("node", "n", "i")
     sizes = shared.groupBy("key").agg(
@@ -184,27 +221,36 @@ def links(shared: DataFrame, held: DataFrame, least: float = 0.8, pair_bucket: i
     pivots = pivots.select("key", "p.*").distinct()
     near = _pairs(small, small, least, F.col("node") < F.col("node2"))
     near = near.union(_pairs(large.drop("held"), pivots, least, F.col("node") != F.col("node2"))).distinct()
-    edges = _verified(near, held, least)
+    keyed = shared.groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("i", "key"))).alias("keys"))
+    keyed = materialise(keyed.select("node", "n", F.col("keys.key").alias("keys")), "keys")
+    edges = _verified(_likely(near, keyed, least), sets, least)
     if not large.limit(1).count():
         return edges
-    for number, draws in enumerate(ROUNDS):
+    # A pair is met in the first key that both share among those of mixed buckets. Were there an earlier one, its bucket would have
+    # compared or linked them; so the places in the order bound the pair there.
+    first = F.element_at(F.array_intersect("own", "own2"), 1) == F.col("key")
+    for number, draws in enumerate((*ROUNDS, None)):
         mixed = _rooted(large, edges)
         if mixed is None:
             return edges
-        # Each set outside the main component asks in one of its buckets, among members drawn by hash.
-        order = F.xxhash64(F.lit(number), "key", "node")
-        asks = mixed.where("root != main").groupBy("node").agg(F.min_by(F.struct("key", "n", "i", "root"), order).alias("m")).select("node", "m.*")
-        drawn = mixed.where(F.pmod(F.xxhash64(F.lit(number), "node", "key"), F.col("held")) < draws).select("key", "node", "n", "i", "root")
-        edges = edges.union(_verified(_pairs(asks, drawn, least, F.col("root") != F.col("root2"), False), held, least))
-    mixed = _rooted(large, edges)
-    if mixed is None:
-        return edges
-    # What is left: all pairs of different components, one of them outside the main one, in the first bucket that both share.
-    keys = mixed.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys")).select(F.bitwise_not("node").alias("r"), "keys")
-    mixed = materialise(mixed.join(keys.hint("merge"), F.bitwise_not("node") == F.col("r")).drop("r", "held"), "mixed")
-    apart = (F.col("root") != F.col("root2")) & ((F.col("root2") == F.col("main2")) | (F.col("node") < F.col("node2")))
-    once = F.array_min(F.array_intersect("keys", "keys2")) == F.col("key")
-    return edges.union(_verified(_pairs(mixed.where("root != main"), mixed, least, apart & once, False), held, least))
+        own = mixed.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("i", "key"))).alias("own"))
+        own = own.join(keyed.select(F.bitwise_not("node").alias("c"), "keys").hint("merge"), F.bitwise_not("node") == F.col("c"))
+        own = own.select(F.bitwise_not("node").alias("r"), F.col("own.key").alias("own"), "keys")
+        rows = materialise(mixed.join(own.hint("merge"), F.bitwise_not("node") == F.col("r")).drop("r"), "mixed")
+        left, right, where = rows.where("root != main").drop("held"), rows.drop("held"), F.col("root") != F.col("root2")
+        if draws is None:  # all that is left: pairs of different components, one of them outside the bucket's main one
+            where = where & ((F.col("root2") == F.col("main2")) | (F.col("node") < F.col("node2"))) & first & _in_reach(least)
+        else:  # each set outside the main component asks in one of its buckets, among members drawn by hash
+            left = left.withColumn("x", F.xxhash64(F.lit(number), "key", "node"))
+            least_x = left.groupBy("node").agg(F.min("x").alias("y")).select(F.bitwise_not("node").alias("r"), "y")
+            left = left.join(least_x.hint("merge"), (F.bitwise_not("node") == F.col("r")) & (F.col("x") == F.col("y"))).drop("r", "x", "y")
+            right = rows.where(F.pmod(F.xxhash64(F.lit(number), "node", "key"), F.col("held")) < draws).drop("held")
+            where = where & _in_reach(least, places=False)
+        other = right.withColumnsRenamed({c: f"{c}2" for c in right.columns})
+        met = left.join(other, (F.col("key") == F.col("key2")) & where & _enough(F.array_intersect("keys", "keys2"), least))
+        pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+        edges = edges.union(_verified(pairs, sets, least))
+    return edges
 
 
 def near_copies(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 5, least: float = 0.8, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
@@ -215,9 +261,7 @@ def near_copies(docs: DataFrame, keep: list[str], text_col: str = "text", shingl
     rid = F.xxhash64(*[F.col(f"`{c}`") for c in keep])
     firsts = materialise(_prefixes(docs, text_col, keep, shingle, least, *_common(docs, text_col, rid, shingle)), "prefixes")
     shared = _shared(firsts)
-    nodes = shared.select(F.bitwise_not("node").alias("r")).distinct().hint("merge")
-    wanted = firsts.join(nodes, F.bitwise_not("node") == F.col("r"), "left_semi").select(rid.alias("rid"))
-    held = _held(docs, text_col, rid, materialise(wanted.distinct(), "wanted"), shingle)
-    roots = materialise(components(links(shared, held, least, pair_bucket)), "roots").select(F.bitwise_not("node").alias("r"), "root")
+    sets = Sets(docs, text_col, rid, firsts.groupBy("node").agg(F.min(rid).alias("rid")), shingle)
+    roots = materialise(components(links(shared, sets, least, pair_bucket)), "roots").select(F.bitwise_not("node").alias("r"), "root")
     out = firsts.drop("keys", "n").join(roots.hint("merge"), F.bitwise_not("node") == F.col("r"), "left")
     return out.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("root", "node").alias("group"))

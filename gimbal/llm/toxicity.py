@@ -166,7 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = map_text(picked, text_col, ["y"], _SAMPLE, make)
     # Equal sketches have equal words, so it doesn't matter which row's are kept; an id may have many rows.
     sample = rows.groupBy("sketch").agg(F.max("y").alias("y"), F.any_value("words").alias("words"), F.any_value("times").alias("times"))
-    sample = materialise(sample.orderBy("sketch").limit(sample_docs), "toxic-sample")
+    sample = materialise(sample, "toxic-sample")
+    n = sample.count()
+    if n > sample_docs:  # ids with many rows: the share of sketches, which are hashes, that the bound allows
+        sample = sample.where(F.col("sketch") < f"{int(sample_docs / n * (1 << 128)):032x}")
     n1, n = sample.agg(F.sum("y"), F.count("*")).first()
     n1, n = n1 or 0, n or 0
     empty = OrdinalModel({}, np.zeros(0), np.array([60.0]))
@@ -183,8 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     table = docs.sparkSession.createDataFrame([(r.w, i) for i, r in enumerate(vocab)], "w string, f int")
     cells = sample.select("sketch", F.inline(F.arrays_zip("words", "times"))).join(F.broadcast(table), F.col("words") == F.col("w"))
     # At most sample_docs x max_features numbers, far fewer in practice.
-    cells = cells.select("sketch", "f", "times").toPandas().sort_values(["sketch", "f"])
-    known_ = sample.select("sketch", "y").toPandas().sort_values("sketch", ignore_index=True)
+    cells = cells.select("sketch", "f", "times").toArrow().to_pandas().sort_values(["sketch", "f"])
+    known_ = sample.select("sketch", "y").toArrow().to_pandas().sort_values("sketch", ignore_index=True)
     at = {s: i for i, s in enumerate(known_["sketch"])}
     rows_ = cells["sketch"].map(at).to_numpy(dtype=np.int64)
     cols, values = cells["f"].to_numpy(dtype=np.int64), np.log1p(cells["times"].to_numpy(dtype=float))
