@@ -8,7 +8,9 @@ the histogram, and pieces find their slot by their rank among the pieces of thei
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from functools import lru_cache
 
@@ -21,11 +23,27 @@ from pyspark.sql import types as T
 from .common import map_text, materialise
 
 #: Entries and characters of a cached run of text.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
 #: Pieces of one length are ranked within groups of about this many.
 RANK_GROUP = 2_000
 
 
+class _Runs(dict):
+    """Ids of a run of text; emptied at CACHE_ENTRIES, and long runs aren't kept."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, run: str) -> bytes:
+        got = self.encode(run)
+        if len(run) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[run] = got
+        return got
+
+
 class Encoder:
     """Token ids as little-endian 32-bit bytes, as the `tokenizers` file gives them.
 
@@ -45,45 +63,37 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("latin", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cut = re.compile(r"(?<=\S)(?=[ \n]\S)")
-        self.odd = re.compile(r"[ \n](?!\S)|(?<!\S)[ \n]|[^\S \n]")
-        self.cache: dict[str, bytes] = {}
-        self.newline = self._encode("\n")
+        self.pieces = re.compile(r"\n| ?[^ \n]+").findall
+        self.blank = re.compile(r"[^\S \n]").search
+        self.runs = _Runs(self._encode)
 
     def _encode(self, run: str) -> bytes:
         if "<|" in run or not run.isprintable() and run != "\n" or max(run) >= "ɐ":
             ids = self.exact.encode(run, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(run)
-        return np.array(ids, "<u4").tobytes()
-
-    def _run(self, run: str) -> bytes:
-        got = self.cache.get(run)
-        if got is None:
-            got = self._encode(run)
-            if len(run) <= CACHE_CHARS:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[run] = got
-        return got
+        out = array("I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
+    def _plain(self, text: str) -> bool:
+        """Whether single spaces and line feeds between other characters are the only white space."""
+        double = "  " in text or " \n" in text or "\n " in text or "\n\n" in text
+        return not (double or text[0] in " \n" or text[-1] in " \n" or self.blank(text))
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
+        run = self.runs.__getitem__
+        if self._plain(text):
+            return b"".join(map(run, self.pieces(text)))
         out = []
-        if self.odd.search(text):
-            for part in self.cut.split(text):
-                if part[0] == "\n" and len(part) > 1 and not part[1].isspace():
-                    out += (self.newline, self._run(part[1:]))
-                else:
-                    out.append(self._run(part))
-            return b"".join(out)
-        get, run = self.cache.get, self._run
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append(self.newline)
-            first, *rest = line.split(" ")
-            out.append(run(first))
-            out += [get(w) or run(w) for w in [" " + w for w in rest]]
+        for part in self.cut.split(text):
+            if part[0] == "\n" and len(part) > 1 and not part[1].isspace():
+                out += (run("\n"), run(part[1:]))
+            else:
+                out.append(run(part))
         return b"".join(out)
 
 
