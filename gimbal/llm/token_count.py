@@ -151,7 +151,7 @@ class Counter:
         return self._plain(text)
 
     def _plain(self, text: str) -> int:
-        chunks = self.space.split(text) if self.separators.search(text) else text.split()
+        chunks = filter(None, self.space.split(text)) if self.separators.search(text) else text.split()
         return sum(map(self.chunks.__getitem__, chunks))
 
 
