@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 
+#: The most bits of a bitmap (8 MB).
+MOST_BITS = 1 << 26
+
 _local_base: list[str] = []
 
 
@@ -60,6 +64,22 @@ def sample_ids(rows: DataFrame, id_col: str, limit: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(id_col), id_col).limit(limit)
 
 
+def bitmap(rows: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+    """Bits of the hashes in a column: `bits` (a power of two), or some 16 for each and at most MOST_BITS in all."""
+    bits = bits or 1 << min(MOST_BITS.bit_length() - 1, max(10, (16 * rows.count()).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    words = rows.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(np.uint64)
+
+
+def maybe(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be among those of the bitmap; none that is there is missed."""
+    at = hashes & (len(bitmap) * 64 - 1)
+    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 def map_text(
     df: DataFrame,
     text_col: str,

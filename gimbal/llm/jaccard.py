@@ -25,15 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text, materialise
+from .common import bitmap, map_text, materialise, maybe
 from .components import components
 
 #: Pairs are listed at once within a bucket of up to this many sets.
 PAIR_BUCKET = 32
 #: Sets that tell which shingles are common (expected), times that make one common, and the most such shingles.
 SAMPLE, COMMON, MOST = 5_000, 3, 100_000
-#: Partners drawn from a bucket in each round, and the most bits of a bitmap (8 MB).
-ROUNDS, MOST_BITS = (48,), 1 << 26
+#: Partners drawn from a bucket in each round.
+ROUNDS = (48,)
 
 _PREFIX = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 _ROWS = "key long, node long, n int, i int"
@@ -86,26 +86,11 @@ def _prefixes(docs: DataFrame, text_col: str, keep: list[str], shingle: int, lea
     return map_text(docs, text_col, keep, _PREFIX, make)
 
 
-def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
-    """Bits of the hashes in a column: some 16 for each, and at most MOST_BITS in all."""
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(10, (16 * rows.count()).bit_length()))
-    at = F.col(column).bitwiseAND(F.lit(bits - 1))
-    words = rows.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return out.view(np.uint64)
-
-
-def _maybe(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes & (len(bitmap) * 64 - 1)
-    return (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-
 def _shared(firsts: DataFrame) -> DataFrame:
     """(key, node, n, i): prefix shingles that two sets or more hold, with their place in each."""
     used = firsts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
     used = materialise(used.where("c > 1").select("key"), "used")
-    bits = firsts.sparkSession.sparkContext.broadcast(_bitmap(used, "key"))
+    bits = firsts.sparkSession.sparkContext.broadcast(bitmap(used, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +98,7 @@ def _shared(firsts: DataFrame) -> DataFrame:
             flat, size = keys.flatten().to_numpy(zero_copy_only=False), keys.value_lengths().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(size)), size)
             place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            hit = _maybe(bits.value, flat)
+            hit = maybe(bits.value, flat)
             row = row[hit]
             columns = [flat[hit], batch.column(0).to_numpy()[row], batch.column(1).to_numpy()[row], place[hit].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "i"])
@@ -137,11 +122,11 @@ class Sets:
     def of(self, nodes: DataFrame) -> DataFrame:
         """(node, sh) of `nodes` (n, complements): the sets anew from the texts, as 32-bit hashes. Texts of other rows aren't hashed."""
         wanted = materialise(self.rows.join(nodes.distinct().hint("merge"), F.bitwise_not("node") == F.col("n"), "left_semi").select("rid"), "wanted")
-        bits, shingle = self.docs.sparkSession.sparkContext.broadcast(_bitmap(wanted, "rid")), self.shingle
+        bits, shingle = self.docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "rid")), self.shingle
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit = np.flatnonzero(_maybe(bits.value, batch.column(0).to_numpy()))
+                hit = np.flatnonzero(maybe(bits.value, batch.column(0).to_numpy()))
                 for at in range(0, len(hit), 512):
                     sets = [shingles(t or "", shingle) for t in batch.column(1).take(pa.array(hit[at : at + 512])).to_pylist()]
                     short = [np.unique(x.astype(np.int32)) for x in sets]

@@ -64,3 +64,19 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars
   n < 50 OR 100 * rep > 50 * n AS base_failed,
   NOT (n < 50 OR 100 * rep > 50 * n OR symbols / k > 0.25e0 OR stop / k < 0.02e0 OR upper / letters > 0.5e0 OR dup / greatest(lines, 1) > 0.5e0 OR chars / k < 1.5e0 OR chars / k > 20) AS kept FROM m
 """
+
+SQL["op13_collocations"] = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM (SELECT lang, m, array_to_string(w[s:s + m - 1], ' ') AS phrase FROM (
+  SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS x, array_to_string(string_split(phrase, ' ')[k + 1:m], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+s AS (SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, n, CAST(CAST(1000 AS HUGEINT) * c.a * n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = x JOIN f r ON r.lang = c.lang AND r.phrase = y JOIN t ON t.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[2:m], ' '), array_to_string(string_split(phrase, ' ')[1:m - 1], ' ')]) AS phrase FROM f WHERE m > 2) GROUP BY ALL),
+k AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE most IS NULL OR most < a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM k WHERE rank <= 2000
+"""

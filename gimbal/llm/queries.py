@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from . import pii, quality_gam, toxicity
 from .common import read
 from .decontaminate import decontaminate
+from .language import languages
 from .line_dedup import line_dedup
 from .packing import best_fit_packing
+from .phrases import collocations
 from .quality_rules import quality_rules
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .token_count import token_counts
 from .warc import archive_round_trip
 
@@ -63,6 +66,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,5 +91,8 @@ QUERIES = {
         op8_quality_rules,
         op9_best_fit_packing,
         op10_benchmark_decontamination,
+        op11_language_id,
+        op12_spelling_variants,
+        op13_collocations,
     )
 }
