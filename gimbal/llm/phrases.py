@@ -5,9 +5,9 @@ leading words, so that all suffixes that begin alike meet in one task; there poi
 other, and each partition whose words equal the pivot is a phrase: its size is the count. Partitions that hold less than `least`
 are abandoned, with all longer phrases in them.
 
-What can't be frequent is left out before anything is routed: words that aren't frequent themselves, and pairs whose hash cell
-isn't (a bitmap each, of a size that doesn't grow with the input: a full one lets more through, and never less). Equal suffixes of a
-block of texts are added up. Leading pairs with very many suffixes are routed by the whole suffix; their tasks give
+What can't be frequent is left out before anything is routed: words that aren't frequent themselves, and pairs and triples whose hash
+cell isn't (a bitmap each, of a size that doesn't grow with the input: a full one lets more through, and never less). Equal suffixes of
+a block of texts are added up. Leading pairs with very many suffixes are routed by the whole suffix; their tasks give
 partial counts, which are added up afterwards.
 """
 
@@ -89,25 +89,32 @@ class _Known(dict):
         return h
 
 
-class _Pairs:
-    """Hashes of words and of pairs of neighbours in a block."""
+class _Spans:
+    """Which runs of words may be frequent in a block: hashes of m neighbouring words, and whether the bitmaps of 2 to m words have them."""
 
-    def __init__(self, frequent: np.ndarray):
-        self.bits, self.known = frequent.tobytes(), {}
+    def __init__(self, frequent: np.ndarray, usual: list[np.ndarray], cells: int):
+        self.bits, self.usual, self.cells, self.known = frequent.tobytes(), usual, cells, {}
 
-    def __call__(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The mixed hash of the pair that begins at each word, and whether both of its words may be frequent."""
+    def __call__(self, lang: str, words: list[bytes], longest: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For m from 2 to `longest`: the mixed hash of m words from each place on, and whether all parts that have a bitmap may be frequent."""
         if lang not in self.known:
             if len(self.known) >= MOST_CACHES:
                 self.known.clear()
             self.known[lang] = _Known(lang, self.bits)
         h = np.fromiter(map(self.known[lang].__getitem__, words), np.int64, len(words))
-        a, b = h[:-1].view(np.uint64), h[1:].view(np.uint64)
-        return ((a * FACTOR + b) * FACTOR).view(np.int64), (h[:-1] != 0) & (h[1:] != 0)
+        mixed, on, out = h.view(np.uint64), h != 0, []
+        for m in range(2, longest + 1):
+            mixed = (mixed[:-1] * FACTOR + h[m - 1 :].view(np.uint64)) * FACTOR
+            on = on[:-1] & on[1:]
+            if m - 2 < len(self.usual):
+                at = np.flatnonzero(on)
+                on[at] = maybe(self.usual[m - 2], _cell(mixed[at], self.cells))
+            out.append((mixed.view(np.int64), on))
+        return out
 
 
-def _cell(pair: np.ndarray, cells: int) -> np.ndarray:
-    return (pair.view(np.uint64) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+def _cell(mixed: np.ndarray, cells: int) -> np.ndarray:
+    return (mixed.view(np.uint64) >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
 def multikey_counts(keys: list[np.ndarray], weight: np.ndarray, least: int, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,46 +186,57 @@ def _count_phrases(table: pa.Table, longest: int, least: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([lang, pa.array(text, pa.string()), pa.array(n, pa.int64())], names=["lang", "phrase", "a"])
 
 
-def phrase_counts(texts: DataFrame, frequent: DataFrame, longest: int = 5, least: int = 100, cells: int = CELLS, hot: int | None = None) -> DataFrame:
+def phrase_counts(texts: DataFrame, frequent: DataFrame, longest: int = 5, least: int = 100, cells: int = CELLS, hot: int | None = None, sieved: int = 3) -> DataFrame:
     """(lang, phrase, a) of the phrases of 2 to `longest` words that occur `least` times or more in `texts` (lang, text).
 
-    `frequent` has the (lang, word) that do. `hot` is the number of suffixes beyond which a leading pair is split.
+    `frequent` has the (lang, word) that do. `hot` is the number of suffixes beyond which a leading pair is split, `sieved` the most words
+    that are counted by hash cells beforehand.
     """
     spark = texts.sparkSession
     words = spark.sparkContext.broadcast(bitmap(frequent.select(F.xxhash64(F.concat_ws("\n", "lang", "word")).alias("h")), "h"))
 
-    def pair_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = _Pairs(words.value)
-        for lang, tokens in _blocks(batches):
-            pair, both = pairs(lang, tokens)
-            cell, n = np.unique(_cell(pair[both], cells), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+    usual: list = []  # broadcast bitmaps of the cells of 2, 3, ... words
+
+    def cell_counts(m: int) -> DataFrame:
+        """(cell, n) of m words whose parts may all be frequent, where n is `least` or more."""
+        held = list(usual)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            spans = _Spans(words.value, [b.value for b in held], cells)
+            for lang, tokens in _blocks(batches):
+                if len(tokens) >= m:
+                    mixed, on = spans(lang, tokens, m)[-1]
+                    cell, n = np.unique(_cell(mixed[on], cells), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
-    counts = texts.mapInArrow(pair_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = materialise(counts.where(F.col("n") >= least), "cells")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+        return texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+    pairs = materialise(cell_counts(2), "cells")
+    usual.append(spark.sparkContext.broadcast(bitmap(pairs, "cell", cells)))
+    for m in range(3, min(sieved, longest) + 1):
+        usual.append(spark.sparkContext.broadcast(bitmap(cell_counts(m), "cell", cells)))
+    total = pairs.agg(F.sum("n")).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = hot or int(np.clip(total // (4 * tasks), *HOT))
-    usual = spark.sparkContext.broadcast(bitmap(counts, "cell", cells))
-    crowded = spark.sparkContext.broadcast(bitmap(counts.where(F.col("n") > hot), "cell", cells))
+    crowded = spark.sparkContext.broadcast(bitmap(pairs.where(F.col("n") > hot), "cell", cells))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, join = _Pairs(words.value), b" ".join
+        spans, join = _Spans(words.value, [b.value for b in usual], cells), b" ".join
         for lang, tokens in _blocks(batches):
-            pair, both = pairs(lang, tokens)
-            cell = _cell(pair, cells)
-            on = both & maybe(usual.value, cell)
-            reach, size = on.copy(), on.astype(np.int64)
-            for i in range(1, longest - 1):  # a suffix goes on while its next pair may be frequent
-                reach = reach & np.append(on[i:], np.zeros(min(i, len(on)), bool))
-                size += reach
-            at = np.flatnonzero(on)
-            made = [join(tokens[i : i + m]) for i, m in zip(at.tolist(), (size[at] + 1).tolist())]
+            if len(tokens) < 2:
+                continue
+            found = spans(lang, tokens, min(longest, len(tokens)))
+            pair, start = found[0]
+            size = 1 + start.astype(np.int64)
+            for _, on in found[1:]:  # a suffix goes on while all of it may be frequent
+                size[: len(on)] += on
+            at = np.flatnonzero(start)
+            made = [join(tokens[i : i + m]) for i, m in zip(at.tolist(), size[at].tolist())]
             n, lead = Counter(made), dict(zip(made, at.tolist()))
             if not n:
                 continue
             at = np.fromiter((lead[s] for s in n), np.int64, len(n))
-            split = maybe(crowded.value, cell[at])
+            split = maybe(crowded.value, _cell(pair[at], cells))
             whole = np.fromiter((xxhash.xxh64_intdigest(s) if x else 0 for s, x in zip(n, split.tolist())), np.uint64, len(n)).view(np.int64)
             columns = [np.where(split, whole, pair[at]), split, pa.array(list(n), pa.binary()).cast(pa.string()), np.fromiter(n.values(), np.int64, len(n))]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *map(pa.array, columns)], names=["lang", "route", "hot", "suffix", "n"])
