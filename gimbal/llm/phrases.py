@@ -7,7 +7,7 @@ are abandoned, with all longer phrases in them.
 
 What can't be frequent is left out before anything is routed: words that aren't frequent themselves, and pairs and triples whose hash
 cell isn't (a bitmap each, of a size that doesn't grow with the input: a full one lets more through, and never less). Equal suffixes of
-a block of texts are added up. Leading pairs with very many suffixes are routed by the whole suffix; their tasks give
+a block of texts are added up; those of a bucket of routes travel as lists in one row. Leading pairs with very many suffixes are routed by the whole suffix; their tasks give
 partial counts, which are added up afterwards.
 """
 
@@ -162,8 +162,10 @@ def multikey_counts(keys: list[np.ndarray], weight: np.ndarray, least: int, smal
     return tuple(np.concatenate(found).T)
 
 
-def _count_phrases(table: pa.Table, longest: int, least: int) -> pa.RecordBatch | None:
-    """(lang, phrase, a) of some routed suffixes (lang, hot, suffix, n)."""
+def _count_phrases(batches: list[pa.RecordBatch], longest: int, least: int) -> pa.RecordBatch | None:
+    """(lang, phrase, a) of some buckets' suffixes (bucket, lang, hot, suffix, n; the last three are lists)."""
+    flat = [[b.column(1).take(pc.list_parent_indices(b.column(2))), *(b.column(i).flatten() for i in (2, 3, 4))] for b in batches]
+    table = pa.table([pa.chunked_array(c) for c in zip(*flat)], names=["lang", "hot", "suffix", "n"])
     langs = table["lang"].combine_chunks().dictionary_encode()
     split = pc.split_pattern(table["suffix"], " ").combine_chunks()
     coded = split.flatten().dictionary_encode()
@@ -218,6 +220,7 @@ def phrase_counts(texts: DataFrame, frequent: DataFrame, longest: int = 5, least
     total = pairs.agg(F.sum("n")).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = hot or int(np.clip(total // (4 * tasks), *HOT))
+    buckets = 16 * tasks
     crowded = spark.sparkContext.broadcast(bitmap(pairs.where(F.col("n") > hot), "cell", cells))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,27 +241,32 @@ def phrase_counts(texts: DataFrame, frequent: DataFrame, longest: int = 5, least
             at = np.fromiter((lead[s] for s in n), np.int64, len(n))
             split = maybe(crowded.value, _cell(pair[at], cells))
             whole = np.fromiter((xxhash.xxh64_intdigest(s) if x else 0 for s, x in zip(n, split.tolist())), np.uint64, len(n)).view(np.int64)
-            columns = [np.where(split, whole, pair[at]), split, pa.array(list(n), pa.binary()).cast(pa.string()), np.fromiter(n.values(), np.int64, len(n))]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *map(pa.array, columns)], names=["lang", "route", "hot", "suffix", "n"])
+            bucket = (np.where(split, whole, pair[at]).view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)) != 0)
+            ends = pa.array([*first, len(order)], pa.int32())
+            held = (split, pa.array(list(n), pa.binary()).cast(pa.string()), np.fromiter(n.values(), np.int64, len(n)))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c).take(pa.array(order))) for c in held]
+            columns = [pa.array(bucket[order][first].astype(np.int64)), pa.array([lang] * len(first), pa.string()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "lang", "hot", "suffix", "n"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Routes come one after the other; whole routes are sorted together, SORT_ROWS of them or more."""
-        held: list[pa.RecordBatch] = []
+        """Buckets come one after the other; whole ones are sorted together, of SORT_ROWS suffixes or more."""
+        held, size = [], 0
         for batch in batches:
-            route = batch.column(1).to_numpy()
-            if sum(b.num_rows for b in held) >= SORT_ROWS:
-                other = np.flatnonzero(route != held[-1].column(1)[-1].as_py())
-                cut = int(other[0]) if len(other) else batch.num_rows
-                if cut < batch.num_rows:
-                    if (out := _count_phrases(pa.Table.from_batches([*held, batch.slice(0, cut)]), longest, least)) is not None:
+            if size >= SORT_ROWS:
+                other = np.flatnonzero(batch.column(0).to_numpy() != held[-1].column(0)[-1].as_py())
+                if len(other):
+                    if (out := _count_phrases([*held, batch.slice(0, int(other[0]))], longest, least)) is not None:
                         yield out
-                    held, batch = [], batch.slice(cut)
+                    held, size, batch = [], 0, batch.slice(int(other[0]))
             held.append(batch)
-        if held and (out := _count_phrases(pa.Table.from_batches(held), longest, least)) is not None:
+            size += pc.sum(batch.column(4).value_lengths()).as_py() or 0
+        if held and (out := _count_phrases(held, longest, least)) is not None:
             yield out
 
-    routed = texts.mapInArrow(suffixes, "lang string, route long, hot boolean, suffix string, n long")
-    routed = routed.repartition("route").sortWithinPartitions("route")
+    routed = texts.mapInArrow(suffixes, "bucket long, lang string, hot array<boolean>, suffix array<string>, n array<long>")
+    routed = routed.repartition("bucket").sortWithinPartitions("bucket")
     part = routed.mapInArrow(sort, "lang string, phrase string, a long")
     return part.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
