@@ -8,64 +8,31 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lens as L
 from .fields import jacobian
+from .lens import gravity_of
 
-FIT = "e long, roll double, pitch double, vfov double, k1 double, cost double"
-#: Steps at most, first damping and its bounds, least ridge, and the scale of robust losses (fixed values but for the steps).
+FIT = "e long, roll double, pitch double, vfov double, k1 double, k2 double, cost double"
+#: Steps at most (ten are published; known answers to six digits take more), first damping and its bounds, least ridge, and the scale of robust losses (fixed values but for the steps).
 STEPS, DAMP, DAMP_RANGE, RIDGE, LOSS_SCALE = 30, 0.1, (1e-6, 1e2), 1e-6, 1e-2
-#: Limits of a heuristic start, in radians, and of k1 (fixed values).
-START_ANGLE, START_VIEW, K1_LIMIT = np.radians(45), (np.radians(20), np.radians(120)), 0.7
-
-
-def gravity_of(roll: np.ndarray, pitch: np.ndarray) -> np.ndarray:
-    return np.stack([-np.sin(roll) * np.cos(pitch), -np.cos(roll) * np.cos(pitch), np.sin(pitch)], -1)
+#: Limits of a heuristic start, in radians (fixed values).
+START_ANGLE, START_VIEW = np.radians(45), (np.radians(20), np.radians(120))
 
 
 def angles_of(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arctan2(-g[..., 0], -g[..., 1]), np.arcsin(np.clip(g[..., 2], -1, 1))
 
 
-def model(g: np.ndarray, log_f: np.ndarray, k1: np.ndarray, x: np.ndarray, y: np.ndarray, slopes: bool = False):
-    """Up x, up y and sine of the latitude of many images, (images, pixels, 3), x and y from the centre.
-
-    With `slopes` also the derivatives by the three parts of gravity, log focal length and k1: (images, pixels, 3, 5).
-    """
-    f, k = np.exp(log_f)[:, None], k1[:, None]
-    g0, g1, g2 = (g[:, i, None] for i in range(3))
-    u, v = x / f, y / f
-    r2 = u * u + v * v
-    wx, wy, q0 = g0 - g2 * u, g1 - g2 * v, 1 + k * r2
-    q = u * wx + v * wy
-    px, py = q0 * wx + 2 * k * q * u, q0 * wy + 2 * k * q * v
-    n = np.maximum(np.hypot(px, py), 1e-12)
-    a = 1 - k * r2
-    us, vs = u * a, v * a
-    ray2 = us * us + vs * vs + 1
-    ray = np.sqrt(ray2)
-    s = (us * g0 + vs * g1 + g2) / ray
-    out = np.stack([px / n, py / n, s], -1)
-    if not slopes:
-        return out
-    dq, m = -q + g2 * r2, 2 * k * r2 - a
-    zero = np.zeros_like(r2)
-    moves = [
-        (q0 + 2 * k * u * u, 2 * k * u * v, us / ray + zero),
-        (2 * k * u * v, q0 + 2 * k * v * v, vs / ray + zero),
-        (-q0 * u - 2 * k * r2 * u, -q0 * v - 2 * k * r2 * v, 1 / ray),
-        (-2 * k * r2 * wx + q0 * g2 * u + 2 * k * (dq - q) * u, -2 * k * r2 * wy + q0 * g2 * v + 2 * k * (dq - q) * v, (u * g0 + v * g1) * m / ray - s * (us * u + vs * v) * m / ray2),
-        (r2 * wx + 2 * q * u, r2 * wy + 2 * q * v, -r2 * (u * g0 + v * g1) / ray + s * r2 * (us * u + vs * v) / ray2),
-    ]
-    jac = np.empty((*out.shape, 5))
-    for i, (dx, dy, ds) in enumerate(moves):
-        along = (px * dx + py * dy) / (n * n)
-        jac[..., 0, i], jac[..., 1, i], jac[..., 2, i] = (dx - px * along) / n, (dy - py * along) / n, ds
-    return out, jac
+def model(g: np.ndarray, log_f: np.ndarray, k: np.ndarray | None, x: np.ndarray, y: np.ndarray, lens: str = "pinhole") -> np.ndarray:
+    """Up x, up y and sine of the latitude of many images, (3, images, pixels), x and y from the centre."""
+    return np.stack(L.field(g, np.exp(log_f), k, x, y, lens))
 
 
 def basis(g: np.ndarray, sphere: bool) -> np.ndarray:
@@ -92,8 +59,8 @@ def moved(g: np.ndarray, step: np.ndarray, sphere: bool) -> np.ndarray:
 
 
 def weights(res: np.ndarray, conf: np.ndarray, robust: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Cost and weight of the up (first two values) and latitude residuals, each by its confidence: (images, pixels, 2)."""
-    sq = np.stack([(res[..., :2] ** 2).sum(-1), res[..., 2] ** 2], -1)
+    """Cost and weight of the up (first two values) and latitude residuals, each by its confidence: (2, images, pixels)."""
+    sq = np.stack([res[0] ** 2 + res[1] ** 2, res[2] ** 2])
     if not robust:
         return sq * conf, conf
     x = sq / LOSS_SCALE**2
@@ -101,63 +68,131 @@ def weights(res: np.ndarray, conf: np.ndarray, robust: bool) -> tuple[np.ndarray
     return np.where(x <= 1, sq, (2 * root - 1) * LOSS_SCALE**2) * conf, np.where(x <= 1, 1.0, 1 / root) * conf
 
 
-def normal(res: np.ndarray, jac: np.ndarray, weight: np.ndarray, dirs: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hessian (images, 4, 4) and gradient (images, 4) by two directions of gravity, log focal length and k1."""
-    j = np.concatenate([jac[..., :3] @ dirs[:, None], jac[..., 3:]], -1) * free
-    w = weight[..., [0, 0, 1]]
-    images = len(j)
-    flat, wj = j.reshape(images, -1, 4), (j * w[..., None]).reshape(images, -1, 4)
-    return flat.transpose(0, 2, 1) @ wj, (wj * res.reshape(images, -1, 1)).sum(1)
+def normal(px: dict[str, np.ndarray], rows: np.ndarray, at: "Cameras", dirs: np.ndarray, free: np.ndarray, robust: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hessian (images, n, n) and gradient (images, n) by the parameters that are free: two directions of gravity, log focal length, lens terms.
 
-
-def fit(pixels: dict[str, np.ndarray], start: dict[str, np.ndarray], free: np.ndarray, robust: bool = False, sphere: bool = False, steps: int = STEPS):
-    """Gravity, log focal length and k1 of many images, and each one's cost; damping shrinks after a better step and grows after a worse.
-
-    `pixels` has x and y from the centre, `want` (images, pixels, 3: up and sine of the latitude) and `conf` (images, pixels, 2).
-    `free` tells which of the two directions, the focal length and k1 may move.
+    An up residual counts along the turn of the direction alone, so that either kind of residual takes one number a pixel and column.
     """
-    x, y, want, conf = (pixels[k] for k in ("x", "y", "want", "conf"))
-    g, log_f, k1 = start["g"].copy(), start["log_f"].copy(), start["k1"].copy()
-    damp = np.full(len(g), DAMP)
-    live = np.arange(len(g))
-
-    def cost_of(g, log_f, k1, rows):
-        res = model(g, log_f, k1, x[rows], y[rows]) - want[rows]
-        return weights(res, conf[rows], robust)[0].sum((1, 2))
-
-    cost = cost_of(g, log_f, k1, live)
-    for _ in range(steps):
+    want, conf = px["want"][:, rows], px["conf"][:, rows]
+    ux, uy, s, turn, sine = L.slopes(at.g, np.exp(at.log_f), at.k, px["x"], px["y"], at.lens, dirs, free)
+    rx, ry, rs = ux - want[0], uy - want[1], s - want[2]
+    w = weights(np.stack([rx, ry, rs]), conf, robust)[1]
+    by_turn, by_sine = turn * w[0][:, None], sine * w[1][:, None]
+    hess = by_turn @ turn.transpose(0, 2, 1) + by_sine @ sine.transpose(0, 2, 1)
+    grad = (by_turn * (ux * ry - uy * rx)[:, None]).sum(2) + (by_sine * rs[:, None]).sum(2)
+    return hess, grad
+
+
+@dataclass
+class Cameras:
+    """What is fitted: gravity (images, 3), log focal length (images,) and lens terms (images, terms)."""
+
+    g: np.ndarray
+    log_f: np.ndarray
+    k: np.ndarray
+    lens: str = "pinhole"
+
+    def __getitem__(self, rows) -> "Cameras":
+        return Cameras(self.g[rows], self.log_f[rows], self.k[rows], self.lens)
+
+    def put(self, rows, other: "Cameras", which) -> None:
+        self.g[rows], self.log_f[rows], self.k[rows] = other.g[which], other.log_f[which], other.k[which]
+
+    def moved(self, step: np.ndarray, free: np.ndarray, sphere: bool) -> "Cameras":
+        """After a step of the free parameters; lens terms stay within their bounds."""
+        full = np.zeros((len(step), len(free)))
+        full[:, np.flatnonzero(free)] = step
+        limit = np.array(L.LIMITS[self.lens])
+        k = np.clip(self.k + full[:, 3:], -limit, limit) if len(limit) else self.k
+        return Cameras(moved(self.g, full[:, :2], sphere), self.log_f + full[:, 2], k, self.lens)
+
+    def costs(self, px: dict[str, np.ndarray], rows: np.ndarray, robust: bool) -> np.ndarray:
+        res = model(self.g, self.log_f, self.k, px["x"], px["y"], self.lens) - px["want"][:, rows]
+        return weights(np.nan_to_num(res), px["conf"][:, rows], robust)[0].sum((0, 2))
+
+
+def fit(px: dict[str, np.ndarray], start: Cameras, free: np.ndarray, robust: bool = False, sphere: bool = False, steps: int = STEPS, atol: float = 0.0, rtol: float = 0.0):
+    """The cameras of many images, the cost after each step (images, steps + 1), and the step at which each stopped; damping shrinks after a better step and grows after a worse.
+
+    `px` has x and y from the centre (1, pixels), `want` (3, images, pixels: up and sine of the latitude) and `conf` (2, images, pixels).
+    `free` tells which of the two directions, the focal length and the lens terms may move. An image stops when its parameters do, or where its cost changes
+    by no more than `atol` and `rtol` of it.
+    """
+    now = Cameras(start.g.copy(), start.log_f.copy(), start.k.copy(), start.lens)
+    damp, live = np.full(len(now.g), DAMP), np.arange(len(now.g))
+    costs = np.empty((len(now.g), steps + 1))
+    costs[:] = now.costs(px, live, robust)[:, None]
+    stop = np.full(len(now.g), steps)
+    if not free.any():
+        return now, costs, stop * 0
+    for n in range(1, steps + 1):
         if not len(live):
             break
-        out, jac = model(g[live], log_f[live], k1[live], x[live], y[live], slopes=True)
-        res = out - want[live]
-        dirs = basis(g[live], sphere)
-        hess, grad = normal(res, jac, weights(res, conf[live], robust)[1], dirs, free)
+        here = now[live]
+        hess, grad = normal(px, live, here, basis(here.g, sphere), free, robust)
         ridge = np.maximum(np.einsum("bii->bi", hess) * damp[live, None], RIDGE)
-        step = np.linalg.solve(hess + ridge[:, :, None] * np.eye(4), -grad[:, :, None])[:, :, 0]
-        to = moved(g[live], step[:, :2], sphere), log_f[live] + step[:, 2], np.clip(k1[live] + step[:, 3], -K1_LIMIT, K1_LIMIT)
-        new = cost_of(*to, live)
-        better = new < cost[live]
-        at = live[better]
-        g[at], log_f[at], k1[at], cost[at] = to[0][better], to[1][better], to[2][better], new[better]
+        step = np.linalg.solve(hess + ridge[:, :, None] * np.eye(hess.shape[1]), -grad[:, :, None])[:, :, 0]
+        to = here.moved(step, free, sphere)
+        old, new = costs[live, n - 1], to.costs(px, live, robust)
+        better = new < old
+        now.put(live[better], to, better)
+        costs[live, n:] = np.where(better, new, old)[:, None]
         damp[live] = np.clip(np.where(better, damp[live] * 0.1, damp[live] * 10), *DAMP_RANGE)
-        live = live[np.abs(step).max(1) >= 1e-11]
-    return g, log_f, k1, cost
+        done = (np.abs(step).max(1) < 1e-10) | (better & (old - new <= atol + rtol * old) & (atol + rtol > 0))
+        stop[live[done]] = n
+        live = live[~done]
+    return now, costs, stop
 
 
-def first_guess(want: np.ndarray, w: int, h: int, heuristic: bool) -> dict[str, np.ndarray]:
-    """Level, with a focal length of 0.7 of the longer side; or by the field at the centre and down the middle column."""
-    n = len(want)
+def fit_by_gradient(px: dict[str, np.ndarray], start: Cameras, free: np.ndarray, steps: int = 2000, rate: float = 0.05, patience: int = 25, factor: float = 0.5, least_rate: float = 1e-8):
+    """The cameras of many images and each one's cost after each step, by Adam; an image's rate shrinks by `factor` after `patience` steps without a better cost.
+
+    Rates, moments and patience are each image's own; it stops below `least_rate`, and its best camera counts.
+    """
+    now, best = Cameras(start.g.copy(), start.log_f.copy(), start.k.copy(), start.lens), Cameras(start.g.copy(), start.log_f.copy(), start.k.copy(), start.lens)
+    images, n = len(now.g), int(free.sum())
+    m, v, lr, waited = np.zeros((images, n)), np.zeros((images, n)), np.full(images, rate), np.zeros(images, int)
+    live = np.arange(images)
+    weight = np.maximum(px["conf"].sum((0, 2)), 1.0)
+    least = now.costs(px, live, False) / weight
+    costs = np.repeat(least[:, None], steps + 1, 1)
+    for t in range(1, steps + 1):
+        if not len(live):
+            break
+        here = now[live]
+        grad = normal(px, live, here, basis(here.g, False), free, False)[1] / weight[live, None]
+        m[live], v[live] = 0.9 * m[live] + 0.1 * grad, 0.99 * v[live] + 0.01 * grad * grad
+        step = -lr[live, None] * (m[live] / (1 - 0.9**t)) / (np.sqrt(v[live] / (1 - 0.99**t)) + 1e-12)
+        to = here.moved(step, free, False)
+        now.put(live, to, slice(None))
+        cost = to.costs(px, live, False) / weight[live]
+        better = cost < least[live] * (1 - 1e-4)
+        at = live[cost < least[live]]
+        best.put(at, to, cost < least[live])
+        least[live] = np.minimum(least[live], cost)
+        costs[live, t:] = cost[:, None]
+        waited[live] = np.where(better, 0, waited[live] + 1)
+        slow = live[waited[live] > patience]
+        lr[slow], waited[slow] = lr[slow] * factor, 0
+        live = live[lr[live] >= least_rate]
+    return best, costs
+
+
+def first_guess(want: np.ndarray, w: int, h: int, heuristic: bool, lens: str = "pinhole") -> Cameras:
+    """Level, with a focal length of 0.7 of the longer side; or by the field at the centre and down the middle column. `want` is (3, images, pixels)."""
+    n = want.shape[1]
+    trivial = np.full(n, np.log(0.7 * max(w, h)))
+    k = np.zeros((n, L.TERMS[lens]))
     if not heuristic:
-        return {"g": gravity_of(np.zeros(n), np.zeros(n)), "log_f": np.full(n, np.log(0.7 * max(w, h))), "k1": np.zeros(n)}
-    centre, top, low = want[:, h // 2 * w + w // 2], want[:, w // 2], want[:, (h - 1) * w + w // 2]
+        return Cameras(gravity_of(np.zeros(n), np.zeros(n)), trivial, k, lens)
+    centre, top, low = want[:, :, h // 2 * w + w // 2], want[:, :, w // 2], want[:, :, (h - 1) * w + w // 2]
     lat = lambda s: np.arcsin(np.clip(s, -1, 1))
-    roll = np.clip(-np.arctan2(centre[:, 0], -centre[:, 1]), -START_ANGLE, START_ANGLE)
-    pitch = np.clip(lat(centre[:, 2]), -START_ANGLE, START_ANGLE)
-    view = np.clip(np.abs(lat(top[:, 2]) - lat(low[:, 2])), *START_VIEW)
+    roll = np.clip(-np.arctan2(centre[0], -centre[1]), -START_ANGLE, START_ANGLE)
+    pitch = np.clip(lat(centre[2]), -START_ANGLE, START_ANGLE)
+    view = np.clip(np.abs(lat(top[2]) - lat(low[2])), *START_VIEW)
     ok = np.isfinite(roll) & np.isfinite(pitch) & np.isfinite(view)
-    trivial = np.log(0.7 * max(w, h))
-    return {"g": gravity_of(np.where(ok, roll, 0), np.where(ok, pitch, 0)), "log_f": np.where(ok, np.log(h / 2 / np.tan(np.where(ok, view, 1) / 2)), trivial), "k1": np.zeros(n)}
+    log_f = np.where(ok, np.log(h / 2 / np.tan(np.where(ok, view, 1) / 2)), trivial)
+    return Cameras(gravity_of(np.where(ok, roll, 0), np.where(ok, pitch, 0)), log_f, k, lens)
 
 
 PIXELS = ("up_x", "up_y", "lat", "up_conf", "lat_conf")
@@ -169,86 +204,91 @@ def _unpack(batch: pa.RecordBatch, rows: slice, w: int, h: int) -> dict[str, np.
     for c in PIXELS:
         if c in batch.schema.names:
             part = batch.column(batch.schema.get_field_index(c)).slice(rows.start, rows.stop - rows.start)
-            got[c] = part.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(part), w * h)
-    n = len(got["up_x"])
-    ones = np.ones((n, w * h))
-    want = np.stack([got["up_x"], got["up_y"], np.sin(got["lat"])], -1)
-    conf = np.stack([got.get("up_conf", ones), got.get("lat_conf", ones)], -1)
-    seen = np.isfinite(want).all(-1) & np.isfinite(conf).all(-1)
-    i = np.arange(w * h)
-    grid = {"x": np.broadcast_to(i % w - w / 2, (n, w * h)), "y": np.broadcast_to(i // w - h / 2, (n, w * h))}
-    return grid | {"want": np.where(seen[..., None], want, 0.0), "raw": want, "conf": np.where(seen[..., None], conf, 0.0)}
+            got[c] = part.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(part), w * h)
+    ones = np.ones_like(got["up_x"])
+    raw = np.stack([got["up_x"], got["up_y"], np.sin(got["lat"])])
+    conf = np.stack([got.get("up_conf", ones), got.get("lat_conf", ones)])
+    seen = np.isfinite(raw).all(0) & np.isfinite(conf).all(0)
+    x, y = L.pixel_grid(w, h)
+    return {"x": x, "y": y, "want": np.where(seen, raw, 0.0), "raw": raw, "conf": np.where(seen, conf, 0.0)}
 
 
 def fit_cameras(
-    packed: DataFrame, w: int, h: int, fixed: tuple[str, ...] = (), distortion: bool = False, robust: bool = False, sphere: bool = False,
-    heuristic: bool = False, steps: int = STEPS, block: int = 1 << 16,
+    packed: DataFrame, w: int, h: int, fixed: tuple[str, ...] = (), lens: str = "pinhole", robust: bool = False, sphere: bool = False, heuristic: bool = False,
+    steps: int = STEPS, tolerances: tuple[float, float] = (0.0, 0.0), by: str = "damping", log: bool = False, block: int = 1 << 14,
 ) -> DataFrame:
-    """Fit a camera to each image's packed field: e, roll, pitch, vfov, k1, cost.
+    """Fit a camera to each image's packed field: e, roll, pitch, vfov, k1, k2, cost, and with `log` the mean cost of a pixel after each step as `costs`.
 
     `packed` has `e` and arrays of w x h pixels: up_x, up_y, lat, and perhaps up_conf and lat_conf. `fixed` may name "gravity", "focal" and "distortion": these
-    keep what the columns roll, pitch, vfov or k1 say. k1 is fitted only with `distortion`. `robust` takes Huber's loss, `sphere` steps in the tangent plane of
-    gravity, `heuristic` starts from the field. As many images as `block` pixels allow are solved together.
+    keep what the columns roll, pitch, vfov or k1 and k2 say. The terms of `lens` are fitted too; those that it lacks are 0. `robust` takes Huber's loss, `sphere` steps in
+    the tangent plane of gravity, `heuristic` starts from the field. An image stops early by `tolerances`, absolute and relative, of its cost. `by` "gradient" takes Adam
+    in place of damped least squares. As many images as `block` pixels allow are solved together: they should fit a core's cache.
     """
-    if not set(fixed) <= {"gravity", "focal", "distortion"}:
-        raise ValueError("fixed may name gravity, focal and distortion")
-    prior = [c for c, g in (("roll", "gravity"), ("pitch", "gravity"), ("vfov", "focal"), ("k1", "distortion")) if g in fixed]
+    if not set(fixed) <= {"gravity", "focal", "distortion"} or by not in ("damping", "gradient"):
+        raise ValueError("fixed may name gravity, focal and distortion, by is damping or gradient")
+    terms = [f"k{i + 1}" for i in range(L.TERMS[lens])]
+    prior = [c for c, g in (("roll", "gravity"), ("pitch", "gravity"), ("vfov", "focal"), *((t, "distortion") for t in terms)) if g in fixed]
     rows = packed.select("e", *[c for c in PIXELS if c in packed.columns], *prior)
-    free = np.array(["gravity" not in fixed, "gravity" not in fixed, "focal" not in fixed, distortion and "distortion" not in fixed], float)
+    free = np.array(["gravity" not in fixed] * 2 + ["focal" not in fixed] + ["distortion" not in fixed] * len(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = max(1, block // (w * h))
         for batch in batches:
-            many = max(1, block // (w * h))
             for at in range(0, batch.num_rows, many):
                 part = slice(at, min(at + many, batch.num_rows))
                 px = _unpack(batch, part, w, h)
-                start = first_guess(px["raw"], w, h, heuristic)
+                start = first_guess(px["raw"], w, h, heuristic, lens)
                 given = {c: batch.column(c).to_numpy(zero_copy_only=False)[part] for c in prior}
                 if "roll" in given:
-                    start["g"] = gravity_of(given["roll"], given["pitch"])
+                    start.g = gravity_of(given["roll"], given["pitch"])
                 if "vfov" in given:
-                    start["log_f"] = np.log(h / 2 / np.tan(given["vfov"] / 2))
-                if "k1" in given:
-                    start["k1"] = given["k1"]
-                g, log_f, k1, cost = fit(px, start, free, robust, sphere, steps)
-                roll, pitch = angles_of(g)
-                yield pa.RecordBatch.from_pydict({"e": batch.column("e").slice(part.start, part.stop - part.start).cast(pa.int64()), "roll": roll, "pitch": pitch, "vfov": 2 * np.arctan(h / 2 / np.exp(log_f)), "k1": k1, "cost": cost})
-
-    return rows.mapInArrow(run, FIT)
+                    start.log_f = np.log(h / 2 / np.tan(given["vfov"] / 2))
+                if terms and terms[0] in given:
+                    start.k = np.stack([given[t] for t in terms], 1)
+                if by == "damping":
+                    got, costs, _ = fit(px, start, free, robust, sphere, steps, *tolerances)
+                    last, costs = costs[:, -1], costs / (w * h)
+                else:
+                    got, costs = fit_by_gradient(px, start, free, steps)
+                    last = got.costs(px, np.arange(len(got.g)), False)
+                roll, pitch = angles_of(got.g)
+                k = np.concatenate([got.k, np.zeros((len(roll), 2))], 1)
+                out = {"e": batch.column("e").slice(part.start, part.stop - part.start).cast(pa.int64()), "roll": roll, "pitch": pitch, "vfov": 2 * np.arctan(h / 2 / np.exp(got.log_f)), "k1": k[:, 0], "k2": k[:, 1], "cost": last}
+                if log:
+                    out["costs"] = pa.ListArray.from_arrays(pa.array(np.arange(len(costs) + 1) * costs.shape[1], pa.int32()), pa.array(costs.ravel()))
+                yield pa.RecordBatch.from_pydict(out)
+
+    return rows.mapInArrow(run, FIT + ", costs array<double>" * log)
 
 
 def fit_shared(px: dict[str, np.ndarray], w: int, h: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Gravity of each image and one log focal length for all: the focal length's step first, with each image's two angles eliminated."""
-    start = first_guess(px["raw"], w, h, False)
-    g, log_f, damp = start["g"], float(start["log_f"][0]), DAMP
-    x, y, want, conf, free = px["x"], px["y"], px["want"], px["conf"], np.array([1.0, 1.0, 1.0, 0.0])
-    n = len(g)
-    cost_of = lambda g, f: weights(model(g, np.full(n, f), np.zeros(n), x, y) - want, conf, False)[0].sum()
-    cost = cost_of(g, log_f)
+    now, damp, rows, free = first_guess(px["raw"], w, h, False), DAMP, np.arange(px["want"].shape[1]), np.ones(3, bool)
+    cost = now.costs(px, rows, False).sum()
     for _ in range(steps):
-        out, jac = model(g, np.full(n, log_f), np.zeros(n), x, y, slopes=True)
-        res = out - want
-        hess, grad = normal(res, jac, weights(res, conf, False)[1], basis(g, False), free)
+        hess, grad = normal(px, rows, now, basis(now.g, False), free, False)
         a = hess[:, :2, :2] + np.maximum(np.einsum("bii->bi", hess[:, :2, :2]) * damp, RIDGE)[:, :, None] * np.eye(2)
         b, c = hess[:, :2, 2], hess[:, 2, 2].sum()
         both = np.linalg.solve(a, np.stack([b, grad[:, :2]], -1))  # a^-1 b and a^-1 gradient
         df = -(grad[:, 2].sum() - (b * both[:, :, 1]).sum()) / (c + max(c * damp, RIDGE) - (b * both[:, :, 0]).sum())
-        step = -both[:, :, 1] - both[:, :, 0] * df
-        to = moved(g, step, False), log_f + df
-        new = cost_of(*to)
+        step = np.concatenate([-both[:, :, 1] - both[:, :, 0] * df, np.full((len(rows), 1), df)], 1)
+        to = now.moved(step, free, False)
+        new = to.costs(px, rows, False).sum()
         if new < cost:
-            (g, log_f), cost, damp = to, new, max(damp * 0.1, DAMP_RANGE[0])
+            now, cost, damp = to, new, max(damp * 0.1, DAMP_RANGE[0])
         else:
             damp = min(damp * 10, DAMP_RANGE[1])
-        if max(np.abs(step).max(), abs(df)) < 1e-11:
+        if np.abs(step).max() < 1e-11:
             break
-    return g, log_f
+    return now.g, float(now.log_f[0])
 
 
 def fit_shared_cameras(packed: DataFrame, batch: str, w: int, h: int, most: int = 256) -> DataFrame:
-    """Fit the images of each batch with one focal length: e, roll, pitch, vfov. A batch of more than `most` images is an error."""
-    rows = packed.groupBy(batch).agg(F.collect_list(F.struct("e", "up_x", "up_y", "lat")).alias("r"))
-    rows = rows.where(F.when(F.size("r") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"a batch has more than {most} images")).cast("boolean")))
+    """Fit the images of each batch with one focal length: e, roll, pitch, vfov. A batch of more than `most` images is an error, found before its images are gathered."""
+    sizes = packed.groupBy(batch).agg(F.count("*").alias("_n"))
+    sizes = sizes.where(F.when(F.col("_n") <= most, F.lit(True)).otherwise(F.raise_error(F.lit(f"a batch has more than {most} images")).cast("boolean")))
+    fitting = packed.join(sizes.withColumnRenamed(batch, "_b"), F.col(batch).eqNullSafe(F.col("_b")))
+    rows = fitting.groupBy(batch).agg(F.collect_list(F.struct("e", "up_x", "up_y", "lat")).alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
@@ -299,12 +339,12 @@ def candidates(px: dict[str, np.ndarray], picks: np.ndarray) -> tuple[np.ndarray
 
     The up lines of two pixels meet in the vertical vanishing point, which may lie at infinity; the third one's latitude gives the focal length.
     """
-    x, y, want = px["x"][picks], px["y"][picks], px["want"][picks]
-    a, b = want[..., 0], want[..., 1]
+    x, y, want = px["x"][picks], px["y"][picks], px["want"][:, picks]
+    a, b = want[0], want[1]
     line = np.stack([b, -a, a * y - b * x], -1)  # through the pixel along its up direction
     v = np.cross(line[:, 0], line[:, 1])
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-    u2, v2, s = x[:, 2], y[:, 2], want[:, 2, 2]
+    u2, v2, s = x[:, 2], y[:, 2], want[2, :, 2]
     along, far, near, z = u2 * v[:, 0] + v2 * v[:, 1], v[:, 0] ** 2 + v[:, 1] ** 2, u2 * u2 + v2 * v2, v[:, 2]
     # s^2 (near + F)(far + z^2 F) = (along + z F)^2, in the squared focal length F.
     k0, k1, k2 = (s * s - 1) * z * z, s * s * (near * z * z + far) - 2 * along * z, s * s * near * far - along * along
@@ -320,47 +360,101 @@ def candidates(px: dict[str, np.ndarray], picks: np.ndarray) -> tuple[np.ndarray
         return g * np.where(side < 0, -1.0, 1.0)[..., None], f
 
 
-def vote(px: dict[str, np.ndarray], hypotheses: int, within: float, seed: int, by_error: bool = True, inliers: np.ndarray | None = None) -> tuple[float, float, float, float]:
-    """Roll, pitch, focal length and votes of one image's best hypothesis; NaN and 0 where no three pixels give a camera."""
-    usable = np.flatnonzero((px["conf"] > 0).all(1) if inliers is None else inliers)
-    none = (np.nan, np.nan, np.nan, 0.0)
-    if len(usable) < 3:
-        return none
-    rng = np.random.default_rng(seed)
-    picks = usable[rng.integers(0, len(usable), (hypotheses, 3))]
+#: Share of the most votes with which a fit to all inliers goes before a camera of three pixels: chance agreement makes up the rest.
+FIT_SHARE = 0.97
+#: Hypotheses times pixels that are judged at once.
+VOTE_BLOCK = 1 << 20
+
+
+def _errors(px: dict[str, np.ndarray], g: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angles in degrees between an image's pixels and those of some cameras, (cameras, pixels): up direction and latitude."""
+    out, want = model(g, np.log(f), None, px["x"][None], px["y"][None]), px["want"][:, None]
+    angle = np.degrees(np.arccos(np.clip(np.nan_to_num(out[0] * want[0] + out[1] * want[1]), -1, 1)))
+    return angle, np.degrees(np.abs(np.arcsin(np.clip(out[2], -1, 1)) - np.arcsin(np.clip(want[2], -1, 1))))
+
+
+def vote(px: dict[str, np.ndarray], picks: np.ndarray, within: float, by_error: bool = True) -> tuple[np.ndarray, float, float] | None:
+    """Gravity, focal length and votes of the best camera of (hypotheses, 3) pixels; none where no three of them give a camera."""
+    hypotheses = len(picks)
     g, f = candidates(px, picks)
     g, f = g.reshape(-1, 3), f.reshape(-1)
     ok = np.flatnonzero(np.isfinite(f) & np.isfinite(g).all(1))
     if not len(ok):
-        return none
-    out = model(g[ok], np.log(f[ok]), np.zeros(len(ok)), px["x"][None], px["y"][None])
-    want, conf = px["want"][None], px["conf"][None]
-    angle = np.degrees(np.arccos(np.clip((out[..., :2] * want[..., :2]).sum(-1), -1, 1)))
-    lat = np.degrees(np.abs(np.arcsin(np.clip(out[..., 2], -1, 1)) - np.arcsin(np.clip(want[..., 2], -1, 1))))
-    votes = ((angle < within) * conf[..., 0] + (lat < within) * conf[..., 1]).sum(1)
-    errors = (angle * conf[..., 0] + lat * conf[..., 1]).sum(1)
+        return None
+    votes, errors, conf = np.empty(len(ok)), np.empty(len(ok)), px["conf"]
+    many = max(1, VOTE_BLOCK // len(px["x"]))
+    for at in range(0, len(ok), many):
+        some = ok[at : at + many]
+        angle, lat = _errors(px, g[some], f[some])
+        votes[at : at + many] = (angle < within) @ conf[0] + (lat < within) @ conf[1]
+        errors[at : at + many] = angle @ conf[0] + lat @ conf[1]
     # Of equal votes the least error, then the least hypothesis, then the first root.
     best = int(np.lexsort((ok // hypotheses, ok % hypotheses, errors if by_error else np.zeros(len(ok)), -votes))[0])
-    roll, pitch = angles_of(g[ok[best]])
-    return float(roll), float(pitch), float(f[ok[best]]), float(votes[best])
+    return g[ok[best]], float(f[ok[best]]), float(votes[best])
+
+
+def inliers_of(px: dict[str, np.ndarray], g: np.ndarray, f: float, within: float) -> np.ndarray:
+    """Pixels of some confidence that a camera places within `within` degrees in both values."""
+    angle, lat = _errors(px, g[None], np.array([f]))
+    return (angle[0] < within) & (lat[0] < within) & (px["conf"] > 0).all(0)
+
+
+def refined(px: dict[str, np.ndarray], g: np.ndarray, f: float, votes: float, draw, within: float, rounds: int) -> tuple[np.ndarray, float, float, int]:
+    """A voted camera after rounds of a second stage: triples from its inliers alone, with replacement, and a fit to them; all pixels vote again. It ends without a gain."""
+    for n in range(1, rounds + 1):
+        inside = np.flatnonzero(inliers_of(px, g, f, within))
+        if len(inside) < 3:
+            return g, f, votes, n
+        own = {"x": px["x"][None, inside], "y": px["y"][None, inside], "want": px["want"][:, None, inside], "conf": px["conf"][:, None, inside]}
+        fitted = fit(own, Cameras(g[None].copy(), np.log([f]), np.zeros((1, 0))), np.ones(3, bool), steps=10)[0]
+        angle, lat = _errors(px, fitted.g, np.exp(fitted.log_f))
+        fitted = fitted.g[0], float(np.exp(fitted.log_f[0])), float((angle[0] < within) @ px["conf"][0] + (lat[0] < within) @ px["conf"][1])
+        again = vote(px, draw(inside, n), within)
+        most = max(votes, fitted[2], again[2] if again else 0.0)
+        best = fitted if fitted[2] >= FIT_SHARE * most else again
+        if best is None or best[2] < FIT_SHARE * votes or n > 1 and best[2] <= votes:
+            return g, f, votes, n
+        g, f, votes = best
+    return g, f, votes, rounds
+
+
+def with_inliers(packed: DataFrame) -> DataFrame:
+    """The ids `e` of images that have an inlier, each once: those that a second stage can take up."""
+    return packed.where(F.exists("inliers", lambda x: x)).select("e").distinct()
 
 
-def consensus(packed: DataFrame, w: int, h: int, hypotheses: int = 1000, within: float = 1.0, seed: str = "consensus", by_error: bool = True) -> DataFrame:
-    """e, roll, pitch, f and votes by hypotheses of three pixels each, drawn by hash of the image; all pixels vote, by their confidence.
+def consensus(packed: DataFrame, w: int, h: int, hypotheses: int = 1000, within: float = 1.0, seed: str = "consensus", by_error: bool = True, rounds: int = 0) -> DataFrame:
+    """e, roll, pitch, f, votes and inliers by hypotheses of three pixels each, drawn by hash of the image; all pixels vote, by their confidence.
 
     A vote is an up direction, and a latitude, within `within` degrees. Of equal votes the least sum of errors wins, or with
-    `by_error` off the first hypothesis, as published. Every image has a row; without a solution it has nulls and 0 votes.
+    `by_error` off the first hypothesis, as published. With a column `inliers` (array<boolean>) triples are drawn from these pixels alone, with replacement. `rounds`
+    of a second stage draw from the best camera's own inliers and fit to them, until no vote is gained. Every image has a row; without
+    a solution, or without inliers, it has nulls and 0 votes.
     """
+    rows = packed.select("e", *[c for c in (*PIXELS, "inliers") if c in packed.columns])
+    given = "inliers" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            found = []
             for i, e in enumerate(batch.column("e").to_pylist()):
-                px = {k: v[0] for k, v in _unpack(batch, slice(i, i + 1), w, h).items()}
-                rows.append(vote(px, hypotheses, within, zlib.crc32(f"{seed}|{e}".encode()), by_error))
-            cols = np.array(rows, float).reshape(-1, 4)
+                px = _unpack(batch, slice(i, i + 1), w, h)
+                px = {k: v[0] if k in "xy" else v[:, 0] for k, v in px.items()}
+                usable = (px["conf"] > 0).all(0)
+                if given:
+                    mask = batch.column("inliers")[i].as_py() or [False] * (w * h)
+                    usable &= np.array([x is True for x in mask])
+                usable, best = np.flatnonzero(usable), None
+                draw = lambda of, n: of[np.random.default_rng(zlib.crc32(f"{seed}|{e}|{n}".encode())).integers(0, len(of), (hypotheses, 3))]  # noqa: B023, E731
+                if len(usable) >= 3:
+                    best = vote(px, draw(usable, 0), within, by_error)
+                if best is None:
+                    found.append((np.nan, np.nan, np.nan, 0.0, 0))
+                    continue
+                g, f, votes, _ = refined(px, *best, draw, within, rounds)
+                found.append((*angles_of(g), f, votes, inliers_of(px, g, f, within).sum()))
+            cols = np.array(found, float).reshape(-1, 5)
             null = lambda c: pa.array(cols[:, c], mask=np.isnan(cols[:, c]))
-            yield pa.RecordBatch.from_arrays([batch.column("e").cast(pa.int64()), null(0), null(1), null(2), null(3)], names=["e", "roll", "pitch", "f", "votes"])
+            yield pa.RecordBatch.from_arrays([batch.column("e").cast(pa.int64()), *map(null, range(4)), pa.array(cols[:, 4].astype(np.int64))], names=["e", "roll", "pitch", "f", "votes", "inliers"])
 
-    rows = packed.select("e", *[c for c in PIXELS if c in packed.columns])
-    return rows.mapInArrow(run, "e long, roll double, pitch double, f double, votes double")
+    return rows.mapInArrow(run, "e long, roll double, pitch double, f double, votes double, inliers long")

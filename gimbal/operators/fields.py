@@ -6,11 +6,22 @@ empty table stays empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import camera as C
 from ..functions import text as X
+from . import lens as L
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many tasks as a shuffle has: cameras are small, but their fields and fits are not, so a small file's rows shouldn't stay in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def pixels(df: DataFrame, w: int, h: int, key: str | None = None) -> DataFrame:
@@ -19,7 +30,7 @@ def pixels(df: DataFrame, w: int, h: int, key: str | None = None) -> DataFrame:
     With a `key`, the images are dealt by it first: a grouping of the pixels by it then needs no shuffle of theirs.
     """
     if key:
-        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+        df = dealt(df, key)
     return df.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(h - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(w - 1))))
 
 
@@ -63,44 +74,92 @@ def perspective_field(df: DataFrame, w: int, h: int, model: str = "pinhole", key
     return grid.withColumns({"up_x": up[0], "up_y": up[1], "lat": latitude(u * s, v * s, g)}).drop("_f", "_u", "_v")
 
 
+#: Pixels of which a block of images holds about this many at once.
+BLOCK_PIXELS = 1 << 16
+
+
+def mapped_field(df: DataFrame, w: int, h: int, reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], list[pa.Array]], outputs: list[T.StructField], model: str = "pinhole") -> DataFrame:
+    """Adds to cameras with roll, pitch, vfov (and k1, k2 for distorted models) the columns that `reduce` makes of their fields.
+
+    `reduce` gets up_x, up_y and lat of some images, (images, pixels), NaN where a parameter is null or the up direction vanishes, and returns a column for
+    each of `outputs`. Pixels exist only while their images' block is worked on.
+    """
+    params = ["roll", "pitch", "vfov", *[f"k{i + 1}" for i in range(L.TERMS[model])]]
+    schema = T.StructType([*df.schema.fields, *outputs])
+    at = {c: i for i, c in enumerate(df.columns)}
+    many = max(1, BLOCK_PIXELS // (w * h))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = L.pixel_grid(w, h)
+        for batch in batches:
+            values = {c: batch.column(at[c]).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in params}
+            for lo in range(0, batch.num_rows, many):
+                roll, pitch, vfov, *k = (values[c][lo : lo + many] for c in params)
+                with np.errstate(all="ignore"):
+                    known = np.isfinite(roll + pitch + vfov + sum(k))
+                    g, f = L.gravity_of(roll, pitch), h / 2 / np.tan(vfov / 2)
+                    up_x, up_y, s = L.field(np.where(known[:, None], g, np.nan), f, np.stack(k, 1) if k else None, x, y, model)
+                    lat = np.arcsin(np.clip(s, L.POLE - 1, 1 - L.POLE))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, many).columns, *reduce(up_x, up_y, lat)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    """A list of numbers for each row; NaN becomes null."""
+    flat = values.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(flat, mask=~np.isfinite(flat)))
+
+
+def _array(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.DoubleType()))
+
+
 def packed_field(df: DataFrame, w: int, h: int, model: str = "pinhole", up: bool = True, lat: bool = True) -> DataFrame:
     """The same field with each image's pixels in arrays, row by row: no pixel becomes a row, and nothing is shuffled.
 
     Adds up_x and up_y (with `up`) and lat (with `lat`) to cameras with roll, pitch, vfov (and k1, k2 for distorted models). A null parameter gives nulls.
     """
-    f, g = C.fov2focal(F.col("vfov"), F.lit(float(h))), C.gravity(F.col("roll"), F.col("pitch"))
-    k1, k2 = (F.col("k1"), F.col("k2")) if model != "pinhole" else (F.lit(0.0), F.lit(0.0))
-    df = df.withColumns({"_f": f, "_g0": g[0], "_g1": g[1], "_g2": g[2]})
-    g = tuple(F.col(f"_g{i}") for i in range(3))
-
-    def spot(p: Column) -> Column:
-        return F.struct(((p % w - w / 2) / F.col("_f")).alias("u"), ((F.floor(p / w) - h / 2) / F.col("_f")).alias("v"))
-
-    def at(q: Column) -> Column:
-        u, v = q["u"], q["v"]
-        out = []
-        if up:
-            x, y = up_vector(u, v, g) if model == "pinhole" else distorted_up(model, u, v, k1, k2, g)
-            out += [x.alias("up_x"), y.alias("up_y")]
-        if lat:
-            s = C.undistortion(model, u, v, k1, k2)
-            out.append(latitude(u * s, v * s, g).alias("lat"))
-        return F.struct(*out)
-
-    grid = F.transform(F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), spot), at)
-    df = df.withColumn("_px", grid).drop("_f", "_g0", "_g1", "_g2")
     names = ["up_x", "up_y"] * up + ["lat"] * lat
-    return df.withColumns({n: F.col("_px").getField(n) for n in names}).drop("_px")
 
+    def reduce(*values: np.ndarray) -> list[pa.Array]:
+        return [_lists(v) for v, on in zip(values, (up, up, lat)) if on]
+
+    return mapped_field(df.drop(*names), w, h, reduce, [_array(n) for n in names], model)
 
-def camera_map(captions: DataFrame, text: str = "text", size: int = 512, mode: str = "base", strict: bool = True) -> DataFrame:
-    """A caption's camera as a map of size x size pixels: adds roll, pitch, vfov, and up_x, up_y and lat as packed arrays.
 
-    `mode` "base" reads a plain caption and "cot" a thinking one's answer. A text without parameters is an error, or gives nulls if not `strict`.
+def field_lines(df: DataFrame, w: int, h: int, model: str = "pinhole") -> DataFrame:
+    """Adds up_x, up_y and lat as arrays of the image's lines: the sum of each line's values times their place from 1, over the width."""
+    weight = np.arange(1, w + 1) / w
+
+    def reduce(*values: np.ndarray) -> list[pa.Array]:
+        return [_lists(v.reshape(-1, h, w) @ weight) for v in values]
+
+    return mapped_field(df, w, h, reduce, [_array(n) for n in ("up_x", "up_y", "lat")], model)
+
+
+def field_means(df: DataFrame, w: int, h: int, model: str = "pinhole") -> DataFrame:
+    """Adds the means of up_x, up_y and lat over the image, pixels without a value left out; null where there are none."""
+
+    def reduce(*values: np.ndarray) -> list[pa.Array]:
+        seen = [np.isfinite(v) for v in values]
+        n = [s.sum(1) for s in seen]
+        return [pa.array(np.where(s, v, 0).sum(1) / np.maximum(c, 1), mask=c == 0) for v, s, c in zip(values, seen, n)]
+
+    return mapped_field(df, w, h, reduce, [T.StructField(n, T.DoubleType()) for n in ("up_x", "up_y", "lat")], model)
+
+
+def caption_cameras(captions: DataFrame, text: str = "text", mode: str = "base", strict: bool = True) -> DataFrame:
+    """Adds roll, pitch and vfov of captions. `mode` "base" reads a plain caption and "cot" a thinking one's answer. A text without parameters is an error, or gives nulls if not `strict`.
     """
     pattern = {"base": X.BASE, "cot": X.ANSWER}[mode]
     roll, pitch, vfov = X.triple(F.col(text), pattern, strict=strict)
-    return packed_field(captions.withColumns({"roll": roll, "pitch": pitch, "vfov": vfov}), size, size)
+    return captions.withColumns({"roll": roll, "pitch": pitch, "vfov": vfov})
+
+
+def camera_map(captions: DataFrame, text: str = "text", size: int = 512, mode: str = "base", strict: bool = True) -> DataFrame:
+    """A caption's camera as a map of size x size pixels: adds roll, pitch, vfov, and up_x, up_y and lat as packed arrays."""
+    return packed_field(caption_cameras(captions, text, mode, strict), size, size)
 
 
 def angle_errors(df: DataFrame) -> DataFrame:
@@ -115,6 +174,48 @@ def angle_errors(df: DataFrame) -> DataFrame:
     return df.withColumns({"up_error": F.zip_with(angle, none, lambda e, z: F.when(z, F.lit(0.0)).otherwise(e)), "lat_error": lat})
 
 
+ERROR_STATS = ("up_error", "up_med_error", "up_recall", "up_weighted", "lat_error", "lat_med_error", "lat_recall", "lat_weighted", "lat_loss")
+
+
+def field_errors(df: DataFrame, w: int, h: int, within: float = 5.0, confidence: Callable[[DataFrame], np.ndarray] | None = None, model: str = "pinhole") -> DataFrame:
+    """ERROR_STATS of cameras with roll, pitch, vfov against the true ones' roll2, pitch2, vfov2 (and k1, k2 of both: k12, k22), in degrees.
+
+    Mean, lower median, share below `within`, and mean by confidence of the angles between up directions and of the differences of latitudes; the loss is the mean
+    square of the latter by confidences whose mean is one. `confidence` makes weights (images, pixels) from a pandas frame of the other columns; by default
+    all weigh the same. Both fields exist only while their block is worked on. A null parameter gives nulls.
+    """
+    terms = [f"k{i + 1}" for i in range(L.TERMS[model])]
+    params = ["roll", "pitch", "vfov", *terms]
+    schema = T.StructType([f for f in df.schema.fields if f.name not in {*params, *(f"{p}2" for p in params)}] + [T.StructField(n, T.DoubleType()) for n in ERROR_STATS])
+    kept, at = [n for n in schema.names if n not in ERROR_STATS], {c: i for i, c in enumerate(df.columns)}
+    many = max(1, BLOCK_PIXELS // (w * h))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = L.pixel_grid(w, h)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, many):
+                part = batch.slice(lo, many)
+                both = []
+                for end in ("", "2"):
+                    roll, pitch, vfov, *k = (part.column(at[c + end]).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in params)
+                    up_x, up_y, s = L.field(L.gravity_of(roll, pitch), h / 2 / np.tan(vfov / 2), np.stack(k, 1) if k else None, x, y, model)
+                    both.append((up_x, up_y, np.arcsin(np.clip(s, L.POLE - 1, 1 - L.POLE))))
+                (ax, ay, a), (bx, by, b) = both
+                up = np.degrees(np.arccos(np.clip(ax * bx + ay * by, -1, 1)))
+                up = np.where(ax + ay == 0, 0.0, up)  # as published
+                lat = np.degrees(np.abs(a - b))
+                rest = pa.RecordBatch.from_arrays([part.column(at[c]) for c in kept], names=kept)
+                c = np.ones_like(up) if confidence is None else confidence(rest.to_pandas())
+                middle, total = (w * h - 1) // 2, c.sum(1)
+                stats = []
+                for e in (up, lat):
+                    stats += [e.mean(1), np.partition(e, middle, 1)[:, middle], np.where(np.isnan(e), np.nan, e < within).mean(1), (e * c).sum(1) / total]
+                stats.append((lat * lat * c).sum(1) / total)
+                yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(v, mask=~np.isfinite(v)) for v in stats)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def packed_mean(a: Column) -> Column:
     return F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
 

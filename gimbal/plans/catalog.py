@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -367,10 +368,9 @@ def field(spark, sf_dir, size):
 @query(f"WITH {field_sql(32)} SELECT e, CAST(y AS INTEGER) AS y, round(sum(up_x * (x + 1)) / 32, 5) AS up_x, round(sum(up_y * (x + 1)) / 32, 5) AS up_y, round(sum(lat * (x + 1)) / 32, 5) AS lat FROM fl GROUP BY e, y")
 def perspective_field(spark, sf_dir):
     """The field of every camera at 32 x 32 pixels, each image line as its values weighted by their place."""
-    px = P.packed_field(cam_gt(spark, sf_dir).select("e", "roll", "pitch", "vfov"), 32, 32)
-    lines = px.select("e", "up_x", "up_y", "lat", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("y"))
-    total = lambda c: F.round(F.aggregate(F.transform(F.slice(F.col(c), F.col("y") * 32 + 1, F.lit(32)), lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, x: a + x) / 32, 5)
-    return lines.select("e", "y", *[total(c).alias(c) for c in ("up_x", "up_y", "lat")])
+    lines = P.field_lines(P.dealt(cam_gt(spark, sf_dir).select("e", "roll", "pitch", "vfov"), "e"), 32, 32)
+    out = lines.select("e", F.posexplode(F.arrays_zip("up_x", "up_y", "lat")).alias("y", "v"))
+    return out.select("e", "y", *[F.round(F.col(f"v.{c}"), 5).alias(c) for c in ("up_x", "up_y", "lat")])
 
 
 def pair_sql(n: int) -> str:
@@ -385,15 +385,16 @@ er AS (SELECT a.e, acos(greatest(-1, least(1, a.up_x * b.up_x + a.up_y * b.up_y)
 def field_error(spark, sf_dir):
     """Predicted fields against the true ones by image: mean, lower median, recall, mean by confidence, and a loss by normalised confidence."""
     n = 16
-    pred = P.packed_field(cam_pred(spark, sf_dir).select("e", "roll", "pitch", "vfov"), n, n).drop("roll", "pitch", "vfov")
-    true = P.packed_field(cam_gt(spark, sf_dir).select("e", "roll", "pitch", "vfov"), n, n).select("e", *[F.col(c).alias(f"{c}2") for c in ("up_x", "up_y", "lat")])
-    err = P.angle_errors(pred.join(true, "e"))
-    conf = F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda p: (1 + (p % n + 2 * F.floor(p / n) + F.col("e")) % 5) / 6)
-    err = err.select("e", "up_error", "lat_error", conf.alias("c"))
-    up, lat, c = F.col("up_error"), F.col("lat_error"), F.col("c")
-    loss = P.packed_mean(F.zip_with(F.transform(lat, lambda x: x * x), P.normalised_confidence(c), lambda x, k: x * k))
-    five = {"up_error": P.packed_mean(up), "up_med_error": P.packed_lower_median(up), "up_weighted": P.packed_weighted(up, c), "lat_error": P.packed_mean(lat), "lat_med_error": P.packed_lower_median(lat)}
-    return err.select("e", *[F.round(v, 5).alias(k) for k, v in five.items()], F.round(loss, 4).alias("lat_loss"), *r6(up_recall=P.packed_recall(up, 5.0), lat_recall=P.packed_recall(lat, 5.0)))
+    true = cam_gt(spark, sf_dir).select("e", *[F.col(c).alias(f"{c}2") for c in ("roll", "pitch", "vfov")])
+    both = cam_pred(spark, sf_dir).select("e", "roll", "pitch", "vfov").join(true, "e")
+
+    def confidence(rows):
+        p = np.arange(n * n)
+        return (1 + (p % n + 2 * (p // n) + rows["e"].to_numpy()[:, None]) % 5) / 6
+
+    err = P.field_errors(P.dealt(both, "e"), n, n, 5.0, confidence)
+    five = ("up_error", "up_med_error", "up_weighted", "lat_error", "lat_med_error")
+    return err.select("e", *[F.round(c, 5).alias(c) for c in five], F.round("lat_loss", 4).alias("lat_loss"), *r6(up_recall=F.col("up_recall"), lat_recall=F.col("lat_recall")))
 
 
 @query(f"""WITH {PRED_SQL}, t AS ({three_sql(_BASE, 'output_text', 'outputs')}), p AS (SELECT e, roll, pitch, vfov, x, y, (x - 16) / (16 / tan(vfov / 2)) AS u, (y - 16) / (16 / tan(vfov / 2)) AS v, {GRAV} FROM t, (SELECT unnest(range(32)) AS x), (SELECT unnest(range(32)) AS y) WHERE roll IS NOT NULL)
@@ -402,8 +403,8 @@ SELECT e, round(avg((gx - gz * u) / sqrt((gx - gz * u) * (gx - gz * u) + (gy - g
 def camera_map(spark, sf_dir):
     """Captions to camera maps, here of 32 x 32 pixels: the mean of each channel. Captions without parameters have none."""
     o = outputs(spark, sf_dir)
-    maps = P.camera_map(o, "output_text", 32, strict=False).where("roll IS NOT NULL")
-    return maps.select("e", *[F.round(P.packed_mean(F.col(c)), 5).alias(c) for c in ("up_x", "up_y", "lat")])
+    maps = P.field_means(P.caption_cameras(P.dealt(o.select("e", "output_text"), "e"), "output_text", strict=False).where("roll IS NOT NULL"), 32, 32)
+    return maps.select("e", *[F.round(c, 5).alias(c) for c in ("up_x", "up_y", "lat")])
 
 
 @query("SELECT event_id, CAST(len(list_filter(list_transform(range(11), lambda i: -5 + i * 50e0), lambda b: b < value)) - 1 AS INTEGER) AS bin, CAST(least(greatest(ceil((value - 90 + 90) / 18) - 1, 0), 9) AS INTEGER) AS lat_bin FROM events")
@@ -422,7 +423,7 @@ def losses_and_tone_maps(spark, sf_dir):
 @query(f"WITH {GT_SQL} SELECT e, round(roll, 6) AS roll, round(pitch, 6) AS pitch, round(vfov, 6) AS vfov FROM cam_gt")
 def lm_fit(spark, sf_dir):
     """Fit cameras to their own fields of 32 x 32 pixels: the known answer comes back."""
-    px = P.packed_field(cam_gt(spark, sf_dir).select("e", "roll", "pitch", "vfov"), 32, 32)
+    px = P.packed_field(P.dealt(cam_gt(spark, sf_dir).select("e", "roll", "pitch", "vfov"), "e"), 32, 32)
     return fit_cameras(px, 32, 32).select("e", *r6(roll=F.col("roll"), pitch=F.col("pitch"), vfov=F.col("vfov")))
 
 
