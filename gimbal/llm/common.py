@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.store import folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -21,33 +21,44 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 #: The most bits of a bitmap (8 MB).
 MOST_BITS = 1 << 26
 
-_local_base: list[str] = []
+#: Lists of the tables written inside each `temporary` block that is open.
+_open: list[list[str]] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that the cluster shares (`spark.checkpoint.dir`).
-
-    Only a single-process session without that setting (tests) gets a local folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        if not _local_base:
-            _local_base.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-        base = _local_base[0]
-    return f"{base.rstrip('/')}/gimbal-{tag}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, tag)
+    """Write to the shared folder and read back: cuts lineage and survives lost executors. Inside `temporary` the table is deleted at its end."""
+    path = folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    for held in _open:
+        held.append(path)
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more, and let Spark clear the shuffle files of their making, which it does as the driver's JVM collects garbage."""
+    jvm = spark._jvm
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    jvm.System.gc()
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables materialised inside are deleted at the end, but for those whose `written` path the block takes off the list."""
+    held: list[str] = []
+    _open.append(held)
+    try:
+        yield held
+    finally:
+        _open.remove(held)
+        discard(spark, *held)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 # The least neighbours are joined on the complement of the node: both sides are then dealt anew, and Spark
@@ -40,6 +40,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         row = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(row) == seen or not row[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
-        seen = tuple(row)
+        seen, before = tuple(row), now.written
         now = materialise(_small_star(_large_star(now)), "edges")
+        discard(edges.sparkSession, before)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, map_text, materialise, maybe
+from .common import bitmap, map_text, materialise, maybe, temporary
 from .components import components
 
 #: Pairs are listed at once within a bucket of up to this many sets.
 PAIR_BUCKET = 32
-#: Sets that tell which shingles are common (expected), times that make one common, and the most such shingles.
-SAMPLE, COMMON, MOST = 5_000, 3, 100_000
+#: Sets that tell which shingles are common (expected: so many, or this share of all), times that make one common, and the most such shingles.
+SAMPLE, SHARE, COMMON, MOST = 5_000, 0.001, 3, 100_000
 #: Partners drawn from a bucket in each round.
 ROUNDS = (48,)
 
@@ -54,8 +54,8 @@ def _node(of: np.ndarray) -> int:
 
 
 def _common(docs: DataFrame, text_col: str, rid: Column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that a sample of about SAMPLE rows, drawn by hash, holds COMMON times or more, and how often."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
+    """The shingles that a sample of rows, drawn by hash, holds COMMON times or more, and how often. The sample grows with the rows."""
+    share = min(1.0, max(SHARE, SAMPLE / max(1, docs.count())))
     some = docs.where(F.pmod(rid, F.lit(1 << 30)) < int(share * (1 << 30)))
     fields = T.StructType([T.StructField("sh", T.ArrayType(T.LongType()))])
     seen = map_text(some, text_col, [], fields, lambda: lambda texts: {"sh": [shingles(t, shingle) for t in texts]})
@@ -120,7 +120,7 @@ class Sets:
     shingle: int
 
     def of(self, nodes: DataFrame) -> DataFrame:
-        """(node, sh) of `nodes` (n, complements): the sets anew from the texts, as 32-bit hashes. Texts of other rows aren't hashed."""
+        """(node, sh) of `nodes` (n, complements): the sets anew from the texts. Texts of other rows aren't hashed."""
         wanted = materialise(self.rows.join(nodes.distinct().hint("merge"), F.bitwise_not("node") == F.col("n"), "left_semi").select("rid"), "wanted")
         bits, shingle = self.docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "rid")), self.shingle
 
@@ -129,10 +129,9 @@ class Sets:
                 hit = np.flatnonzero(maybe(bits.value, batch.column(0).to_numpy()))
                 for at in range(0, len(hit), 512):
                     sets = [shingles(t or "", shingle) for t in batch.column(1).take(pa.array(hit[at : at + 512])).to_pylist()]
-                    short = [np.unique(x.astype(np.int32)) for x in sets]
-                    yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array(short, pa.list_(pa.int32()))], names=["node", "sh"])
+                    yield pa.RecordBatch.from_arrays([pa.array([_node(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "sh"])
 
-        return self.docs.select(self.rid.alias("rid"), self.text_col).mapInArrow(run, "node long, sh array<int>").dropDuplicates(["node"])
+        return self.docs.select(self.rid.alias("rid"), self.text_col).mapInArrow(run, "node long, sh array<long>").dropDuplicates(["node"])
 
 
 def _in_reach(least: float, places: bool = True) -> Column:
@@ -170,7 +169,7 @@ def _likely(pairs: DataFrame, keyed: DataFrame, least: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: Sets, least: float) -> DataFrame:
-    """The pairs whose whole sets are as similar as that. Sets are of 32-bit hashes, which now and then hides one different shingle."""
+    """The pairs whose whole sets, of 64-bit hashes, are as similar as that."""
     pairs = materialise(pairs, "pairs")
     held = sets.of(pairs.select(F.bitwise_not("a").alias("n")).union(pairs.select(F.bitwise_not("b"))))
     out = pairs.join(held.select(F.col("node").alias("a"), F.col("sh").alias("sa")).hint("merge"), "a")
@@ -244,9 +243,12 @@ def near_copies(docs: DataFrame, keep: list[str], text_col: str = "text", shingl
     Equal sets are linked, also empty ones. Repeated rows stay repeated, null values of `keep` are values, and an empty table gives none.
     """
     rid = F.xxhash64(*[F.col(f"`{c}`") for c in keep])
-    firsts = materialise(_prefixes(docs, text_col, keep, shingle, least, *_common(docs, text_col, rid, shingle)), "prefixes")
-    shared = _shared(firsts)
-    sets = Sets(docs, text_col, rid, firsts.groupBy("node").agg(F.min(rid).alias("rid")), shingle)
-    roots = materialise(components(links(shared, sets, least, pair_bucket)), "roots").select(F.bitwise_not("node").alias("r"), "root")
-    out = firsts.drop("keys", "n").join(roots.hint("merge"), F.bitwise_not("node") == F.col("r"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("root", "node").alias("group"))
+    with temporary(docs.sparkSession) as held:
+        firsts = materialise(_prefixes(docs, text_col, keep, shingle, least, *_common(docs, text_col, rid, shingle)), "prefixes")
+        shared = _shared(firsts)
+        sets = Sets(docs, text_col, rid, firsts.groupBy("node").agg(F.min(rid).alias("rid")), shingle)
+        roots = components(links(shared, sets, least, pair_bucket)).select(F.bitwise_not("node").alias("r"), "root")
+        out = firsts.drop("keys", "n").join(roots.hint("merge"), F.bitwise_not("node") == F.col("r"), "left")
+        out = materialise(out.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("root", "node").alias("group")), "groups")
+        held.remove(out.written)
+    return out

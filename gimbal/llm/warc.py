@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch
+from ..operators.store import folder as fresh_folder
+from .common import materialise
 
 #: Entries in a compressed index block, decompressed blocks that a reader keeps, and index shards at most.
 BLOCK_ENTRIES, CACHED_BLOCKS, MAX_SHARDS = 2_000, 8, 4_096
@@ -326,7 +327,7 @@ def archive_round_trip(pages: DataFrame, min_revisit_bytes: int = 0, shards: int
     written. An empty table gives no rows. Files live in the shared folder; a failed attempt's are never referred to.
     """
     spark = pages.sparkSession
-    folder = scratch(spark, "warc")
+    folder = fresh_folder(spark, "warc")
     partitions = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = shards or partitions
     marked = mark_revisits(pages.select("page_id", "url", "html"), min_revisit_bytes)
