@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranged
+from .store import written
+
 INF = float("inf")
 
 
@@ -26,25 +29,24 @@ def long_form(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     return df.unpivot(keys, metrics, "metric", "e")
 
 
-def quantile(df: DataFrame, groups: list[str], value: Column, q: float, name: str, lower: bool = False, buckets: int = 64) -> DataFrame:
+def quantile(df: DataFrame, groups: list[str], value: Column, q: float, name: str, lower: bool = False) -> DataFrame:
     """The exact quantile `name` of each group, nulls skipped: interpolated, or with `lower` the first value that covers the share.
 
-    Equal values are counted first. A sketch of bounded size splits each group into buckets, whose counts tell the one or two that
-    hold the wanted ranks; only their values are ordered, so no group is held or sorted in one task. The sketch only
-    sets the buckets' width. A group of nulls has no row.
+    Equal values are counted first, and the counts put into ranges of their order, as many as a shuffle has tasks. The ranges' sums tell the one or two that
+    hold the wanted ranks; only their values are added up one by one, so no group is held or sorted in one task, and equal values
+    are one row. A group of nulls has no row.
     """
     rows = df.select(*groups, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    at = F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 10_000)
-    splits = rows.groupBy(*groups).agg(at.alias("_s"), F.count("*").alias("_n"))
-    points = matched(rows.groupBy(*groups, "_v").agg(F.count("*").alias("_c")), F.broadcast(splits), groups)
-    points = points.withColumn("_b", F.size(F.filter("_s", lambda s: s < F.col("_v")))).drop("_s")
+    points = ranged(rows.groupBy(*groups, "_v").agg(F.count("*").alias("_c")), groups, [F.col("_v")])
+    over = Window.partitionBy(*groups)
+    sums = points.groupBy(*groups, "_b").agg(F.sum("_c").alias("_bc"))
+    sums = sums.withColumns({"_n": F.sum("_bc").over(over), "_before": F.sum("_bc").over(over.orderBy("_b")) - F.col("_bc")})
     place = F.col("_n") * q if lower else (F.col("_n") - 1) * q
     low, high = (F.greatest(F.ceil(place) - 1, F.lit(0)),) * 2 if lower else (F.floor(place), F.ceil(place))
-    sums = points.groupBy(*groups, "_b", "_n").agg(F.sum("_c").alias("_bc"))
-    end = F.sum("_bc").over(Window.partitionBy(*groups).orderBy("_b"))
-    sums = sums.withColumn("_before", end - F.col("_bc")).where((F.col("_before") <= high) & (F.col("_before") + F.col("_bc") > low)).drop("_n", "_bc")
+    sums = sums.where((F.col("_before") <= high) & (F.col("_before") + F.col("_bc") > low)).drop("_bc")
+    near = matched(points, sums, [*groups, "_b"])
     inside = F.sum("_c").over(Window.partitionBy(*groups, "_b").orderBy("_v"))
-    near = matched(points, F.broadcast(sums), [*groups, "_b"]).withColumn("_end", F.col("_before") + inside)
+    near = near.withColumn("_end", F.col("_before") + inside)
 
     def of(rank: Column) -> Column:
         return F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("_c") <= rank), F.col("_v")))
@@ -79,41 +81,33 @@ def recall_at(long: DataFrame, thresholds: list[float]) -> DataFrame:
     return wide.select("metric", F.inline(at))
 
 
-def auc(long: DataFrame, thresholds: list[float], floor: float | None = 1.0, buckets: int = 4096) -> DataFrame:
+def auc(long: DataFrame, thresholds: list[float], floor: float | None = 1.0) -> DataFrame:
     """Area under the recall curve up to each threshold, over the threshold.
 
-    Only errors up to the greatest threshold are ordered, in buckets by value, so no metric is sorted in one task; the
-    previous error of a bucket's first row is the greatest of the bucket before it.
+    Equal errors are counted first, of those up to the greatest threshold, and put into ranges of their order: no metric is sorted in one task,
+    and any number of equal errors is one row. The previous error of a range's first one is the greatest of the range before it.
     """
-    top = float(max(thresholds))
+    top, least = float(max(thresholds)), floor if floor is not None else -1.0
     rows = long.select("metric", as_miss(F.col("e")).alias("e"))
-    sizes = rows.groupBy("metric").agg(F.count("*").alias("n"), F.sum((F.col("e") <= (floor if floor is not None else -1.0)).cast("long")).alias("low"))
-    curve = rows.where((F.col("e") <= top) & (F.col("e") > (floor if floor is not None else -1.0)))
-    curve = curve.withColumn("b", F.floor(F.col("e") / top * buckets))
-    w = Window.partitionBy("metric").orderBy("b")
-    ends = curve.groupBy("metric", "b").agg(F.count("*").alias("c"), F.max("e").alias("m"))
-    ends = ends.select(
-        F.col("metric").alias("bm"),
-        F.col("b").alias("bb"),
-        F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.lag("m").over(w).alias("m_before"),
-    )
-    inside = Window.partitionBy("metric", "b").orderBy("e")
+    counts = rows.groupBy("metric", "e").agg(F.count("*").alias("c"))
+    counts = written(counts, "errors")
+    sizes = counts.groupBy("metric").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(F.col("e") <= least, F.col("c"))), F.lit(0)).alias("low"))
+    curve = ranged(counts.where((F.col("e") <= top) & (F.col("e") > least)), ["metric"], [F.col("e")])
+    w = Window.partitionBy("metric").orderBy("_b")
+    ends = curve.groupBy("metric", "_b").agg(F.sum("c").alias("bc"), F.max("e").alias("m"))
+    ends = ends.select("metric", "_b", (F.sum("bc").over(w) - F.col("bc")).alias("before"), F.lag("m").over(w).alias("m_before"))
+    inside = Window.partitionBy("metric", "_b").orderBy("e")
     start = 0.0 if floor is None else float(floor)
-    points = (
-        curve.withColumn("i", F.row_number().over(inside))
-        .withColumn("p", F.lag("e").over(inside))
-        .join(ends, (F.col("metric") == F.col("bm")) & (F.col("b") == F.col("bb")))
-        .select("metric", "e", (F.col("before") + F.col("i")).alias("i"), F.coalesce("p", "m_before", F.lit(start)).alias("p"))
-        .join(F.broadcast(sizes.withColumnRenamed("metric", "sm")), F.col("metric") == F.col("sm"))
-        .withColumn("r", (F.col("low") + F.col("i")) / F.col("n"))
-        .withColumn("area", (F.col("e") - F.col("p")) * (2 * F.col("r") - 1 / F.col("n")) / 2)
-    )
+    points = curve.withColumns({"i": F.sum("c").over(inside), "p": F.lag("e").over(inside)})
+    points = matched(matched(points, ends, ["metric", "_b"]), sizes, ["metric"])
+    last = F.col("low") + F.col("before") + F.col("i")
+    # Of equal errors only the first one adds an area.
+    points = points.select("metric", "e", (last / F.col("n")).alias("r"), ((F.col("e") - F.coalesce("p", "m_before", F.lit(start))) * (2 * (last - F.col("c")) + 1) / (2 * F.col("n"))).alias("area"))
     sums = points.groupBy("metric").agg(
         *[F.sum(F.when(F.col("e") <= t, F.col("area"))).alias(f"a{i}") for i, t in enumerate(thresholds)],
         *[F.max(F.when(F.col("e") <= t, F.struct("e", "r"))).alias(f"l{i}") for i, t in enumerate(thresholds)],
     )
-    all_ = sizes.join(sums, "metric", "left")
+    all_ = matched(sizes, sums, ["metric"], "left")
     s = F.col("low") / F.col("n")
 
     def one(i: int, t: float) -> Column:

@@ -39,3 +39,13 @@ def test_rolling_loss_with_gaps_in_the_ids(spark, tmp_path):
     got = catalog.QUERIES["loss_rolling"](spark, str(tmp_path)).toPandas().sort_values("iter")
     want = [values[max(0, k - 99) : k + 1].mean() for k in range(len(ids))]
     assert got["iter"].tolist() == ids and np.allclose(got["rolling"], want, atol=1e-6)
+
+
+def test_equal_errors_are_one_row(spark):
+    """Two million equal errors, and none: areas, medians and quantiles as for a few."""
+    many = spark.range(2_000_000).select(F.lit("m").alias("metric"), F.lit(2.5).alias("e")).union(spark.createDataFrame([("m", 0.5), ("k", 3.0), ("k", float("nan")), (None, 4.0)], "metric string, e double"))
+    got = {(r.metric, r.threshold): r.auc for r in M.auc(many, [1.0, 5.0]).collect()}
+    assert got["m", 5.0] == pytest.approx(0.5, abs=1e-3) and got["m", 1.0] == 0 and got["k", 5.0] == pytest.approx((2 * 0.5 * 0.5 + 2 * 0.5) / 5, abs=1e-4)
+    assert (None, 5.0) in got
+    assert {r.metric: r.q for r in M.quantile(many, ["metric"], M.finite(F.col("e")), 0.5, "q").collect()} == {"m": 2.5, "k": 3.0, None: 4.0}
+    assert M.quantile(many.where("false"), ["metric"], F.col("e"), 0.5, "q").count() == 0 and M.auc(many.where("false"), [1.0]).count() == 0
