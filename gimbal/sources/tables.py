@@ -153,11 +153,6 @@ def required(df: DataFrame, keys: list[str], optional: list[str] = []) -> DataFr
     return df.select(*keys, *[c for c in optional if c in df.columns])
 
 
-def camera_maps(spark: SparkSession, path: str) -> DataFrame:
-    """(name, w, h, map): packed camera maps, three values a pixel."""
-    return spark.read.schema("name string, w int, h int, map array<float>").parquet(path)
-
-
 def projected(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Some columns of a CSV table of cameras; the others aren't parsed."""
     return required(cameras(spark, path), columns)
