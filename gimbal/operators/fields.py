@@ -268,34 +268,43 @@ def jacobian(u: Column, v: Column, roll: Column, pitch: Column, f: Column) -> di
 
 
 def pixel_errors(df: DataFrame, key: str, n: int, thresholds: list[float], distortion_only: bool = True) -> DataFrame:
-    """Share of an n x n grid's points that two cameras with a radial term place within each threshold, in pixels.
+    """(key, threshold, share): the share of an n x n grid's points that two cameras with a radial term place within each threshold, in pixels.
 
-    `df` has width, height, and f, k1 of the true camera and f_pred, k1_pred. Points are undistorted by the true
+    `df` has width, height, and f, k1 of the true camera and k1_pred, without `distortion_only` f_pred too. Points are undistorted by the true
     pinhole camera. Those that the true camera keeps inside the image are counted; those that the other
     one doesn't are misses. The grid's axes follow height and width as published, which matters for other than square images.
-    Points stay in the stage that aggregates them. An image without counted points gives null.
+    A grid exists only while its image is worked on. An image without counted points, or with a null parameter, gives null.
     """
-    w, h = F.col("width"), F.col("height")
-    line = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
-    grid = df.withColumn("_i", F.explode(line)).withColumn("_j", F.explode(line))
-    u = (F.col("_i") * (h - 1) - w / 2) / F.col("f")
-    v = (F.col("_j") * (w - 1) - h / 2) / F.col("f")
-    grid = grid.withColumns({"_u": u, "_v": v})
-
-    def place(f: Column, k1: Column) -> tuple[Column, Column]:
-        s = C.distortion("simple_radial", F.col("_u"), F.col("_v"), k1, F.lit(0.0)) * f
-        return F.col("_u") * s + w / 2, F.col("_v") * s + h / 2
-
-    a = place(F.col("f"), F.col("k1"))
-    b = place(F.col("f") if distortion_only else F.col("f_pred"), F.col("k1_pred"))
-    grid = grid.withColumns({"_ax": a[0], "_ay": a[1], "_bx": b[0], "_by": b[1]})
+    params = ["width", "height", "f", "k1", "f" if distortion_only else "f_pred", "k1_pred"]
     near = 1e-6  # pixels: a point on the border is inside whatever its last digits
-    inside = lambda x, y: F.col(x).between(-near, w - 1 + near) & F.col(y).between(-near, h - 1 + near)
-    dx, dy = F.col("_ax") - F.col("_bx"), F.col("_ay") - F.col("_by")
-    err = F.when(inside("_bx", "_by"), F.sqrt(dx * dx + dy * dy))
-    close = [F.avg(F.coalesce(err < t, F.lit(False)).cast("double")).alias(f"t{i}") for i, t in enumerate(thresholds)]
-    wide = grid.where(inside("_ax", "_ay")).groupBy(key).agg(*close)
-    return wide.select(key, F.inline(F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("share")) for i, t in enumerate(thresholds)])))
+    kind = df.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line = np.arange(n) / (n - 1)
+        for batch in batches:
+            shares = np.full((batch.num_rows, len(thresholds)), np.nan)
+            values = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(params))], 1)
+            for i, (w, h, f, k, f2, k2) in enumerate(values):
+                if not np.isfinite((w, h, f, k, f2, k2)).all():
+                    continue
+                u, v = ((line * (h - 1) - w / 2) / f)[:, None], ((line * (w - 1) - h / 2) / f)[None]
+                r2 = u * u + v * v
+
+                def place(focal, term):
+                    s = (1 + term * r2) * focal
+                    x, y = u * s + w / 2, v * s + h / 2
+                    return x, y, (x >= -near) & (x <= w - 1 + near) & (y >= -near) & (y <= h - 1 + near)
+
+                (ax, ay, counted), (bx, by, there) = place(f, k), place(f2, k2)
+                err = np.hypot(ax - bx, ay - by)[counted & there]
+                if total := counted.sum():
+                    shares[i] = [(err < t).sum() / total for t in thresholds]
+            names = pa.array([float(t) for t in thresholds] * batch.num_rows)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), len(thresholds)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), names, pa.array(shares.ravel(), mask=np.isnan(shares.ravel()))], names=[key, "threshold", "share"])
+
+    schema = T.StructType([T.StructField(key, kind), T.StructField("threshold", T.DoubleType()), T.StructField("share", T.DoubleType())])
+    return df.select(key, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(params)]).mapInArrow(run, schema)
 
 
 def vertical_points(points: DataFrame, group: str, index: str, f: Column, cx: Column, cy: Column) -> DataFrame:
