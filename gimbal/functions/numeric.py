@@ -85,8 +85,8 @@ def tone_gamma(x: Column, gamma: float = 2.2) -> Column:
 
 
 def quantise(x: Column, bits: int = 8) -> Column:
-    top = (1 << bits) - 1
-    return F.bround(F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) * top) / top
+    """The lower edge of the level that holds a value, of 2^bits levels a unit, as published: 1 is a level of its own."""
+    return F.floor(x * (1 << bits)) / (1 << bits)
 
 
 def reexpose(x: Column, p90: Column, top: float = 0.8) -> Column:

@@ -194,12 +194,12 @@ def pr_curve(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT event_type, quantile_cont(value, 0.9) AS p90 FROM events GROUP BY 1)
-SELECT event_id, CAST(round_even(power(least(value * (0.8e0 / (p90 + 1e-10)), 1), 1 / 2.2e0) * 255, 0) AS INTEGER) AS level FROM events JOIN p USING (event_type)""")
+SELECT event_id, CAST(floor(power(least(value * (0.8e0 / (p90 + 1e-10)), 1), 1 / 2.2e0) * 256) AS INTEGER) AS level FROM events JOIN p USING (event_type)""")
 def exposure(spark, sf_dir):
     """Values of an image re-exposed by its 90th percentile, tone mapped and quantised."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
     p90 = quantile(e, ["event_type"], F.col("value"), 0.9, "p90")
-    level = N.quantise(N.tone_gamma(N.reexpose(F.col("value"), F.col("p90")))) * 255
+    level = N.quantise(N.tone_gamma(N.reexpose(F.col("value"), F.col("p90")))) * 256
     return e.join(p90, "event_type").select("event_id", F.round(level).cast("int").alias("level"))
 
 
