@@ -251,8 +251,10 @@ def _parse(tree: str):
     return node()
 
 
-def planted(spark: SparkSession, rows: int = PLANTED, seed: str = "planted") -> DataFrame:
-    """(text, s, e, label): `rows` texts, each with a value at [s, e) that is personal (1) or looks like it (0).
+def planted(spark: SparkSession, rows: int = PLANTED, seed: str = "planted", without: dict[int, int] | None = None, only: dict[int, int] | None = None) -> DataFrame:
+    """(text, s, e, label, g): `rows` texts, each with a value at [s, e) that is personal (1) or looks like it (0), of the kind of generator g.
+
+    `without` leaves one personal format of a generator out, `only` takes no other: how formats that the trees haven't seen fare is measured so.
 
     Values, the words around them and what introduces them are drawn by hash. A tenth of each have the others' introduction.
     """
@@ -283,6 +285,8 @@ def planted(spark: SparkSession, rows: int = PLANTED, seed: str = "planted") ->
     }
     own = {0: ["write to ", "mail: ", "<", ""], 1: ['token = "', "api_key: ", "secret='", "Authorization: Bearer ", "password=", 'key = "', "credentials: "], 2: ["call ", "tel: ", "phone ", "contact (", "my card ", "ssn ", ""]}
     other = {0: ["see ", "in ", ""], 1: ["see ", "the ", "in (", 'name = "', "file: "], 2: ["see ", "on ", "about ", "page ", "(", "no. "]}
+    if without or only:
+        personal = {g: [o for k, o in enumerate(v) if (only is None or only.get(g, k) == k) and (without is None or without.get(g) != k)] for g, v in personal.items()}
     pick = lambda table: F.get(F.array(*[of("kind", table[g]) for g in range(3)]), F.col("g"))
     swapped = (drawn("swap") % 10 == 0) != (F.col("label") == 1)
     made = base.select("h", "lots", (F.col("id") % 3).cast("int").alias("g"), (F.floor(F.col("id") / 3) % 2).cast("double").alias("label"))
@@ -290,7 +294,7 @@ def planted(spark: SparkSession, rows: int = PLANTED, seed: str = "planted") ->
     made = made.withColumn("lead", join(word("p"), F.lit(" "), word("q"), F.lit(" "), F.when(swapped, pick(other)).otherwise(pick(own))))
     after = of("after", ['"', "'", " ", ". ", ", ", ") ", "\n"])
     text = F.concat("lead", "v", after, F.lit(" "), word("z"))
-    return made.select(text.alias("text"), F.length("lead").alias("s"), (F.length("lead") + F.length("v")).alias("e"), "label")
+    return made.select(text.alias("text"), F.length("lead").alias("s"), (F.length("lead") + F.length("v")).alias("e"), "label", "g")
 
 
 #: Words around planted values: of no language, so that none of theirs is taught.
@@ -302,15 +306,15 @@ def _free(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_g_cand", _apart(F.col("_g_cand"), F.col("_g_base"))).where(F.size("_g_cand") > 0).select("*", F.explode("_g_cand").alias("c")).drop("_g_cand", "_g_text", "_g_base", "_g_on")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES) -> SpanModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, sample_candidates: int = SAMPLE_CANDIDATES, without: dict[int, int] | None = None) -> SpanModel:
     """Boost shallow trees on planted values and on candidates of a bounded sample of documents (by hash of the id), and calibrate thresholds.
 
     Half of the candidates teach the trees; on the others a generator's threshold is the least score from which the
     selected are true at the rate PRECISION, IMAGINED ones included. Planted texts are as many at any size, so the trees are fitted
-    for an empty table too. A generator without such a score adds nothing.
+    for an empty table too. A generator without such a score adds nothing. `without` is that of `planted`.
     """
     spark = docs.sparkSession
-    made = _free(candidates(base_spans(materialise(planted(spark), "pii-planted"), "text")))
+    made = _free(candidates(base_spans(materialise(planted(spark, without=without), "pii-planted"), "text")))
     made = made.where((F.col("c.s") == F.col("s")) & (F.col("c.e") == F.col("e"))).select("label", F.xxhash64("text").alias("o"), "c.*")
     ids = sample_ids(docs, id_col, sample_docs).select(F.col(id_col).alias("_g_sid"))
     picked = docs.select(id_col, text_col).join(F.broadcast(ids), F.col(id_col) == F.col("_g_sid"))

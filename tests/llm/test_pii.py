@@ -61,3 +61,9 @@ def test_a_trained_model_finds_new_values(spark, table):
     for r in pii.personal_data(docs, model).join(docs, "doc_id").where("text rlike 'token = \"[0-9a-f]{40}\"'").collect():
         spans = {(x.s, x.e) for x in r.redactions}
         assert all(m.span(1) in spans for m in re.finditer('token = "([0-9a-f]{40})"', r.text))
+
+
+def test_formats_left_out_and_alone(spark):
+    of = lambda **k: {F_(r) for r in pii.planted(spark, 600, "formats", **k).where("g = 2 AND label = 1").collect()}
+    F_ = lambda r: bool(re.fullmatch(r"\([0-9]{3}\) 555-[0-9]{4}", r.text[r.s : r.e]))  # noqa: E731, N806
+    assert of() == {True, False} and of(only={2: 0}) == {True} and of(without={2: 0}) == {False}
