@@ -54,3 +54,38 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text.otherwise(X.sentence(F.col("roll"), F.col("pitch"), F.col("vfov")))
     name = F.when(e % 11 == 0, "").when(e % 5 == 0, F.concat(F.lit("run/a.b/img_"), e.cast("string"), F.lit(".png"))).otherwise(F.col("fname"))
     return p.select("e", name.alias("id"), text.alias("output_text"))
+
+
+def room_images(cams, key: str, size: int = 256):
+    """(key, width, height, pixels): what cameras with roll, pitch, vfov and yaw see of a room whose walls bear a grid, levels 0 to 255, nine rays a pixel."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    def seen(roll, pitch, vfov, yaw):
+        g = np.array([-np.sin(roll) * np.cos(pitch), -np.cos(roll) * np.cos(pitch), np.sin(pitch)])
+        a = np.cross(g, (0.0, 0.0, 1.0))
+        a /= np.linalg.norm(a)
+        b = np.cross(g, a)
+        world = np.stack([np.cos(yaw) * a + np.sin(yaw) * b, -g, np.cos(yaw) * b - np.sin(yaw) * a])
+        at = (np.arange(3 * size) - 1) / 3 - size / 2
+        f = size / 2 / np.tan(vfov / 2)
+        rays = np.stack(np.broadcast_arrays(at[None] / f, at[:, None] / f, 1.0), -1) @ world.T
+        eye = np.array([0.1, -0.05, 0.07])
+        reach = (np.sign(rays) - eye) / np.where(rays == 0, 1e-12, rays)
+        wall = reach.argmin(-1)
+        spot = rays * reach.min(-1)[..., None] + eye
+        band = ((spot + 1) * 2 % 1 >= 0.4) & ((spot + 1) * 2 % 1 < 0.6)
+        dark = np.where(wall == 0, band[..., 1] | band[..., 2], np.where(wall == 1, band[..., 0] | band[..., 2], band[..., 0] | band[..., 1]))
+        level = np.where(dark, 40.0, 200.0 - 30 * wall)
+        return level.reshape(size, 3, size, 3).mean((1, 3))
+
+    def run(batches):
+        for batch in batches:
+            values = zip(*(batch.column(k).to_pylist() for k in range(1, 5)))
+            for i, v in enumerate(values):
+                pixels = pa.ListArray.from_arrays(pa.array([0, size * size], pa.int32()), pa.array(seen(*v).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([size], pa.int32()), pa.array([size], pa.int32()), pixels], names=[key, "width", "height", "pixels"])
+
+    schema = T.StructType([cams.schema[key], T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.ArrayType(T.DoubleType()))])
+    return cams.select(key, "roll", "pitch", "vfov", "yaw").mapInArrow(run, schema)

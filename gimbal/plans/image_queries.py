@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import camera as C
 from ..operators import augment as A
+from ..operators import fields, lines
 from .catalog import query, r6, table
+from .fixtures import room_images
 from .sampling_queries import unit_sql
 
 
@@ -80,3 +83,25 @@ def tone_chain(spark, sf_dir):
     out = A.tone_chain(rows, "vec_id", "gamma", 2.2, bits=6, balance=[[1.5, 0.0, 0.0], [0.25, 0.75, 0.0], [0.0, 0.0, 2.0]])
     channel = lambda c: F.aggregate(F.filter("pixels", lambda v, j: j % 3 == c), F.lit(0.0), lambda a, v: a + v)
     return out.select("vec_id", *r6(scale=F.col("scale")), *[F.round(channel(i), 4).alias(n) for i, n in enumerate(("red", "green", "blue"))])
+
+
+@query("SELECT s_suppkey, true AS seen, true AS upright, true AS focal, true AS most_lines FROM supplier")
+def line_cameras(spark, sf_dir):
+    """Cameras found again from the straight lines of what they see, 256 x 256 pixels of a room for each supplier: gravity, by the best vertical vanishing
+    point, within a tenth of a degree, focal length within a tenth, and nine tenths of the lines explained. Cameras turn by up to 20 degrees."""
+    k = F.col("s_suppkey")
+    roll, pitch = (((k * m % 901) / 900 - 0.5) * F.lit(C.TURN / 9) for m in (37, 71))
+    cams = table(spark, sf_dir, "supplier").select("s_suppkey", roll.alias("roll"), pitch.alias("pitch"), F.radians(35 + k * 53 % 51).alias("vfov"), F.radians(20 + k * 29 % 51).alias("yaw"))
+    cams = fields.dealt(cams, "s_suppkey")
+    found = lines.cameras_from_lines(room_images(cams, "s_suppkey"), "s_suppkey")
+    points = found.select("s_suppkey", "f", F.posexplode("points").alias("i", "p")).select("s_suppkey", "f", "i", *[F.col("p")[j].alias(c) for j, c in enumerate(("px", "py", "pz"))])
+    middle = F.lit(128.0)
+    best = fields.vertical_points(points.withColumn("at", F.struct("s_suppkey", "f")), "at", "i", F.col("f"), middle, middle).select("at.*", "px", "py", "pz")
+    ray = [-c for c in ((F.col("px") - middle * F.col("pz")) / F.col("f"), (F.col("py") - middle * F.col("pz")) / F.col("f"), F.col("pz"))]
+    size = F.sqrt(ray[0] * ray[0] + ray[1] * ray[1] + ray[2] * ray[2])
+    g = C.gravity(F.col("roll"), F.col("pitch"))
+    off = F.degrees(F.acos(F.least(F.abs(ray[0] * g[0] + ray[1] * g[1] + ray[2] * g[2]) / size, F.lit(1.0))))
+    rows = cams.join(found.select("s_suppkey", "n_lines", "members"), "s_suppkey", "left").join(best, "s_suppkey", "left")
+    share = F.aggregate("members", F.lit(0), lambda a, x: a + x) / F.col("n_lines")
+    close = {"seen": F.col("f").isNotNull(), "upright": off < 0.1, "focal": F.abs(F.col("f") / C.fov2focal(F.col("vfov"), F.lit(256.0)) - 1) < 0.1, "most_lines": share >= 0.9}
+    return rows.select("s_suppkey", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in close.items()])
