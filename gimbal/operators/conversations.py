@@ -2,7 +2,7 @@
 
 A conversation is an array of turns (input, output, output_with_loss, need_eos_token, sep), and everything on it is a column expression:
 no Python, and no shuffle but the one that collects a conversation's turns. `ids` turns text into an array of int; any tokenizer
-that is a column function will do. Null text has no tokens, a null turn list gives null.
+that is a column function will do, such as a lookup of what `tokens.ids_of` makes of `pieces`. Null text has no tokens, a null turn list gives null.
 """
 
 from __future__ import annotations
@@ -35,6 +35,14 @@ def expanded(text: Column, mark: str, place: int, times: Column | int, ids: Ids)
     return F.when(F.coalesce(F.size(pieces), F.lit(1)) < 2, ids(text)).when(F.size(pieces) == 2, two).otherwise(many)
 
 
+def pieces(turns: Column) -> Column:
+    """All texts that `encode` turns into ids: those of an array of turns, cut at the marks."""
+    cut = lambda text, mark: F.split(F.coalesce(text, F.lit("")), rf"\Q{mark}\E", -1)
+    whole = lambda text: F.array(F.coalesce(text, F.lit("")))
+    of = lambda t: F.concat(*[whole(t[c]) for c in ("input", "output", "sep")], *[cut(t[c], m) for c, m in (("input", IMAGE_MARK), ("output", IMAGE_MARK), ("output", QUERY_MARK))])
+    return F.array_distinct(F.flatten(F.transform(turns, of)))
+
+
 def image_turn(prompt: Column, text: Column, with_image: bool = True) -> Column:
     """A conversation of one turn: an image and a prompt, answered by a text."""
     asked = F.concat(F.lit(f"{IMAGE_MARK}\n"), prompt) if with_image else prompt

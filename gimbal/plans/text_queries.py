@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import conversations as V
 from ..operators import evaluation as E
 from ..operators import reports
+from ..operators import tokens as T
 from ..operators.store import written
 from .catalog import AUC_SQL, ERR_SQL, eval_errors, query, r6, table
 from .fixtures import PRED_SQL, outputs
@@ -44,6 +45,27 @@ def conversation_arrays(spark, sf_dir):
     return rows.select("conv_id", joined(F.col("x.input_ids")).alias("input_ids"), joined(F.col("x.labels")).alias("labels"), joined(V.truncated(F.col("x.labels"), 16, "left")).alias("last_labels"))
 
 
+END = 50_256
+
+
+@query("""WITH r AS (SELECT conv_id, turn, role = 'assistant' AS own, coalesce(text, '') AS text FROM conversations),
+b AS (SELECT *, coalesce(last_value(CASE WHEN own THEN turn % 4 <> 1 END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS lead FROM r),
+k AS (SELECT conv_id, turn, own, CASE WHEN lead THEN '<|endoftext|>' ELSE '' END AS bos, CASE WHEN turn = 0 THEN repeat('<image>', 6) || chr(10) ELSE '' END || text AS w,
+  CASE WHEN own AND turn % 4 <> 1 THEN '<|endoftext|>' ELSE '' END AS eos, CASE WHEN own AND turn % 2 = 0 THEN '---' ELSE '' END AS sep FROM b)
+SELECT conv_id, string_agg(bos || w || eos || sep, '' ORDER BY turn) AS input_text, string_agg(CASE WHEN own AND turn % 5 <> 3 THEN w || eos ELSE '' END, '' ORDER BY turn) AS label_text, true AS aligned, true AS shorter FROM k GROUP BY conv_id""")
+def conversation_tokens(spark, sf_dir):
+    """Whole conversations as ids of a published byte-pair vocabulary, and the texts that the ids and the labels stand for."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = turns(spark, sf_dir).withColumn("known", T.ids_of(V.pieces(F.col("turns")), path))
+    rows = rows.select("conv_id", V.encode(F.col("turns"), lambda t: F.col("known")[t], END, END, image_length=6).alias("x"))
+    ids, labels = F.col("x.input_ids"), F.col("x.labels")
+    names = {V.IGNORE: "", V.IMAGE_IN: V.IMAGE_MARK, V.IMAGE_OUT: V.IMAGE_MARK, V.QUERY: V.QUERY_MARK}
+    got = rows.select("conv_id", T.text_of(ids, path, names).alias("input_text"), T.text_of(labels, path, names).alias("label_text"), (F.size(ids) == F.size(labels)).alias("aligned"), F.size(ids).alias("n"))
+    return got.select("conv_id", "input_text", "label_text", "aligned", (F.col("n") < F.octet_length("input_text")).alias("shorter"))
+
+
 @query(f"""WITH {TURNS_SQL}, h AS (SELECT conv_id, ids[1:24] AS ids, labels[1:24] AS labels FROM c) SELECT conv_id,
   {JOIN.format('list_concat(list_transform(range(24 - len(ids)), lambda i: 0), ids)')} AS input_ids, {JOIN.format('list_concat(list_transform(range(24 - len(labels)), lambda i: -100), labels)')} AS labels,
   CAST(len(ids) AS INTEGER) AS n_seen, {JOIN.format('list_transform(range(24), lambda i: greatest(i - (24 - len(ids)), 0))')} AS position_ids,
