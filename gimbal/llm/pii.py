@@ -48,7 +48,7 @@ PRECISION, IMAGINED = 0.97, 4
 #: Share of planted values whose first score an unlabelled candidate may not reach.
 SPIES = 0.1
 #: Numbers drawn for each planted text.
-LOTS = 40
+LOTS = 64
 CONTEXT = 24
 
 
@@ -176,10 +176,10 @@ def _features(text: Column, x: Column, gen: int) -> Column:
     values = {
         "gen": F.lit(float(gen)),
         "chars": F.length(v).cast("double"),
-        "digits": n("0-9") / size,
+        "digits": n("0-9") / (20.0 if gen == 2 else size),  # of a number, how many: their share only tells how it is punctuated
         "letters": n("A-Za-z") / size,
         "upper": n("A-Z") / size,
-        "marks": n(r"\x20().\-_"),
+        "marks": n(r"\x20().\-_") if gen < 2 else (F.size(F.split(v, "[0-9]+", -1)) - 1).cast("double"),  # of a number, its groups of digits
         "hex": flag(v.rlike("^([0-9a-f]+|[0-9A-F]+|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$")),
         "runs": (F.size(F.split(v, "[0-9]+", -1)) - 1) / size,
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / size,
@@ -273,15 +273,21 @@ def planted(spark: SparkSession, rows: int = PLANTED, seed: str = "planted", wit
     check = F.get(F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: _luhn(F.concat(card, d))), F.lit(0))
     grouped = lambda n, mark: F.regexp_replace(n, "([0-9]{4})(?=[0-9])", f"$1{mark}")
     area, line = digits("area", 3), digits("line", 4)
+    # Formats of personal values: how a value is written varies by parts, so that no part of the writing alone tells the kinds apart.
+    end = of("end", [".example.com", ".example.org", ".net", ".co.uk", ".de"])
+    plain = join(of("host", [word("b"), join(word("b"), F.lit("-"), word("c")), join(F.lit("mail"), digits("m", 1)), join(word("c"), F.lit("."), word("b"))]), end)
+    foreign = join(of("where", [join(F.lit("münch"), digits("n", 2)), join(word("b"), F.lit("ø")), join(F.lit("ñ"), word("b")), join(word("c"), F.lit(".straße"))]), end)
+    accent = of("accent", ["é", "ß", "ö", "ł"])
+    middle, code = digits("middle", 3), digits("code", 2)
     personal = {
-        0: [join(word("a"), F.lit("é@"), word("b"), F.lit(".example.com")), join(word("a"), F.lit("."), word("b"), F.lit("@münch"), digits("n", 2), F.lit(".de")), join(word("a"), digits("n", 3), F.lit("ß@mail"), digits("m", 1), F.lit(".example.org"))],
+        0: [join(word("a"), accent, F.lit("@"), plain), join(word("a"), F.lit("."), word("d"), F.lit("@"), foreign), join(word("a"), digits("n", 3), accent, F.lit("@"), plain), join(word("a"), F.lit("@"), foreign), join(word("a"), F.lit("_"), word("d"), accent, F.lit("@"), plain), join(word("a"), F.lit("+"), word("d"), digits("n", 2), F.lit("@"), foreign)],
         1: [F.substring(h, 1, 40), F.substring(h, 1, 32), h, F.substring(mixed, 1, 24), F.substring(mixed, 1, 40), join(F.lit("sk_live_"), F.substring(mixed, 1, 24)), join(F.lit("AKIA"), F.upper(F.substring(h, 1, 16))), F.regexp_replace(F.substring(h, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")],
-        2: [join(F.lit("("), area, F.lit(") 555-"), line), join(area, F.lit("-555-"), line), join(area, F.lit(" 555 "), line), join(F.lit("0049 30 "), digits("d", 8)), join(area, F.lit("-"), digits("s", 2), F.lit("-"), line), grouped(join(card, check), ".")],
+        2: [join(F.lit("("), area, F.lit(") "), middle, F.lit("-"), line), join(area, F.lit("-"), middle, F.lit("-"), line), join(area, F.lit(" "), middle, F.lit(" "), line), join(area, F.lit("."), middle, F.lit("."), line), join(F.lit("00"), code, F.lit(" 30 "), digits("d", 8)), join(F.lit("00"), code, F.lit("-"), area, F.lit("-"), digits("d", 7)), join(area, F.lit("-"), digits("s", 2), F.lit("-"), line), grouped(join(card, check), "."), join(F.lit("(0"), code, F.lit(") "), digits("d", 7))],
     }
     alike = {
-        0: [join(word("a"), F.lit("@@"), word("b")), join(F.lit("@"), word("a"), F.lit("@"), word("b")), join(digits("n", 1), F.lit("@"), digits("m", 1), F.lit(".00")), join(word("a"), F.lit("@"), word("b"), F.lit("@"), word("c"))],
+        0: [join(word("a"), F.lit("@@"), word("b")), join(F.lit("@"), word("a"), F.lit("@"), word("b")), join(digits("n", 1), F.lit("@"), digits("m", 1), F.lit(".00")), join(word("a"), F.lit("@"), word("b"), F.lit("@"), word("c")), join(word("a"), accent, F.lit("@"), word("b")), join(word("a"), F.lit("."), word("d"), F.lit("@"), word("b"), accent), join(word("a"), accent, digits("n", 3), F.lit("@"), word("b"), F.lit("."), digits("m", 2))],
         1: [join(word("a"), F.lit("-of-the-"), word("b"), F.lit("-"), digits("y", 4)), join(F.lit("chapter_"), digits("n", 2), F.lit("_"), word("a"), F.lit("_"), word("b")), join(word("a"), word("b"), word("c"), digits("n", 1)), digits("n", 16), join(F.repeat(word("a"), 4), digits("n", 2)), join(F.lit("20"), digits("y", 2), F.lit("-01-31_"), word("a"), F.lit("-draft"))],
-        2: [join(F.lit("20"), digits("y", 2), F.lit("-01-31 10.20.30")), join(F.lit("1 "), digits("a", 3), F.lit(" "), digits("b", 3), F.lit(" "), digits("c", 3)), digits("n", 9), digits("n", 12), join(F.lit("0."), digits("n", 9)), join(digits("a", 3), F.lit("-"), digits("b", 3), F.lit(" "), digits("c", 3)), F.repeat(digits("n", 1), 10), join(F.lit("1.2.3.4.5.6.7."), digits("n", 1)), grouped(digits("n", 16), " ")],
+        2: [join(F.lit("20"), digits("y", 2), F.lit("-01-31 10.20.30")), join(F.lit("1 "), digits("a", 3), F.lit(" "), digits("b", 3), F.lit(" "), digits("c", 3)), digits("n", 9), digits("n", 12), join(F.lit("0."), digits("n", 9)), join(digits("a", 3), F.lit("-"), digits("b", 3), F.lit(" "), digits("c", 3)), F.repeat(digits("n", 1), 10), join(F.lit("1.2.3.4.5.6.7."), digits("n", 1)), grouped(digits("n", 16), " "), join(F.lit("19"), digits("y", 2), F.lit("-20"), digits("m", 2)), join(F.lit("978-"), digits("n", 1), F.lit("-"), digits("a", 3), F.lit("-"), digits("b", 5), F.lit("-"), digits("m", 1)), join(digits("m", 2), F.lit(".0"), digits("n", 6)), join(digits("a", 3), F.lit("."), digits("b", 3), F.lit("."), digits("c", 3))],
     }
     own = {0: ["write to ", "mail: ", "<", ""], 1: ['token = "', "api_key: ", "secret='", "Authorization: Bearer ", "password=", 'key = "', "credentials: "], 2: ["call ", "tel: ", "phone ", "contact (", "my card ", "ssn ", ""]}
     other = {0: ["see ", "in ", ""], 1: ["see ", "the ", "in (", 'name = "', "file: "], 2: ["see ", "on ", "about ", "page ", "(", "no. "]}
