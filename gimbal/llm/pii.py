@@ -175,7 +175,7 @@ def _features(text: Column, x: Column, gen: int) -> Column:
     size = F.greatest(F.length(v), F.lit(1)).cast("double")
     values = {
         "gen": F.lit(float(gen)),
-        "chars": F.length(v).cast("double"),
+        "chars": F.length(v).cast("double") if gen < 2 else n("0-9"),
         "digits": n("0-9") / (20.0 if gen == 2 else size),  # of a number, how many: their share only tells how it is punctuated
         "letters": n("A-Za-z") / size,
         "upper": n("A-Z") / size,
