@@ -59,10 +59,32 @@ def json_text(document: Column, field: str, default: str = "") -> Column:
     return F.coalesce(F.get_json_object(document, f"$.{field}"), F.lit(default))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A double with 1 to 7 decimals, rounded by its exact binary value, ties to even, as C and Python do; `format_string` rounds its shortest decimal form, ties up.
+
+    The rest of the scaled value is exact: what the product loses comes from the two halves of the factor.
+    """
+    scale, a = 10.0**digits, F.abs(x)
+    product, high = a * scale, a * 134217729.0 - (a * 134217729.0 - a)
+    lost = (high * scale - product) + (a - high) * scale
+    whole = F.floor(product)
+    rest = product - whole
+    n = whole + F.when((rest > 0.5) | ((rest == 0.5) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1)))), 1).otherwise(0)
+    sign = F.when((x < 0) | ((x == 0) & F.startswith(x.cast("string"), F.lit("-"))), "-").otherwise("")
+    text = F.concat(sign, F.floor(n / int(scale)).cast("string"), F.lit("."), F.lpad((n % int(scale)).cast("string"), digits, "0"))
+    return F.when(a * scale < 2.0**52, text).otherwise(F.format_string(f"%.{digits}f", x))
+
+
+def formatted(template: str, digits: int, *numbers: Column) -> Column:
+    """A template whose `{}` places take numbers with so many decimals."""
+    parts = template.split("{}")
+    return F.concat(*[c for part, x in zip(parts, numbers) for c in (F.lit(part), fixed(x, digits))], F.lit(parts[-1]))
+
+
 def sentence(roll: Column, pitch: Column, vfov: Column, yaw: Column | None = None) -> Column:
     """The sentence that states camera parameters with four decimals."""
-    text = F.format_string("The camera parameters (roll, pitch, and field-of-view) are: %.4f, %.4f, %.4f.", roll, pitch, vfov)
-    return text if yaw is None else F.concat(text, F.format_string(" The deviation of the camera yaw angle is %.4f.", yaw))
+    text = formatted("The camera parameters (roll, pitch, and field-of-view) are: {}, {}, {}.", 4, roll, pitch, vfov)
+    return text if yaw is None else F.concat(text, formatted(" The deviation of the camera yaw angle is {}.", 4, yaw))
 
 
 def merged(base: Column, thinking: Column) -> Column:

@@ -49,7 +49,7 @@ def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = cam_pred(spark, sf_dir)
     e = F.col("e")
     # No numbers, blanks on both sides of commas, bare fractions, whole numbers with signs.
-    text = F.when(e % 7 == 0, "No parameters.").when(e % 13 == 0, F.format_string("They are: %.4f , %.4f  ,  %.4f . ", "roll", "pitch", "vfov"))
+    text = F.when(e % 7 == 0, "No parameters.").when(e % 13 == 0, X.formatted("They are: {} , {}  ,  {} . ", 4, F.col("roll"), F.col("pitch"), F.col("vfov")))
     text = text.when(e % 17 == 0, "They are: .5000, .2500, .7500.").when(e % 19 == 0, "They are: +1, -2 ,3")
     text = text.otherwise(X.sentence(F.col("roll"), F.col("pitch"), F.col("vfov")))
     name = F.when(e % 11 == 0, "").when(e % 5 == 0, F.concat(F.lit("run/a.b/img_"), e.cast("string"), F.lit(".png"))).otherwise(F.col("fname"))

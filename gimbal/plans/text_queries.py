@@ -100,7 +100,7 @@ def names_and_templates(spark, sf_dir):
     place = F.when(e % 4 == 0, "Left").when(e % 4 == 1, "behind").when(e % 4 == 2, "right").otherwise("up")
     yaw = X.fill("The deviation of the camera yaw angle is {yaw}.", {"yaw": F.coalesce(X.place_yaw(place), F.lit("unknown"))})
     label = F.when(e % 3 == 0, e.cast("string")).otherwise(F.concat(F.lit("c"), e.cast("string")))
-    path = X.fill("{id}, roll-{roll}", {"id": F.col("id"), "roll": F.format_string("%.2f", "roll")})
+    path = X.fill("{id}, roll-{roll}", {"id": F.col("id"), "roll": X.fixed(F.col("roll"), 2)})
     return rows.select("e", path.alias("path"), yaw.alias("yaw"), F.coalesce(X.category(label), F.lit(-1)).alias("category"), X.is_json(F.col("id")).alias("is_json"))
 
 

@@ -144,3 +144,12 @@ def test_normal_quantile(spark):
     assert list(got) == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-7, abs=1e-9)
     low, high = one(spark, N.truncated_normal(F.lit(0.0), -2.0, 1.0, 5.0, 0.5), N.truncated_normal(F.lit(1.0), -2.0, 1.0, 5.0, 0.5))
     assert (low, high) == pytest.approx((4.0, 5.5), abs=1e-6)
+
+
+def test_decimals_are_those_of_the_exact_value(spark):
+    """Ties of the binary value go to even, and what only looks like a tie in decimal digits isn't one."""
+    rng = np.random.default_rng(5)
+    ties = [0.125, 0.375, -0.125, 0.145, -0.045, 1.005, 2.675, 0.5, 0.0, -0.0, -0.001, 12345.125, 99.995, 1e9, 3.0]
+    values = [*ties, *(float(x) for x in rng.integers(-10**6, 10**6, 2000) / 1000), *(float(x) for x in rng.normal(0, 2, 500))]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.fixed(F.col("v"), 2).alias("a"), X.fixed(F.col("v"), 4).alias("b")).collect()
+    assert [(r.a, r.b) for r in rows] == [(f"{r.v:.2f}", f"{r.v:.4f}") for r in rows]
