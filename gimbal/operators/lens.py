@@ -116,6 +116,89 @@ def slopes(g: np.ndarray, f: np.ndarray, k: np.ndarray | None, x: np.ndarray, y:
     return ux, uy, a.s, np.stack(turn, 1), np.stack(sine, 1)
 
 
+def columns(g: np.ndarray, f: np.ndarray, k: np.ndarray | None, x: np.ndarray, y: np.ndarray, lens: str = "pinhole"):
+    """Up x, up y, sine of the latitude, where the up direction vanishes, and the columns that `slopes` are made of: (images, columns + 1, pixels) of the turn and of
+    the sine, the last one free, with the matrices' part that turns gravity's three numbers, log focal length and lens terms into them as a function of directions.
+
+    A move of gravity counts by three columns whatever its direction, so that sums of their products serve all directions.
+    """
+    terms = TERMS[lens]
+    g0, g1, g2 = (g[:, i, None] for i in range(3))
+    inv = 1 / f[:, None]
+    shape = (len(g), x.shape[1])
+    turn, sine = np.empty((shape[0], (4 if lens == "pinhole" else 5 + terms), shape[1])), np.empty((shape[0], 5 + terms, shape[1]))
+    flat = lens == "pinhole"
+    u, v = (x, y) if flat else (x * inv, y * inv)
+    z = g2 * inv if flat else g2
+    wx, wy = g0 - z * u, g1 - z * v
+    if flat:
+        px, py = wx, wy
+    else:
+        r2 = u * u + v * v
+        c = lens_factors(lens, r2, k, True)
+        q = u * wx + v * wy
+        bend = 2 * c.d1 * q
+        px, py = c.d * wx + bend * u, c.d * wy + bend * v
+    n2 = px * px + py * py
+    lost = n2 < 1e-24
+    if not lost.any():
+        lost = None
+    else:
+        n2 = np.maximum(n2, 1e-24)
+    rn = 1 / np.sqrt(n2)
+    ux, uy = px * rn, py * rn
+    if flat:
+        # In pixels: the focal length goes into the matrices.
+        a, b = turn[:, 0], turn[:, 1]
+        np.multiply(uy, -rn, out=a)
+        np.multiply(ux, rn, out=b)
+        np.multiply(a, x, out=turn[:, 2])
+        turn[:, 2] += b * y
+        near = sine[:, 2]
+        np.divide(1.0, np.sqrt((x * x + y * y) * (inv * inv) + 1), out=near)
+        np.multiply(x, near, out=sine[:, 0])
+        np.multiply(y, near, out=sine[:, 1])
+        s = np.matmul(np.concatenate([g0 * inv, g1 * inv, g2], 1)[:, None], sine[:, :3])[:, 0]
+        np.multiply(near, g2 - s * near, out=sine[:, 3])
+    else:
+        kappa, omega = ux * v - uy * u, ux * wy - uy * wx
+        side = 2 * c.d1 * kappa
+        np.multiply(side * u - c.d * uy, rn, out=turn[:, 0])
+        np.multiply(side * v + c.d * ux, rn, out=turn[:, 1])
+        np.negative(turn[:, 0] * u + turn[:, 1] * v, out=turn[:, 2])
+        kappa *= rn
+        omega *= rn
+        np.add((-2 * c.d1) * r2 * omega, (c.d * g2 - 4 * c.d2 * r2 * q + 2 * c.d1 * (g2 * r2 - 2 * q)) * kappa, out=turn[:, 3])
+        ray = 1 / np.sqrt(c.u * c.u * r2 + 1)
+        near, along = c.u * ray, u * g0 + v * g1
+        np.multiply(u, near, out=sine[:, 0])
+        np.multiply(v, near, out=sine[:, 1])
+        sine[:, 2] = ray
+        s = near * along + g2 * ray
+        by = (along - s * near * r2) * ray
+        np.multiply(by, -2 * r2 * c.u1 - c.u, out=sine[:, 3])
+        for i in range(terms):
+            np.add(c.dk[i] * omega, 2 * c.d1k[i] * q * kappa, out=turn[:, 4 + i])
+            np.multiply(by, c.uk[i], out=sine[:, 4 + i])
+
+    def ways(dirs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the turn and of the sine, (images, columns, parameters)."""
+        free = dirs.shape[2] + 1 + terms
+        a, b = np.zeros((len(g), turn.shape[1] - 1, free)), np.zeros((len(g), sine.shape[1] - 1, free))
+        a[:, :3, : dirs.shape[2]] = b[:, :3, : dirs.shape[2]] = dirs
+        b[:, 3:, dirs.shape[2] :] = np.eye(1 + terms)
+        if flat:
+            a[:, 2, dirs.shape[2]] = g2[:, 0]
+            a[:, 2] *= -inv
+            a[:, 2, dirs.shape[2]] *= -1
+            b[:, :2] *= inv[:, :, None]
+        else:
+            a[:, 3:, dirs.shape[2] :] = np.eye(1 + terms)
+        return a, b
+
+    return ux, uy, s, lost, turn, sine, ways
+
+
 def pixel_grid(w: int, h: int) -> tuple[np.ndarray, np.ndarray]:
     """x and y from the centre, row by row from the top left pixel."""
     i = np.arange(w * h)

@@ -231,8 +231,9 @@ def pixel_distortion_error(spark, sf_dir):
 def lm_fit_shared(spark, sf_dir):
     """Fit batches of four cameras of one field of view each: the known answer comes back."""
     cams = cam_gt(spark, sf_dir).withColumn("batch", F.floor(F.col("e") / 4)).withColumn("vfov", F.radians(50 + F.col("batch") % 12 * 5))
-    cams = cams.select("e", "batch", "roll", "pitch", "vfov")
-    out = estimate.fit_shared_cameras(fields.packed_field(cams, 16, 16), "batch", 16, 16)
+    # Cameras, not their pixels, are brought together.
+    cams = fields.dealt(cams.select("e", "batch", "roll", "pitch", "vfov"), "batch").sortWithinPartitions("batch")
+    out = estimate.fit_shared_cameras(fields.packed_field(cams, 16, 16), "batch", 16, 16, together=True)
     return out.select("e", *[F.round(c, 5).alias(c) for c in ("roll", "pitch", "vfov")])
 
 
