@@ -66,3 +66,13 @@ def test_texts_of_ids(spark, exact):
     rows = spark.createDataFrame([(1, exact("naïve 東京")), (2, [-200, *exact(" b")]), (3, []), (4, None)], "id long, ids array<int>")
     got = {r.id: r.t for r in rows.select("id", tokens.text_of(F.col("ids"), PATH, {-200: "<image>"}).alias("t")).collect()}
     assert got == {1: "naïve 東京", 2: "<image> b", 3: "", 4: None}
+
+
+def test_few_rows_are_python_objects_at_once():
+    """Texts go through in slices of an Arrow batch, and ids come back packed."""
+    import pyarrow as pa
+
+    seen = []
+    rows = pa.array([["a b", "cd"], [], ["x" * 9]] * 40)
+    out = tokens.packed_ids(rows, lambda t: (seen.append(t), [len(t), 7])[1])
+    assert out.to_pylist() == [[[len(t), 7] for t in v] for v in rows.to_pylist()] and out.type == pa.list_(pa.list_(pa.int32())) and len(seen) == 120
