@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import camera as C
@@ -158,11 +160,8 @@ SELECT e, CAST(view AS INTEGER) AS view, round(avg(sin(atan2(px, pz))), 6) AS lo
   FROM (SELECT *, asin(py / sqrt(px * px + py * py + pz * pz)) AS lat FROM p) GROUP BY e, view""")
 def panorama_views(spark, sf_dir):
     """Where the pixels of sixteen views of a panorama look: mean direction and range of latitudes of each view."""
-    px = grid(spark, sf_dir).withColumn("view", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    yaw = F.col("view") * F.lit(3.141592653589793) / 8
-    lon, lat = C.panorama_angles(*[F.col(c) for c in ("u", "v", "roll", "pitch")], yaw)
-    seen = px.select("e", "view", lon.alias("lon"), lat.alias("lat")).groupBy("e", "view")
-    return seen.agg(*r6(lon_sin=F.avg(F.sin("lon")), lon_cos=F.avg(F.cos("lon")), low=F.min("lat"), high=F.max("lat")))
+    out = fields.panorama_looks(plain(spark, sf_dir), SIZE, SIZE, [k * math.pi / 8 for k in range(16)])
+    return out.select("e", "view", *r6(**{c: F.col(c) for c in ("lon_sin", "lon_cos", "low", "high")}))
 
 
 @query(f"""WITH {GT_SQL}, f AS (SELECT e, width, height, height / 2e0 / tan(vfov / 2) AS f, (e % 9 - 4) / 10e0 AS k1 FROM cam_gt)

@@ -97,8 +97,8 @@ def pixel_grid_errors(spark, sf_dir):
     f, term = 200.0 + k * 53 % 701, (k % 7 - 3) / 20
     cams = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(640).alias("width"), F.when(k % 3 == 0, 480).when(k % 3 == 1, 640).otherwise(960).alias("height"), f.alias("f"), term.alias("k1"), (f + (k % 5 - 2)).alias("f_pred"), (term + (k % 9 - 4) / 400).alias("k1_pred"))
     cams = fields.dealt(cams, "s_suppkey")
-    both = [fields.pixel_errors(cams, "s_suppkey", _GRID, [0.5, 1.0, 3.0, 5.0], only).select("s_suppkey", "threshold", F.round("share", 4).alias(n)) for n, only in (("projection", False), ("distortion", True))]
-    return both[0].join(both[1], ["s_suppkey", "threshold"])
+    out = fields.pixel_errors(cams, "s_suppkey", _GRID, [0.5, 1.0, 3.0, 5.0], None)
+    return out.select("s_suppkey", "threshold", *[F.round(c, 4).alias(c) for c in ("projection", "distortion")])
 
 
 @query(f"WITH {PRED_SQL} SELECT e, '<image>' || chr(10) || 'Describe the camera.' AS asked, output_text AS answer, CAST(4 + 1 + 3 + (e % 2) + len(list_filter(regexp_split_to_array(output_text, '\\s+'), lambda w: w <> '')) + 1 AS INTEGER) AS n_ids FROM outputs")
