@@ -122,3 +122,14 @@ def test_levels_of_embeddings_in_their_own_precision(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     assert got == {r[0]: r[4] for r in duck.execute(catalog.ORACLES["image_files"]).fetchall()}
+
+
+def test_many_tensors_go_in_waves_and_leave_no_files(spark, tmp_path, monkeypatch):
+    from gimbal.plans import catalog, file_queries
+
+    where = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, catalog.QUERIES["tensor_files"](spark, where).collect()))
+    monkeypatch.setattr(file_queries, "WAVE", 4)
+    monkeypatch.setattr(file_queries, "folder", lambda s, tag: f"{tmp_path}/{tag}")
+    assert sorted(map(tuple, catalog.QUERIES["tensor_files"](spark, where).collect())) == want and len(want) > 4
+    assert not [f for f in files_below(str(tmp_path)) if f.endswith(".npy")]
