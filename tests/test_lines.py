@@ -73,6 +73,34 @@ def lines_of(rotation, f, per=12, seed=1):
     return np.array(out)
 
 
+@pytest.mark.parametrize("flat", [False, True])
+def test_sharpened_edge_is_exact(flat):
+    """An edge that covers pixels in part, with one stretch of it hidden: the line is found to a thousandth of a pixel."""
+    middle = 0.7 + 0.05 * (np.arange(64) - 32)
+    image = 200 * np.clip(0.5 + np.arange(64)[None] - 32 - middle[:, None], 0, 1)
+    image[20:24] = 90
+    seg = np.array([[0.9 - 1.4, -28.0, 0.6 + 1.4, 28.0]])
+    turn = (lambda v: v.reshape(-1, 2)[:, ::-1].reshape(-1, 4)) if flat else (lambda v: v)
+    got = turn(lines.sharpened(image.T if flat else image, turn(seg)))[0]
+    assert got[[1, 3]].tolist() == [-28.0, 28.0]
+    assert got[[0, 2]] == pytest.approx([0.7 - 1.4, 0.7 + 1.4], abs=1e-3)
+
+
+@pytest.mark.parametrize("k", [284, 409, 524])
+def test_rooms_with_few_lines_of_a_direction_give_their_camera(spark, k):
+    """Two lines, or a line and a stray one, are all that some directions have."""
+    turn = 2 * np.pi / 9
+    roll, pitch = (((k * m % 901) / 900 - 0.5) * turn for m in (37, 71))
+    vfov, yaw = np.radians(35 + k * 53 % 51), np.radians(20 + k * 29 % 51)
+    cams = spark.createDataFrame([(k, float(roll), float(pitch), float(vfov), float(yaw))], "id long, roll double, pitch double, vfov double, yaw double")
+    r = lines.cameras_from_lines(room_images(cams, "id"), "id").collect()[0]
+    assert r.f == pytest.approx(128 / np.tan(vfov / 2), rel=0.1)
+    rays = (np.array(r.points) - np.array(r.points)[:, 2:] * (128, 128, 0)) / (r.f, r.f, 1)
+    g = np.array([-np.sin(roll) * np.cos(pitch), -np.cos(roll) * np.cos(pitch), np.sin(pitch)])
+    off = np.degrees(np.arccos(np.minimum(np.abs(rays @ g) / np.linalg.norm(rays, axis=1), 1))).min()
+    assert off < 0.1 and sum(r.members) >= 0.9 * r.n_lines
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_exact_lines_and_outliers_give_the_camera_back(seed):
     rng = np.random.default_rng(seed)
