@@ -143,3 +143,13 @@ def test_a_room_gives_its_camera_back(spark):
         vfov = 1.0 if r.id == 1 else 1.3
         assert r.f == pytest.approx(96 / np.tan(vfov / 2), rel=0.03)
         assert sum(r.members) >= 0.9 * r.n_lines
+
+
+def test_suppliers_of_hard_rooms_are_as_the_sql_has_them(spark, tmp_path):
+    """Upright edges that cross hardly a pixel, and a wall alone; two suppliers see the same room."""
+    from gimbal.plans import catalog
+
+    keys = [183, 717, 717 + 2703, 3]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    rows = catalog.QUERIES["line_cameras"](spark, str(tmp_path)).collect()
+    assert sorted(r.s_suppkey for r in rows) == sorted(keys) and all(r.seen and r.upright and r.focal and r.most_lines for r in rows)
