@@ -70,15 +70,19 @@ def room_images(cams, key: str, size: int = 256):
         world = np.stack([np.cos(yaw) * a + np.sin(yaw) * b, -g, np.cos(yaw) * b - np.sin(yaw) * a])
         at = (np.arange(3 * size) - 1) / 3 - size / 2
         f = size / 2 / np.tan(vfov / 2)
-        rays = np.stack(np.broadcast_arrays(at[None] / f, at[:, None] / f, 1.0), -1) @ world.T
         eye = np.array([0.1, -0.05, 0.07])
-        reach = (np.sign(rays) - eye) / np.where(rays == 0, 1e-12, rays)
-        wall = reach.argmin(-1)
-        spot = rays * reach.min(-1)[..., None] + eye
-        band = ((spot + 1) * 2 % 1 >= 0.4) & ((spot + 1) * 2 % 1 < 0.6)
-        dark = np.where(wall == 0, band[..., 1] | band[..., 2], np.where(wall == 1, band[..., 0] | band[..., 2], band[..., 0] | band[..., 1]))
-        level = np.where(dark, 40.0, 200.0 - 30 * wall)
-        return level.reshape(size, 3, size, 3).mean((1, 3))
+        out = np.empty((size, size))
+        for top in range(0, size, 16):  # some lines at a time, which a core's cache holds
+            rows = at[3 * top : 3 * (top + 16)]
+            rays = np.stack(np.broadcast_arrays(at[None] / f, rows[:, None] / f, 1.0), -1) @ world.T
+            reach = (np.sign(rays) - eye) / np.where(rays == 0, 1e-12, rays)
+            wall = reach.argmin(-1)
+            spot = rays * reach.min(-1)[..., None] + eye
+            band = ((spot + 1) * 2 % 1 >= 0.4) & ((spot + 1) * 2 % 1 < 0.6)
+            dark = np.where(wall == 0, band[..., 1] | band[..., 2], np.where(wall == 1, band[..., 0] | band[..., 2], band[..., 0] | band[..., 1]))
+            level = np.where(dark, 40.0, 200.0 - 30 * wall)
+            out[top : top + 16] = level.reshape(len(rows) // 3, 3, size, 3).mean((1, 3))
+        return out
 
     def run(batches):
         for batch in batches:
