@@ -423,8 +423,8 @@ def losses_and_tone_maps(spark, sf_dir):
 @query(f"WITH {GT_SQL} SELECT e, round(roll, 6) AS roll, round(pitch, 6) AS pitch, round(vfov, 6) AS vfov FROM cam_gt")
 def lm_fit(spark, sf_dir):
     """Fit cameras to their own fields of 32 x 32 pixels: the known answer comes back."""
-    px = P.packed_field(P.dealt(cam_gt(spark, sf_dir).select("e", "roll", "pitch", "vfov"), "e"), 32, 32)
-    return fit_cameras(px, 32, 32).select("e", *r6(roll=F.col("roll"), pitch=F.col("pitch"), vfov=F.col("vfov")))
+    cams = P.dealt(cam_gt(spark, sf_dir).select("e", "roll", "pitch", "vfov"), "e")
+    return fit_cameras(cams, 32, 32, own=True).select("e", *r6(roll=F.col("roll"), pitch=F.col("pitch"), vfov=F.col("vfov")))
 
 
 @query(f"WITH {GT_SQL} SELECT 'roll' AS parameter, CAST(floor((roll / pi() * 180 + 45) / 0.9) AS BIGINT) AS bin, count(*) AS n FROM cam_gt GROUP BY 1, 2 UNION ALL SELECT 'vfov', CAST(floor((vfov / pi() * 180 - 20) / 0.9) AS BIGINT), count(*) FROM cam_gt GROUP BY 1, 2")
