@@ -120,7 +120,7 @@ def lm_fit_divisional(spark, sf_dir):
 def gradient_fit(spark, sf_dir):
     """Fits of every camera by a first-order method with each image's own rate: the known answer within 1e-3."""
     cams = plain(spark, sf_dir)
-    out = estimate.fit_cameras(fields.packed_field(cams, SIZE, SIZE).select("e", "up_x", "up_y", "lat"), SIZE, SIZE, by="gradient", steps=2000)
+    out = estimate.fit_cameras(cams, SIZE, SIZE, by="gradient", steps=2000, own=True)
     both = out.join(cams.select("e", *[F.col(c).alias(f"t_{c}") for c in ("roll", "pitch", "vfov")]), "e")
     return both.select("e", *[near(c, F.col(f"t_{c}"), 1e-3) for c in ("roll", "pitch", "vfov")])
 
