@@ -133,3 +133,21 @@ def test_many_tensors_go_in_waves_and_leave_no_files(spark, tmp_path, monkeypatc
     monkeypatch.setattr(file_queries, "folder", lambda s, tag: f"{tmp_path}/{tag}")
     assert sorted(map(tuple, catalog.QUERIES["tensor_files"](spark, where).collect())) == want and len(want) > 4
     assert not [f for f in files_below(str(tmp_path)) if f.endswith(".npy")]
+
+
+def test_means_of_tensors_are_those_of_their_values(spark, tmp_path):
+    """A file that can't be read has its reason; a null content is an error though names were checked alone, and names that occur twice are seen there."""
+    rng = np.random.default_rng(1)
+    for name, shape in (("a", (3, 4, 5)), ("b", (7,)), ("c", ())):
+        np.save(tmp_path / f"{name}.npy", rng.normal(size=shape).astype(np.float32))
+    (tmp_path / "d.npy").write_bytes(b"no tensor")
+    got = {r.name: r for r in blobs.tensor_means(spark, str(tmp_path)).collect()}
+    for r in blobs.tensor_files(spark, str(tmp_path)).collect():
+        assert (got[r.name].shape, got[r.name].kind, got[r.name].reason) == (r.shape, r.kind, r.reason)
+        if r.values is not None:
+            assert got[r.name].means == pytest.approx(np.reshape(r.values, (r.shape[0] if r.shape else 1, -1)).mean(1))
+    rows = spark.createDataFrame([("x", None), ("y", bytearray(b"1"))], "name string, content binary")
+    with pytest.raises(Exception, match="without name or content"):
+        blobs.write_files(rows, str(tmp_path / "out"), names=rows)
+    with pytest.raises(ValueError, match="twice"):
+        blobs.write_files(rows, str(tmp_path / "out"), names=rows.union(rows))
